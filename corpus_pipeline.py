@@ -1,12 +1,65 @@
-"""The corpus pipeline: quality, lines, near-duplicates, benchmark passages, packing."""
+"""The corpus pipeline: quality, lines, near-duplicates, benchmark passages, packing.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``. What a
+stage drops is gone for the next, which reads only what was kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, linededup, neardup, packing, quality_classifier
+from quarry.llm.shared import cut
+from quarry.session import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier rejects go. It is trained on the labelled rows of ``docs``."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.keep_good(docs.select(COLUMNS), model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in several documents stay in the first only; n_chars follows the new text."""
+    cleaned = linededup.dedup_lines(docs.select(COLUMNS))
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    return neardup.keep_one(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document in bins of the permitted sequence lengths."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_passages),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The classifier has no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; between two stages the rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs, name.replace(" ", "-"))
+    return docs

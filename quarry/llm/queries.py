@@ -5,29 +5,108 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import sharding, tokenfiles
+from quarry.llm import decontaminate, html_text, linededup, neardup, packing, quality_classifier, quality_rules, sharding, tokenfiles, wordpiece
+from quarry.llm.shared import fresh_dir
 from quarry.session import table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as token files in the shared folder and read the files back."""
-    from quarry.llm.shared import fresh_dir
-
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), fresh_dir(spark, "tokens"))
     return tokenfiles.read(manifest).drop("ids")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n_words=2)
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_token_files": op1_token_files,
-        "op7_virtual_slots": op7_virtual_slots,
-    }
+        f.__name__: f
+        for f in (
+            op1_token_files, op2_near_duplicates, op3_html_text, op4_quality_rules, op5_token_counts, op6_line_dedup,
+            op7_virtual_slots, op8_benchmark_hits, op9_quality_scores, op10_best_fit,
+        )
+    }
+
+
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (
+  SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+j AS (
+  SELECT k.doc_id, k.pos, k.line, o.owner IS NOT NULL AND o.owner <> k.doc_id AS gone
+  FROM k LEFT JOIN o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+OP8_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+i AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS width,
+         array_to_string(w[p : p + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM iw WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
+d AS (
+  SELECT DISTINCT doc_id, width, array_to_string(w[p : p + width - 1], ' ') AS g
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS p
+        FROM dw, (SELECT DISTINCT width FROM i) WHERE len(w) >= width)),
+h AS (
+  SELECT d.doc_id, i.item_id, count(*) AS shared_shingles FROM d JOIN i USING (width, g) GROUP BY ALL)
+SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles / item_shingles AS containment
+FROM h JOIN n USING (item_id) WHERE 100 * shared_shingles >= 80 * item_shingles
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": OP6_SQL, "op8_benchmark_hits": OP8_SQL}

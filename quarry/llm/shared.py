@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +40,8 @@ def words(text: str | None) -> list[bytes]:
     ``bytes.lower`` and ``bytes.split`` know ASCII only, which is the rule.
     """
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker, for caches shared by its tasks."""
+    return sys.modules.setdefault("_quarry_worker", types.ModuleType("_quarry_worker")).__dict__

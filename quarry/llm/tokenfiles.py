@@ -27,16 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import fresh_dir
+from quarry.llm.shared import fresh_dir, worker_state
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
-ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
+ENTRY, FOOTER = "<III", "<IBI"
+ENTRY_SIZE, FOOTER_SIZE = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
 
 DOC = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4"), ("null_id", "u1")])
-CACHE_WORDS = 400_000
+CACHE_WORDS, TEXTS = 250_000, 32
 
 
 def default_tokenizer() -> str:
@@ -49,8 +50,9 @@ class Encoder:
     """Ids of whole texts from the ``tokenizers`` library, one library call per new word.
 
     The tokenizer's rules never join characters across ASCII white space, so the ids of a text are
-    the ids of its white-space separated words in order; each distinct word is encoded by the library
-    once and its ids are kept as little-endian bytes. The cache is emptied beyond ``CACHE_WORDS``.
+    the ids of its white-space separated words in order; each new word is encoded by the library and
+    its ids are kept as little-endian bytes. At ``CACHE_WORDS`` words the cache becomes the older
+    generation, from which words in use are taken over; the generation before it goes.
     """
 
     def __init__(self, path: str):
@@ -58,18 +60,32 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str | None) -> bytes:
-        found = text.encode("utf-8", "surrogatepass").split() if text else []
-        try:
-            return b"".join(map(self.cache.__getitem__, found))
-        except KeyError:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            new = [w for w in dict.fromkeys(found) if w not in self.cache]
-            for w, e in zip(new, self.model.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join(map(self.cache.__getitem__, found))
+        self.older: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """One encoder per Python worker, shared by its tasks."""
+        kept = worker_state().setdefault("encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        missing = set().union(*split).difference(self.cache)
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache, missing = self.cache, {}, set().union(*split)
+        new = []
+        for w in missing:
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.cache[w] = ids
+        for w, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
+        get = self.cache.__getitem__
+        return [b"".join(map(get, found)) for found in split]
 
 
 class Writer:
@@ -106,7 +122,7 @@ class Writer:
         """Write the document table and the seek table; the file's size."""
         self.flush()
         self.frame(np.array(self.docs, DOC).tobytes())
-        table = b"".join(ENTRY.pack(*e) for e in self.entries) + FOOTER.pack(len(self.entries), CHECKSUM_FLAG, SEEKABLE_MAGIC)
+        table = b"".join(struct.pack(ENTRY, *e) for e in self.entries) + struct.pack(FOOTER, len(self.entries), CHECKSUM_FLAG, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table)
         return self.written + 8 + len(table)
 
@@ -116,10 +132,10 @@ class Reader:
 
     def __init__(self, source, size: int):
         self.source = source
-        n, flags, magic = FOOTER.unpack(self._at(size - FOOTER.size, FOOTER.size))
+        n, flags, magic = struct.unpack(FOOTER, self._at(size - FOOTER_SIZE, FOOTER_SIZE))
         if magic != SEEKABLE_MAGIC or flags != CHECKSUM_FLAG:
             raise ValueError("no seek table at the end of the file")
-        table = np.frombuffer(self._at(size - FOOTER.size - n * ENTRY.size, n * ENTRY.size), "<u4").reshape(n, 3)
+        table = np.frombuffer(self._at(size - FOOTER_SIZE - n * ENTRY_SIZE, n * ENTRY_SIZE), "<u4").reshape(n, 3)
         self.entries = table
         self.starts = np.concatenate([[0], np.cumsum(table[:, 0], dtype=np.int64)])
         self.zstd = zstandard.ZstdDecompressor()
@@ -168,17 +184,19 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        context, encoder, writer = TaskContext.get(), Encoder(tokenizer), None
+        context, encoder, writer = TaskContext.get(), Encoder.of_worker(tokenizer), None
         store, root = _store(path)
         name = f"part-{context.partitionId():06d}"
         attempt = f"{root}/_attempt-{name}-{context.taskAttemptId()}"
         for b in batches:
-            for doc_id, null, text in zip(b["doc_id"], b["null_id"], b["text"], strict=True):
-                if writer is None:
-                    store.create_dir(root, recursive=True)
-                    out, first = store.open_output_stream(attempt), None if null else int(doc_id)
-                    writer = Writer(out, frame_ids, level)
-                writer.add(None if null else int(doc_id), encoder(text) + end)
+            for at in range(0, len(b), TEXTS):
+                part = b.iloc[at : at + TEXTS]
+                for doc_id, null, ids in zip(part["doc_id"], part["null_id"], encoder(list(part["text"])), strict=True):
+                    if writer is None:
+                        store.create_dir(root, recursive=True)
+                        out, first = store.open_output_stream(attempt), None if null else int(doc_id)
+                        writer = Writer(out, frame_ids, level)
+                    writer.add(None if null else int(doc_id), ids + end)
         if writer is not None:
             size = writer.close()
             out.close()
@@ -215,7 +233,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _frame(rows)
 
-    return manifest.select("file", "base").repartition(F.col("file")).mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("file", "base").repartition(n).mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
