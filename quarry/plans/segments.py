@@ -1 +1,138 @@
-"""Queries."""
+"""Queries that cut documents and conversations into units."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import segment
+from quarry.plans.common import lines_sql, query, tokens_sql
+from quarry.session import table
+
+SHORT = "[A-Za-z]+[.]?"
+
+
+@query(f"""
+WITH l AS (
+  SELECT doc_id, unnest({lines_sql('text')}) AS line, generate_subscripts({lines_sql('text')}, 1) AS n FROM documents),
+m AS (SELECT *, regexp_full_match(line, '{SHORT}') AS mark FROM l),
+s AS (SELECT *, sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section_no FROM m)
+SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, max(line) FILTER (WHERE mark) AS heading, sha256(string_agg(line, chr(10) ORDER BY n)) AS digest,
+       min(n) AS line_start, max(n) AS line_end FROM s GROUP BY ALL
+UNION ALL SELECT doc_id, 0, NULL, sha256(''), 1, 1 FROM documents WHERE coalesce(text, '') = ''
+""")
+def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN7: sections at one-word lines of every document."""
+    mark = F.col("line").rlike(f"^{SHORT}$")
+    cut = segment.sections(table(spark, sf_dir, "documents"), "doc_id", "text", mark, F.col("line"))
+    return cut.select("doc_id", "section_no", "heading", F.sha2("content", 256).alias("digest"), "line_start", "line_end")
+
+
+@query()
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN9: windows of 512 tokens with an overlap of 64 over every document."""
+    cut = segment.token_windows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return cut.select("doc_id", "window_no", "line_start", "line_end", "tokens", F.sha2("content", 256).alias("digest"))
+
+
+GROUP_SQL = """
+WITH RECURSIVE u AS (
+  SELECT {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY {pos}) AS n, {pos} AS pos, {size} AS size, {flag} AS flag FROM {tbl}),
+g AS (
+  SELECT k, n, pos, size AS used, 0 AS group_no FROM u WHERE n = 1
+  UNION ALL
+  SELECT u.k, u.n, u.pos,
+         CASE WHEN g.used + u.size > {target} OR (u.flag AND g.used >= {early}) THEN u.size ELSE g.used + u.size END,
+         CASE WHEN g.used + u.size > {target} OR (u.flag AND g.used >= {early}) THEN g.group_no + 1 ELSE g.group_no END
+  FROM g JOIN u ON u.k = g.k AND u.n = g.n + 1)
+SELECT k AS {key}, pos AS {out}, group_no FROM g
+"""
+
+
+@query(GROUP_SQL.format(key="conv_id", pos="turn", out="turn", size=f"greatest(len({tokens_sql('text')}), 1)", flag="role = 'user'", tbl="conversations", target=120, early=72))
+def unit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN11: turns packed to 120 tokens; a user turn starts a section."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.greatest(T.token_count("text"), F.lit(1)).alias("size"), (F.col("role") == "user").alias("start"))
+    return segment.greedy_groups(turns, "conv_id", "turn", "size", 120, "start")
+
+
+@query(GROUP_SQL.format(key="conv_id", pos="turn", out="turn", size="greatest(coalesce(length(text), 0), 1)", flag="false", tbl="conversations", target=800, early=0))
+def evidence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN12: consecutive texts packed to 800 characters."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).alias("size"))
+    return segment.greedy_groups(turns, "conv_id", "turn", "size", 800)
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, source || '/' || lang AS material_id, unnest({lines_sql('text')}) AS line, generate_subscripts({lines_sql('text')}, 1) AS n FROM documents)
+SELECT material_id, doc_id, n AS line_no, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index,
+ CASE WHEN material_id LIKE '%/en' THEN 'document.window' WHEN material_id LIKE '%/de' THEN 'table' ELSE 'passthrough' END AS strategy FROM l
+""")
+def chunk_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN10: strategy by type, running number per document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("material_id"), "lang", "text")
+    kind = F.when(F.col("lang") == "en", "document").when(F.col("lang") == "de", "dataset").otherwise("unknown")
+    split = d.select("material_id", "doc_id", segment.strategy(kind, F.lit("text"), F.lit(False)).alias("strategy"), F.posexplode(T.lines("text")).alias("p", "line"))
+    return segment.number_chunks(split.withColumn("line_no", F.col("p") + 1), "doc_id", ["line_no"]).select("material_id", "doc_id", "line_no", "chunk_index", "strategy")
+
+
+def _as_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files: the first words of every line become a symbol, a decorator or a body line."""
+    ext = F.element_at(F.array(F.lit(".py"), F.lit(".go"), F.lit(".js")), (F.col("doc_id") % 3 + 1).cast("int"))
+    word = lambda line: F.regexp_replace(F.regexp_extract(line, r"[A-Za-z]+", 0), "^$", "x")
+    start = F.when(F.col("doc_id") % 3 == 0, "def ").when(F.col("doc_id") % 3 == 1, "func ").otherwise("function ")
+    code = F.transform(T.lines("text"), lambda line, i: F.when(i % 4 == 2, F.concat(start, word(line), F.lit("():"))).when(i % 4 == 1, F.concat(F.lit("@"), word(line))).otherwise(F.concat(F.lit("  "), line)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), ext).alias("path"), F.array_join(code, "\n").alias("code"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest({lines_sql('text')}) AS line, generate_subscripts({lines_sql('text')}, 1) AS n, len({lines_sql('text')}) AS total FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN n ELSE n - 1 END AS line_start, total,
+         CASE WHEN regexp_extract(line, '[A-Za-z]+') = '' THEN 'x' ELSE regexp_extract(line, '[A-Za-z]+') END AS symbol FROM l WHERE (n - 1) % 4 = 2),
+u AS (
+  SELECT doc_id, symbol, line_start, coalesce(lead(line_start) OVER (PARTITION BY doc_id ORDER BY line_start) - 1, total) AS line_end FROM s)
+SELECT * FROM u
+UNION ALL SELECT doc_id, NULL, 1, min(line_start) - 1 FROM u GROUP BY doc_id
+""")
+def symbol_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN8: symbols with their decorators in documents written as code."""
+    return segment.symbols(_as_code(spark, sf_dir), "doc_id", "path", "code").select("doc_id", "symbol", "line_start", "line_end")
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest({lines_sql('text')}) AS line, generate_subscripts({lines_sql('text')}, 1) AS n FROM documents),
+s AS (SELECT *, CAST(floor((n - 1 + 2) / 5) AS BIGINT) AS section_no FROM l)
+SELECT doc_id, section_no, trim(max(line) FILTER (WHERE (n - 1) % 5 = 3)) AS heading, min(n) AS line_start, max(n) AS line_end FROM s GROUP BY ALL
+UNION ALL SELECT doc_id, 0, NULL, 1, 1 FROM documents WHERE coalesce(text, '') = ''
+""")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN7 for markdown: every fifth line of a document made a heading."""
+    marked = F.array_join(F.transform(T.lines("text"), lambda line, i: F.when(i % 5 == 3, F.concat(F.lit("## "), line)).otherwise(line)), "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", marked.alias("md"))
+    return segment.markdown_sections(docs, "doc_id", "md").select("doc_id", "section_no", "heading", "line_start", "line_end")
+
+
+@query(f"""
+WITH b AS (SELECT conv_id, turn, role = 'user' AS h, text, greatest(len({lines_sql('text')}), 1) AS n FROM conversations),
+s AS (SELECT *, sum(h::INT) OVER w AS section_no, sum(n) OVER w AS last FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, CAST(section_no AS BIGINT) AS section_no, trim(max(text) FILTER (WHERE h)) AS heading, CAST(min(last - n) + 1 AS BIGINT) AS line_start, CAST(max(last) AS BIGINT) AS line_end
+FROM s GROUP BY ALL
+""")
+def block_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN22: turns as blocks, user turns as headings."""
+    turns = table(spark, sf_dir, "conversations").withColumn("h", F.col("role") == "user")
+    return segment.block_sections(turns, "conv_id", "turn", "h", "text").drop("content")
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest({lines_sql('text')}) AS line FROM documents),
+s AS (SELECT unnest([256, 1024]) AS size)
+SELECT size, count(*) FILTER (WHERE len({tokens_sql('line')}) > 16) AS long_lines, count(*) AS lines FROM w, s GROUP BY size
+""")
+def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG19: one pass per parameter value, values as a column."""
+    split = table(spark, sf_dir, "documents").select(F.explode(T.lines("text")).alias("line"))
+    sizes = split.withColumn("size", F.explode(F.array(F.lit(256), F.lit(1024))))
+    return sizes.groupBy("size").agg(F.count_if(T.token_count("line") > 16).alias("long_lines"), F.count(F.lit(1)).alias("lines"))
