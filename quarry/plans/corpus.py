@@ -1 +1,267 @@
-"""Queries."""
+"""Queries over a file listing derived from ``documents`` by arithmetic on doc_id.
+
+Material of a document: ``doc_id div 10``; its file name comes from the row of ``NAMES`` for the material's
+kind (material mod 5) at doc_id mod 10.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators import corpus as C
+from quarry.plans.common import query, quoted
+from quarry.session import table
+
+NAMES = [
+    "pyproject.toml", "src/main.py", "src/api_routes.py", "docs/guide.md", "lib/core/engine.go", "tests/test_main.py", "src/io/reader.py", "README.md", "package-lock.json", "src/handler.py",
+    "data/a.csv", "data/b.csv", "data/2024/c.tsv", "data/2024/d.csv", "data/e.csv", "data/f.csv", "data/g.csv", "data/h.csv", "data/i.csv", "data/j.csv",
+    "one.txt", "two.md", "three.rst", "four.txt", "five.txt", "six.md", "seven.txt", "eight.txt", "nine.txt", "ten.txt",
+    "a.py", "b.js", "c.go", "cmd/d.go", "e.rs", "core/f.py", "g.ts", "h.java", "i.kt", "j.py",
+    "x.whl", "x.tar.gz", "x.docx", ".git/config", "x.jar", "notes", "x.7z", "x.exe", "Cargo.toml", "x.zip",
+]
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """material_id, kind, path (inside the material), full path, pos, text."""
+    m = F.expr("doc_id div 10")
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (m % 5 * 10 + F.col("doc_id") % 10 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents")
+    return d.select(m.alias("material_id"), (m % 5).alias("kind"), name.alias("path"), F.concat(F.lit("drop/m"), m.cast("string"), F.lit("/"), name).alias("full_path"), F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+FILES = f"""f AS (
+  SELECT doc_id // 10 AS material_id, (doc_id // 10) % 5 AS kind, [{quoted(NAMES)}][(doc_id // 10) % 5 * 10 + doc_id % 10 + 1] AS path,
+         'drop/m' || (doc_id // 10) || '/' || [{quoted(NAMES)}][(doc_id // 10) % 5 * 10 + doc_id % 10 + 1] AS full_path, doc_id AS pos, coalesce(text, '') AS text
+  FROM documents)"""
+NAME = "regexp_extract(path, '[^/]+$')"
+SUFFIX = f"regexp_extract(lower({NAME}), '^.+(\\.[^.]+)$', 1)"
+
+
+def case_sql(key: str, table_: dict[str, object]) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + " END"
+
+
+COMPOUND_SQL = " ".join(f"WHEN lower({NAME}) LIKE '%{s}' THEN '{f}'" for s, f in C.COMPOUND.items())
+FORMAT_SQL = f"""t AS (SELECT *, {NAME} AS name, {SUFFIX} AS sfx FROM f),
+fmt AS (
+  SELECT *, coalesce(CASE {COMPOUND_SQL} END, {case_sql('sfx', {s: f for s, (_, f) in C.SUFFIXES.items()})}) AS format,
+         CASE WHEN (CASE {COMPOUND_SQL} END) IS NOT NULL THEN 'expand' ELSE {case_sql('sfx', {s: a for s, (a, _) in C.SUFFIXES.items()})} END AS action FROM t)"""
+HINT_CASE = " ".join(f"WHEN format IN ({quoted(h)}) THEN '{t}'" for t, h in C.HINT_TYPES.items())
+
+
+@query(f"WITH {FILES}, {FORMAT_SQL} SELECT pos, path, coalesce(action, 'file') AS action, coalesce(format, 'file') AS format, CASE {HINT_CASE} END AS type FROM fmt WHERE NOT regexp_matches('/' || path, '/\\.')")
+def format_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1 skip rule, PRJ1, PRJ3, PRJ4."""
+    f = _files(spark, sf_dir).filter(C.visible("path")).withColumn("d", C.decide("path", F.lit(None).cast("string")))
+    return f.select("pos", "path", "d.action", "d.format", C.hint_type("d.format")["type"].alias("type"))
+
+
+HEADS = {"377ABCAF271C0000": "7z", "1F8B0800": "gzip", "504B0304": "zip", "7F454C4602": "elf", "4D5A9000": "pe", "D0CF11E0A1B1": "ole", "CAFEBABE00": "macho", "68656C6C6F": "none"}
+
+
+@query(f"SELECT doc_id, [{quoted(HEADS.values())}][doc_id % 8 + 1] AS sniffed FROM documents")
+def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ2: header bytes in front of every document's bytes."""
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.unhex(head), F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+    return d.select("doc_id", F.coalesce(C.sniff("content"), F.lit("none")).alias("sniffed"))
+
+
+ELIGIBLE = f"""(NOT list_has_any(string_split(path, '/'), [{quoted(C.PROJECT_SKIP)}]) AND {NAME} NOT IN ({quoted(C.LOCKFILES)})
+ AND NOT starts_with({NAME}, 'test_') AND ({NAME} IN ('go.mod', 'Pipfile') OR {SUFFIX} IN ({quoted(C.PROJECT_SUFFIXES)})))"""
+STEM = f"lower(regexp_replace({NAME}, '^(.+)\\.[^.]+$', '\\1'))"
+ROLE = f"""CASE WHEN lower({NAME}) IN ({quoted(C.IDENTITY)}) THEN 'identity' WHEN lower({NAME}) IN ({quoted(C.CONFIG)}) THEN 'config'
+ WHEN lower({NAME}) IN ({quoted(C.ENTRY)}) OR starts_with(path, 'cmd/') THEN 'entry'
+ WHEN {STEM} IN ({quoted(C.API_STEMS)}) OR starts_with({STEM}, 'api_') OR starts_with({STEM}, 'routes') THEN 'api'
+ WHEN contains(text, 'handle_request') OR contains(text, 'HandleRequest') THEN 'api'
+ WHEN {STEM} IN ({quoted(C.CORE_NAMES)}) OR list_has_any(string_split(lower(path), '/')[:-2], [{quoted(C.CORE_NAMES)}]) THEN 'core' ELSE 'subsystem' END"""
+SUB = "CASE WHEN len(string_split(path, '/')) >= 2 AND string_split(path, '/')[1] IN ('src', 'lib', 'pkg') THEN string_split(path, '/')[2] ELSE string_split(path, '/')[1] END"
+
+
+@query(f"WITH {FILES} SELECT pos, path FROM f WHERE {ELIGIBLE}")
+def eligible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ6."""
+    return _files(spark, sf_dir).filter(C.eligible("path")).select("pos", "path")
+
+
+@query(f"WITH {FILES} SELECT pos, path, {ROLE} AS role, {SUB} AS subsystem FROM f")
+def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ7, PRJ8."""
+    return _files(spark, sf_dir).select("pos", "path", C.role("path", "text").alias("role"), C.subsystem("path").alias("subsystem"))
+
+
+DEEP = f"""WITH {FILES},
+e AS (SELECT material_id, path, pos, {ROLE} AS role, {SUB} AS sub FROM f WHERE {ELIGIBLE}),
+r AS (SELECT *, {case_sql('role', C.ROLE_RANK)}::INT AS rk, coalesce({case_sql('role', C.ROLE_BUDGET)}::INT, 0) AS budget,
+        count(*) OVER (PARTITION BY material_id, role) AS n, row_number() OVER (PARTITION BY material_id, role, sub ORDER BY pos) AS rnd,
+        min(pos) OVER (PARTITION BY material_id, role, sub) AS seen FROM e),
+w AS (SELECT material_id, rk, least(any_value(budget), any_value(n)) AS want FROM r GROUP BY ALL),
+k AS (SELECT material_id, rk, greatest(least(want, 5 - coalesce(sum(want) OVER (PARTITION BY material_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS take FROM w),
+p AS (SELECT r.*, take, CASE WHEN take >= n THEN row_number() OVER (PARTITION BY r.material_id, role ORDER BY pos)
+        ELSE row_number() OVER (PARTITION BY r.material_id, role ORDER BY rnd, seen, pos) END AS place FROM r JOIN k USING (material_id, rk)),
+o AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY (place > take)::INT, rk, CASE WHEN place <= take THEN place ELSE pos END, pos) AS pick FROM p)
+SELECT material_id, path, role, pick FROM o WHERE pick <= 5"""
+
+
+@query(DEEP)
+def deep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN5 with a cap of 5."""
+    return C.deep_files(_files(spark, sf_dir), "material_id", "path", "text", "pos", 5)
+
+
+@query(f"""WITH {FILES}, p AS (SELECT *, CASE WHEN NOT contains(path, '/') AND lower(path) IN ({quoted(C.IDENTITY)}) THEN 0 WHEN starts_with(path, 'src/') THEN 1
+ WHEN starts_with(path, 'tests/') THEN 2 WHEN starts_with(path, 'examples/') THEN 3 ELSE 4 END AS priority FROM f)
+SELECT material_id, path, pick FROM (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY priority, pos) AS pick FROM p) WHERE pick <= 4""")
+def member_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN6."""
+    return C.sample_members(_files(spark, sf_dir), "material_id", "path", "pos", 4).select("material_id", "path", "pick")
+
+
+RANKS = {m: i for i, m in enumerate(C.MARKERS)}
+# Kind 4 is split so that each file is a material of its own: id material_id * 100 + place.
+ONE = "CASE WHEN kind = 4 THEN material_id * 100 + pos % 10 ELSE material_id END"
+
+
+@query(f"""WITH {FILES}, g AS (SELECT *, {ONE} AS mid, {SUFFIX} AS sfx, CASE WHEN NOT contains(path, '/') AND path IN ({quoted(C.MARKERS)}) THEN path END AS mk FROM f),
+a AS (SELECT mid, kind, arg_min(mk, {case_sql('mk', RANKS)}::INT) AS marker, bool_and(sfx IN ({quoted(C.CSV)})) AS csv, bool_and(sfx IN ({quoted(C.PDF)})) AS pdf,
+  bool_and(sfx IN ({quoted(C.TEXT)})) AS txt, bool_or(sfx = '.md') AS md, bool_and(sfx IN ({quoted(C.CODE)})) AS code, count(*) AS n, min(path) AS path, arg_min(sfx, path) AS s1 FROM g GROUP BY mid, kind),
+b AS (SELECT *, coalesce(CASE {COMPOUND_SQL} END, {case_sql(SUFFIX, {s: f for s, (_, f) in C.SUFFIXES.items()})}) AS format,
+  (CASE {COMPOUND_SQL} END) IS NOT NULL OR {SUFFIX} IN ({quoted(C.EXPAND)}) AS expands FROM a)
+SELECT mid AS material_id, n,
+ CASE WHEN marker IS NOT NULL THEN 'project' WHEN csv THEN 'dataset' WHEN pdf OR txt THEN 'document' WHEN code THEN 'code' WHEN n = 1 AND NOT expands AND format IS NOT NULL THEN CASE {HINT_CASE} END ELSE 'unknown' END AS type,
+ CASE WHEN marker IS NOT NULL THEN {case_sql('marker', C.MARKERS)} WHEN csv THEN 'csv' WHEN pdf THEN 'pdf' WHEN txt THEN CASE WHEN md THEN 'markdown' ELSE 'text' END WHEN code THEN substr(s1, 2) WHEN n = 1 AND NOT expands AND format IS NOT NULL THEN format END AS subtype,
+ CASE WHEN marker IS NOT NULL THEN 0.98 WHEN csv THEN 0.9 WHEN pdf THEN 0.95 WHEN txt THEN 0.9 WHEN code THEN 0.85 WHEN n = 1 AND NOT expands AND format IS NOT NULL THEN 0.9 ELSE 0.0 END AS confidence FROM b""")
+def material_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG1."""
+    one = F.when(F.col("kind") == 4, F.col("material_id") * 100 + F.col("pos") % 10).otherwise(F.col("material_id"))
+    return C.classify(_files(spark, sf_dir).withColumn("material_id", one), "material_id", "path")
+
+
+DIR_SQL = f"""{FILES}, a AS (
+  SELECT full_path, path, kind, unnest(range(1, len(string_split(full_path, '/')))) AS depth, string_split(full_path, '/') AS parts FROM f),
+d AS (SELECT *, array_to_string(parts[:depth], '/') || '/' AS dir FROM a),
+proj AS (
+  SELECT regexp_replace(full_path, '[^/]+$', '') AS dir, arg_min({case_sql(NAME, C.MARKERS)}, {case_sql(NAME, RANKS)}::INT) AS subtype,
+         string_agg(DISTINCT {NAME}, ',') AS markers FROM f WHERE {NAME} IN ({quoted(C.MARKERS)}) GROUP BY 1),
+tree AS (
+  SELECT dir, count(*) FILTER (WHERE {SUFFIX} IN ({quoted(C.CSV)})) AS csv_files, bool_or({NAME} IN ({quoted(C.MARKERS)})) AS marker,
+         bool_or(len(parts) > depth + 1) AS folders, bool_and({SUFFIX} IN ({quoted(C.CSV)})) AS only_csv, any_value(parts[depth]) AS last
+  FROM d WHERE NOT regexp_matches('/' || full_path, '/\\.') GROUP BY dir),
+data AS (SELECT dir, csv_files, CASE WHEN last IN ('data', 'dataset', 'datasets') THEN 0.9 ELSE 0.85 END AS confidence FROM tree
+  WHERE csv_files > 0 AND NOT marker AND (last IN ('data', 'dataset', 'datasets') OR (NOT folders AND only_csv))),
+bound AS (SELECT dir, coalesce(subtype || '_project', CASE WHEN csv_files IS NOT NULL THEN 'csv_dataset' END) AS hint FROM proj FULL JOIN data USING (dir))"""
+
+
+@query(f"WITH {DIR_SQL} SELECT dir, subtype, markers FROM proj")
+def project_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG2."""
+    return C.project_dirs(_files(spark, sf_dir), "full_path")
+
+
+@query(f"WITH {DIR_SQL} SELECT * FROM data")
+def dataset_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG3."""
+    return C.dataset_dirs(_files(spark, sf_dir), "full_path")
+
+
+@query(f"""WITH {DIR_SQL}, top AS (SELECT full_path, arg_min(bound.dir, depth) AS dir, arg_min(hint, depth) AS hint FROM d JOIN bound USING (dir) GROUP BY full_path)
+SELECT f.pos, f.full_path, coalesce(top.dir, f.full_path) AS root, top.hint FROM f LEFT JOIN top USING (full_path)""")
+def material_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG4, JN7: the topmost boundary above each file."""
+    return C.assign(_files(spark, sf_dir), "full_path").select("pos", "full_path", "root", "hint")
+
+
+@query()
+def custom_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF4: an ordered list of column expressions as boundary rules; the first that decides wins."""
+    rules = [F.when(F.col("full_path").contains("/docs/"), "docs_tree"), C.hint_type(C.suffix_format("full_path")["format"])["type"], F.lit("plain")]
+    return _files(spark, sf_dir).select("pos", F.coalesce(*rules).alias("decision"))
+
+
+@query(f"WITH {FILES} SELECT material_id, sha256(string_agg(path || chr(0) || sha256(text) || chr(10), '' ORDER BY path)) AS digest, count(*) AS files FROM f GROUP BY material_id")
+def tree_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG5, SNK2."""
+    return C.tree_digest(_files(spark, sf_dir).withColumn("sha", F.sha2("text", 256)), "material_id", "path", "sha")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file as an archive member; every seventh name climbs, every eleventh is absolute."""
+    f = _files(spark, sf_dir)
+    name = F.when(F.col("pos") % 7 == 0, F.concat(F.lit("../"), F.col("path"))).when(F.col("pos") % 11 == 0, F.concat(F.lit("/"), F.col("path"))).otherwise(F.col("path"))
+    return f.select(F.col("material_id").alias("archive"), name.alias("name"), (F.length("text") * 1000).cast("long").alias("size"), (F.col("pos") % 300 * 40).cast("long").alias("compressed"), (F.col("pos") % 13 == 0).alias("is_symlink"), (F.col("pos") % 17 == 0).alias("is_encrypted"), "pos")
+
+
+@query(f"""WITH {FILES}, m AS (SELECT material_id AS archive, CASE WHEN pos % 7 = 0 THEN '../' || path WHEN pos % 11 = 0 THEN '/' || path ELSE path END AS name,
+  length(text) * 1000 AS size, pos % 300 * 40 AS compressed, pos FROM f)
+SELECT archive, name, array_to_string(list_filter([CASE WHEN starts_with(name, '/') THEN 'absolute' END, CASE WHEN list_contains(string_split(name, '/'), '..') THEN 'traversal' END,
+  CASE WHEN pos % 17 = 0 THEN 'encrypted' END, CASE WHEN pos % 13 = 0 THEN 'symlink' END, CASE WHEN size > 20000000 THEN 'member_size' END,
+  CASE WHEN compressed > 0 AND size / compressed > 200 THEN 'ratio' END], lambda x: x IS NOT NULL), ',') AS codes,
+  count(*) OVER (PARTITION BY archive) > 9 AS too_many, sum(size) OVER (PARTITION BY archive) > 30000000 AS too_large FROM m""")
+def member_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ5, FN14 on member listings."""
+    found = C.audit_members(_members(spark, sf_dir), max_member=20_000_000, max_ratio=200.0, max_files=9, max_total=30_000_000)
+    return found.select("archive", "name", F.array_join("codes", ",").alias("codes"), "too_many", "too_large")
+
+
+@query(f"""WITH {FILES}
+SELECT material_id AS archive,
+ coalesce(string_agg(DISTINCT CASE WHEN path LIKE '%.py' AND contains(path, '/') THEN string_split(path, '/')[1] WHEN path LIKE '%.py' THEN regexp_replace(path, '\\.py$', '') END, ',' ORDER BY CASE WHEN path LIKE '%.py' AND contains(path, '/') THEN string_split(path, '/')[1] WHEN path LIKE '%.py' THEN regexp_replace(path, '\\.py$', '') END), '') AS modules,
+ '' AS packages, count(*) FILTER (WHERE path LIKE '%.py') AS py, count(*) FILTER (WHERE path LIKE '%.class') AS classes FROM f GROUP BY 1""")
+def package_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG24."""
+    return C.package_contents(_files(spark, sf_dir).select(F.col("material_id").alias("archive"), F.col("path").alias("name")))
+
+
+@query(f"""WITH {FILES}, n AS (SELECT * FROM f WHERE pos % 3 <> 0 OR text = '')
+SELECT material_id, path, n FROM (SELECT material_id, path, row_number() OVER (PARTITION BY material_id ORDER BY path) AS n FROM n) WHERE n <= 30""")
+def skipped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN6: files without a unit; units come from every third non-empty file."""
+    f = _files(spark, sf_dir)
+    return C.skipped_files(f, f.filter("pos % 3 = 0 and text <> ''"), "material_id", "path").select("material_id", "path", "n")
+
+
+@query(f"WITH {FILES} SELECT pos, kind, CASE WHEN pos % 4 = 0 THEN 'M' ELSE 'C' END || row_number() OVER (PARTITION BY kind, pos % 4 = 0 ORDER BY pos) AS label FROM f")
+def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN21."""
+    return C.label_nodes(_files(spark, sf_dir).withColumn("m", F.col("pos") % 4 == 0), "kind", "m", "pos").select("pos", "kind", "label")
+
+
+@query(f"""WITH {FILES} SELECT pos, 'm' || material_id AS name, full_path AS logical_path, len(string_split(full_path, '/')) - 1 AS depth,
+ array_to_string(list_filter(string_split(full_path, '/')[:-2], lambda x: starts_with(x, 'm')), ' > ') AS origin FROM f""")
+def logical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ14, PRJ15: name, depth and chain of containers of each file."""
+    own = C.parts("full_path")
+    folders = F.slice(own, F.lit(1), F.size(own) - 1)
+    return _files(spark, sf_dir).select("pos", folders[1].alias("name"), F.col("full_path").alias("logical_path"), (F.size(own) - 1).alias("depth"), F.array_join(F.filter(folders, lambda x: x.startswith("m")), " > ").alias("origin"))
+
+
+@query("SELECT source, count(*) AS files, count(DISTINCT lang) AS langs, CASE WHEN source LIKE '%0' THEN count(DISTINCT lang) || ' pages PDF' WHEN source LIKE '%1' THEN 'python project, ' || count(*) || ' citable files' WHEN source LIKE '%2' THEN 'CSV dataset, ' || count(*) || ' files' ELSE count(*) || ' content units' END AS description FROM documents GROUP BY source")
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG23: description by type."""
+    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("lang").alias("langs"))
+    n, s = F.col("files").cast("string"), F.col("source")
+    text = F.when(s.endswith("0"), F.concat(F.col("langs").cast("string"), F.lit(" pages PDF"))).when(s.endswith("1"), F.concat(F.lit("python project, "), n, F.lit(" citable files")))
+    return g.withColumn("description", text.when(s.endswith("2"), F.concat(F.lit("CSV dataset, "), n, F.lit(" files"))).otherwise(F.concat(n, F.lit(" content units"))))
+
+
+@query(f"WITH {FILES} SELECT material_id, path, row_number() OVER (PARTITION BY material_id ORDER BY lower(path), path) AS place FROM f")
+def ordered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP3: case-insensitive order of names inside each folder."""
+    from pyspark.sql import Window
+
+    return _files(spark, sf_dir).select("material_id", "path", F.row_number().over(Window.partitionBy("material_id").orderBy(F.lower("path"), "path")).alias("place"))
+
+
+@query(f"""WITH {FILES}, x AS (SELECT *, CASE WHEN kind = 0 THEN 'project' WHEN kind = 1 THEN 'table' WHEN kind = 2 THEN 'text' WHEN kind = 3 THEN 'code' ELSE 'stub' END AS shape FROM f)
+SELECT shape, count(*) AS units, sum(CASE shape WHEN 'stub' THEN 0 ELSE length(text) END)::BIGINT AS chars FROM x GROUP BY shape""")
+def extraction_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ16: one CASE decides the shape, branches are united."""
+    kind = F.col("kind")
+    shape = F.when(kind == 0, "project").when(kind == 1, "table").when(kind == 2, "text").when(kind == 3, "code").otherwise("stub")
+    f = _files(spark, sf_dir).withColumn("shape", shape)
+    read = f.filter("shape <> 'stub'").select("shape", F.length("text").alias("chars"))
+    stub = f.filter("shape = 'stub'").select("shape", F.lit(0).alias("chars"))
+    return read.unionByName(stub).groupBy("shape").agg(F.count(F.lit(1)).alias("units"), F.sum("chars").alias("chars"))
+
+
