@@ -55,7 +55,8 @@ MAGIC = {
 
 
 def mapped(key: Column, table: dict[str, object], default: Column | None = None) -> Column:
-    out = F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in table.items()])
+    """The value of a literal map; null or ``default`` for other keys."""
+    out = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
     return out if default is None else F.coalesce(out, default)
 
 
@@ -74,9 +75,10 @@ def visible(path: str | Column) -> Column:
 
 def suffix_format(path: str | Column) -> Column:
     """struct(action, format) by compound suffix, then by last suffix; null for none."""
-    name, last = F.lower(T.file_name(path)), T.suffix(path)
+    compound = F.regexp_extract(F.lower(T.file_name(path)), r"(\.tar\.(?:gz|bz2|xz))$", 1)
     pair = lambda action, fmt: F.struct(F.lit(action).alias("action"), F.lit(fmt).alias("format"))
-    return F.coalesce(*[F.when(name.endswith(s), pair("expand", f)) for s, f in COMPOUND.items()], *[F.when(last == s, pair(a, f)) for s, (a, f) in SUFFIXES.items()])
+    known = F.create_map(*[x for s, v in SUFFIXES.items() for x in (F.lit(s), pair(*v))], *[x for s, f in COMPOUND.items() for x in (F.lit(s), pair("expand", f))])
+    return F.try_element_at(known, F.when(compound != "", compound).otherwise(T.suffix(path)))
 
 
 def sniff(content: str | Column) -> Column:
