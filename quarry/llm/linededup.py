@@ -2,7 +2,8 @@
 
 State (Parquet under one folder of the shared store, a new version per change):
 
-* ``refs(shard, k1, k2, doc_id)``: which document holds which line key, each pair once;
+* ``refs(shard, k1, k2, doc_id, part, at)``: which document holds which line key on which lines
+  (``part`` tells rows of one doc_id apart by their text);
 * ``counts(shard, k1, k2, n_docs, owner)``: exact number of documents and smallest doc_id per key;
 * ``filters(shard, size, fill, slots)``: per shard a cuckoo filter of its live keys.
 
@@ -22,7 +23,6 @@ results; extra columns are ignored.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ MIN_CHARS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 FILTERS = "shard int, size long, fill binary, slots binary"
-REFS = "shard int, k1 long, k2 long, doc_id long"
+REFS = "shard int, k1 long, k2 long, doc_id long, part long, at array<int>"
 COUNTS = "shard int, k1 long, k2 long, n_docs long, owner long"
 
 
@@ -112,10 +112,11 @@ def line_key(line: Column) -> Column:
 
 
 def line_refs(docs: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id): the countable line keys of each document, each once per task."""
-    lines = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), line_key))).alias("key"))
+    """(k1, k2, doc_id, part, at): the countable line keys of each document and the lines they are on."""
+    lines = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), F.posexplode(F.transform(F.split("text", "\n", -1), line_key)).alias("pos", "key"))
     long_enough = lines.filter(F.length("key") >= MIN_CHARS)
-    return long_enough.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("line"), F.col("key")).alias("k2"), "doc_id")
+    keyed = long_enough.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("line"), F.col("key")).alias("k2"), "doc_id", "part", "pos")
+    return keyed.groupBy("k1", "k2", "doc_id", "part").agg(F.collect_set("pos").alias("at"))
 
 
 class LineIndex:
@@ -203,11 +204,14 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents. A document that is stored already adds only keys that it did not have."""
-        refs = self._sharded(line_refs(docs).distinct())
+        refs = self._sharded(line_refs(docs))
         if self.version:
-            refs = refs.join(self.refs(), ["shard", "k1", "k2", "doc_id"], "left_anti")
-        refs = cut(refs.select("shard", "k1", "k2", "doc_id"), "new-refs")
-        gained = cut(refs.groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "gained")
+            refs = refs.join(self.refs().select("shard", "k1", "k2", "doc_id", "part"), ["shard", "k1", "k2", "doc_id", "part"], "left_anti")
+        refs = cut(refs.select("shard", "k1", "k2", "doc_id", "part", "at"), "new-refs")
+        holders = refs
+        if self.version:  # a further row of a stored document is no further document
+            holders = refs.join(self.refs().select("k1", "k2", "doc_id"), ["k1", "k2", "doc_id"], "left_anti")
+        gained = cut(holders.groupBy("shard", "k1", "k2").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("least")), "gained")
         probed = gained.join(self.probe(gained), ["shard", "k1", "k2"]) if self.version else gained.withColumn("maybe", F.lit(False))
         new = probed.filter("not maybe").select("shard", "k1", "k2", F.col("n").alias("n_docs"), F.col("least").alias("owner"), F.lit(True).alias("is_new"))
         old = self.counts()
@@ -221,10 +225,10 @@ class LineIndex:
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take back every reference of the documents in ``doc_ids(doc_id)``."""
-        gone = cut(self.refs().join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi").select("shard", "k1", "k2", "doc_id"), "gone")
+        gone = cut(self.refs().join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi").select("shard", "k1", "k2", "doc_id").distinct(), "gone")
         refs = cut(self.refs().join(gone, ["shard", "k1", "k2", "doc_id"], "left_anti"), "refs-left")
         keys = gone.select("shard", "k1", "k2").distinct()
-        still = refs.join(keys, ["shard", "k1", "k2"], "left_semi").groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("owner"))
+        still = refs.join(keys, ["shard", "k1", "k2"], "left_semi").groupBy("shard", "k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("owner"))
         counts = self.counts().join(keys, ["shard", "k1", "k2"], "left_anti").unionByName(still)
         after = self._write(refs, counts, None, self.version + 1)
         dead = keys.join(after.counts(), ["shard", "k1", "k2"], "left_anti").withColumn("gain", F.lit(-1))
@@ -237,36 +241,18 @@ class LineIndex:
     def clean(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the new text and n_lines, n_dropped.
 
-        A key held by two or more indexed documents loses its lines everywhere but in its owner.
-        The keys a document loses travel to it as hashes; its lines are matched inside one task.
+        A key held by two or more indexed documents loses its lines everywhere but in its owner. Only
+        line numbers travel to the documents; ``array_except`` drops them in one pass over the lines.
         """
         repeated = self.counts().filter("n_docs > 1")
         lost = self.refs().join(repeated, ["shard", "k1", "k2"]).filter("owner <> doc_id")
-        lost = lost.groupBy("doc_id").agg(F.collect_list("k1").alias("_k1"), F.collect_list("k2").alias("_k2")).withColumnRenamed("doc_id", "_id")
-        lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-        joined = docs.join(lost, docs["doc_id"] == lost["_id"], "left").drop("_id")
-        plain = joined.filter("_k1 is null").drop("_k1", "_k2").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
-        keys = F.transform(lines, line_key)
-        # Short lines get the key (0, 0), which no counted line has in both halves.
-        hit = joined.filter("_k1 is not null").withColumn("_keys", F.transform(keys, lambda k: F.when(F.length(k) >= MIN_CHARS, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit("line"), k).alias("b"))).otherwise(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))))
-        hit = hit.withColumn("_a", F.transform("_keys", lambda k: k["a"])).withColumn("_b", F.transform("_keys", lambda k: k["b"])).drop("_keys")
-        slim = hit.select(*[c for c in plain.columns if c not in ("n_lines", "n_dropped")], "_k1", "_k2", "_a", "_b")
-        return plain.unionByName(slim.mapInPandas(_strike(plain.columns), plain.schema))
-
-
-def _strike(columns: list[str]):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts, n, dropped = [], [], []
-            for text, k1, k2, a, c in zip(b["text"], b["_k1"], b["_k2"], b["_a"], b["_b"], strict=True):
-                lost, lines = set(zip(k1, k2, strict=True)), text.split("\n")
-                kept = [line for line, key in zip(lines, zip(a, c, strict=True), strict=True) if key not in lost]
-                texts.append("\n".join(kept))
-                n.append(len(lines))
-                dropped.append(len(lines) - len(kept))
-            yield b.assign(text=texts, n_lines=n, n_dropped=dropped)[columns]
-
-    return run
+        lost = lost.groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_part")).agg(F.flatten(F.collect_list("at")).alias("_lost"))
+        joined = docs.join(lost, (docs["doc_id"] == lost["_id"]) & (F.xxhash64(docs["text"]) == lost["_part"]), "left").drop("_id", "_part")
+        joined = joined.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_lines", F.split("text", "\n", -1))
+        kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_lost")
+        text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+        counted = joined.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long"))
+        return counted.withColumn("text", text).drop("_lines", "_lost")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
