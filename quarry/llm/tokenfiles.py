@@ -16,6 +16,7 @@ tail and then only the frames that hold the documents asked for, checking their
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -37,7 +38,9 @@ ENTRY, FOOTER = "<III", "<IBI"
 ENTRY_SIZE, FOOTER_SIZE = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
 
 DOC = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4"), ("null_id", "u1")])
-CACHE_WORDS, TEXTS = 250_000, 32
+CACHE_WORDS, TEXTS = 450_000, 32
+#: Lower-case Latin letters: letters to the tokenizer, each already in composed form.
+LETTERS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+"
 
 
 def default_tokenizer() -> str:
@@ -51,14 +54,24 @@ class Encoder:
 
     The tokenizer's rules never join characters across ASCII white space, so the ids of a text are
     the ids of its white-space separated words in order; each new word is encoded by the library and
-    its ids are kept as little-endian bytes. At ``CACHE_WORDS`` words the cache becomes the older
+    its ids are kept as little-endian bytes. A word of plain letters is its own single pre-token, and so
+    is a full stop or comma behind it: such words go to the library's model directly, without its regular
+    expressions; all others take its whole pipeline. ASCII capitals are lowered first, as the tokenizer does. At ``CACHE_WORDS`` words the cache becomes the older
     generation, from which words in use are taken over; the generation before it goes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        from tokenizers import normalizers, pre_tokenizers
+
+        # The shortcut needs a tokenizer that lowers its input and maps bytes to characters.
+        self.plain = isinstance(self.whole.normalizer, normalizers.Sequence) and "Lowercase" in str(self.whole.normalizer)
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.whole.model
+        self.tails = {x: self.of_model(x) for x in ".,"}
+        self.letters = re.compile(LETTERS)
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -71,23 +84,45 @@ class Encoder:
         return kept[path]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        split = [(t.encode("utf-8", "surrogatepass").lower() if self.plain else t.encode("utf-8", "surrogatepass")).split() if t else [] for t in texts]
         missing = set().union(*split).difference(self.cache)
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache, missing = self.cache, {}, set().union(*split)
         new = []
         for w in missing:
             ids = self.older.get(w)
+            if ids is None:
+                ids = self.plain_ids(w)
             if ids is None:
                 new.append(w)
             else:
                 self.cache[w] = ids
-        for w, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+        for w, e in zip(new, self.whole.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
         get = self.cache.__getitem__
         return [b"".join(map(get, found)) for found in split]
 
 
+    def plain_ids(self, word: bytes) -> bytes | None:
+        """Ids of a word of letters with at most one full stop or comma behind it; None for any other."""
+        if not self.plain:
+            return None
+        text = word.decode("utf-8", "surrogatepass").lower()
+        stem, tail = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+        if not self.letters.fullmatch(stem):
+            return None
+        own = self.cache.get(word[:-1]) if tail else None
+        if own is None:
+            own = self.of_model(stem if stem.isascii() else self.bytes.pre_tokenize_str(stem)[0][0])
+            if tail:
+                self.cache[word[:-1]] = own
+        return own + self.tails[tail] if tail else own
+
+    def of_model(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Writer:
     """Collects documents and writes one file."""
 
