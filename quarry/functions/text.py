@@ -86,7 +86,7 @@ def point_key(material, unit, version: str = "v1") -> Column:
 
 
 def headings(text: str | Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(HEADING), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(HEADING), F.lit(1)), lambda v: F.trim(v))
 
 
 def title(text: str | Column) -> Column:
@@ -110,7 +110,7 @@ def unique(items: str | Column, limit: int) -> Column:
 
     ``array_distinct`` keeps first places; the place of each lower-cased item picks its spelling.
     """
-    own = F.filter(F.transform(col(items), F.trim), lambda x: x != "")
+    own = F.filter(F.transform(col(items), lambda v: F.trim(v)), lambda x: x != "")
     low = F.transform(own, F.lower)
     return F.transform(F.slice(F.array_distinct(low), 1, limit), lambda k: F.element_at(own, F.array_position(low, k).cast("int")))
 
@@ -120,7 +120,7 @@ def requirement_name(spec: str | Column) -> Column:
 
 
 def header_fields(text: str | Column, key: str) -> Column:
-    return F.transform(F.regexp_extract_all(col(text), F.lit(rf"(?m)^{key}:\s*(.+)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(col(text), F.lit(rf"(?m)^{key}:\s*(.+)$"), F.lit(1)), lambda v: F.trim(v))
 
 
 def clamp_relevance(value: str | Column, fallback: float) -> Column:

@@ -52,7 +52,3 @@ def keywords_sql(text: str) -> str:
     return f"list_filter(regexp_extract_all(coalesce({text}, ''), '{T.KEYWORD}'), lambda x: lower(x) NOT IN ({quoted(T.KEYWORD_STOP)}))"
 
 
-def unique_sql(items: str, limit: int) -> str:
-    """First spelling of each item in first-seen order; ``items`` has no blank entries."""
-    low = f"list_transform({items}, lambda x: lower(x))"
-    return f"(list_transform(list_filter(range(1, len({items}) + 1), lambda i: list_position({low}, lower({items}[i])) = i), lambda i: {items}[i]))[:{limit}]"

@@ -1 +1,154 @@
-"""Queries."""
+"""Queries that profile materials. Material: ``source/lang``; unit: document."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import profile as P
+from quarry.plans import corpus as corpus_plans
+from quarry.plans.common import keywords_sql, query, tokens_sql
+from quarry.session import table
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("material_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
+
+
+UNIT = "u AS (SELECT source || '/' || lang AS material_id, doc_id, coalesce(text, '') AS text, lang, source, n_chars FROM documents)"
+KEYWORDS = f"""{UNIT}, kw AS (SELECT material_id, doc_id, {keywords_sql('text')} AS w FROM u),
+k0 AS (SELECT material_id, doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM kw),
+k1 AS (SELECT material_id, doc_id, lower(term) AS low, min((i, term)) AS f FROM k0 GROUP BY ALL),
+t AS (SELECT material_id, doc_id, low, f[2] AS term, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS i FROM k1),
+g AS (SELECT material_id, low, min((doc_id, i, term)) AS f FROM t WHERE i <= 40 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY f) AS place FROM g)"""
+
+
+@query(f"WITH {KEYWORDS} SELECT material_id, string_agg(f[3], '|' ORDER BY place) AS terms FROM r WHERE place <= 80 GROUP BY material_id")
+def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG6, AGG7."""
+    return P.material_keywords(_units(spark, sf_dir), "material_id", "doc_id", "text").select("material_id", F.array_join("terms", "|").alias("terms"))
+
+
+@query(f"WITH {UNIT} SELECT material_id, arg_min(trim(substr(text, 1, 20)), doc_id) FILTER (WHERE trim(substr(text, 1, 20)) <> '' AND doc_id % 3 = 1) AS title, arg_min(lang, doc_id) AS language FROM u GROUP BY material_id")
+def metadata_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG8: first non-blank value per key; two thirds of the units have no title."""
+    u = _units(spark, sf_dir).withColumn("title", F.when(F.col("doc_id") % 3 == 1, F.substring("text", 1, 20))).withColumn("language", F.col("lang"))
+    return P.lift(u, "material_id", "doc_id", ["title", "language"])
+
+
+SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""WITH {UNIT}, n AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY doc_id) AS n FROM u),
+h AS (SELECT material_id, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM n GROUP BY material_id)
+SELECT material_id, substr(array_to_string(({SENT})[:2], ' '), 1, 400) AS summary, first, last, units, tokens FROM h""")
+def extractive_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG9."""
+    return P.leaf_digests(_units(spark, sf_dir), ["material_id"], "doc_id", "text").drop("keywords")
+
+
+@query()
+def digest_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG10: digests of groups of 20 documents, merged eight at a time until one remains."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("material_id").orderBy("doc_id")) - 1
+    grouped = _units(spark, sf_dir).withColumn("group_no", F.floor(n / 20))
+    return P.reduce_digests(P.leaf_digests(grouped, ["material_id", "group_no"], "doc_id", "text"), "material_id", "group_no")
+
+
+@query(f"""WITH {UNIT}, g AS (SELECT material_id, any_value(CASE lang WHEN 'en' THEN 'project' WHEN 'de' THEN 'artifact' ELSE 'document' END) AS kind, sum(len({tokens_sql('text')}))::BIGINT AS tokens, count(*) AS units,
+ count(*) FILTER (WHERE doc_id % 4 = 0) AS deep FROM u GROUP BY material_id)
+SELECT material_id, tokens, units, CASE kind WHEN 'artifact' THEN 'artifact_metadata' WHEN 'project' THEN 'structural_sample' ELSE CASE WHEN tokens <= 20000 THEN 'direct' ELSE 'hierarchical' END END AS mode,
+ round(CASE kind WHEN 'project' THEN least(deep / units, 1.0) ELSE 1.0 END, 9) AS ratio FROM g""")
+def coverage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG11."""
+    kind = F.when(F.col("lang") == "en", "project").when(F.col("lang") == "de", "artifact").otherwise("document")
+    g = _units(spark, sf_dir).groupBy("material_id").agg(F.first(kind).alias("kind"), F.sum(T.token_count("text")).alias("tokens"), F.count(F.lit(1)).alias("units"), F.count_if(F.col("doc_id") % 4 == 0).alias("deep"))
+    c = P.coverage(F.col("kind"), F.col("tokens"), F.col("deep"), F.col("units"), F.col("units"))
+    return g.withColumn("c", c).select("material_id", "tokens", "units", "c.mode", F.round("c.ratio", 9).alias("ratio"))
+
+
+# Code in documents: every second line becomes a definition or an import named after its first word.
+CODE = F.array_join(
+    F.transform(T.lines("text"), lambda x, i: F.concat(F.when(i % 4 == 1, "def ").when(i % 4 == 3, "class ").when(i % 4 == 2, "import ").otherwise("# "), F.regexp_extract(x, "[A-Za-z]+", 0), F.when(i % 4 == 0, " x").otherwise(""))), "\n"
+)
+
+
+@query(f"""WITH {UNIT}, l AS (SELECT material_id, doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\r]')) AS x, generate_subscripts(string_split_regex(text, '\\r\\n|[\\n\\r]'), 1) - 1 AS i FROM u),
+w AS (SELECT material_id, doc_id, i, regexp_extract(x, '[A-Za-z]+') AS name FROM l),
+e AS (SELECT material_id, doc_id, CASE i % 4 WHEN 1 THEN 'function' WHEN 3 THEN 'class' ELSE 'heading' END AS kind, CASE WHEN i % 4 = 0 THEN trim(name || ' x') ELSE name END AS name, i FROM w WHERE i % 4 <> 2 AND (name <> '' OR i % 4 = 0)),
+o AS (SELECT *, (CASE kind WHEN 'heading' THEN 0 WHEN 'function' THEN 1 ELSE 2 END, i) AS pos FROM e),
+f AS (SELECT material_id, kind, lower(name) AS low, min((doc_id, pos, name)) AS f FROM o GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY f) AS place FROM f)
+SELECT material_id, place, kind, f[3] AS name FROM r WHERE place <= 24""")
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG13 over documents written as code."""
+    u = _units(spark, sf_dir).withColumn("code", CODE).withColumn("path", F.lit("a.py"))
+    return P.entities(u, "material_id", "doc_id", "path", "code")
+
+
+@query(f"""WITH {corpus_plans.FILES}
+SELECT material_id, path, {corpus_plans.ROLE} AS role, {corpus_plans.SUB} AS subsystem,
+ coalesce(CASE {corpus_plans.SUFFIX} WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.java' THEN 'java' END, ltrim({corpus_plans.SUFFIX}, '.')) AS language FROM f WHERE {corpus_plans.ELIGIBLE}""")
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG12."""
+    return P.inventory(corpus_plans._files(spark, sf_dir), "material_id", "path", "text").select("material_id", "path", "role", "subsystem", "language")
+
+
+@query(f"""WITH {KEYWORDS}, pool AS (SELECT material_id, place AS pos, f[3] AS term FROM r WHERE place <= 40),
+req AS (SELECT material_id, place AS pos, upper(f[3]) AS term FROM r WHERE place BETWEEN 20 AND 60),
+p AS (SELECT q.material_id, 0 AS part, q.pos, pool.term FROM req q JOIN pool ON q.material_id = pool.material_id AND lower(q.term) = lower(pool.term) UNION ALL SELECT material_id, 1, pos, term FROM pool),
+d AS (SELECT material_id, lower(term) AS low, min((part, pos, term)) AS f FROM p GROUP BY ALL),
+x AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY f) AS n FROM d)
+SELECT material_id, string_agg(f[3], '|' ORDER BY n) AS terms FROM x WHERE n <= 25 GROUP BY material_id""")
+def grounded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN12: requested terms in another case, grounded in the pool."""
+    k = P.material_keywords(_units(spark, sf_dir), "material_id", "doc_id", "text").select("material_id", F.posexplode("terms").alias("p", "term")).withColumn("pos", F.col("p") + 1)
+    asked = k.filter("pos between 20 and 60").withColumn("term", F.upper("term"))
+    return P.grounded(asked, k.filter("pos <= 40"), "material_id", 25).select("material_id", F.array_join("terms", "|").alias("terms"))
+
+
+@query(f"""WITH {KEYWORDS}, w AS (SELECT material_id, list(f[3] ORDER BY place) AS terms FROM r WHERE place <= 80 GROUP BY material_id)
+SELECT material_id, trim(array_to_string(list_concat([material_id], terms[:24], terms[:12]), ' ')) AS card FROM w""")
+def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ12: text of each material's card."""
+    from quarry.operators.index import card_text
+
+    k = P.material_keywords(_units(spark, sf_dir), "material_id", "doc_id", "text")
+    return k.select("material_id", card_text("material_id", "terms", F.slice("terms", 1, 12)).alias("card"))
+
+
+@query(f"""WITH {UNIT}, c AS (SELECT DISTINCT material_id, lang FROM u)
+SELECT material_id, CASE lang WHEN 'en' THEN 0.8 WHEN 'de' THEN 0.7 WHEN 'fr' THEN 0.5 ELSE 0.4 END AS relevance,
+ CASE lang WHEN 'en' THEN 'document for research reading' WHEN 'de' THEN 'software project' WHEN 'fr' THEN 'tabular dataset' END AS purpose,
+ array_to_string(['text', lang], '|') AS technologies FROM c""")
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG14, FN18: constants by type, unique technology names."""
+    from quarry.operators import corpus as C
+
+    c = _units(spark, sf_dir).select("material_id", "lang").distinct()
+    kind = F.when(F.col("lang") == "en", "document").when(F.col("lang") == "de", "project").when(F.col("lang") == "fr", "dataset")
+    names = T.unique(F.array(F.lit("text"), F.lit("Text "), F.col("lang"), F.upper("lang")), 8)
+    return c.select("material_id", T.clamp_relevance(C.mapped(kind, P.RELEVANCE).cast("string"), 0.4).alias("relevance"), C.mapped(kind, P.PURPOSE).alias("purpose"), F.array_join(names, "|").alias("technologies"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '')) AS ws FROM documents)
+SELECT doc_id // 10 AS material_id, count(DISTINCT x) AS names FROM (SELECT doc_id, unnest(list_sort(ws)[:3]) AS x FROM w) GROUP BY ALL""")
+def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG15, FN13: requirement files made of each document's first three words in order."""
+    ws = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != "")))
+    body = F.array_join(F.concat(F.array(F.lit("# pinned"), F.lit("-r other.txt")), F.transform(F.slice(ws, 1, 3), lambda x: F.concat(x, F.lit(" >= 1.0 ; extra")))), "\n")
+    files = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("material_id"), F.lit("requirements.txt").alias("path"), body.alias("body"), "doc_id")
+    return P.dependencies(files, "material_id", "path", "body", "doc_id").select("material_id", F.size("terms").cast("long").alias("names"))
+
+
+@query("""SELECT doc_id, greatest(len(string_split(coalesce(text, ''), chr(10))) - 1 - (CASE WHEN ends_with(coalesce(text, ''), chr(10)) THEN 1 ELSE 0 END), 0) AS rows,
+ array_to_string(list_filter(list_transform(string_split(string_split(coalesce(text, ''), chr(10))[1], ','), lambda x: trim(x)), lambda x: x <> '')[:40], '|') AS columns FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')""")
+def csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG16: every document without exotic line ends read as a CSV file."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("a.csv").alias("path"))
+    d = d.filter(~F.col("text").rlike("[\r\x0b\x0c\x1c-\x1e\x85  ]"))
+    return P.csv_profile(d, "doc_id", "path", "text").select("doc_id", "rows", F.array_join("columns", "|").alias("columns"))
