@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.neardup import Shingler
-from quarry.llm.shared import cut, words
+from quarry.llm.shared import cut, without, words
 
 SCHEMA = "item int, item_id long, size int, partition int, width int, shingles array<bigint>, sketch array<bigint>"
 BROADCAST_LIMIT = 4_000_000
@@ -136,4 +136,4 @@ def _by_join(docs: DataFrame, sketched: DataFrame, n_words: int, percent: int) -
 def drop_contaminated(docs: DataFrame, items: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that hold no item. Rows without a doc_id can't be named and stay."""
     hits = find_items(docs, items, n_words, percent).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    return without(docs, cut(hits, "hits"), "doc_id")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import cut, words
+from quarry.llm.shared import among, cut, without, words
 
 BANDS, ROWS = 32, 4
 BUCKETS = BANDS * ROWS
@@ -113,23 +113,6 @@ def sketches(docs: DataFrame, n_words: int) -> DataFrame:
     return known
 
 
-FILTER_BITS = 1 << 27
-
-
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs(id, text)`` whose id is in ``ids(id)``, without shuffling the other texts.
-
-    A bitmap of hashed ids, at most ``FILTER_BITS`` bits (16 MB) whatever the number of ids, is broadcast
-    and drops most other rows in the scan; an exact join follows, so a full bitmap costs work, not rows.
-    """
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    maps = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    placed = docs.withColumn("h", place).withColumn("bucket", F.bitmap_bucket_number("h")).withColumn("pos", F.bitmap_bit_position("h"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    passed = placed.join(F.broadcast(maps), "bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(pos % 8 as int))")) != 0)
-    return passed.select("id", "text").join(ids, "id", "left_semi")
-
-
 def shingle_sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
     """(id, shingles array<bigint>) for the doc_ids in ``ids(id)``."""
 
@@ -139,7 +122,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "shingles": [shingler(t).view(np.int64) for t in b["text"]]})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return _among(slim, ids).mapInPandas(run, "id long, shingles array<bigint>")
+    return among(slim, ids, "id").mapInPandas(run, "id long, shingles array<bigint>")
 
 
 def estimate(a: str, b: str, na: str, nb: str) -> Column:
@@ -264,4 +247,4 @@ def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat the doc_id and the text of a kept row stay.
     """
     dropped = near_duplicates(docs, n_words, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return without(docs, cut(dropped, "dropped"), "doc_id")

@@ -8,6 +8,7 @@ import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +46,31 @@ def words(text: str | None) -> list[bytes]:
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker, for caches shared by its tasks."""
     return sys.modules.setdefault("_quarry_worker", types.ModuleType("_quarry_worker")).__dict__
+
+
+FILTER_BITS = 1 << 27
+
+
+def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_hit``: false where the key is certainly not in ``ids(key)``.
+
+    A bitmap of hashed ids, at most ``FILTER_BITS`` bits (16 MB) whatever the number of ids, is broadcast.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
+    maps = ids.filter(F.col(key).isNotNull()).select(place.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_pos", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0, F.lit(False)) & F.col(key).isNotNull()
+    return placed.join(F.broadcast(maps), "_bucket", "left").withColumn("_hit", hit).select(*rows.columns, "_hit")
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``ids``, without shuffling the other rows: the bitmap drops most of them in
+    the scan and an exact join follows, so a full bitmap costs work, not rows."""
+    return _marked(rows, ids, key).filter("_hit").drop("_hit").join(ids, key, "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ``ids`` (a null key stays); only rows that the bitmap cannot clear are joined."""
+    marked = _marked(rows, ids, key)
+    return marked.filter("not _hit").drop("_hit").unionByName(marked.filter("_hit").drop("_hit").join(ids, key, "left_anti"))
