@@ -1 +1,140 @@
-"""Queries."""
+"""Queries over ``conversations(conv_id, turn, role, text)``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import chat as C
+from quarry.operators import index
+from quarry.plans.common import bucket_sql, lines_sql, query, tokens_sql
+from quarry.session import table
+
+FLAT = f"array_to_string(list_filter(list_transform({lines_sql('text')}, lambda x: trim(regexp_replace(x, '^#+', ''))), lambda x: x <> ''), ' ')"
+PAIRS = f"""s AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lag(role) OVER w AS pr, lag(text) OVER w AS query FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+fl AS (SELECT *, {FLAT} AS flat FROM s WHERE role = 'assistant' AND pr = 'user'),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no, query,
+  CASE WHEN flat = '' THEN '(no report)' WHEN length(flat) <= 400 THEN flat ELSE rtrim(substr(flat, 1, 399)) || '…' END AS answer FROM fl)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.turn_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query(f"WITH {PAIRS} SELECT * FROM p")
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN16."""
+    return _turns(spark, sf_dir)
+
+
+FOLD = f"""WITH {PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_no DESC) AS b FROM p),
+d AS (SELECT conv_id, string_agg('User asked ' || query || '. Assistant: ' || answer, '; ' ORDER BY turn_no) AS decisions FROM b WHERE b > 1 AND b <= 13 GROUP BY conv_id),
+o AS (SELECT conv_id, trim(arg_min(query, turn_no)) AS goal, trim(arg_max(query, turn_no)) AS focus FROM b WHERE b > 1 GROUP BY conv_id),
+x AS (SELECT conv_id, goal, focus, array_to_string(list_filter([goal, focus, decisions], lambda v: v <> ''), ' ') AS t FROM o JOIN d USING (conv_id)),
+k AS (SELECT conv_id, count(*) FILTER (WHERE b <= 1) AS recent, count(*) AS turns FROM b GROUP BY conv_id),
+f AS (SELECT k.*, goal, focus, CASE WHEN length(t) <= 800 THEN t ELSE rtrim(substr(t, 1, 799)) || '…' END AS summary FROM k LEFT JOIN x USING (conv_id))"""
+
+
+@query(FOLD + " SELECT * FROM f")
+def conversation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN17 with one recent turn (the conversations are short)."""
+    return C.fold(_turns(spark, sf_dir), "conv_id", 1)
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT *, trim(lag(query) OVER (PARTITION BY conv_id ORDER BY turn_no)) AS topic FROM p)
+SELECT conv_id, turn_no, CASE WHEN topic <> '' AND NOT contains(lower(trim(query)), lower(topic)) THEN topic || ': ' || trim(query) ELSE trim(query) END AS standalone FROM t""")
+def standalone_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN18."""
+    return C.standalone(_turns(spark, sf_dir), "conv_id").select("conv_id", "turn_no", "standalone")
+
+
+@query("SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), 'New chat') AS title, count(*) AS messages, max(turn) AS last FROM conversations GROUP BY conv_id")
+def thread_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG21."""
+    return C.thread_list(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("""WITH m AS (SELECT conv_id, max(turn) AS m FROM conversations WHERE turn < 2 GROUP BY conv_id)
+SELECT c.conv_id, c.turn, coalesce(m, -1) + row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS ordinal FROM conversations c LEFT JOIN m USING (conv_id) WHERE c.turn >= 2""")
+def message_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN19: later turns appended to the first two of each thread."""
+    c = table(spark, sf_dir, "conversations")
+    return C.next_ordinals(c.filter("turn < 2").withColumn("ordinal", F.col("turn")), c.filter("turn >= 2"), "conv_id", ["turn"]).select("conv_id", "turn", "ordinal")
+
+
+REFERS = f"(regexp_matches(lower(coalesce(text, '')), '{'|'.join(C.REFERENCE)}') OR regexp_matches(coalesce(text, ''), '{C.PRONOUN}'))"
+
+
+@query(f"SELECT conv_id, turn, {REFERS} AS refers FROM conversations WHERE role = 'user'")
+def back_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ13."""
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", C.refers_back("text").alias("refers"))
+
+
+def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    threads = C.thread_list(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").join(C.fold(turns, "conv_id", 1).select("conv_id", "summary"), "conv_id", "left")
+    return C.memories(threads, turns, "conv_id")
+
+
+MEMORY = (
+    FOLD
+    + """, th AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), 'New chat') AS title FROM conversations GROUP BY conv_id),
+mem AS (SELECT conv_id, 'request' AS key, 'request' AS kind, title AS text FROM th
+  UNION ALL SELECT conv_id, 'summary', 'summary', summary FROM f WHERE trim(coalesce(summary, '')) <> ''
+  UNION ALL SELECT conv_id, 'finding-' || turn_no, 'finding', answer FROM p)"""
+)
+
+
+@query(MEMORY + " SELECT * FROM mem")
+def thread_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5: memory rows keyed by thread and key."""
+    return _memories(spark, sf_dir)
+
+
+@query(
+    MEMORY
+    + f""", q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND {REFERS}),
+qt AS (SELECT conv_id, turn, {bucket_sql('tok', T.SPARSE_DIM)} AS idx, count(*) AS tf FROM (SELECT conv_id, turn, unnest({tokens_sql('text')}) AS tok FROM q) GROUP BY ALL),
+mt AS (SELECT conv_id, key, {bucket_sql('tok', T.SPARSE_DIM)} AS idx, count(*) AS tf FROM (SELECT conv_id, key, unnest({tokens_sql('text')}) AS tok FROM mem) GROUP BY ALL),
+sc AS (SELECT qt.conv_id, turn, key, CAST(sum(qt.tf * mt.tf) AS BIGINT) AS score FROM qt JOIN mt ON qt.conv_id = mt.conv_id AND qt.idx = mt.idx GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, key) AS rank FROM sc)
+SELECT conv_id, turn, key, score, rank FROM r WHERE rank <= 5"""
+)
+def memory_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN14: five memories of the same thread for each user turn that refers back."""
+    mem = _memories(spark, sf_dir).withColumn("mid", F.struct("conv_id", "key"))
+    asked = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").filter(C.refers_back("text")).withColumn("qid", F.struct("conv_id", "turn"))
+    q = index.postings(asked, "qid", "text", T.SPARSE_DIM).select("qid.conv_id", "qid.turn", "idx", F.col("tf").alias("qtf"))
+    m = index.postings(mem, "mid", "text", T.SPARSE_DIM).select("mid.conv_id", "mid.key", "idx", "tf")
+    scores = q.join(m, ["conv_id", "idx"]).groupBy("conv_id", "turn", "key").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
+    order = Window.partitionBy("conv_id", "turn").orderBy(F.desc("score"), "key")
+    return scores.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
+
+
+@query("SELECT conv_id, count(*) AS messages FROM conversations WHERE CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id % 3 END IS NULL GROUP BY conv_id")
+def keyed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ19: threads of the anonymous owner only."""
+    owned = table(spark, sf_dir, "conversations").withColumn("owner", F.when(F.col("conv_id") % 3 != 0, F.col("conv_id") % 3))
+    return C.visible_to(owned, "owner", F.lit(None).cast("long")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(
+    FOLD
+    + """, lt AS (SELECT conv_id, arg_max(text, turn) AS latest FROM conversations WHERE role = 'user' GROUP BY conv_id),
+rt AS (SELECT conv_id, string_agg('Past user: ' || query || chr(10) || 'Past assistant: ' || answer, chr(10) ORDER BY turn_no) AS turns FROM p GROUP BY conv_id)
+SELECT f.conv_id, '<thread>' || CASE WHEN goal <> '' THEN chr(10) || 'Main goal: ' || goal ELSE '' END || CASE WHEN focus <> '' THEN chr(10) || 'Current focus: ' || focus ELSE '' END
+ || chr(10) || 'Recent turns:' || chr(10) || rt.turns || chr(10) || 'Latest user message: ' || latest || chr(10) || '</thread>' AS context
+FROM f JOIN rt USING (conv_id) JOIN lt USING (conv_id)"""
+)
+def thread_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN21: labelled lines of goal, focus, turns and latest message."""
+    turns = _turns(spark, sf_dir)
+    said = F.concat(F.lit("Past user: "), "query", F.lit("\nPast assistant: "), "answer")
+    listed = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_no", said.alias("s")))), lambda x: x["s"]), "\n").alias("turns_text"))
+    latest = table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("latest"))
+    j = C.fold(turns, "conv_id", 1).join(listed, "conv_id").join(latest, "conv_id")
+    line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(label), c))
+    text = F.concat_ws("\n", F.lit("<thread>"), line("Main goal: ", "goal"), line("Current focus: ", "focus"), F.lit("Recent turns:"), "turns_text", F.concat(F.lit("Latest user message: "), "latest"), F.lit("</thread>"))
+    return j.select("conv_id", text.alias("context"))
