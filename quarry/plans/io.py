@@ -1 +1,83 @@
-"""Queries."""
+"""Queries over files that Spark writes from the tables and reads back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.plans.common import query
+from quarry.session import scratch_dir, table
+from quarry.sources import files
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as text files, one folder per source, with a hidden and a cache folder among them."""
+    root = scratch_dir(spark, "tree")
+    folder = F.when(F.col("source") == "src1", ".hidden").when(F.col("source") == "src2", "build").otherwise(F.col("source"))
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value"), folder.alias("folder")).repartition("folder").write.partitionBy("folder").text(root)
+    return root
+
+
+@query("SELECT count(DISTINCT source) AS folders FROM documents WHERE source NOT IN ('src1', 'src2')")
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: hidden and cache folders are skipped (``folder=.hidden`` is renamed by its own value)."""
+    found = files.scan(spark, _tree(spark, sf_dir), content=False)
+    folder = F.regexp_extract("path", "folder=([^/]+)/", 1)
+    return found.select(folder.alias("folder")).filter(~F.col("folder").isin("build", ".hidden")).agg(F.count_distinct("folder").alias("folders"))
+
+
+@query()
+def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2: the first 1000 bytes of every file as valid text."""
+    return files.bounded_text(files.scan(spark, _tree(spark, sf_dir)), 1000).select(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder"), F.octet_length("text").alias("bytes"))
+
+
+@query()
+def drop_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3: compressed files of a drop folder."""
+    root = scratch_dir(spark, "drop")
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("compression", "gzip").text(root)
+    return files.drop_listing(files.scan(spark, root, content=False))
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS query, 'lexical' AS mode, 5 AS k, 'doc' || item_id AS path FROM benchmark")
+def suite_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4: benchmark items as evaluation suites, one suite document per hundred items."""
+    root = scratch_dir(spark, "suites")
+    case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.array(F.struct(F.concat(F.lit("doc"), F.col("item_id").cast("string")).alias("path"))).alias("expect"))
+    b = table(spark, sf_dir, "benchmark").groupBy(F.expr("cast(item_id div 100 as string)").alias("id")).agg(F.collect_list(case).alias("cases"))
+    b.repartition(4, "id").write.partitionBy("id").json(root)
+    one_each = spark.read.schema("cases " + files.SUITE["cases"].dataType.simpleString() + ", id string").json(root)
+    again = scratch_dir(spark, "suite-documents")
+    one_each.write.json(again)
+    lines = spark.read.schema(files.SUITE).json(again)
+    return lines.select(F.explode("cases").alias("c")).select("c.id", "c.query", F.coalesce("c.mode", F.lit("lexical")).alias("mode"), F.coalesce("c.k", F.lit(5)).alias("k"), F.col("c.expect")[0]["path"].alias("path"))
+
+
+@query("SELECT trim(text) AS instruction, conv_id::VARCHAR AS input, turn::VARCHAR AS output FROM conversations WHERE trim(coalesce(text, '')) <> '' ORDER BY conv_id * 1000 + turn LIMIT 200")
+def csv_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5: the first 200 records with an instruction (the limit is the sample's size)."""
+    root = scratch_dir(spark, "sample")
+    records = table(spark, sf_dir, "conversations").select(F.trim("text").alias("instruction"), F.col("conv_id").cast("string").alias("input"), F.col("turn").cast("string").alias("output"), (F.col("conv_id") * 1000 + F.col("turn")).alias("n"))
+    files.sample_csv(records, root, "n")
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(root)
+
+
+@query("SELECT lang AS artifact_type, 'v' || (doc_id % 2) AS processor_version, count(*) AS n, sum(n_chars * CASE WHEN lang = 'de' THEN 2 ELSE 1 END)::BIGINT AS total FROM documents GROUP BY ALL")
+def stage_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1: all partitions written, then those of one type replaced."""
+    root = scratch_dir(spark, "stage")
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("artifact_type"), F.concat(F.lit("v"), (F.col("doc_id") % 2).cast("string")).alias("processor_version"))
+    files.write_stage(d, root)
+    files.write_stage(d.filter("artifact_type = 'de'").withColumn("n_chars", F.col("n_chars") * 2), root)
+    return spark.read.parquet(root).groupBy("artifact_type", "processor_version").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("total"))
+
+
+@query("""WITH f AS (SELECT doc_id // 10 AS material_id, 'p' || doc_id AS path, sha256(coalesce(text, '')) AS sha, coalesce(strlen(text), 0) AS size FROM documents)
+SELECT material_id, count(*) AS files, sum(size)::BIGINT AS bytes, sha256(string_agg(path || chr(0) || sha || chr(10), '' ORDER BY path)) AS digest FROM f GROUP BY material_id""")
+def content_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2."""
+    t = F.coalesce("text", F.lit(""))
+    f = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("material_id"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.sha2(t, 256).alias("sha"), F.octet_length(t).cast("long").alias("size"))
+    m = files.manifest(f, "material_id")
+    return m.select("material_id", F.size("files").cast("long").alias("files"), F.aggregate("files", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("bytes"), "digest")

@@ -1 +1,52 @@
-"""Queries."""
+"""Streaming queries: tables written as files, streamed with ``availableNow`` and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.plans.common import query
+from quarry.session import scratch_dir, table
+from quarry.streaming import ingest
+
+
+def _arrivals(spark: SparkSession, rows: DataFrame) -> tuple[str, DataFrame]:
+    path = scratch_dir(spark, "arrivals")
+    rows.write.parquet(path)
+    return path, rows
+
+
+@query("SELECT DISTINCT url AS path, length(html)::VARCHAR AS fingerprint FROM pages")
+def stream_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1: every (path, fingerprint) once."""
+    path, rows = _arrivals(spark, table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.length("html").cast("string").alias("fingerprint")))
+    out = scratch_dir(spark, "new-items")
+    ingest.drain(ingest.new_items(spark, path, rows.schema, ["path", "fingerprint"]), out, scratch_dir(spark, "checkpoint"))
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query("SELECT DISTINCT user_id || ':' || event_type AS run_key FROM events")
+def stream_run_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR2: repeated requests for a run are ignored."""
+    path, rows = _arrivals(spark, table(spark, sf_dir, "events").select(T.run_key("user_id", "event_type").alias("run_key")))
+    out = scratch_dir(spark, "run-keys")
+    ingest.drain(ingest.new_items(spark, path, rows.schema, ["run_key"]), out, scratch_dir(spark, "checkpoint"))
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query("""WITH d AS (SELECT doc_id, source AS material_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CASE WHEN length(text) < 50 THEN 'failed' ELSE 'ready' END AS status, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'), lambda x: x NOT IN ('the', 'a', 'an', 'of', 'to', 'and', 'or', 'in', 'on', 'for', 'is', 'it', 'as', 'at', 'by', 'be'))) AS tokens FROM d""")
+def stream_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR3: claimed batches are processed and replace their rows; failures are marked per row."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path, rows = _arrivals(spark, rows)
+    out = scratch_dir(spark, "indexed")
+
+    def process(batch: DataFrame) -> DataFrame:
+        return ingest.with_errors(batch, {"too short": F.length("text") < 50}).select("doc_id", "status", T.token_count("text").alias("tokens"))
+
+    ingest.each_batch(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path), process, out, scratch_dir(spark, "checkpoint"))
+    return ingest.newest(spark.read.parquet(out), "doc_id").drop("batch_id")
+
+

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,15 @@ def local_session(cores: int | str = "*", app: str = "quarry", shuffle: int = 8,
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    A local folder is made only where the setting is absent, as in tests.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
