@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 40_000
-BINS = 12
-STEPS = 600
+BINS = 20
+STEPS = 1200
 THRESHOLD = 0.3
 SPECIAL = str.maketrans("", "", "#*$%&|<>")
 DIGITS = str.maketrans("", "", "0123456789")
@@ -94,7 +94,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 2e-4) -> Model:
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Non-negative PU fit of the additive model by Adam steps on all rows."""
     cuts = np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     model = Model(cuts, np.zeros((positive.shape[1], BINS)), 0.0, prior)
