@@ -16,8 +16,7 @@ few dozen numbers a row. Scoring is one pass over all texts without a shuffle.
 
 Nulls: a null or empty text has the statistics of an empty text and gets its score; a null doc_id is
 carried through and is never a training row. Repeated doc_ids are scored row by row; repeated labels of a
-doc_id train as often as they occur. With no positive or no training rows every score is the prior,
-1 if unknown. Empty tables give no rows. Extra columns are ignored.
+doc_id train as often as they occur. With no positive or no training rows every score is 1. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,28 +149,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model |
     return train(x[y == 1], x, float(y.mean()))
 
 
-def score(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with ``keep`` the columns of ``docs`` and score, predicted."""
+def _scores(model: Model) -> Column:
+    """Score of the ``text`` column: Arrow batches of texts alone, other columns stay as they are."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array([statistics(t) for t in b["text"]]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").mask(b["null_id"]).array, "score": model.score(x) if model else np.ones(len(b))})
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))))
 
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.col("text").cast("string").alias("text"))
-    scored = slim.mapInPandas(run, "doc_id long, score double")
+    return F.pandas_udf(run, "double")(F.col("text").cast("string"))
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(1.0) if model is None else _scores(model)).alias("score"))
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that the model predicts to be good, unchanged, in one pass without a shuffle."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if model is None or not len(b):
-                yield b
-            else:
-                yield b[model.score(np.array([statistics(t) for t in b["text"]])) >= THRESHOLD]
-
-    nullable = docs.schema
-    return docs.mapInPandas(run, nullable) if model is not None else docs
+    return docs if model is None else docs.filter(_scores(model) >= THRESHOLD)
