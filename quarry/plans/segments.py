@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import segment
+from quarry.operators import evaluate, index, retrieve, segment
 from quarry.plans.common import lines_sql, query, tokens_sql
 from quarry.session import table
 
@@ -126,13 +126,22 @@ def block_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.block_sections(turns, "conv_id", "turn", "h", "text").drop("content")
 
 
-@query(f"""
-WITH w AS (SELECT doc_id, unnest({lines_sql('text')}) AS line FROM documents),
-s AS (SELECT unnest([256, 1024]) AS size)
-SELECT size, count(*) FILTER (WHERE len({tokens_sql('line')}) > 16) AS long_lines, count(*) AS lines FROM w, s GROUP BY size
-""")
+def _scored(spark: SparkSession, sf_dir: str, size: int, cases: DataFrame, expect: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hits at 1, mean reciprocal rank and units of one chunk size, by mode."""
+    windows = segment.token_windows(table(spark, sf_dir, "documents"), "doc_id", "text", size).select(F.struct("doc_id", "window_no").alias("unit"), "content")
+    points = index.normed(index.postings(windows, "unit", "content", T.DENSE_DIM), "unit")
+    top = retrieve.ranked(retrieve.cosine_scores(points, asked, "item_id", "unit"), "item_id", "unit", 5)
+    hits = top.groupBy(F.col("item_id").alias("case_id"), F.col("unit.doc_id").alias("doc_id")).agg(F.min("rank").alias("rank"))
+    scored = evaluate.by_mode(evaluate.score_cases(cases, expect, hits), ["mode"])
+    return scored.crossJoin(F.broadcast(windows.agg(F.count(F.lit(1)).alias("units")))).withColumn("chunk_tokens", F.lit(size))  # one row
+
+
+@query()
 def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG19: one pass per parameter value, values as a column."""
-    split = table(spark, sf_dir, "documents").select(F.explode(T.lines("text")).alias("line"))
-    sizes = split.withColumn("size", F.explode(F.array(F.lit(256), F.lit(1024))))
-    return sizes.groupBy("size").agg(F.count_if(T.token_count("line") > 16).alias("long_lines"), F.count(F.lit(1)).alias("lines"))
+    """AGG19: for each chunk size, units rebuilt, retrieval scored again, one row per size and mode."""
+    b = table(spark, sf_dir, "benchmark")
+    cases = b.select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("semantic").alias("mode"), "text")
+    expect = evaluate.containing(cases, table(spark, sf_dir, "documents"), "case_id", "doc_id")
+    asked = index.normed(index.postings(b, "item_id", "text", T.DENSE_DIM), "item_id")
+    parts = [_scored(spark, sf_dir, size, cases.select("case_id", "mode"), expect, asked) for size in (256, 1024)]
+    return parts[0].unionByName(parts[1])
