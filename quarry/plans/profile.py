@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -72,9 +72,10 @@ def coverage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Code in documents: every second line becomes a definition or an import named after its first word.
-CODE = F.array_join(
-    F.transform(T.lines("text"), lambda x, i: F.concat(F.when(i % 4 == 1, "def ").when(i % 4 == 3, "class ").when(i % 4 == 2, "import ").otherwise("# "), F.regexp_extract(x, "[A-Za-z]+", 0), F.when(i % 4 == 0, " x").otherwise(""))), "\n"
-)
+def _code() -> Column:
+    return F.array_join(
+        F.transform(T.lines("text"), lambda x, i: F.concat(F.when(i % 4 == 1, "def ").when(i % 4 == 3, "class ").when(i % 4 == 2, "import ").otherwise("# "), F.regexp_extract(x, "[A-Za-z]+", 0), F.when(i % 4 == 0, " x").otherwise(""))), "\n"
+    )
 
 
 @query(f"""WITH {UNIT}, l AS (SELECT material_id, doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\r]')) AS x, generate_subscripts(string_split_regex(text, '\\r\\n|[\\n\\r]'), 1) - 1 AS i FROM u),
@@ -86,7 +87,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY f) AS place
 SELECT material_id, place, kind, f[3] AS name FROM r WHERE place <= 24""")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG13 over documents written as code."""
-    u = _units(spark, sf_dir).withColumn("code", CODE).withColumn("path", F.lit("a.py"))
+    u = _units(spark, sf_dir).withColumn("code", _code()).withColumn("path", F.lit("a.py"))
     return P.entities(u, "material_id", "doc_id", "path", "code")
 
 

@@ -6,15 +6,16 @@ Material of a document: its source and language (``source/lang``).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import index, retrieve
-from quarry.plans.common import bucket_sql, clip_sql, collapse_sql, query, tokens_sql
+from quarry.plans.common import bucket_sql, clip_sql, query, tokens_sql
 from quarry.session import table
 
-MATERIAL = F.concat_ws("/", "source", "lang")
+def _material() -> Column:
+    return F.concat_ws("/", "source", "lang")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +150,7 @@ def _two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materials by their best unit, then units inside each query's five best materials."""
     from quarry.operators.retrieve import ranked, restrict
 
-    docs = _docs(spark, sf_dir).select("doc_id", MATERIAL.alias("material_id"), "source")
+    docs = _docs(spark, sf_dir).select("doc_id", _material().alias("material_id"), "source")
     scored = _dense(spark, sf_dir).join(docs, "doc_id")
     cards = scored.groupBy("item_id", "material_id").agg(F.max("score").alias("score"))
     hop1 = ranked(cards, "item_id", "material_id", 5)
@@ -215,7 +216,7 @@ SELECT root_path, array_to_string(CASE WHEN len(names) > 2 THEN list_append(name
 def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN5: other materials of the same source by type rank and path, the first two and a count."""
     rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(9)
-    m = _docs(spark, sf_dir).select("source", MATERIAL.alias("root_path"), rank.alias("type_rank")).distinct()
+    m = _docs(spark, sf_dir).select("source", _material().alias("root_path"), rank.alias("type_rank")).distinct()
     other = m.select("source", F.struct("type_rank", "root_path").alias("o"))
     own = m.join(other, "source").filter(F.col("root_path") != F.col("o.root_path")).groupBy("root_path").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["root_path"]).alias("names"))
     more = F.concat(F.slice("names", 1, 2), F.array(F.concat(F.lit("+"), (F.size("names") - 2).cast("string"), F.lit(" more"))))
@@ -233,7 +234,7 @@ def material_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Only the first eight of each material leave a task (ranked before they are gathered).
     """
-    d = _docs(spark, sf_dir).select("doc_id", MATERIAL.alias("material_id"), "text", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), (F.col("n_chars") % 7 + 1).alias("last"))
+    d = _docs(spark, sf_dir).select("doc_id", _material().alias("material_id"), "text", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), (F.col("n_chars") % 7 + 1).alias("last"))
     cited = d.select("material_id", "doc_id", T.format_location("path", F.lit(None).cast("int"), F.lit(1), "last").alias("c"))
     first = cited.withColumn("n", F.row_number().over(Window.partitionBy("material_id").orderBy("doc_id"))).filter("n <= 8")
     listed = first.groupBy("material_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]), "|").alias("citations"))
@@ -298,7 +299,3 @@ def eval_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.operators.evaluate import by_mode
 
     return by_mode(_case_scores(spark, sf_dir), ["mode"]).withColumn("mrr", F.round("mrr", 9))
-
-
-def _collapse(text: str) -> str:
-    return collapse_sql(text)
