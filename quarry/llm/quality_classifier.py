@@ -1,26 +1,31 @@
 """Positive-unlabelled quality classifier: non-negative unbiased risk.
 
-Trusted positives are texts labelled 1; the unlabelled set are texts of the same rows with their labels
-hidden, good and bad mixed as they come. The class prior is estimated as the share of 1 among the
-labelled training rows. An additive model (piecewise constant in every text statistic, cut at the
+Trusted positives are texts labelled 1; the unlabelled set is a hash sample of all documents outside the
+held-out fold, good and bad mixed as they come, labelled or not. Labels 0 are never read. The class prior
+is estimated from scores on the unlabelled set: among cross-fitted scores, the least ratio of the shares of
+unlabelled and of positive rows above a cut (every ratio bounds the prior from above; cuts that keep at
+least half of the positives). An additive model (piecewise constant in every text statistic, cut at the
 training quantiles) is trained by full-batch gradient steps on
 
     prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)])
 
 with the logistic loss; when the term for negatives falls below zero its gradient is turned round, as
-in the non-negative estimator. The score is the model's probability of label 1.
+in the non-negative estimator. Its bias is then set so that the mean score of the unlabelled set is the
+prior. The score is the model's probability of label 1.
 
 The model sees the text only: labels, lang, source and doc_id are never inputs of a score. It is fitted
-on at most ``MAX_ROWS`` labelled rows (smallest hash of doc_id first, a documented bound); features are a
-few dozen numbers a row. Scoring is one pass over all texts without a shuffle.
+on at most ``MAX_ROWS`` positive labels (smallest hash of doc_id first) and the documents whose hash of doc_id
+is below that share of its range which makes ``MAX_ROWS`` rows expected (all documents while there are no
+more); features are a few dozen numbers a row. A doc_id that repeats is sampled with all its rows. Scoring is one pass over all texts without a shuffle.
 
 Nulls: a null or empty text has the statistics of an empty text and gets its score; a null doc_id is
 carried through and is never a training row. Repeated doc_ids are scored row by row; repeated labels of a
-doc_id train as often as they occur. With no positive or no training rows every score is 1. Empty tables give no rows. Extra columns are ignored.
+doc_id train as often as they occur. With no positive or no unlabelled rows every score is 1. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 MAX_ROWS = 40_000
 BINS = 20
 STEPS = 1200
+PRIOR_STEPS, PRIOR_GUESSES = 400, (0.7, 0.8, 0.9)
+HASHES = 1 << 40
 THRESHOLD = 0.3
 SPECIAL = str.maketrans("", "", "#*$%&|<>")
 DIGITS = str.maketrans("", "", "0123456789")
@@ -87,10 +94,12 @@ class Model:
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, i], side="right") for i, c in enumerate(self.cuts)], axis=1)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def sums(self, x: np.ndarray) -> np.ndarray:
         at = self.bins(x)
-        g = self.bias + self.weights[np.arange(at.shape[1]), at].sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+        return self.weights[np.arange(at.shape[1]), at].sum(axis=1)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.sums(x), -30, 30)))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> Model:
@@ -121,32 +130,74 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return Model(cuts, theta[:-1].reshape(width, BINS), float(theta[-1]), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of good rows among the unlabelled, from the scores of models that did not train on the scored row.
+
+    No cut can keep a smaller share of the unlabelled rows than the prior times its share of the positive
+    rows, so the ratio that is least with its standard error added, over cuts and rankings, is the estimate.
+    """
+    # A text that is on both sides, or has copies, is in one fold.
+    parts = [np.array([zlib.crc32(row.tobytes()) % 2 for row in x]) for x in (positive, unlabelled)]
+    folds = 2 if all(0 < part.sum() < len(part) for part in parts) else 1
+    parts = [part % folds for part in parts]
+    ratios = []
+    for guess in PRIOR_GUESSES:
+        own, other = np.zeros(len(positive)), np.zeros(len(unlabelled))
+        for k in range(folds):
+            p, u = (part == k for part in parts)
+            model = train(positive[~p if folds > 1 else p], unlabelled[~u if folds > 1 else u], guess, PRIOR_STEPS)
+            own[p], other[u] = model.score(positive[p]), model.score(unlabelled[u])
+        u, p = (1 - np.searchsorted(np.sort(x), np.quantile(own, np.linspace(0, 0.5, 51))) / len(x) for x in (other, own))
+        error = np.sqrt((1 - p) / (p * len(own)) + (1 - u) / (np.maximum(u, 1 / len(other)) * len(other)))
+        ratios += zip(u / p * (1 + error), u / p, strict=True)
+    return float(np.clip(min(ratios)[1], 0.01, 0.99))
+
+
+def fit_rows(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """Prior, model and bias from the statistics of positive and unlabelled rows."""
+    prior = estimate_prior(positive, unlabelled)
+    model = train(positive, unlabelled, prior)
+    sums, low, high = model.sums(unlabelled), -60.0, 60.0
+    for _ in range(60):
+        model.bias = (low + high) / 2
+        if (1 / (1 + np.exp(-np.clip(model.bias + sums, -30, 30)))).mean() > prior:
+            high = model.bias
+        else:
+            low = model.bias
+    return model
+
+
 def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
 def _features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"quality": b["quality"], "x": [statistics(t) for t in b["text"]]})
+        yield pd.DataFrame({"n_positive": b["n_positive"], "unlabelled": b["unlabelled"], "x": [statistics(t) for t in b["text"]]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
-    """Train on labelled rows outside the held-out fold; None where there is nothing to learn from.
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """n_positive (labels 1 of the row), unlabelled (row is in the sample) and text of the rows to train on.
 
-    The labelled doc_ids (ids only) are chosen first; the texts of at most ``max_rows`` rows follow.
+    The positive doc_ids (ids only) are chosen first; one pass over the texts, without a shuffle, follows.
     """
-    own = labels.filter("doc_id is not null and quality is not null").filter(~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).cast("int").alias("quality"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInPandas(_features, "quality int, x array<double>").collect()  # at most max_rows, a few numbers each
-    if not rows:
-        return None
-    x, y = np.array([r.x for r in rows]), np.array([r.quality for r in rows])
-    order = np.lexsort(np.c_[x, y].T)  # the result does not depend on the order of rows
-    x, y = x[order], y[order]
-    if not y.any():
+    own = labels.filter("doc_id is not null and quality = 1").filter(~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_positive"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").filter(~held_out("doc_id"))
+    share = min(1.0, max_rows / max(1, texts.count()))
+    sampled = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(HASHES)) < int(share * HASHES)
+    rows = texts.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce("n_positive", F.lit(0)).alias("n_positive"), sampled.alias("unlabelled"), "text")
+    return rows.filter("n_positive > 0 or unlabelled")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
+    """Train on rows outside the held-out fold; None where there is nothing to learn from."""
+    rows = training_rows(docs, labels, max_rows).mapInPandas(_features, "n_positive long, unlabelled boolean, x array<double>").collect()  # about 2 * max_rows at most, a few numbers each
+    positive, unlabelled = [r.x for r in rows for _ in range(r.n_positive)], [r.x for r in rows if r.unlabelled]
+    if not positive or not unlabelled:
         return None
-    return train(x[y == 1], x, float(y.mean()))
+    # Sorted: the result does not depend on the order of rows.
+    return fit_rows(*(x[np.lexsort(x.T)] for x in (np.array(positive), np.array(unlabelled))))
 
 
 def _scores(model: Model) -> Column:

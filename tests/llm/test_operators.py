@@ -361,6 +361,29 @@ def test_non_negative_risk_without_labels_of_the_unlabelled():
     assert (model.score(good) >= 0.3).mean() > 0.9 and (model.score(bad) < 0.3).mean() > 0.7
 
 
+def test_classifier_uses_unlabelled_documents_and_no_label_0(spark):
+    """Junk that carries no label is learnt as junk, and labels 0 change nothing; the prior is that of all documents."""
+    rng = random.Random(1)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    prose = lambda: " ".join(word(rng.randrange(2, 9)) + rng.choice(["", "", "", ".", ","]) for _ in range(rng.randrange(40, 90)))
+    junk = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(rng.randrange(40, 90)))
+    rows = [(i, junk() if i % 10 < 4 else prose()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    good = [(i, 1, 0) for i, _ in rows if i % 10 >= 4 and i % 3 == 0]
+    noise = [(i, 0, 0) for i, _ in rows if i % 10 >= 4 and i % 3 == 1]  # no junk has a label
+    models = [quality_classifier.fit(df, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (good, good + noise)]
+    assert all(abs(m.prior - 0.6) < 0.1 for m in models)
+    predicted = [{r.doc_id: r.predicted for r in quality_classifier.score(df, m).collect()} for m in models]
+    assert predicted[0] == predicted[1]
+    assert sum(predicted[0][i] == (i % 10 >= 4) for i, _ in rows) / len(rows) > 0.97
+
+
+def test_unlabelled_sample_is_bounded(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    rows = quality_classifier.training_rows(docs, labels, 40).collect()
+    assert sum(r.n_positive for r in rows) <= 40 and 15 <= sum(r.unlabelled for r in rows) <= 70
+
+
 # Packing
 
 
