@@ -160,6 +160,17 @@ def test_html_article_and_furniture():
     assert html_text.page_lines(None) == [] and html_text.page_lines("plain") == [("open", "plain")]
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='layout has-sidebar'>%s</div>", "<div class='no-comments'>%s</div>", "<div class='share-enabled navbar-offset'>%s</div>", "<form action=x><div>%s</div></form>", "<div id=sidebar-layout>%s</div>"],
+)
+def test_html_article_in_a_wrapper(wrapper):
+    article = "<article><p>One</p><div class='post-comments'><article>Remark</article></div><p class=has-ads>Two</p></article>"
+    page = f"<body><nav><article>Menu</article></nav>{wrapper % article}<div class=related><article>Other page</article></div><form>Send</form></body>"
+    assert [t for r, t in html_text.page_lines(page) if r == "body"] == ["One", "Two"]
+    assert not [t for r, t in html_text.page_lines(page) if r == "open"]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(500):
