@@ -39,8 +39,8 @@ ENTRY_SIZE, FOOTER_SIZE = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
 
 DOC = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4"), ("null_id", "u1")])
 CACHE_WORDS, TEXTS = 450_000, 32
-#: Lower-case Latin letters: letters to the tokenizer, each already in composed form.
-LETTERS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+"
+#: Latin letters: letters to the tokenizer, each already in composed form and lowered to one letter.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 
 
 def default_tokenizer() -> str:
@@ -56,7 +56,7 @@ class Encoder:
     the ids of its white-space separated words in order; each new word is encoded by the library and
     its ids are kept as little-endian bytes. A word of plain letters is its own single pre-token, and so
     is a full stop or comma behind it: such words go to the library's model directly, without its regular
-    expressions; all others take its whole pipeline. ASCII capitals are lowered first, as the tokenizer does. At ``CACHE_WORDS`` words the cache becomes the older
+    expressions, lowered as it does; all others take its whole pipeline as they stand. At ``CACHE_WORDS`` words the cache becomes the older
     generation, from which words in use are taken over; the generation before it goes.
     """
 
@@ -84,7 +84,7 @@ class Encoder:
         return kept[path]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t.encode("utf-8", "surrogatepass").lower() if self.plain else t.encode("utf-8", "surrogatepass")).split() if t else [] for t in texts]
+        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         missing = set().union(*split).difference(self.cache)
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache, missing = self.cache, {}, set().union(*split)
@@ -107,15 +107,15 @@ class Encoder:
         """Ids of a word of letters with at most one full stop or comma behind it; None for any other."""
         if not self.plain:
             return None
-        text = word.decode("utf-8", "surrogatepass").lower()
+        text = word.decode("utf-8", "surrogatepass")
         stem, tail = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
         if not self.letters.fullmatch(stem):
             return None
-        own = self.cache.get(word[:-1]) if tail else None
+        stem = stem.lower()
+        key = stem.encode()
+        own = self.cache.get(key)
         if own is None:
-            own = self.of_model(stem if stem.isascii() else self.bytes.pre_tokenize_str(stem)[0][0])
-            if tail:
-                self.cache[word[:-1]] = own
+            own = self.cache[key] = self.of_model(stem if stem.isascii() else self.bytes.pre_tokenize_str(stem)[0][0])
         return own + self.tails[tail] if tail else own
 
     def of_model(self, piece: str) -> bytes:

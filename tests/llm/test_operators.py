@@ -95,6 +95,15 @@ def test_encoder_equals_library_on_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_lowers_no_word_before_the_library():
+    from tokenizers import Tokenizer
+
+    encoder, model = tokenfiles.Encoder(tokenfiles.default_tokenizer()), Tokenizer.from_file(tokenfiles.default_tokenizer())
+    odd = ["J\u030c j\u030c T\u0308. H\u0331, W\u030aY\u030a", "<|ENDOFTEXT|> <|endoftext|> <|EndOfText|>.", "The the THE. \u00c9T\u00c9, \u00e9t\u00e9 \u212a \u212b \u1e9e. E\u0301"]
+    for text, ids in zip(odd, encoder(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
 # Near duplicates
 
 
