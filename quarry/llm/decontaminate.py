@@ -136,4 +136,4 @@ def _by_join(docs: DataFrame, sketched: DataFrame, n_words: int, percent: int) -
 def drop_contaminated(docs: DataFrame, items: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that hold no item. Rows without a doc_id can't be named and stay."""
     hits = find_items(docs, items, n_words, percent).select("doc_id").distinct()
-    return without(docs, cut(hits, "hits"), "doc_id")
+    return without(docs, cut(hits, "hits"), ["doc_id"])

@@ -16,9 +16,13 @@ No step emits all pairs of a group:
    (rarest shingles first, with length and position limits), which loses no pair above the
    limit, and its links are added.
 
+Hot keys: a bucket, a class, a hub of links or a component with more rows than a task should take is dealt
+over several tasks (``spread_join``).
+
 Nulls: a null text is an empty set and links with nothing. A row with a null doc_id links with nothing
 and is kept, its component is null. Repeated rows share a component. Rows that repeat a doc_id with
-another text are each linked by their own text. Empty tables give no rows; extra columns are ignored.
+another text are each linked by their own text: classes and links have keys of their own, and ``keep_one``
+drops rows, not doc_ids. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import among, cut, without, words
+from quarry.llm.shared import among, cut, hot_keys, hot_limit, spread_join, without, words
 
 BANDS, ROWS = 32, 4
 BUCKETS = BANDS * ROWS
@@ -95,34 +99,38 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return ((zeros.astype(np.uint64) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key (tells rows of one doc_id apart by their text), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
+
+
 def sketches(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set), sketch (null for an empty set)."""
+    """doc_id, row_key, n_shingles, set_key (128 bits of the whole set), sketch (null for an empty set)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n_words)
         for b in batches:
             sets = [shingler(t) for t in b["text"]]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets],
+                "doc_id": b["doc_id"], "row_key": b["row_key"], "n_shingles": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "sketch": [registers(s).view(np.int64) if len(s) else None for s in sets],
             })
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = slim.filter("doc_id is not null").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sketch array<bigint>")
-    return known
+    return _keyed(docs).filter("doc_id is not null").mapInPandas(run, "doc_id long, row_key long, n_shingles long, set_key binary, sketch array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
-    """(id, shingles array<bigint>) for the doc_ids in ``ids(id)``."""
+def shingle_sets(docs: DataFrame, owners: DataFrame, n_words: int) -> DataFrame:
+    """(id, shingles array<bigint>) for ``owners(id, doc_id, row_key)``; a row that repeats is read once."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n_words)
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "shingles": [shingler(t).view(np.int64) for t in b["text"]]})
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return among(slim, ids, "id").mapInPandas(run, "id long, shingles array<bigint>")
+    keys = ["doc_id", "row_key"]
+    texts = among(_keyed(docs), owners.select(*keys), keys).groupBy(*keys).agg(F.first("text").alias("text"))
+    return texts.join(owners, keys).select("id", "text").mapInPandas(run, "id long, shingles array<bigint>")
 
 
 def estimate(a: str, b: str, na: str, nb: str) -> Column:
@@ -144,35 +152,44 @@ def components(edges: DataFrame) -> DataFrame:
     Least-neighbour labels with pointer jumping; the rounds end when a full sweep changes nothing.
     """
     both = cut(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select(F.col("b"), F.col("a"))).distinct(), "adjacency")
+    limit = hot_limit(both.count())
+    hubs = cut(hot_keys(both, ["to"], limit), "hubs")
     label = cut(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("comp")), "labels")
     while True:
-        near = both.join(label.select(F.col("id").alias("to"), "comp"), "to").groupBy("id").agg(F.min("comp").alias("near"))
+        near = spread_join(both, label.select(F.col("id").alias("to"), "comp"), ["to"], hubs).groupBy("id").agg(F.min("comp").alias("near"))
         swept = label.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = label.select(F.col("id").alias("comp"), F.col("comp").alias("beyond"))
-        new = cut(swept.join(jump, "comp").select("id", "old", F.least("comp", "beyond").alias("comp")), "labels")
+        new = cut(spread_join(swept, jump, ["comp"], hot_keys(label, ["comp"], limit)).select("id", "old", F.least("comp", "beyond").alias("comp")), "labels")
         if new.filter("old <> comp").isEmpty():
             return new.select("id", "comp")
         label = new.select("id", "comp")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets.
+
+    A vertex with many pairs is a hot key of both joins; its sketch and its set go to several tasks.
+    """
+    pairs = cut(pairs, "pairs")
+    limit = hot_limit(pairs.count())
+    hot = {x: cut(hot_keys(pairs, [x], limit), "hubs") for x in "ab"}
     margin = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     likely = (
-        pairs.join(side("a"), "a").join(side("b"), "b")
+        spread_join(spread_join(pairs, side("a"), ["a"], hot["a"]), side("b"), ["b"], hot["b"])
         .filter("least(na, nb) * 100 >= greatest(na, nb) * " + str(percent))
-        .filter(estimate("sa", "sb", "na", "nb") >= margin).select("a", "b", "na", "nb")
+        .filter(estimate("sa", "sb", "na", "nb") >= margin).select("a", "b")
     )
     likely = cut(likely, "likely")
     needed = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    sets = cut(shingle_sets(docs, needed, n_words), "sets")
-    full = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    sets = cut(shingle_sets(docs, classes.select("id", "doc_id", "row_key").join(needed, "id", "left_semi"), n_words), "sets")
+    own = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+    full = spread_join(spread_join(likely, own("a"), ["a"], hot["a"]), own("b"), ["b"], hot["b"])
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(full.withColumn("common", common).filter(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b").distinct(), "links")
 
 
-def _prefix_pairs(members: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+def _prefix_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Pairs of ``members(id, comp)`` in different components that may reach ``percent``; misses none.
 
     Sets with that similarity share a shingle among the first n - ceil(n * percent) + 1 of each, in any
@@ -180,7 +197,8 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, n_words: int, percent: in
     must suffice for the intersection asked for. On each shingle only members outside its largest
     component are joined with the rest, so a large linked group is not compared with itself.
     """
-    sets = shingle_sets(docs, members.select("id"), n_words).join(members, "id")
+    owners = classes.select("id", "doc_id", "row_key").join(members.select("id"), "id", "left_semi")
+    sets = shingle_sets(docs, owners, n_words).join(members, "id")
     posts = cut(sets.select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("g")), "postings")
     common = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("df > 1")
     known = posts.join(common, "g")
@@ -194,39 +212,53 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, n_words: int, percent: in
     return wide.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept, class_id."""
-    # A null doc_id has no class; its row is counted and kept apart.
-    nameless = docs.filter("doc_id is null").select(F.col("text").cast("string").alias("text"))
+def labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Per row with a doc_id: doc_id, row_key, n_shingles, component_id, class_id (smallest doc_id of the class) and
+    ``stays``: the row's class is the component's first that holds its smallest doc_id, and the row is of that doc_id."""
     sk = cut(sketches(docs, n_words), "sketches")
-    classes = cut(
-        sk.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes",
-    )
+    least = F.min(F.struct("doc_id", "row_key")).alias("o")
+    grouped = sk.filter("n_shingles > 0").groupBy("set_key").agg(least, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+    # Two classes may have one smallest doc_id (a doc_id with two texts), so a class has a number of its own.
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("id"), "set_key", "o.*", "n", "sketch", "rows"), "classes")
+    limit = hot_limit(BANDS * classes.count())
+    copies = F.ceil(F.col("m") / limit).cast("int").alias("_copies")
+
     bands = classes.select("id", F.posexplode("sketch").alias("band", "key"))
-    sizes = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = cut(bands.join(sizes, ["band", "key"]), "buckets")
+    sizes = cut(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "bucket-sizes")
+    hot = sizes.filter(F.col("m") > limit).select("band", "key", copies)
+    shared = cut(spread_join(bands, sizes, ["band", "key"], hot), "buckets")
     score = shared.groupBy("id").agg(F.sum("m").alias("score"))
-    hubs = shared.join(score, "id").groupBy("band", "key").agg((-F.max(F.struct("score", (-F.col("id")).alias("neg")))["neg"]).alias("hub"))
-    star = shared.join(hubs, ["band", "key"]).filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    hubs = shared.join(score, "id").groupBy("band", "key").agg(F.min(F.struct(-F.col("score"), "id"))["id"].alias("hub"))
+    star = spread_join(shared, hubs, ["band", "key"], hot).filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     few = shared.filter(f"m <= {SMALL}").select("band", "key", "id")
-    among = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["band", "key"]).filter("a < b").select("a", "b")
-    links = _verified(star.union(among).distinct(), classes, docs, n_words, percent)
+    close = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["band", "key"]).filter("a < b").select("a", "b")
+    links = _verified(star.union(close).distinct(), classes, docs, n_words, percent)
     label = components(links)
 
     large = shared.filter(f"m > {SMALL}").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = large.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key")
-    members = cut(large.join(mixed, ["band", "key"], "left_semi").select("id", "comp").distinct(), "unsettled")
+    members = cut(spread_join(large, mixed, ["band", "key"], hot).select("id", "comp").distinct(), "unsettled")
     if not members.isEmpty():
-        pairs = _prefix_pairs(members, docs, n_words, percent)
+        pairs = _prefix_pairs(members, classes, docs, n_words, percent)
         more = _verified(pairs, classes, docs, n_words, percent)
         if not more.isEmpty():
             label = components(links.union(more))
 
-    named = classes.select("set_key", "id").join(label, "id", "left").select("set_key", F.col("id").alias("class_id"), F.coalesce("comp", "id").alias("comp"))
-    out = sk.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")
-    )
-    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
+    named = cut(classes.select("id", "set_key", "doc_id", "rows").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
+    first = named.groupBy("comp").agg(F.min(F.struct("doc_id", "id")).alias("first"), F.count(F.lit(1)).alias("m"))
+    named = spread_join(named, first.select("comp", "first"), ["comp"], first.filter(F.col("m") > limit).select("comp", copies))
+    named = named.select("set_key", F.col("doc_id").alias("class_id"), F.col("first.doc_id").alias("component_id"), (F.col("id") == F.col("first.id")).alias("first_class"))
+    common = classes.filter(F.col("rows") > limit).select("set_key", F.ceil(F.col("rows") / limit).cast("int").alias("_copies"))
+    sets = spread_join(sk.filter("n_shingles > 0").select("doc_id", "row_key", "n_shingles", "set_key"), named, ["set_key"], common).drop("set_key")
+    alone = sk.filter("n_shingles = 0").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first_class"))
+    return sets.unionByName(alone).withColumn("stays", (F.col("doc_id") == F.col("component_id")) & F.col("first_class")).drop("first_class")
+
+
+def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept, class_id."""
+    # A null doc_id has no class; its row is counted and kept apart.
+    nameless = docs.filter("doc_id is null").select(F.col("text").cast("string").alias("text"))
+    out = labelled(docs, n_words, percent).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
     return out.unionByName(_nameless(nameless, n_words))
 
 
@@ -242,9 +274,11 @@ def _nameless(rows: DataFrame, n_words: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are not a near copy of a row with a smaller doc_id in their group.
+    """The rows of ``docs`` without the near copies: of each group the text of its smallest doc_id stays.
 
-    Rows that repeat the doc_id and the text of a kept row stay.
+    Rows that repeat the doc_id and the shingles of a kept row stay.
     """
-    dropped = near_duplicates(docs, n_words, percent).filter("not kept").select("doc_id").distinct()
-    return without(docs, cut(dropped, "dropped"), "doc_id")
+    keys = ["doc_id", "row_key"]
+    dropped = labelled(docs, n_words, percent).filter("not stays").select(*keys).distinct()
+    marked = docs.withColumn("row_key", F.xxhash64(F.col("text").cast("string")))
+    return without(marked, cut(dropped, "dropped"), keys).drop("row_key")

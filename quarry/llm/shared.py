@@ -51,26 +51,51 @@ def worker_state() -> dict:
 FILTER_BITS = 1 << 27
 
 
-def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``_hit``: false where the key is certainly not in ``ids(key)``.
+def _marked(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``_hit``: false where the keys (whole numbers) are certainly not in ``ids``.
 
-    A bitmap of hashed ids, at most ``FILTER_BITS`` bits (16 MB) whatever the number of ids, is broadcast.
+    A bitmap of hashed keys, at most ``FILTER_BITS`` bits (16 MB) whatever the number of keys, is broadcast.
     """
-    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
-    maps = ids.filter(F.col(key).isNotNull()).select(place.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    place = F.pmod(F.xxhash64(*[F.col(k).cast("long") for k in keys]), F.lit(FILTER_BITS))
+    maps = ids.dropna(subset=keys).select(place.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
     placed = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_pos", F.bitmap_bit_position(place))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0, F.lit(False)) & F.col(key).isNotNull()
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0, F.lit(False))
+    for k in keys:
+        hit = hit & F.col(k).isNotNull()
     return placed.join(F.broadcast(maps), "_bucket", "left").withColumn("_hit", hit).select(*rows.columns, "_hit")
 
 
-def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ``ids``, without shuffling the other rows: the bitmap drops most of them in
-    the scan and an exact join follows, so a full bitmap costs work, not rows."""
-    return _marked(rows, ids, key).filter("_hit").drop("_hit").join(ids, key, "left_semi")
+def among(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys may be in ``ids``, in the scan and without a shuffle: a full bitmap keeps more rows, it drops none
+    that is in ``ids``. An exact join must follow."""
+    return _marked(rows, ids, keys).filter("_hit").drop("_hit")
 
 
-def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in ``ids`` (a null key stays); only rows that the bitmap cannot clear are joined."""
-    marked = _marked(rows, ids, key)
-    return marked.filter("not _hit").drop("_hit").unionByName(marked.filter("_hit").drop("_hit").join(ids, key, "left_anti"))
+def without(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not in ``ids`` (null keys stay); only rows that the bitmap cannot clear are joined."""
+    marked = _marked(rows, ids, keys)
+    return marked.filter("not _hit").drop("_hit").unionByName(marked.filter("_hit").drop("_hit").join(ids, keys, "left_anti"))
+
+
+LEAST_HOT, MOST_HOT = 500, 50_000
+
+
+def hot_limit(n_rows: int) -> int:
+    """Rows of one key that a task may take: at most ``MOST_HOT`` keys of ``n_rows`` rows can have more."""
+    return max(LEAST_HOT, n_rows // MOST_HOT)
+
+
+def hot_keys(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(keys, _copies) of the keys with more than ``limit`` rows, counted on the map side first."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_copies"))
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has few rows a key: rows of a hot key are dealt by hash over ``_copies``
+    tasks, and its rows of ``one`` go to each of them. ``hot`` has at most ``MOST_HOT`` rows (``hot_limit``)."""
+    hot = F.broadcast(hot)
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), copies).cast("int")).drop("_copies")
+    copied = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
