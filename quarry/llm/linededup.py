@@ -1,19 +1,27 @@
 """Incremental, reversible line dedup: sharded cuckoo filters in front of exact reference counts.
 
-State (Parquet under one folder of the shared store, a new version per change):
-
-* ``refs(shard, k1, k2, doc_id, part, at)``: which document holds which line key on which lines
-  (``part`` tells rows of one doc_id apart by their text);
-* ``counts(shard, k1, k2, n_docs, owner)``: exact number of documents and smallest doc_id per key;
-* ``filters(shard, size, fill, slots)``: per shard a cuckoo filter of its live keys.
-
-An insertion probes the filters first: keys that are certainly new go straight into the counts, only
-the others are joined with the stored counts. A deletion takes the documents' references back; keys
-without references leave counts and filter, which a Bloom filter could not do. A key is 128 bits
-(two seeded 64-bit hashes) of the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; keys of
-fewer than ``MIN_CHARS`` code points are never counted. The shard is a hash of the key and the number of
-shards follows the number of keys, so a frequent line adds nothing to a shard: references are
-combined before they are shuffled.
+State: Parquet folders under one path of the shared store. Every change adds one version to each of them and
+rewrites nothing:
+
+* ``refs``: which document holds which line key on which lines (``part`` tells rows of one doc_id apart by
+  their text);
+* ``gone``: deleted doc_ids; a reference of an earlier version is dead then;
+* ``docs``: inserted doc_ids;
+* ``counts``: exact number of documents and smallest doc_id of the keys that the version touched; the newest
+  row of a key holds, 0 documents mean that the key is dead;
+* ``filters``: cuckoo filters of the shards that the version touched; the newest of a shard holds;
+* ``state``: written last, one row; a version without it does not exist.
+
+An insertion probes the filters: keys that are certainly new become new counts without meeting the exact
+table, only the others are joined with it. A deletion takes the documents' references back; keys without
+references leave counts and filter, which a Bloom filter could not do. A key is 128 bits (two seeded
+64-bit hashes) of the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; keys of fewer than
+``MIN_CHARS`` code points are never counted. A key's shard is its hash modulo the number of shards; this
+doubles when a shard would hold more than ``SHARD_KEYS`` keys, and the filters are built anew from the counts.
+A frequent line adds nothing to a shard: references are combined before they are shuffled.
+
+``dedup_lines`` inserts a table in ``BATCHES`` batches, so that each later batch goes through the filters of
+the earlier ones.
 
 Nulls: a null text is one empty line. A row with a null doc_id is no document: its lines are neither
 counted nor dropped. Rows that repeat a doc_id are parts of one document. Empty tables give empty
@@ -29,14 +37,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import cut, fresh_dir
+from quarry.llm.shared import among, cut, fresh_dir, hot_limit, marked, spread_join
 
 MIN_CHARS = 10
+SHARDS, SHARD_KEYS = 16, 500_000
+BATCHES = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
+KEY = ["k1", "k2"]
 FILTERS = "shard int, size long, fill binary, slots binary"
-REFS = "shard int, k1 long, k2 long, doc_id long, part long, at array<int>"
-COUNTS = "shard int, k1 long, k2 long, n_docs long, owner long"
+SCHEMAS = {
+    "refs": "k1 long, k2 long, doc_id long, part long, at array<int>", "docs": "doc_id long", "gone": "doc_id long",
+    "counts": "k1 long, k2 long, n_docs long, owner long", "filters": FILTERS,
+    "state": "version int, shards int, filters_from int, n_keys long, deletes array<int>",
+}
 
 
 class CuckooFilter:
@@ -120,147 +134,205 @@ def line_refs(docs: DataFrame) -> DataFrame:
 
 
 class LineIndex:
-    """Handle to one version of the state."""
+    """Handle to one version of the state. A change returns the handle of the next version; two changes from one
+    handle clash and the second raises."""
 
-    def __init__(self, spark: SparkSession, path: str, version: int, shards: int):
+    def __init__(self, spark: SparkSession, path: str, version: int = 0, shards: int = SHARDS, filters_from: int = 1, n_keys: int = 0, deletes: tuple[int, ...] = ()):
         self.spark, self.path, self.version, self.shards = spark, path, version, shards
+        self.filters_from, self.n_keys, self.deletes = filters_from, n_keys, tuple(deletes)
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str | None = None, shards: int = 64) -> LineIndex:
-        """An empty index. Plan about 500,000 distinct keys per shard."""
-        index = cls(spark, path or fresh_dir(spark, "lines"), 0, shards)
-        index._write(spark.createDataFrame([], REFS), spark.createDataFrame([], COUNTS), spark.createDataFrame([], FILTERS), 0)
-        return index
+    def create(cls, spark: SparkSession, path: str | None = None, shards: int = SHARDS) -> LineIndex:
+        """An empty index."""
+        return cls(spark, path or fresh_dir(spark, "lines"), shards=shards)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{self.version}/{name}")
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineIndex:
+        """The newest version stored under ``path``."""
+        newest = spark.read.schema(SCHEMAS["state"] + ", v int").parquet(f"{path}/state").orderBy(F.desc("version")).first()
+        return cls(spark, path, newest.version, newest.shards, newest.filters_from, newest.n_keys, newest.deletes)
+
+    def _read(self, name: str, first: int = 1) -> DataFrame:
+        """All rows of a folder up to this version, with their version ``v``."""
+        if not self.version:
+            return self.spark.createDataFrame([], SCHEMAS[name] + ", v int")
+        return self.spark.read.schema(SCHEMAS[name] + ", v int").parquet(f"{self.path}/{name}").filter(F.col("v").between(first, self.version))
+
+    def _write(self, name: str, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/{name}/v={self.version + 1}")
+
+    def _next(self, **changed) -> LineIndex:
+        """The next version, to be stored by :meth:`_commit`."""
+        own = {"shards": self.shards, "filters_from": self.filters_from, "n_keys": self.n_keys, "deletes": self.deletes} | changed
+        return LineIndex(self.spark, self.path, self.version + 1, **own)
+
+    def _commit(self) -> LineIndex:
+        row = [(self.version, self.shards, self.filters_from, self.n_keys, list(self.deletes))]
+        self.spark.createDataFrame(row, SCHEMAS["state"]).coalesce(1).write.parquet(f"{self.path}/state/v={self.version}")
+        return self
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """Rows (doc_id, v, ...) without those whose document was deleted after them."""
+        if not self.deletes:
+            return rows
+        last = self._read("gone").groupBy("doc_id").agg(F.max("v").alias("until"))
+        return rows.join(last, "doc_id", "left").filter("until is null or until < v").drop("until")
 
     def refs(self) -> DataFrame:
-        return self._read("refs", REFS)
+        return self._alive(self._read("refs")).drop("v")
 
     def counts(self) -> DataFrame:
-        return self._read("counts", COUNTS)
+        """k1, k2, n_docs, owner of the live keys."""
+        rows = self._read("counts")
+        if self.version < 2:
+            return rows.drop("v")
+        return rows.groupBy(*KEY).agg(F.max_by(F.struct("n_docs", "owner"), "v").alias("c")).select(*KEY, "c.*").filter("n_docs > 0")
 
     def filters(self) -> DataFrame:
-        return self._read("filters", FILTERS)
+        rows = self._read("filters", self.filters_from)
+        newest = rows.groupBy("shard").agg(F.max("v").alias("v"))
+        return rows.join(F.broadcast(newest), ["shard", "v"]).drop("v")  # one row a shard
 
-    def _write(self, refs: DataFrame, counts: DataFrame, filters: DataFrame | None, version: int) -> LineIndex:
-        for name, df in (("refs", refs), ("counts", counts), ("filters", filters)):
-            if df is not None:
-                df.write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
-        return LineIndex(self.spark, self.path, version, self.shards)
-
-    def _sharded(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("shard", F.pmod("k2", F.lit(self.shards)).cast("int"))
+    def _sharded(self, keys: DataFrame) -> DataFrame:
+        return keys.withColumn("shard", F.pmod("k2", F.lit(self.shards)).cast("int"))
 
     def probe(self, keys: DataFrame) -> DataFrame:
-        """``keys(shard, k1, k2)`` with ``maybe``: false only where the key is certainly not stored."""
+        """``keys(k1, k2)`` with ``maybe``: false only where the key is certainly not stored."""
 
         def look(own: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-            if not len(own):
-                return pd.DataFrame({"shard": [], "k1": [], "k2": [], "maybe": []})
+            k1, k2 = own["k1"].to_numpy(np.int64), own["k2"].to_numpy(np.int64)
             maybe = np.zeros(len(own), bool)
             for row in stored.itertuples():
-                maybe |= CuckooFilter(int(row.size), row.fill, row.slots).contains(own["k1"].to_numpy(), own["k2"].to_numpy())
-            return own.assign(maybe=maybe)
+                maybe |= CuckooFilter(int(row.size), row.fill, row.slots).contains(k1, k2)
+            return pd.DataFrame({"k1": k1, "k2": k2, "maybe": maybe})
 
-        own = keys.select("shard", "k1", "k2")
-        return own.groupBy("shard").cogroup(self.filters().select("shard", F.col("size"), "fill", "slots").groupBy("shard")).applyInPandas(look, "shard int, k1 long, k2 long, maybe boolean")
+        own = self._sharded(keys.select(*KEY))
+        return own.groupBy("shard").cogroup(self.filters().select("shard", F.col("size"), "fill", "slots").groupBy("shard")).applyInPandas(look, "k1 long, k2 long, maybe boolean")
 
-    def _filters_after(self, counts: DataFrame, changes: DataFrame) -> DataFrame:
-        """Filters with ``changes(shard, k1, k2, gain)`` applied: gain 1 inserts, -1 deletes.
+    def _filters_after(self, changes: DataFrame) -> DataFrame:
+        """Filters of the touched shards with ``changes(k1, k2, gain)`` applied: gain 1 inserts, -1 deletes.
 
-        A shard whose filter would be over-full is built anew from its exact counts.
+        A filter that would be over-full comes back with size -1: it is to be built anew from the counts.
         """
 
         def apply(change: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-            shard = int(change["shard"].iloc[0] if len(change) else stored["shard"].iloc[0])
-            now = CuckooFilter(int(stored["size"].iloc[0]), stored["fill"].iloc[0], stored["slots"].iloc[0]) if len(stored) else None
-            keys = lambda gain: (change.loc[change["gain"] == gain, "k1"].to_numpy(np.int64), change.loc[change["gain"] == gain, "k2"].to_numpy(np.int64))
-            new = keys(1)
-            if now is None:
-                now = CuckooFilter.holding(len(new[0]))
-            gone = keys(-1)
+            if not len(change):
+                return pd.DataFrame({"shard": [], "size": [], "fill": [], "slots": []})
+            shard = int(change["shard"].iloc[0])
+            gone, new = ([change.loc[change["gain"] == gain, k].to_numpy(np.int64) for k in KEY] for gain in (-1, 1))
+            if len(stored):
+                now = CuckooFilter(int(stored["size"].iloc[0]), stored["fill"].iloc[0], stored["slots"].iloc[0])
+            else:
+                now = CuckooFilter.holding(2 * len(new[0]))
             now.delete(*gone)
             if sum(now.fill) + len(new[0]) > 0.93 * CuckooFilter.SLOTS * now.size or not now.insert(*new):
                 return pd.DataFrame({"shard": [shard], "size": [-1], "fill": [b""], "slots": [b""]})
             return now.row(shard)
 
-        def rebuild(own: pd.DataFrame) -> pd.DataFrame:
+        return self._sharded(changes).groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(apply, FILTERS)
+
+    def _built(self, keys: DataFrame) -> DataFrame:
+        """Filters of ``keys(k1, k2)``, one a shard."""
+
+        def build(own: pd.DataFrame) -> pd.DataFrame:
             n = len(own)
             while True:
                 made = CuckooFilter.holding(2 * n)
-                if made.insert(own["k1"].to_numpy(), own["k2"].to_numpy()):
+                if made.insert(own["k1"].to_numpy(np.int64), own["k2"].to_numpy(np.int64)):
                     return made.row(int(own["shard"].iloc[0]))
                 n *= 2
 
-        stored = self.filters().select("shard", "size", "fill", "slots")
-        done = cut(changes.groupBy("shard").cogroup(stored.groupBy("shard")).applyInPandas(apply, FILTERS), "filters")
-        full = done.filter("size < 0").select("shard")
-        if full.isEmpty():
-            return done
-        again = counts.join(full, "shard", "left_semi").select("shard", "k1", "k2").groupBy("shard").applyInPandas(rebuild, FILTERS)
-        return done.filter("size > 0").unionByName(again)
+        return self._sharded(keys.select(*KEY)).groupBy("shard").applyInPandas(build, FILTERS)
+
+    def _store_filters(self, after: LineIndex, changes: DataFrame) -> LineIndex:
+        """Write the filters of version ``after``, whose counts are stored, and its state."""
+        if after.shards != self.shards:
+            self._write("filters", after._built(after.counts()))
+            after.filters_from = after.version
+        else:
+            done = cut(self._filters_after(changes), "filters")
+            full = done.filter("size < 0").select("shard")
+            made = done.filter("size > 0")
+            if not full.isEmpty():
+                again = self._sharded(after.counts()).join(F.broadcast(full), "shard", "left_semi")
+                made = made.unionByName(self._built(again))
+            self._write("filters", made)
+        return after._commit()
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Add documents. A document that is stored already adds only keys that it did not have."""
-        refs = self._sharded(line_refs(docs))
+        """Add documents. A document that is stored already adds only what it did not have."""
+        self._write("docs", docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+        ids = self.spark.read.schema(SCHEMAS["docs"]).parquet(f"{self.path}/docs/v={self.version + 1}")
+        refs = line_refs(docs)
+        again = self._alive(self._read("docs")).select("doc_id").join(ids, "doc_id", "left_semi").distinct()
+        known = None
+        if self.version and not again.isEmpty():
+            known = cut(self.refs().join(again, "doc_id", "left_semi"), "known")
+            refs = refs.join(known.select(*KEY, "doc_id", "part"), [*KEY, "doc_id", "part"], "left_anti")
+        self._write("refs", refs.select(*KEY, "doc_id", "part", "at"))
+        holders = self.spark.read.schema(SCHEMAS["refs"]).parquet(f"{self.path}/refs/v={self.version + 1}")
+        if known is not None:  # a further row of a stored document is no further document
+            holders = holders.join(known.select(*KEY, "doc_id"), [*KEY, "doc_id"], "left_anti")
+        gained = cut(holders.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("least")), "gained")
+        probed = gained.join(self.probe(gained), KEY) if self.version else gained.withColumn("maybe", F.lit(False))
+        probed = cut(probed, "probed")
+        new = probed.filter("not maybe").select(*KEY, F.col("n").alias("n_docs"), F.col("least").alias("owner"), F.lit(True).alias("is_new"))
+        met = probed.filter("maybe")
         if self.version:
-            refs = refs.join(self.refs().select("shard", "k1", "k2", "doc_id", "part"), ["shard", "k1", "k2", "doc_id", "part"], "left_anti")
-        refs = cut(refs.select("shard", "k1", "k2", "doc_id", "part", "at"), "new-refs")
-        holders = refs
-        if self.version:  # a further row of a stored document is no further document
-            holders = refs.join(self.refs().select("k1", "k2", "doc_id"), ["k1", "k2", "doc_id"], "left_anti")
-        gained = cut(holders.groupBy("shard", "k1", "k2").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("least")), "gained")
-        probed = gained.join(self.probe(gained), ["shard", "k1", "k2"]) if self.version else gained.withColumn("maybe", F.lit(False))
-        new = probed.filter("not maybe").select("shard", "k1", "k2", F.col("n").alias("n_docs"), F.col("least").alias("owner"), F.lit(True).alias("is_new"))
-        old = self.counts()
-        met = probed.filter("maybe").join(old, ["shard", "k1", "k2"], "left").select("shard", "k1", "k2", (F.coalesce("n_docs", F.lit(0)) + F.col("n")).alias("n_docs"), F.least("owner", "least").alias("owner"), F.col("n_docs").isNull().alias("is_new"))
+            met = met.join(among(self.counts(), met.select(*KEY), KEY), KEY, "left")
+        else:
+            met = met.select("*", F.lit(None).cast("long").alias("n_docs"), F.lit(None).cast("long").alias("owner"))
+        met = met.select(*KEY, (F.coalesce("n_docs", F.lit(0)) + F.col("n")).alias("n_docs"), F.least("owner", "least").alias("owner"), F.col("n_docs").isNull().alias("is_new"))
         touched = cut(new.unionByName(met), "touched")
-        kept = old.join(touched.filter("not is_new").select("shard", "k1", "k2"), ["shard", "k1", "k2"], "left_anti")
-        counts = kept.unionByName(touched.drop("is_new"))
-        after = self._write(self.refs().unionByName(refs), counts, None, self.version + 1)
-        filters = self._filters_after(after.counts(), touched.filter("is_new").select("shard", "k1", "k2", F.lit(1).alias("gain")))
-        return self._write_filters(after, filters)
+        self._write("counts", touched.drop("is_new"))
+        fresh = touched.filter("is_new").select(*KEY, F.lit(1).alias("gain"))
+        n_keys, shards = self.n_keys + fresh.count(), self.shards
+        while n_keys > shards * SHARD_KEYS:
+            shards *= 2
+        return self._store_filters(self._next(n_keys=n_keys, shards=shards), fresh)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take back every reference of the documents in ``doc_ids(doc_id)``."""
-        gone = cut(self.refs().join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi").select("shard", "k1", "k2", "doc_id").distinct(), "gone")
-        refs = cut(self.refs().join(gone, ["shard", "k1", "k2", "doc_id"], "left_anti"), "refs-left")
-        keys = gone.select("shard", "k1", "k2").distinct()
-        still = refs.join(keys, ["shard", "k1", "k2"], "left_semi").groupBy("shard", "k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("owner"))
-        counts = self.counts().join(keys, ["shard", "k1", "k2"], "left_anti").unionByName(still)
-        after = self._write(refs, counts, None, self.version + 1)
-        dead = keys.join(after.counts(), ["shard", "k1", "k2"], "left_anti").withColumn("gain", F.lit(-1))
-        return self._write_filters(after, self._filters_after(after.counts(), dead))
-
-    def _write_filters(self, after: LineIndex, filters: DataFrame) -> LineIndex:
-        filters.write.mode("overwrite").parquet(f"{after.path}/v{after.version}/filters")
-        return after
+        self._write("gone", doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct())
+        gone = self.spark.read.schema(SCHEMAS["gone"]).parquet(f"{self.path}/gone/v={self.version + 1}")
+        refs = self.refs()
+        keys = cut(refs.join(gone, "doc_id", "left_semi").select(*KEY).distinct(), "keys")
+        left = among(refs, keys, KEY).join(gone, "doc_id", "left_anti").join(keys, KEY, "left_semi")
+        still = left.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("owner"))
+        self._write("counts", keys.join(still, KEY, "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0))))
+        now = self.spark.read.schema(SCHEMAS["counts"]).parquet(f"{self.path}/counts/v={self.version + 1}")
+        dead = now.filter("n_docs = 0").select(*KEY, F.lit(-1).alias("gain"))
+        after = self._next(n_keys=self.n_keys - dead.count(), deletes=(*self.deletes, self.version + 1))
+        return self._store_filters(after, dead)
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the new text and n_lines, n_dropped.
 
         A key held by two or more indexed documents loses its lines everywhere but in its owner. Only
-        line numbers travel to the documents; ``array_except`` drops them in one pass over the lines.
+        line numbers travel to the documents; documents that lose nothing are not shuffled.
         """
-        repeated = self.counts().filter("n_docs > 1")
-        lost = self.refs().join(repeated, ["shard", "k1", "k2"]).filter("owner <> doc_id")
-        lost = lost.groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_part")).agg(F.flatten(F.collect_list("at")).alias("_lost"))
-        joined = docs.join(lost, (docs["doc_id"] == lost["_id"]) & (F.xxhash64(docs["text"]) == lost["_part"]), "left").drop("_id", "_part")
-        joined = joined.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_lines", F.split("text", "\n", -1))
-        kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_lost")
-        text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-        counted = joined.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long"))
-        return counted.withColumn("text", text).drop("_lines", "_lost")
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Index all of ``docs`` and return them cleaned, with n_lines and n_dropped."""
-    return LineIndex.create(docs.sparkSession, shards=_shards(docs)).insert(docs).clean(docs)
-
-
-def _shards(docs: DataFrame, lines_per_shard: int = 500_000) -> int:
-    """Shards for so many lines, counted over all documents."""
-    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    return max(16, -(-lines // lines_per_shard))
+        counts = self.counts().filter("n_docs > 1")
+        refs = self.refs()
+        limit = hot_limit(docs.count())
+        hot = counts.filter(F.col("n_docs") > limit).select(*KEY, F.ceil(F.col("n_docs") / limit).cast("int").alias("_copies"))
+        lost = spread_join(among(refs, counts.select(*KEY), KEY), counts.select(*KEY, "owner"), KEY, hot).filter("owner <> doc_id")
+        lost = cut(lost.groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_part")).agg(F.flatten(F.collect_list("at")).alias("_lost")), "lost")
+        rows = marked(docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_part", F.xxhash64("text")), lost.select("_id", "_part"), ["_id", "_part"])
+        text = F.coalesce("text", F.lit(""))
+        n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
+        names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+        whole = rows.filter("not _hit").select(*names, text.alias("text"), n_lines, F.lit(0).cast("long").alias("n_dropped"))
+        lines = F.split(text, "\n", -1)
+        kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_lost", F.array().cast("array<int>")))
+        some = rows.filter("_hit").join(lost, ["_id", "_part"], "left").withColumn("_lines", lines)
+        some = some.select(*names, F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n").alias("text"), n_lines, F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"))
+        return whole.unionByName(some)
+
+
+def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """Index all of ``docs`` in batches by a hash of doc_id and return them cleaned, with n_lines and n_dropped."""
+    index = LineIndex.create(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for k in range(batches):
+        index = index.insert(slim.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    return index.clean(docs)

@@ -51,7 +51,7 @@ def worker_state() -> dict:
 FILTER_BITS = 1 << 27
 
 
-def _marked(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+def marked(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with ``_hit``: false where the keys (whole numbers) are certainly not in ``ids``.
 
     A bitmap of hashed keys, at most ``FILTER_BITS`` bits (16 MB) whatever the number of keys, is broadcast.
@@ -69,13 +69,13 @@ def _marked(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
 def among(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys may be in ``ids``, in the scan and without a shuffle: a full bitmap keeps more rows, it drops none
     that is in ``ids``. An exact join must follow."""
-    return _marked(rows, ids, keys).filter("_hit").drop("_hit")
+    return marked(rows, ids, keys).filter("_hit").drop("_hit")
 
 
 def without(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not in ``ids`` (null keys stay); only rows that the bitmap cannot clear are joined."""
-    marked = _marked(rows, ids, keys)
-    return marked.filter("not _hit").drop("_hit").unionByName(marked.filter("_hit").drop("_hit").join(ids, keys, "left_anti"))
+    known = marked(rows, ids, keys)
+    return known.filter("not _hit").drop("_hit").unionByName(known.filter("_hit").drop("_hit").join(ids, keys, "left_anti"))
 
 
 LEAST_HOT, MOST_HOT = 500, 50_000
