@@ -16,11 +16,14 @@ prior. The score is the model's probability of label 1.
 The model sees the text only: labels, lang, source and doc_id are never inputs of a score. It is fitted
 on at most ``MAX_ROWS`` positive labels (smallest hash of doc_id first) and the documents whose hash of doc_id
 is below that share of its range which makes ``MAX_ROWS`` rows expected (all documents while there are no
-more); features are a few dozen numbers a row. A doc_id that repeats is sampled with all its rows. Scoring is one pass over all texts without a shuffle.
+more); features are a few dozen numbers a row. A doc_id that repeats is sampled with all its rows; beyond three
+times ``MAX_ROWS`` rows, which only repeated doc_ids can bring, the rows of smallest hash stay. Scoring is one pass over
+all texts without a shuffle.
 
 Nulls: a null or empty text has the statistics of an empty text and gets its score; a null doc_id is
 carried through and is never a training row. Repeated doc_ids are scored row by row; repeated labels of a
-doc_id train as often as they occur. With no positive or no unlabelled rows every score is 1. Empty tables give no rows. Extra columns are ignored.
+doc_id train as often as they occur. With no positive or no unlabelled rows there is nothing to learn from: every
+score is 0.5 and no row is rejected. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,11 +43,9 @@ BINS = 20
 STEPS = 1200
 PRIOR_STEPS, PRIOR_GUESSES = 400, (0.7, 0.8, 0.9)
 HASHES = 1 << 40
+UNDECIDED = 0.5
 THRESHOLD = 0.3
-SPECIAL = str.maketrans("", "", "#*$%&|<>")
-DIGITS = str.maketrans("", "", "0123456789")
-MARKS = str.maketrans("", "", ".,;:")
-LOUD = str.maketrans("", "", "!?")
+SPECIAL, DIGITS, MARKS, LOUD = (np.frombuffer(x, np.uint8) for x in (b"#*$%&|<>", b"0123456789", b".,;:", b"!?"))
 
 FEATURES = (
     "log words", "mean word length", "share of symbols", "share of distinct words", "share of repeated lines", "share of upper case",
@@ -54,10 +55,14 @@ FEATURES = (
 
 
 def statistics(text: str | None) -> list[float]:
-    """``FEATURES`` of a text."""
+    """``FEATURES`` of a text.
+
+    ASCII characters are counted as bytes of its UTF-8 form, all in one pass.
+    """
     text = text or ""
     found = text.split()
     n, chars = max(1, len(found)), max(1, len(text))
+    signs = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=128)
     counts = Counter(found)
     lines = [x for x in text.split("\n") if x]
     lengths = list(map(len, found))
@@ -65,17 +70,17 @@ def statistics(text: str | None) -> list[float]:
     return [
         np.log1p(len(found)),
         sum(lengths) / n,
-        (len(text) - len(text.translate(SPECIAL))) / chars,
+        signs[SPECIAL].sum() / chars,
         len(counts) / n,
         1 - len(set(lines)) / max(1, len(lines)),
         upper / n,
-        (len(text) - len(text.translate(DIGITS))) / chars,
-        (len(text) - len(text.translate(MARKS))) / n,
-        (len(text) - len(text.translate(LOUD))) / n,
+        signs[DIGITS].sum() / chars,
+        signs[MARKS].sum() / n,
+        signs[LOUD].sum() / n,
         sum(map(str.__eq__, found, found[1:])) / n,
         max(lengths, default=0),
         np.log1p(n / max(1, len(lines))),
-        np.log1p(n / (1 + text.count("."))),
+        np.log1p(n / (1 + signs[ord(".")])),
         max(counts.values(), default=0) / n,
         lengths.count(1) / n,
         sum(map(str.istitle, found)) / n,
@@ -102,6 +107,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.sums(x), -30, 30)))
 
 
+def risk_terms(theta: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Values of ``prior * E_P[loss(g)]`` and ``E_U[loss(-g)] - prior * E_P[loss(-g)]`` and their gradients.
+
+    Rows are lists of places in ``theta``, whose last entry is the bias.
+    """
+
+    def spread(at: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out = np.bincount(at.ravel(), np.repeat(by, at.shape[1]), minlength=len(theta) - 1)
+        return np.append(out, by.sum())
+
+    gp, gu = (theta[:-1][at].sum(axis=1) + theta[-1] for at in (positive, unlabelled))
+    sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+    # d loss(g) = s - 1, d loss(-g) = s, with s the sigmoid of g.
+    grad_p = spread(positive, prior * (sp - 1) / len(sp))
+    grad_n = spread(unlabelled, su / len(su)) - spread(positive, prior * sp / len(sp))
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean(), grad_p, grad_n
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Non-negative PU fit of the additive model by Adam steps on all rows."""
     cuts = np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
@@ -112,17 +135,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     theta[-1] = np.log(prior / (1 - prior)) if 0 < prior < 1 else 3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
 
-    def spread(at: np.ndarray, by: np.ndarray) -> np.ndarray:
-        out = np.bincount(at.ravel(), np.repeat(by, width), minlength=width * BINS)
-        return np.append(out, by.sum())
-
     for t in range(1, steps + 1):
-        gp, gu = (theta[:-1][at].sum(axis=1) + theta[-1] for at in sides)
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        # d loss(g) = s - 1, d loss(-g) = s, with s the sigmoid of g.
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad_p = spread(sides[0], prior * (sp - 1) / len(sp))
-        grad_n = spread(sides[1], su / len(su)) - spread(sides[0], prior * sp / len(sp))
+        _, negative, grad_p, grad_n = risk_terms(theta, *sides, prior)
         grad = grad_p + grad_n if negative >= 0 else -grad_n
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -173,11 +187,11 @@ def held_out(doc_id: str | Column) -> Column:
 
 def _features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"n_positive": b["n_positive"], "unlabelled": b["unlabelled"], "x": [statistics(t) for t in b["text"]]})
+        yield b.drop(columns="text").assign(x=[statistics(t) for t in b["text"]])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """n_positive (labels 1 of the row), unlabelled (row is in the sample) and text of the rows to train on.
+    """place (a hash), n_positive (labels 1 of the row), unlabelled (row is in the sample) and text of the rows to train on.
 
     The positive doc_ids (ids only) are chosen first; one pass over the texts, without a shuffle, follows.
     """
@@ -186,13 +200,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").filter(~held_out("doc_id"))
     share = min(1.0, max_rows / max(1, texts.count()))
     sampled = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(HASHES)) < int(share * HASHES)
-    rows = texts.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce("n_positive", F.lit(0)).alias("n_positive"), sampled.alias("unlabelled"), "text")
+    place = F.xxhash64("doc_id", "text").alias("place")
+    rows = texts.join(F.broadcast(chosen), "doc_id", "left").select(place, F.coalesce("n_positive", F.lit(0)).alias("n_positive"), sampled.alias("unlabelled"), "text")
     return rows.filter("n_positive > 0 or unlabelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """Train on rows outside the held-out fold; None where there is nothing to learn from."""
-    rows = training_rows(docs, labels, max_rows).mapInPandas(_features, "n_positive long, unlabelled boolean, x array<double>").collect()  # about 2 * max_rows at most, a few numbers each
+    found = training_rows(docs, labels, max_rows).mapInPandas(_features, "place long, n_positive long, unlabelled boolean, x array<double>")
+    rows = found.orderBy("place").limit(3 * max_rows).collect()  # a few numbers each
     positive, unlabelled = [r.x for r in rows for _ in range(r.n_positive)], [r.x for r in rows if r.unlabelled]
     if not positive or not unlabelled:
         return None
@@ -211,7 +227,7 @@ def _scores(model: Model) -> Column:
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(1.0) if model is None else _scores(model)).alias("score"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(UNDECIDED) if model is None else _scores(model)).alias("score"))
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
