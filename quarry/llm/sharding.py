@@ -1,8 +1,9 @@
 """Fixed virtual slots: records hash into slots, slots are mapped to shards, and only the map is edited.
 
 DataFrame functions only. The slot of a record never changes; its shard is looked up in a versioned
-map ``(version, vslot, bytes, shard)``. Everything that is gathered is the slot table, whose size is
-the fixed number of slots.
+map ``(version, vslot, bytes, shard)``, stored as Parquet with one folder per version: ``store_map`` adds a
+version and changes no earlier one, ``read_map`` returns the newest or a given one. Everything that is
+gathered is the slot table, whose size is the fixed number of slots.
 
 Nulls: a null key hashes like any other value (one slot), a null text counts 0 bytes plus 1. Repeated
 rows are kept, each with its own position. An empty table gives no rows. Extra columns are ignored.
@@ -10,9 +11,15 @@ rows are kept, each with its own position. An empty table gives no rows. Extra c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import cut, fresh_dir
+
+MAP = "vslot int, bytes long, shard int, version int"
+#: Rows of one virtual slot that are numbered by one task; a slot with more is dealt over several.
+SLOT_ROWS = 1_000_000
+
 
 def vslot(key: str | Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
@@ -66,27 +73,66 @@ def rebalance(current: DataFrame, sizes: DataFrame, shards: int, slack: float =
     return one.select("next", F.inline(F.expr(step))).select(F.col("next").alias("version"), "vslot", "bytes", "shard")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 4096) -> DataFrame:
+def store_map(slot_map: DataFrame, path: str) -> None:
+    """Add the version of ``slot_map`` to the maps under ``path``; a version that is there already raises."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    if version is not None:
+        slot_map.select("vslot", "bytes", "shard").coalesce(1).write.parquet(f"{path}/version={version}")  # one row per slot
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest map under ``path``, or that of ``version``."""
+    maps = spark.read.schema(MAP).parquet(path)
+    if version is None:
+        version = maps.agg(F.max("version")).first()[0]
+    return maps.filter(F.col("version") == version)
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 4096, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (position in the shard, from 0), grown_shard, vslot.
 
-    Law ``bytes``: the shards' byte sums are near equal. Positions count up by virtual slot and, inside
-    a slot, by doc_id: one prefix sum over the slot table and one sort inside each slot, so no task
-    holds a whole shard. The texts stay behind: only ids, sizes and checksums are shuffled.
+    Law ``bytes``: the shards' byte sums are near equal. ``path`` holds the stored maps (a new folder by
+    default): the first call there stores version 1, a later one stores the map rebalanced to the bytes of
+    ``docs`` as the next version; the newest version is then read back and decides. Positions count up by
+    virtual slot and, inside a slot, by doc_id (a slot of many rows by parts): one prefix sum over the slot
+    table and one sort inside each part, so no task holds a whole shard or a hot slot. The texts stay
+    behind: only ids, sizes and checksums are shuffled.
     """
-    records = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        vslot("doc_id", slots).alias("vslot"),
-    )
-    sizes = slot_bytes(records)
-    counts = sizes.select("vslot", "rows")
-    mapped = first_map(sizes, shards).join(counts, "vslot")
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    mapped = mapped.select("vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias("offset"))
-    inside = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    numbered = records.withColumn("pos", F.row_number().over(inside) - 1)
-    return numbered.join(mapped, "vslot").select(
+    spark, first = docs.sparkSession, path is None
+    path = path or fresh_dir(spark, "slot-maps")
+    records = cut(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+            vslot("doc_id", slots).alias("vslot"), F.monotonically_increasing_id().alias("row"),
+        ), "records",
+    )
+    sizes = cut(slot_bytes(records), "slots")
+    if sizes.isEmpty():
+        mapped = spark.createDataFrame([], MAP)
+    else:
+        store_map(first_map(sizes, shards) if first or not stored(spark, path) else rebalance(read_map(spark, path), sizes, shards), path)
+        mapped = read_map(spark, path)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / SLOT_ROWS)).cast("int").alias("parts")
+    dealt = records.join(F.broadcast(sizes.select("vslot", parts)), "vslot").withColumn("part", F.pmod("row", F.col("parts")).cast("int"))
+    counts = dealt.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("rows"))  # a row per slot and per SLOT_ROWS records
+    before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.join(F.broadcast(mapped.select("vslot", "shard")), "vslot")
+    placed = placed.select("vslot", "part", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias("offset"))
+    inside = Window.partitionBy("vslot", "part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "row")
+    numbered = dealt.withColumn("pos", F.row_number().over(inside) - 1)
+    return numbered.join(F.broadcast(placed), ["vslot", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("offset") + F.col("pos")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
     )
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether any map is stored under ``path``."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return not spark.read.schema(MAP).parquet(path).isEmpty()
+    except AnalysisException:  # no such folder
+        return False
