@@ -2,15 +2,21 @@
 
 DataFrame functions only. After the base rules each text has a vector of transformed statistics
 (``VECTOR``). For every (lang, source) group a minimum-covariance-determinant estimate is found over all
-its texts that pass the base rules: from a robust start (distances by medians and median deviations)
-concentration steps follow; each takes the ``SHARE`` of the group with the least distances and
-recomputes mean and covariance from them. Distances are cut into fine steps so that the share's limit is
-a count per step, combined on the map side: no group is gathered, however large. A text is rejected if
-its squared Mahalanobis distance under the final, consistency-scaled estimate is beyond ``LIMIT``.
-
-A group of fewer than ``LEAST`` texts takes the estimate of its language, and that of all texts if the
-language has too few as well. A ridge per statistic (``RIDGE``) keeps
-covariances invertible and small counts harmless where most texts of a group have none.
+its texts that pass the base rules, from ``STARTS`` deterministic starts (distances by medians and median
+deviations as they are, under the covariance of their hyperbolic tangents, and under that of their spatial
+signs). A concentration step takes the ``SHARE`` of the group with the least distances and recomputes mean
+and covariance from them; after ``FIRST_STEPS`` steps the start of least determinant goes on for ``STEPS`` more.
+Distances are cut into fine steps so that the share's limit is a count per step, combined on the map side.
+A text is rejected if its squared Mahalanobis distance under the final, consistency-scaled estimate is
+beyond ``LIMIT``.
+
+Every group's estimate is pooled with that of its language as if this were ``PRIOR_TEXTS`` further texts, and the
+language's likewise with that of all texts, so a small group leans on them and a large one hardly does. A
+ridge per statistic (``RIDGE``) keeps covariances invertible and small counts harmless where most texts of a
+group have none.
+
+What is known of a group is one row. While there are at most ``GROUPS`` groups these rows are broadcast and no
+text is shuffled by group; beyond it texts meet them in a join that deals hot groups over several tasks.
 
 Nulls: a null text has no words and fails the base rules; null lang and source form groups of
 their own; a null doc_id is carried through. Repeated rows each count. Empty tables give no rows.
@@ -22,11 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import cut
+from quarry.llm.shared import cut, hot_keys, hot_limit, spread_join
 
 SHARE = 0.75
-STEPS = 4
-LEAST = 40
+STARTS = ("plain", "tanh", "sign")
+FIRST_STEPS, STEPS = 2, 3
+PRIOR_TEXTS = 40
+GROUPS = 50_000
 #: Upper 1 - 5e-7 point of chi-square with 5 degrees of freedom, and the factor that makes a covariance
 #: of the nearest 75 % consistent at the normal: 0.75 / P(chi2_7 <= q), q the 75 % point of chi2_5.
 LIMIT = 38.0
@@ -81,22 +89,30 @@ def vectors(stats: DataFrame) -> DataFrame:
     )
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows joined with one row per group: by broadcast while the groups are few, else spread over tasks."""
+    table = cut(table, "groups")
+    if table.count() <= GROUPS * len(STARTS):
+        return rows.join(F.broadcast(table), keys)
+    return spread_join(rows, table, keys, hot_keys(rows, keys, hot_limit(rows.count())))
+
+
+def _moments(rows: DataFrame, keys: list[str], names: tuple[str, ...] = VECTOR) -> DataFrame:
     """Mean and covariance per group."""
-    sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)]
-    sums += [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i, j in PAIRS]
-    return rows.groupBy("g").agg(*sums)
+    sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.avg(v).alias(f"m{i}") for i, v in enumerate(names)]
+    sums += [F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in PAIRS]
+    return rows.groupBy(*keys).agg(*sums)
 
 
-def _precision(moments: DataFrame, factor: float) -> DataFrame:
-    """Inverse covariance by Cholesky factors, one row per group."""
+def _precision(moments: DataFrame, keys: list[str], factor: float = 1.0, ridge: tuple[float, ...] = RIDGE) -> DataFrame:
+    """Inverse covariance by Cholesky factors, one row per group, with its log determinant ``det``."""
     at = moments
     for i in range(DIM):
         for j in range(i + 1):
-            total = F.col(f"c{i}{j}") * factor + (F.lit(RIDGE[i]) if i == j else F.lit(0.0))
+            total = F.col(f"c{i}{j}") * factor + (F.lit(ridge[i]) if i == j else F.lit(0.0))
             for k in range(j):
                 total = total - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            at = at.withColumn(f"l{i}{j}", F.sqrt(F.greatest(total, F.lit(RIDGE[i] / 100))) if i == j else total / F.col(f"l{j}{j}"))
+            at = at.withColumn(f"l{i}{j}", F.sqrt(F.greatest(total, F.lit(ridge[i] / 100))) if i == j else total / F.col(f"l{j}{j}"))
     for j in range(DIM):  # u = inverse of l, column by column
         for i in range(j, DIM):
             total = F.lit(1.0 if i == j else 0.0)
@@ -104,39 +120,82 @@ def _precision(moments: DataFrame, factor: float) -> DataFrame:
                 total = total - F.col(f"l{i}{k}") * F.col(f"u{k}{j}")
             at = at.withColumn(f"u{i}{j}", total / F.col(f"l{i}{i}"))
     inverse = [sum((F.col(f"u{k}{i}") * F.col(f"u{k}{j}") for k in range(i, DIM)), F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS]
-    return at.select("g", "n", *[f"m{i}" for i in range(DIM)], *inverse)
+    det = sum((F.log(f"l{i}{i}") for i in range(DIM)), F.lit(0.0)).alias("det")
+    return at.select(*keys, *[f"m{i}" for i in range(DIM)], *inverse, det)
 
 
-def _distance() -> Column:
-    d = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)]
+def _form(d: list[Column]) -> Column:
+    """Quadratic form of the deviations under the precision columns."""
     return sum((F.col(f"p{i}{j}") * d[i] * d[j] * (1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
+def _distance() -> Column:
+    return _form([F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)])
+
+
+def _nearest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows with the least ``d`` that make up SHARE of each group, by counts per step of d.
 
     Steps are 1/256 of an octave wide; rows of the step in which the share is reached all belong.
     """
     stepped = rows.withColumn("step", F.floor(F.log2(F.greatest(F.col("d"), F.lit(1e-9))) * 256).cast("int"))
-    counts = stepped.groupBy("g", "step").agg(F.count(F.lit(1)).alias("k"))  # at most a few thousand steps a group
-    listed = counts.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("step", "k"))).alias("steps"), F.sum("k").alias("n"))
-    limit = f"aggregate(steps, named_struct('seen', 0L, 'at', cast(null as int)), (a, x) -> named_struct('seen', a.seen + x.k, 'at', if(a.seen < ceil({SHARE} * n), x.step, a.at)), a -> a.at)"
-    return stepped.join(listed.select("g", F.expr(limit).alias("limit")), "g").filter("step <= limit").drop("step", "limit", "d")
+    counts = stepped.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("k"))  # at most a few thousand steps a group
+    listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "k"))).alias("steps"), F.sum("k").alias("size"))
+    limit = f"aggregate(steps, named_struct('seen', 0L, 'at', cast(null as int)), (a, x) -> named_struct('seen', a.seen + x.k, 'at', if(a.seen < ceil({SHARE} * size), x.step, a.at)), a -> a.at)"
+    return _meet(stepped, listed.select(*keys, F.expr(limit).alias("limit")), keys).filter("step <= limit").drop("step", "limit", "d")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Rows with ``start`` and the distance ``d`` of each start."""
+    middle = rows.groupBy("g").agg(*[F.percentile_approx(v, 0.5, 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)])
+    off = _meet(rows, middle, ["g"])
+    spread = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"q{i}")), 0.5, 1000).alias(f"s{i}") for i, v in enumerate(VECTOR)])
+    z = [(F.col(v) - F.col(f"q{i}")) / (F.col(f"s{i}") + 0.02) for i, v in enumerate(VECTOR)]
+    scaled = _meet(off, spread, ["g"]).select("g", *VECTOR, *[x.alias(f"z{i}") for i, x in enumerate(z)])
+    plain = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIM)), F.lit(0.0))
+    turned = scaled.withColumn("start", F.explode(F.array(*map(F.lit, STARTS)))).withColumn("_r", F.sqrt(plain) + 1e-9)
+    shaped = lambda x: F.when(F.col("start") == "tanh", F.tanh(x)).when(F.col("start") == "sign", x / F.col("_r")).otherwise(x)
+    moments = _moments(turned.select("g", "start", *[shaped(F.col(f"z{i}")).alias(v) for i, v in enumerate(VECTOR)]), ["g", "start"])
+    shapes = _precision(moments, ["g", "start"], ridge=(0.01,) * DIM)
+    d = F.when(F.col("start") == "plain", plain).otherwise(_form([F.col(f"z{i}") for i in range(DIM)]))
+    return _meet(turned, shapes, ["g", "start"]).select("g", "start", *VECTOR, d.alias("d"))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """MCD mean and scaled precision per group ``g`` of ``rows(g, VECTOR)``; n is the group's size."""
+    """MCD mean (m) and covariance (c) per group ``g`` of ``rows(g, VECTOR)``; size is the group's rows."""
     rows = cut(rows.select("g", *VECTOR), "vectors")
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    middle = rows.groupBy("g").agg(*[F.percentile_approx(v, 0.5, 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)])
-    off = rows.join(middle, "g")
-    spread = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"q{i}")), 0.5, 1000).alias(f"s{i}") for i, v in enumerate(VECTOR)])
-    start = sum((F.pow((F.col(v) - F.col(f"q{i}")) / (F.col(f"s{i}") + 0.02), 2) for i, v in enumerate(VECTOR)), F.lit(0.0))
-    near = _nearest(off.join(spread, "g").withColumn("d", start).select("g", *VECTOR, "d"))
-    for _ in range(STEPS):
-        params = cut(_precision(_moments(near), 1.0), "params")
-        near = _nearest(rows.join(params, "g").withColumn("d", _distance()).select("g", *VECTOR, "d"))
-    return _precision(_moments(near), CONSISTENCY).join(sizes, "g")
+    keys = ["g", "start"]
+    near = _nearest(_starts(rows), keys)
+    for _ in range(FIRST_STEPS):
+        near = _nearest(_meet(rows, _precision(_moments(near, keys), keys), ["g"]).withColumn("d", _distance()).select(*keys, *VECTOR, "d"), keys)
+    found = _precision(_moments(near, keys), keys)
+    best = found.groupBy("g").agg(F.min(F.struct("det", "start", *[c for c in found.columns if c not in ("g", "det", "start")])).alias("b")).select("g", "b.*").drop("det", "start")
+    for step in range(STEPS):
+        if step:
+            best = _precision(_moments(near, ["g"]), ["g"])
+        near = _nearest(_meet(rows, best, ["g"]).withColumn("d", _distance()).select("g", *VECTOR, "d"), ["g"])
+    return _moments(near, ["g"]).drop("n").join(sizes, "g")
+
+
+def _pooled(own: DataFrame, key: str, above: DataFrame, link: str) -> DataFrame:
+    """``own`` (one row per ``key``) pooled with its row of ``above`` (by ``link``), which counts as PRIOR_TEXTS texts."""
+    names = [f"m{i}" for i in range(DIM)] + [f"c{i}{j}" for i, j in PAIRS]
+    both = own.join(above.select(link, *[F.col(c).alias(f"up_{c}") for c in names]), link)
+    share = F.col("size") / (F.col("size") + PRIOR_TEXTS)
+    mixed = lambda c: share * F.col(c) + (1 - share) * F.col(f"up_{c}")
+    apart = [F.col(f"m{i}") - F.col(f"up_m{i}") for i in range(DIM)]
+    between = lambda i, j: share * (1 - share) * apart[i] * apart[j]
+    return both.select(key, *[mixed(f"m{i}").alias(f"m{i}") for i in range(DIM)], *[(mixed(f"c{i}{j}") + between(i, j)).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def pooled_estimates(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """Mean and precision per ``k`` of ``groups(k, language, all)``, names of estimates in ``found(g, ...)``."""
+    top = found.withColumnRenamed("g", "all")
+    languages = groups.select("language", "all").distinct()
+    middle = _pooled(found.withColumnRenamed("g", "language").join(languages, "language"), "language", top, "all")
+    own = _pooled(found.withColumnRenamed("g", "k").join(groups.select("k", "language"), "k"), "k", middle, "language")
+    return _precision(own, ["k"], CONSISTENCY).drop("det")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -147,12 +206,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     good = stats.filter("not base_failed")
     # A row takes part in its group, its language and the whole.
     found = cut(estimates(good.select(F.explode(keys).alias("g"), *VECTOR)), "estimates")
-    groups = good.select(keys.alias("ks")).distinct()
-    levels = groups.select(F.col("ks")[0].alias("k"), F.posexplode("ks").alias("level", "g")).join(found, "g").filter(f"size >= {LEAST} or level = 2")
-    names = [f"m{i}" for i in range(DIM)] + [f"p{i}{j}" for i, j in PAIRS]
-    chosen = levels.groupBy("k").agg(F.min_by(F.struct(*names), "level").alias("e")).select("k", "e.*")
-    judged = stats.withColumn("k", F.when(~F.col("base_failed"), keys[0])).join(chosen, "k", "left")
-    judged = judged.withColumn("distance", _distance())
+    groups = cut(good.select(keys[0].alias("k"), keys[1].alias("language"), keys[2].alias("all")).distinct(), "groups")
+    chosen = pooled_estimates(found, groups)
+    judged = _meet(good.withColumn("k", keys[0]), chosen, ["k"])
+    failed = stats.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
+    judged = judged.withColumn("distance", _distance()).select(*failed.columns).unionByName(failed)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce(~F.col("base_failed") & (F.col("distance") <= LIMIT), F.lit(False)).alias("kept"), "distance", "lang", "source",
