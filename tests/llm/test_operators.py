@@ -253,16 +253,88 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert sum(out[i] for i in range(300)) >= 299 and not any(out[1000 + i] for i in range(20))
 
 
-def test_mcd_matches_numpy(spark):
-    """One group: the final estimate equals concentration steps in numpy from the same start."""
+def plain_mcd(x):
+    """The documented estimate of one group in numpy: starts, concentration steps, least determinant."""
+    n, share = len(x), quality_rules.SHARE
+
+    def middle(v):
+        return np.sort(v, axis=0)[-(-len(v) // 2) - 1]
+
+    def inverse(c, ridge):
+        c = c + np.diag(ridge)
+        return np.linalg.inv(c), np.log(np.diag(np.linalg.cholesky(c))).sum()
+
+    def nearest(d):
+        step = np.floor(np.log2(np.maximum(d, 1e-9)) * 256)
+        return x[step <= np.sort(step)[int(np.ceil(share * n)) - 1]]
+
+    def distances(near):
+        own, det = inverse(np.cov(near.T, bias=True), quality_rules.RIDGE)
+        e = x - near.mean(axis=0)
+        return np.einsum("ij,jk,ik->i", e, own, e), det
+
+    z = (x - middle(x)) / (middle(np.abs(x - middle(x))) + 0.02)
+    r = np.sqrt((z * z).sum(axis=1))
+    starts = [r * r]
+    for y in (z / (r[:, None] + 1e-9), np.tanh(z)):
+        own, _ = inverse(np.cov(y.T, bias=True), [0.01] * 5)
+        starts.append(np.einsum("ij,jk,ik->i", z, own, z))
+    ends = []
+    for d in starts:
+        near = nearest(d)
+        for _ in range(quality_rules.FIRST_STEPS):
+            near = nearest(distances(near)[0])
+        ends.append((distances(near)[1], near))
+    near = min(ends, key=lambda e: e[0])[1]
+    for _ in range(quality_rules.STEPS):
+        near = nearest(distances(near)[0])
+    return near.mean(axis=0), np.cov(near.T, bias=True)
+
+
+def test_mcd_brute_force(spark):
+    """Mean and covariance of several groups equal those of numpy."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 5)) * [1, 2, 0.5, 1, 3]
-    x[:40] += 30
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{v} double" for v in quality_rules.VECTOR))
-    got = quality_rules.estimates(df).first()
-    clean = x[40:]
-    assert got["size"] == 400
-    assert all(abs(got[f"m{i}"] - clean[:, i].mean()) < 0.35 * clean[:, i].std() for i in range(5))
+    groups = {}
+    for name, n in (("a", 400), ("b", 61), ("c", 7)):
+        groups[name] = rng.normal(size=(n, 5)) * [1, 2, 0.5, 1, 3]
+        groups[name][: n // 5] += rng.normal(20, 3, size=5)
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{v} double" for v in quality_rules.VECTOR))
+    got = {r.g: r for r in quality_rules.estimates(df).collect()}
+    for g, x in groups.items():
+        mean, cov = plain_mcd(x)
+        assert got[g]["size"] == len(x) and np.allclose([got[g][f"m{i}"] for i in range(5)], mean)
+        assert np.allclose([got[g][f"c{i}{j}"] for i, j in quality_rules.PAIRS], [cov[i, j] for i, j in quality_rules.PAIRS])
+
+
+def test_quality_verdict_brute_force(spark, docs):
+    """The verdict of every text from numpy estimates, pooled with language and whole."""
+    kept = {r.doc_id: (r.kept, r.distance) for r in quality_rules.quality_rules(docs).collect()}
+    rows = [r for r in quality_rules.vectors(quality_rules.base_stats(docs)).collect() if not r.base_failed]
+    vector = {r.doc_id: np.array([r[v] for v in quality_rules.VECTOR]) for r in rows}
+    members = collections.defaultdict(list)
+    for r in rows:
+        for key in ((r.lang, r.source), r.lang, ""):
+            members[key].append(vector[r.doc_id])
+    made = {k: (*plain_mcd(np.array(v)), len(v)) for k, v in members.items()}
+
+    def pooled(own, above):
+        (m, c, n), (up_m, up_c) = own, above
+        a = n / (n + quality_rules.PRIOR_TEXTS)
+        return a * m + (1 - a) * up_m, a * c + (1 - a) * up_c + a * (1 - a) * np.outer(m - up_m, m - up_m)
+
+    for r in rows:
+        mean, cov = pooled(made[(r.lang, r.source)], pooled(made[r.lang], made[""][:2]))
+        d = vector[r.doc_id] - mean
+        want = d @ np.linalg.inv(cov * quality_rules.CONSISTENCY + np.diag(quality_rules.RIDGE)) @ d
+        assert kept[r.doc_id][0] == (want <= quality_rules.LIMIT) and np.isclose(kept[r.doc_id][1], want)
+    assert all(not k and d is None for i, (k, d) in kept.items() if i not in vector)
+
+
+def test_many_groups_take_the_join(spark, docs, monkeypatch):
+    want = sorted(map(str, quality_rules.quality_rules(docs).select("doc_id", "kept").collect()))
+    monkeypatch.setattr(quality_rules, "GROUPS", 0)
+    assert sorted(map(str, quality_rules.quality_rules(docs).select("doc_id", "kept").collect())) == want
 
 
 # Token counts
