@@ -35,6 +35,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, column: str, mb: int) -> int:
+    """Shuffle partitions of about ``mb`` MB of a text column, at least ``spark.sql.shuffle.partitions``."""
+    size = df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20)))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8, with A-Z lower-cased; null has none.
 
