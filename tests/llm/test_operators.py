@@ -192,6 +192,29 @@ def test_html_article_and_furniture():
     assert html_text.page_lines(None) == [] and html_text.page_lines("plain") == [("open", "plain")]
 
 
+def bodies(page):
+    return [t for r, t in html_text.page_lines(page) if r == "body"]
+
+
+def test_html_attribute_rules():
+    for page, want in [
+        ("<article><p title=it's>First</p><p>Second isn't lost</p><p>third</p></article>", ["First", "Second isn't lost", "third"]),
+        ("<article><a title=\"x>bad</a></article>", ["bad"]),
+        ("<article><p data-x='a>b' class=x/>one</p><p a = \"1>2\" b>two</p><p =x>three</p></article>", ["one", "two", "three"]),
+        ("<article><p>E = <math><mi>m</mi></math></p><object>inside</object><p hidden>also</p></article>", ["E = m", "inside", "also"]),
+        ("<article><p>kept</p><p class='unclosed", ["kept"]),
+        ("<article>1 < 2 <3 and a<b>c</b></article>", ["1 < 2 <3 and ac"]),
+        ("<article>" + "<p a='" * 3000, []),
+    ]:
+        assert bodies(page) == want, page
+    for name in ("content has-sidebar", "related-work", "notice-of-meeting"):
+        assert bodies(f"<article><p>a</p><div class='{name}'>kept</div></article>") == ["a", "kept"]
+        assert html_text.page_lines(f"<div id='{name}'>kept</div>") == [("open", "kept")]
+    for name in ("sidebar", "cookie-notice", "site-footer", "ad-top-12", "post-comments"):
+        assert bodies(f"<article><p>a</p><div class='x {name}'>gone</div></article>") == ["a"]
+    assert html_text.page_lines("<div class=widget><p>most of the text of this page</p></div><p>rest</p>") == [("open", "most of the text of this page"), ("open", "rest")]
+
+
 @pytest.mark.parametrize(
     "wrapper",
     ["<div class='layout has-sidebar'>%s</div>", "<div class='no-comments'>%s</div>", "<div class='share-enabled navbar-offset'>%s</div>", "<form action=x><div>%s</div></form>", "<div id=sidebar-layout>%s</div>"],
@@ -211,6 +234,110 @@ def test_longest_common_subsequence():
         assert len(html_text.shared_lines(a, b)) == best
 
 
+def plain_lines(page):
+    """(role, text) of the given kind of pages by the standard library's parser: blocks, nav, footer, class ad, article."""
+    from html.parser import HTMLParser
+
+    lines, parts, open_tags = [], [], []
+
+    def end():
+        text = " ".join("".join(parts).split())
+        if text:
+            inside = [t for t, _ in open_tags]
+            skip = {"nav", "footer"} & set(inside) or any(c == "ad" for _, c in open_tags)
+            lines.append(("skip" if skip else "body" if "article" in inside else "open", text))
+        parts.clear()
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                parts.append(" ")
+            elif tag not in ("b", "i", "a", "meta"):
+                end()
+                if tag == "p" and open_tags and open_tags[-1][0] == "p":
+                    open_tags.pop()
+                open_tags.append((tag, dict(attrs).get("class")))
+
+        def handle_endtag(self, tag):
+            if tag in [t for t, _ in open_tags]:
+                end()
+                while open_tags.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not {"script", "style", "title"} & {t for t, _ in open_tags}:
+                parts.append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page or "")
+    reader.close()
+    end()
+    return lines
+
+
+def plain_common(a, b):
+    """Places in ``a`` of a longest common subsequence, by the quadratic table, from equal ends inwards."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a) - 1, -1, -1), range(len(b) - 1, -1, -1)):
+        n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+    return n[0][0]
+
+
+def plain_extract(rows, lines_of):
+    """Pairs, alignment and deletion on a whole table, one page after the other."""
+    def place(r):
+        m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)", r[1] or "")
+        return (m[1].lower(), m[2]) if m else ("", r[1] or "")
+
+    table = sorted(((place(r), r[0] is not None, r[0] or 0, lines_of(r[2])) for r in rows), key=lambda x: x[:3])
+    out, deleted = [], 0
+    for k, (at, named, page_id, lines) in enumerate(table):
+        prefix = lambda x: next((i for i, (a, b) in enumerate(zip(at[1], x[0][1])) if a != b), min(len(at[1]), len(x[0][1])))  # noqa: B023, E731, B905
+        near = [table[j] for j in (k - 1, k + 1) if 0 <= j < len(table) and table[j][0][0] == at[0]]
+        near.sort(key=prefix, reverse=True)
+        left = None
+        for other in near:
+            own, theirs = [t for _, t in lines], [t for _, t in other[3]]
+            if plain_common(own, theirs) < len(own):
+                gone = html_text.shared_lines(own, theirs)
+                assert len(gone) == plain_common(own, theirs)
+                deleted += sum(lines[i][0] != "body" for i in gone)
+                left = [t for i, (r, t) in enumerate(lines) if r == "body" or (r == "open" and i not in gone)]
+                break
+        left = left or [t for r, t in lines if r == "body"] or [t for r, t in lines if r == "open"]
+        out.append((page_id if named else None, "\n".join(left)))
+    return sorted(out, key=str), deleted
+
+
+def test_extraction_brute_force(spark, sf_dir):
+    """The whole table, parsed by another parser, paired, aligned and cut one page after the other."""
+    pages = table(spark, sf_dir, "pages")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    want, deleted = plain_extract(rows, plain_lines)
+    assert sorted(((r.page_id, r.text) for r in html_text.extract(pages).collect()), key=str) == want
+    assert deleted > 0  # lines that differencing takes
+
+
+def test_extraction_of_open_pages_brute_force(spark):
+    """Pages without markup of roles, with an article and unmarked furniture, copies, null and repeated ids, clashing columns."""
+    rng, rows = random.Random(11), []
+    line = lambda k: f"<p>{rng.choice('abcdefgh')} {k}</p>"
+    for host in ("x.org", "y.org:80", "Y.org"):
+        for k in range(25):
+            shared = "<div>Top line</div>" + "".join(f"<div>menu {j}</div>" for j in range(3))
+            own = "".join(line(f"{host}{k}{j}") for j in range(rng.randrange(4)))
+            middle = f"<article><h1>t{k}</h1>{own}</article><div>seen {k}</div>" if k % 4 == 0 else own
+            rows.append((100 + k if host == "Y.org" else None if k == 7 else k % 20, f"http://{host}/{'ab'[k % 2]}/{k % 9}?q={k}", f"<body>{shared}{middle}<div>Legal</div></body>"))
+    rows += [rows[3], rows[3], (5, None, None), (6, "no url", "<p>alone"), (8, "http://z.org/", "<p>" + "long text " * 30_000)]
+    df = spark.createDataFrame([(*r, 1, "m", "h") for r in rows], "page_id long, url string, html string, host int, mark string, text string")
+    want, deleted = plain_extract(rows, html_text.page_lines)
+    got = html_text.extract(df).collect()
+    assert sorted(((r.page_id, r.text) for r in got), key=str) == want and deleted > 200
+    assert all(r.n_chars == len(r.text) for r in got)
+    text = {r.url: r.text for r in got}
+    assert text["http://x.org/a/3?q=12"].startswith("t12") and text["http://x.org/a/3?q=12"].endswith("seen 12")
+
+
 def test_page_differencing_does_not_depend_on_partitions(spark):
     page = lambda i, host, k: (i, f"http://{host}/a/{k}", f"<body><div>Top menu</div><p>Text {k} of {host}.<p>More {k}</p><div>Legal line</div></body>", 1)
     rows = [page(i, h, k) for i, (h, k) in enumerate(itertools.product("abc", range(20)))] + [(900, None, None, 1), (901, "http://lone/x", "<p>only", 1)]
