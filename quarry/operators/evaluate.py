@@ -2,27 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
+BLOCK_CHARS = 20_000_000
+
 
 def containing(cases: DataFrame, docs: DataFrame, case: str, doc: str, text: str = "text") -> DataFrame:
     """(case, doc) pairs where the document contains the case's text.
 
-    The rarest token of a case must occur in the document as a token, or the case has none and is
-    tested on its first words: candidates come from an equi-join, ``contains`` decides.
-    A case's first and last token may be cut by the document around it, so inner tokens are used.
+    A case's first and last token may be cut by the document around it, so its inner tokens must occur in the
+    document as tokens: candidates come from an equi-join on the longest of them, ``contains`` decides. Cases
+    without an inner token (two tokens at most, or another script) are looked for in every document, in one pass
+    for each block of ``BLOCK_CHARS`` characters of them.
     """
     inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
-    asked = cases.select(case, F.col(text).alias("_t"), F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)).alias("w")).withColumn("w", inner)
+    asked = cases.filter(F.col(text).isNotNull()).select(case, F.col(text).alias("_t"), F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)).alias("w")).withColumn("w", inner)
     longest = F.expr("array_max(transform(w, x -> struct(length(x) as n, x as x))).x")
     keyed = asked.select(case, "_t", longest.alias("token"))
-    found = docs.select(F.col(doc), F.col(text).alias("_d"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("token"))
-    ids = found.select(doc, "token").join(keyed.filter("token is not null").select(case, "token"), "token").select(doc, case).distinct()
+    found = docs.select(F.col(doc), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("token"))
+    ids = found.join(keyed.filter("token is not null").select(case, "token"), "token").select(doc, case).distinct()
     tested = ids.join(docs.select(doc, F.col(text).alias("_d")), doc).join(keyed.select(case, "_t"), case)
-    return tested.filter(F.col("_d").contains(F.col("_t"))).select(case, doc)
+    out = tested.filter(F.col("_d").contains(F.col("_t"))).select(case, doc)
+    short = keyed.filter("token is null").select(case, "_t")
+    size = short.agg(F.sum(F.length("_t") + 1)).first()[0] or 0
+    blocks = -(-size // BLOCK_CHARS)
+    for k in range(blocks):
+        own = short.filter(F.pmod(F.xxhash64(case, "_t"), F.lit(blocks)) == k)
+        out = out.unionByName(_scanned(own, docs.select(F.col(doc).alias("d"), F.col(text).alias("t")), case, doc, dict(docs.dtypes)[doc]))
+    return out
+
+
+def _scanned(cases: DataFrame, docs: DataFrame, case: str, doc: str, doc_type: str) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in cases.collect()])  # about BLOCK_CHARS characters
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(c, d) for d, t in zip(b["d"], b["t"], strict=True) for c, own in known.value if own in t]
+            yield pd.DataFrame(rows, columns=[case, doc])
+
+    return docs.filter("t is not null and d is not null").mapInPandas(run, f"{case} {dict(cases.dtypes)[case]}, {doc} {doc_type}")
+
+
+def score_citations(cases: DataFrame, expect: DataFrame, hits: DataFrame) -> DataFrame:
+    """Scores of cited hits against expectations: expected, found, rank of the first match (0: none), hit_at_1, recall.
+
+    cases(case_id, k, ...), expect(case_id, expect_no, expected struct), hits(case_id, rank, path, citation, page,
+    line_start, section); only the first ``k`` hits of a case count.
+    """
+    top = hits.join(cases.select("case_id", "k"), "case_id").filter("rank <= k")
+    met = expect.join(top, "case_id").filter(matches("path", "citation", "page", "line_start", "section", F.col("expected")))
+    found = met.groupBy("case_id").agg(F.count_distinct("expect_no").alias("found"), F.min("rank").alias("rank"))
+    total = expect.groupBy("case_id").agg(F.count(F.lit(1)).alias("expected"))
+    out = cases.join(total, "case_id", "left").join(found, "case_id", "left").na.fill(0, ["expected", "found", "rank"])
+    return out.withColumn("hit_at_1", F.col("rank") == 1).withColumn("recall", F.when(F.col("expected") > 0, F.col("found") / F.col("expected")).otherwise(0.0))
+
+
+def score_selector(cases: DataFrame, expect: DataFrame, select: Callable[[DataFrame], DataFrame], modes: tuple[str, ...] | None = None) -> DataFrame:
+    """Selector hook: ``select(cases)`` answers a table of cases (case_id, query, k, material_type) with the hits that
+    :func:`score_citations` takes; only cases of ``modes`` are asked."""
+    asked = cases if modes is None else cases.filter(F.col("mode").isin(*modes))
+    return score_citations(asked, expect, select(asked))
 
 
 def matches(path: str | Column, citation: str | Column, page: str | Column, line_start: str | Column, section: str | Column, expected: Column) -> Column:

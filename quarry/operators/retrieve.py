@@ -9,8 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
+
 RRF_K = 60
 BOOST = 0.05
+MATERIAL_HOP, UNIT_HOP = 5, 20
+KEYWORDS, SIBLINGS = 8, 4
+# Order of material types among siblings; others come last.
+TYPE_ORDER = {"document": 0, "project": 1, "dataset": 2, "code": 3}
 
 
 def ranked(scores: DataFrame, query: str, point: str, limit: int, score: str = "score") -> DataFrame:
@@ -87,6 +93,39 @@ def rerank_with(hits: DataFrame, query_text: DataFrame, point_text: DataFrame, q
     return rerank(hits, pairs.select(query, point, score(F.substring("query_text", 1, 2048), F.substring("point_text", 1, 2048)).alias("score")), query, point)
 
 
+def enrich(hits: DataFrame, materials: DataFrame, analyses: DataFrame, material: str) -> DataFrame:
+    """Hits with their material's type and root path (empty for an unknown one), the snippet of its analysis' summary or
+    else of the hit's content, and the first eight keywords of the analysis.
+
+    hits(material, content, ...), materials(material, material_type, root_path), analyses(material, summary, keywords).
+    """
+    known = materials.select(material, F.coalesce("material_type", F.lit("")).alias("material_type"), "root_path")
+    read = analyses.select(material, F.lit(True).alias("_read"), F.col("summary").alias("_summary"), F.slice("keywords", 1, KEYWORDS).alias("_keywords"))
+    rich = hits.join(known, material, "left").join(read, material, "left")
+    rich = rich.withColumn("snippet", F.when(F.col("_read"), T.clip("_summary")).otherwise(T.clip("content"))).withColumn("keywords", F.coalesce("_keywords", F.array().cast("array<string>")))
+    return rich.na.fill("", ["material_type", "root_path"]).drop("_read", "_summary", "_keywords")
+
+
+def siblings(materials: DataFrame, material: str, source: str) -> DataFrame:
+    """(material, siblings): root paths of the other READY materials of its source by type and path, the first four and
+    ``+N more``.
+
+    materials(material, source, material_type, root_path, status). Only five rows a source are gathered: its
+    first five READY materials hold the first four others of any of them; the rest is a count.
+    """
+    rank = F.coalesce(*[F.when(F.col("material_type") == t, F.lit(i)) for t, i in TYPE_ORDER.items()], F.lit(9))
+    ready = materials.filter("lower(status) = 'ready'").select(source, material, "root_path", rank.alias("_rank"))
+    order = Window.partitionBy(source).orderBy("_rank", "root_path", material)
+    first = ready.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SIBLINGS + 1)
+    listed = first.groupBy(source).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(material).alias("m"), F.col("root_path").alias("p")))).alias("_l"))
+    total = ready.groupBy(source).agg(F.count(F.lit(1)).alias("_t"))
+    own = materials.select(material, source, (F.lower("status") == "ready").alias("_ready")).join(listed, source, "left").join(total, source, "left")
+    names = F.transform(F.filter("_l", lambda x: x["m"] != F.col(material)), lambda x: x["p"])
+    others = F.col("_t") - F.coalesce(F.col("_ready").cast("int"), F.lit(0))
+    more = F.when(others > SIBLINGS, F.array(F.concat(F.lit("+"), (others - SIBLINGS).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return own.select(material, F.coalesce(F.concat(F.slice(names, 1, SIBLINGS), more), F.array().cast("array<string>")).alias("siblings"))
+
+
 def page(hits: DataFrame, query: str, offset: int, limit: int) -> DataFrame:
     """One page of each query's window with total, pages and has_more."""
     total = F.count(F.lit(1)).over(Window.partitionBy(query))

@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import evidence as E
-from quarry.operators import retrieve
 from quarry.plans import retrieval as R
 from quarry.plans.common import query
 from quarry.session import table
 
-HITS = f"""WITH {R.DENSE_SQL}, top AS ({R.rank_sql('dense', 30)}),
+HITS = f"""WITH {R.scores_sql()}, top AS ({R.rank_sql('dense', 30)}),
 tox AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 h AS (
   SELECT item_id // 4 AS run_id, item_id AS question_id, rank AS pos, doc_id AS evidence_id, source AS material_id, lang AS finding,
@@ -28,7 +27,7 @@ e AS (SELECT * FROM b WHERE t <= 24)"""
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = retrieve.ranked(R._dense(spark, sf_dir), "item_id", "doc_id", 30)
+    top = R._top(spark, sf_dir, "dense", 30)
     toxic = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     d = top.join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id").join(toxic, "doc_id", "left")
     return d.select(

@@ -41,9 +41,13 @@ def metadata_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query(f"""WITH {UNIT}, n AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY doc_id) AS n FROM u),
-h AS (SELECT material_id, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM n GROUP BY material_id)
-SELECT material_id, substr(array_to_string(({SENT})[:2], ' '), 1, 400) AS summary, first, last, units, tokens FROM h""")
+DIGEST = f"""n AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY doc_id) AS n FROM u),
+h AS (SELECT material_id, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM n GROUP BY material_id)"""
+SUMMARY = f"substr(array_to_string(({SENT})[:2], ' '), 1, 400)"
+
+
+@query(f"""WITH {UNIT}, {DIGEST}
+SELECT material_id, {SUMMARY} AS summary, first, last, units, tokens FROM h""")
 def extractive_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG9."""
     return P.leaf_digests(_units(spark, sf_dir), ["material_id"], "doc_id", "text").drop("keywords")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import index, retrieve
+from quarry.operators import index, profile, retrieve, search
+from quarry.plans import profile as profile_plans
 from quarry.plans.common import bucket_sql, clip_sql, query, tokens_sql
 from quarry.session import table
 
@@ -22,29 +23,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _posts(spark: SparkSession, sf_dir: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    points = index.postings(_docs(spark, sf_dir), "doc_id", "text", dim)
-    queries = index.postings(table(spark, sf_dir, "benchmark"), "item_id", "text", dim)
-    return points, queries
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("asked"))
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, queries = _posts(spark, sf_dir, T.DENSE_DIM)
-    return retrieve.cosine_scores(index.normed(points, "doc_id"), index.normed(queries, "item_id"), "item_id", "doc_id")
+def _top(spark: SparkSession, sf_dir: str, name: str, n: int) -> DataFrame:
+    """The best ``n`` documents of every item in one list."""
+    return search.top_points(_docs(spark, sf_dir), "doc_id", "text", _items(spark, sf_dir), "item_id", "asked", n, lists=(name,)).drop("list")
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.sparse_scores(*_posts(spark, sf_dir, T.SPARSE_DIM), "item_id", "doc_id")
-
-
-def _hybrid(spark: SparkSession, sf_dir: str, limit: int, docs: DataFrame | None = None, offset: int = 0) -> DataFrame:
+def _hybrid(spark: SparkSession, sf_dir: str, limit: int, docs: DataFrame | None = None) -> DataFrame:
     """Fused ranks; ``docs`` restricts both prefetches before they rank."""
-    n = retrieve.prefetch(limit, offset)
-    lists = []
-    for scores in (_dense(spark, sf_dir), _sparse(spark, sf_dir)):
-        own = scores if docs is None else scores.join(docs.select("doc_id"), "doc_id", "left_semi")
-        lists.append(retrieve.ranked(own, "item_id", "doc_id", n))
-    return retrieve.fuse(lists, "item_id", "doc_id", limit, offset)
+    return search.hybrid(_docs(spark, sf_dir) if docs is None else docs, "doc_id", "text", _items(spark, sf_dir), "item_id", "asked", limit)
 
 
 def posts_sql(dim: int, name: str, tbl: str, key: str) -> str:
@@ -53,42 +43,44 @@ def posts_sql(dim: int, name: str, tbl: str, key: str) -> str:
   FROM (SELECT {key}, unnest({tokens_sql('text')}) AS token FROM {tbl}) GROUP BY ALL)"""
 
 
-SPARSE_SQL = f"""{posts_sql(T.SPARSE_DIM, 'sp', 'documents', 'doc_id')}, {posts_sql(T.SPARSE_DIM, 'sq', 'benchmark', 'item_id')},
-sparse AS (SELECT item_id, doc_id, CAST(sum(sp.tf * sq.tf) AS BIGINT) AS score FROM sp JOIN sq USING (idx) GROUP BY ALL)"""
-DENSE_SQL = f"""{posts_sql(T.DENSE_DIM, 'dp', 'documents', 'doc_id')}, {posts_sql(T.DENSE_DIM, 'dq', 'benchmark', 'item_id')},
-dpn AS (SELECT doc_id, CAST(sum(tf * tf) AS BIGINT) AS n FROM dp GROUP BY ALL), dqn AS (SELECT item_id, CAST(sum(tf * tf) AS BIGINT) AS m FROM dq GROUP BY ALL),
-dense AS (
-  SELECT item_id, doc_id, dot / sqrt((n * m)::DOUBLE) AS score
-  FROM (SELECT item_id, doc_id, CAST(sum(dp.tf * dq.tf) AS BIGINT) AS dot FROM dp JOIN dq USING (idx) GROUP BY ALL) JOIN dpn USING (doc_id) JOIN dqn USING (item_id))"""
+def scores_sql(p: str = "", points: str = "documents", key: str = "doc_id") -> str:
+    """CTEs ``{p}sparse`` and ``{p}dense`` with item_id, key, score."""
+    return f"""{posts_sql(T.SPARSE_DIM, p + 'sp', points, key)}, {posts_sql(T.SPARSE_DIM, p + 'sq', 'benchmark', 'item_id')},
+{p}sparse AS (SELECT item_id, {key}, CAST(sum(sp.tf * sq.tf) AS BIGINT) AS score FROM {p}sp sp JOIN {p}sq sq USING (idx) GROUP BY ALL),
+{posts_sql(T.DENSE_DIM, p + 'dp', points, key)}, {posts_sql(T.DENSE_DIM, p + 'dq', 'benchmark', 'item_id')},
+{p}dpn AS (SELECT {key}, CAST(sum(tf * tf) AS BIGINT) AS n FROM {p}dp GROUP BY ALL), {p}dqn AS (SELECT item_id, CAST(sum(tf * tf) AS BIGINT) AS m FROM {p}dq GROUP BY ALL),
+{p}dense AS (
+  SELECT item_id, {key}, dot / sqrt((n * m)::DOUBLE) AS score
+  FROM (SELECT item_id, {key}, CAST(sum(dp.tf * dq.tf) AS BIGINT) AS dot FROM {p}dp dp JOIN {p}dq dq USING (idx) GROUP BY ALL) JOIN {p}dpn USING ({key}) JOIN {p}dqn USING (item_id))"""
 
 
-def rank_sql(source: str, limit: int, where: str = "") -> str:
-    return f"SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {source} {where}) WHERE rank <= {limit}"
+def rank_sql(source: str, limit: int, where: str = "", key: str = "doc_id") -> str:
+    return f"SELECT * FROM (SELECT item_id, {key}, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {key}) AS rank FROM {source} {where}) WHERE rank <= {limit}"
 
 
-def hybrid_sql(limit: int, where: str = "", offset: int = 0) -> str:
-    n = retrieve.prefetch(limit, offset)
-    return f"""{SPARSE_SQL}, {DENSE_SQL},
-both_lists AS (
-  SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM ({rank_sql('dense', n, where)})
-  UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM ({rank_sql('sparse', n, where)})),
-fused AS (SELECT item_id, doc_id, sum(part) AS score FROM both_lists GROUP BY ALL),
-hits AS (SELECT * FROM ({rank_sql('fused', offset + limit)}) WHERE rank > {offset})"""
+def hybrid_sql(limit: int, where: str = "", p: str = "", points: str = "documents", key: str = "doc_id") -> str:
+    """CTEs up to ``{p}hits``: item_id, key, score, rank."""
+    n = retrieve.prefetch(limit)
+    return f"""{scores_sql(p, points, key)},
+{p}lists AS (
+  SELECT item_id, {key}, 1.0::DOUBLE / (60 + rank) AS part FROM ({rank_sql(p + 'dense', n, where, key)})
+  UNION ALL SELECT item_id, {key}, 1.0::DOUBLE / (60 + rank) FROM ({rank_sql(p + 'sparse', n, where, key)})),
+{p}fused AS (SELECT item_id, {key}, sum(part) AS score FROM {p}lists GROUP BY ALL),
+{p}hits AS ({rank_sql(p + 'fused', limit, '', key)})"""
 
 
-@query(f"WITH {SPARSE_SQL} {rank_sql('sparse', 20)}")
+@query(f"WITH {scores_sql()} {rank_sql('sparse', 20)}")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN1: raw counts over shared hashed indices."""
-    return retrieve.ranked(_sparse(spark, sf_dir), "item_id", "doc_id", 20)
+    return _top(spark, sf_dir, "sparse", 20).withColumn("score", F.col("score").cast("long"))
 
 
 @query(
-    f"WITH {DENSE_SQL}, top AS ({rank_sql('dense', 10)}) SELECT item_id, doc_id, round(score, 9) AS score, rank, {clip_sql('text')} AS snippet FROM top JOIN documents USING (doc_id)"
+    f"WITH {scores_sql()}, top AS ({rank_sql('dense', 10)}) SELECT item_id, doc_id, round(score, 9) AS score, rank, {clip_sql('text')} AS snippet FROM top JOIN documents USING (doc_id)"
 )
 def hashed_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN3, FN4, JN2, FN10: cosine over hashed counts as an equi-join on the dimension."""
-    top = retrieve.ranked(_dense(spark, sf_dir), "item_id", "doc_id", 10)
-    return top.join(_docs(spark, sf_dir), "doc_id").select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank", T.clip("text").alias("snippet"))
+    """FN3, FN4, JN2, FN10: cosine over hashed counts."""
+    return _top(spark, sf_dir, "dense", 10).join(_docs(spark, sf_dir), "doc_id").select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank", T.clip("text").alias("snippet"))
 
 
 @query("""
@@ -112,6 +104,17 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, 10).withColumn("score", F.round("score", 9))
 
 
+@query(f"WITH {hybrid_sql(10)} SELECT item_id, doc_id, round(score, 9) AS score, rank FROM hits")
+def embedder_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF1: the same search with an embedder of the caller's: any function of a list of texts."""
+    plain = search.HashedEmbedder()
+
+    def embed(texts: list[str]):
+        return plain(texts)
+
+    return search.hybrid(_docs(spark, sf_dir), "doc_id", "text", _items(spark, sf_dir), "item_id", "asked", 10, embed=embed).withColumn("score", F.round("score", 9))
+
+
 WHERE_FILTER = "JOIN (SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1', 'src2', 'src3')) USING (doc_id)"
 
 
@@ -122,39 +125,64 @@ def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, 10, allowed).withColumn("score", F.round("score", 9))
 
 
+def _materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """material_id, source, material_type (by language), root_path, status (a seventh failed)."""
+    grouped = _docs(spark, sf_dir).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("lang") == "en", "document").when(F.col("lang") == "de", "project").when(F.col("lang") == "fr", "dataset")
+    return grouped.select(_material().alias("material_id"), "source", kind.alias("material_type"), _material().alias("root_path"), F.when(F.col("n") % 7 == 0, "failed").otherwise("ready").alias("status"))
+
+
+MATERIALS_SQL = """materials AS (SELECT source || '/' || lang AS material_id, source, CASE lang WHEN 'en' THEN 'document' WHEN 'de' THEN 'project' WHEN 'fr' THEN 'dataset' END AS material_type,
+  source || '/' || lang AS root_path, CASE WHEN count(*) % 7 = 0 THEN 'failed' ELSE 'ready' END AS status FROM documents GROUP BY source, lang)"""
+
+
+def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses of all materials but the Spanish ones: summary and keywords."""
+    units = _docs(spark, sf_dir).filter("lang <> 'es'").select(_material().alias("material_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = profile.leaf_digests(units, ["material_id"], "doc_id", "text").select("material_id", "summary")
+    words = profile.material_keywords(units, "material_id", "doc_id", "text").select("material_id", F.col("terms").alias("keywords"))
+    return found.join(words, "material_id", "left")
+
+
+ANALYSES_SQL = f"""analyses AS (WITH {profile_plans.KEYWORDS}, {profile_plans.DIGEST},
+  w AS (SELECT material_id, list(f[3] ORDER BY place) AS keywords FROM r WHERE place <= 80 GROUP BY material_id)
+  SELECT material_id, {profile_plans.SUMMARY} AS summary, keywords FROM h LEFT JOIN w USING (material_id) WHERE material_id NOT LIKE '%/es')"""
+
+
 @query(
-    f"""WITH {hybrid_sql(100)}, w AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS total FROM hits)
-SELECT item_id, doc_id, round(score, 9) AS score, rank, total, CAST(ceil(total / 20) AS BIGINT) AS pages, total > 40 AS has_more,
-       source, lang, {clip_sql('text')} AS snippet
-FROM w JOIN documents USING (doc_id) WHERE rank > 20 AND rank <= 40"""
+    f"""WITH {hybrid_sql(100)}, {MATERIALS_SQL}, {ANALYSES_SQL}, counted AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS total FROM hits),
+own AS (SELECT c.*, source || '/' || lang AS material_id, text FROM counted c JOIN documents USING (doc_id) WHERE rank > 20 AND rank <= 40)
+SELECT item_id, doc_id, round(score, 9) AS score, rank, total, CAST(ceil(total / 20) AS BIGINT) AS pages, total > 40 AS has_more, material_id, coalesce(material_type, '') AS material_type, root_path,
+       CASE WHEN a.material_id IS NOT NULL THEN {clip_sql('summary')} ELSE {clip_sql('text')} END AS snippet, array_to_string(coalesce(keywords[:8], []), '|') AS keywords
+FROM own JOIN materials USING (material_id) LEFT JOIN analyses a USING (material_id)"""
 )
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP1, JN4: the second page of 20 of each query's window of 100, enriched."""
-    hits = retrieve.page(_hybrid(spark, sf_dir, 100), "item_id", 20, 20)
-    rich = hits.join(_docs(spark, sf_dir), "doc_id")
-    return rich.select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank", "total", "pages", "has_more", "source", "lang", T.clip("text").alias("snippet"))
+    """TOP1, JN4: the second page of 20 of each query's window of 100, enriched with material and analysis."""
+    hits = retrieve.page(_hybrid(spark, sf_dir, 100), "item_id", 20, 20).join(_docs(spark, sf_dir).select("doc_id", _material().alias("material_id"), F.col("text").alias("content")), "doc_id")
+    rich = retrieve.enrich(hits, _materials(spark, sf_dir), _analyses(spark, sf_dir), "material_id").withColumn("keywords", F.array_join("keywords", "|"))
+    return rich.select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank", "total", "pages", "has_more", "material_id", "material_type", "root_path", "snippet", "keywords")
 
 
-TWO_HOP_SQL = f"""WITH {DENSE_SQL}, m AS (SELECT doc_id, source || '/' || lang AS material_id, source FROM documents),
-cards AS (
-  SELECT item_id, material_id AS doc_id, max(score) AS score FROM dense JOIN m USING (doc_id) GROUP BY ALL),
-hop1 AS ({rank_sql('cards', 5)}),
-inside AS (
-  SELECT item_id, doc_id, score, m.material_id, m.source FROM dense JOIN m USING (doc_id)
-  WHERE (item_id, m.material_id) IN (SELECT (item_id, doc_id) FROM hop1) OR item_id NOT IN (SELECT item_id FROM hop1)),
-units AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM inside) WHERE rank <= 20)"""
+CARDS_SQL = f"""cards AS (WITH {profile_plans.KEYWORDS}, w AS (SELECT material_id, list(f[3] ORDER BY place) AS terms FROM r WHERE place <= 80 GROUP BY material_id)
+  SELECT material_id, trim(array_to_string(list_concat([material_id], terms[:24], terms[:12]), ' ')) AS text FROM w)"""
+INSIDE = """JOIN m USING (doc_id) WHERE (item_id, m.material_id) IN (SELECT (item_id, material_id) FROM c_hits) OR item_id NOT IN (SELECT item_id FROM c_hits)"""
+TWO_HOP_SQL = f"""WITH {CARDS_SQL}, {hybrid_sql(5, p='c_', points='cards', key='material_id')},
+m AS (SELECT doc_id, source || '/' || lang AS material_id, source FROM documents),
+{hybrid_sql(20, INSIDE)},
+units AS (SELECT item_id, doc_id, score, rank, m.material_id, m.source FROM hits JOIN m USING (doc_id))"""
 
 
-def _two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Materials by their best unit, then units inside each query's five best materials."""
-    from quarry.operators.retrieve import ranked, restrict
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _docs(spark, sf_dir).select(_material().alias("material_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = profile.material_keywords(units, "material_id", "doc_id", "text")
+    return words.select("material_id", index.card_text("material_id", "terms", F.slice("terms", 1, 12)).alias("card"))
+
 
-    docs = _docs(spark, sf_dir).select("doc_id", _material().alias("material_id"), "source")
-    scored = _dense(spark, sf_dir).join(docs, "doc_id")
-    cards = scored.groupBy("item_id", "material_id").agg(F.max("score").alias("score"))
-    hop1 = ranked(cards, "item_id", "material_id", 5)
-    return ranked(restrict(scored, hop1, "item_id", "material_id"), "item_id", "doc_id", 20).select("item_id", "doc_id", "score", "material_id", "source", "rank")
+def _two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Materials by their cards, then units inside each query's five best materials, both by hybrid search."""
+    docs = _docs(spark, sf_dir).select("doc_id", _material().alias("material_id"), "source", "text")
+    hits = search.two_hop(docs, "doc_id", "text", _cards(spark, sf_dir), "material_id", "card", _items(spark, sf_dir), "item_id", "asked", 20)
+    return hits.join(docs.drop("text"), "doc_id").select("item_id", "doc_id", "score", "material_id", "source", "rank")
 
 
 @query(TWO_HOP_SQL + " SELECT item_id, doc_id, material_id, round(score, 9) AS score, rank FROM units")
@@ -208,20 +236,14 @@ def scored_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT source, source || '/' || lang AS root_path, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 9 END AS type_rank FROM documents),
-s AS (SELECT a.root_path, list(b.root_path ORDER BY b.type_rank, b.root_path) FILTER (WHERE b.root_path IS NOT NULL) AS names
-      FROM m a LEFT JOIN m b ON a.source = b.source AND a.root_path <> b.root_path GROUP BY a.root_path)
-SELECT root_path, array_to_string(CASE WHEN len(names) > 2 THEN list_append(names[:2], '+' || (len(names) - 2) || ' more') ELSE coalesce(names, []) END, '|') AS siblings FROM s"""
+    f"""WITH {MATERIALS_SQL}, o AS (SELECT *, CASE material_type WHEN 'document' THEN 0 WHEN 'project' THEN 1 WHEN 'dataset' THEN 2 WHEN 'code' THEN 3 ELSE 9 END AS type_rank FROM materials),
+s AS (SELECT a.material_id, list(b.root_path ORDER BY b.type_rank, b.root_path) FILTER (WHERE b.root_path IS NOT NULL) AS names
+      FROM o a LEFT JOIN o b ON a.source = b.source AND a.material_id <> b.material_id AND b.status = 'ready' GROUP BY a.material_id)
+SELECT material_id, array_to_string(CASE WHEN len(names) > 4 THEN list_append(names[:4], '+' || (len(names) - 4) || ' more') ELSE coalesce(names, []) END, '|') AS siblings FROM s"""
 )
 def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN5: other materials of the same source by type rank and path, the first two and a count."""
-    rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(9)
-    m = _docs(spark, sf_dir).select("source", _material().alias("root_path"), rank.alias("type_rank")).distinct()
-    other = m.select("source", F.struct("type_rank", "root_path").alias("o"))
-    own = m.join(other, "source").filter(F.col("root_path") != F.col("o.root_path")).groupBy("root_path").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["root_path"]).alias("names"))
-    more = F.concat(F.slice("names", 1, 2), F.array(F.concat(F.lit("+"), (F.size("names") - 2).cast("string"), F.lit(" more"))))
-    named = m.select("root_path").join(own, "root_path", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-    return named.select("root_path", F.array_join(F.when(F.size("names") > 2, more).otherwise(F.col("names")), "|").alias("siblings"))
+    """JN5: other READY materials of the same source."""
+    return retrieve.siblings(_materials(spark, sf_dir), "material_id", "source").withColumn("siblings", F.array_join("siblings", "|"))
 
 
 @query(
@@ -299,3 +321,35 @@ def eval_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.operators.evaluate import by_mode
 
     return by_mode(_case_scores(spark, sf_dir), ["mode"]).withColumn("mrr", F.round("mrr", 9))
+
+
+CITED = """'doc' || doc_id AS path, 'doc' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' page ' || (doc_id % 5) ELSE ' lines 1-' || (doc_id % 7 + 1) END AS citation,
+  CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 END AS page, CASE WHEN doc_id % 2 = 1 THEN 1 END AS line_start"""
+
+
+@query(
+    f"""WITH {hybrid_sql(5)}, cited AS (SELECT item_id AS case_id, rank, {CITED} FROM hits),
+cases AS (SELECT item_id AS case_id, CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'semantic' END AS mode, 3 + item_id % 3 AS k, text FROM benchmark),
+expect AS (SELECT case_id, doc_id AS expect_no, 'doc' || doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN doc_id % 5 END AS page, doc_id % 2 = 1 AS lines FROM cases JOIN documents ON contains(documents.text, cases.text)),
+met AS (SELECT e.case_id, e.expect_no, c.rank FROM expect e JOIN cases USING (case_id) JOIN cited c ON c.case_id = e.case_id AND c.rank <= k
+  WHERE contains(c.path || ' ' || c.citation, e.path) AND (e.page IS NULL OR e.page IS NOT DISTINCT FROM c.page) AND (NOT e.lines OR c.line_start IS NOT NULL)),
+s AS (SELECT case_id, mode, k, (SELECT count(*) FROM expect e WHERE e.case_id = cases.case_id) AS expected, (SELECT count(DISTINCT expect_no) FROM met WHERE met.case_id = cases.case_id) AS found,
+  coalesce((SELECT min(rank) FROM met WHERE met.case_id = cases.case_id), 0) AS rank FROM cases WHERE mode = 'lexical')
+SELECT *, rank = 1 AS hit_at_1, CASE WHEN expected > 0 THEN round(found / expected, 9) ELSE 0.0 END AS recall FROM s"""
+)
+def selector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN9, UDF5: a selector answers the lexical cases with citations, which are matched by path, page and lines."""
+    from quarry.operators.evaluate import containing, score_selector
+
+    d = F.col("doc_id")
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("semantic").alias("mode"), (3 + F.col("item_id") % 3).alias("k"), F.col("text").alias("query"))
+    pairs = containing(cases.withColumnRenamed("query", "text"), _docs(spark, sf_dir), "case_id", "doc_id")
+    expected = F.struct(F.concat(F.lit("doc"), d.cast("string")).alias("path"), F.when(d % 4 == 0, d % 5).alias("page"), (d % 2 == 1).alias("lines"), F.lit(None).cast("string").alias("section"))
+
+    def select(asked: DataFrame) -> DataFrame:
+        hits = search.hybrid(_docs(spark, sf_dir), "doc_id", "text", asked, "case_id", "query", 5)
+        page, line, path = F.when(d % 2 == 0, d % 5), F.when(d % 2 == 1, F.lit(1)), F.concat(F.lit("doc"), d.cast("string"))
+        return hits.select("case_id", "rank", path.alias("path"), T.format_location(path, page, line, d % 7 + 1).alias("citation"), page.alias("page"), line.alias("line_start"), F.lit(None).cast("string").alias("section"))
+
+    scored = score_selector(cases, pairs.select("case_id", d.alias("expect_no"), expected.alias("expected")), select, ("lexical",))
+    return scored.select("case_id", "mode", "k", "expected", "found", "rank", "hit_at_1", F.round("recall", 9).alias("recall"))

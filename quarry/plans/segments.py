@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import evaluate, index, retrieve, segment
+from quarry.operators import evaluate, search, segment
 from quarry.plans.common import lines_sql, query, tokens_sql
 from quarry.session import table
 
@@ -128,10 +128,9 @@ def block_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str, size: int, cases: DataFrame, expect: DataFrame, asked: DataFrame) -> DataFrame:
     """Hits at 1, mean reciprocal rank and units of one chunk size, by mode."""
-    windows = segment.token_windows(table(spark, sf_dir, "documents"), "doc_id", "text", size).select(F.struct("doc_id", "window_no").alias("unit"), "content")
-    points = index.normed(index.postings(windows, "unit", "content", T.DENSE_DIM), "unit")
-    top = retrieve.ranked(retrieve.cosine_scores(points, asked, "item_id", "unit"), "item_id", "unit", 5)
-    hits = top.groupBy(F.col("item_id").alias("case_id"), F.col("unit.doc_id").alias("doc_id")).agg(F.min("rank").alias("rank"))
+    windows = segment.token_windows(table(spark, sf_dir, "documents"), "doc_id", "text", size).select((F.col("doc_id") * 1_000_000 + F.col("window_no")).alias("unit"), "content")
+    top = search.top_points(windows, "unit", "content", asked, "item_id", "asked", 5, lists=("dense",))
+    hits = top.groupBy(F.col("item_id").alias("case_id"), F.expr("unit div 1000000").alias("doc_id")).agg(F.min("rank").alias("rank"))
     scored = evaluate.by_mode(evaluate.score_cases(cases, expect, hits), ["mode"])
     return scored.crossJoin(F.broadcast(windows.agg(F.count(F.lit(1)).alias("units")))).withColumn("chunk_tokens", F.lit(size))  # one row
 
@@ -142,6 +141,6 @@ def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     cases = b.select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("semantic").alias("mode"), "text")
     expect = evaluate.containing(cases, table(spark, sf_dir, "documents"), "case_id", "doc_id")
-    asked = index.normed(index.postings(b, "item_id", "text", T.DENSE_DIM), "item_id")
+    asked = b.select("item_id", F.col("text").alias("asked"))
     parts = [_scored(spark, sf_dir, size, cases.select("case_id", "mode"), expect, asked) for size in (256, 1024)]
     return parts[0].unionByName(parts[1])
