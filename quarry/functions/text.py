@@ -56,6 +56,12 @@ def collapse(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?U)\s+", " "))
 
 
+def cut_off(text: str | Column, n: int) -> Column:
+    """At most ``n`` characters; a longer text ends in an ellipsis."""
+    t = col(text)
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 1), F.lit("…")))
+
+
 def clip(text: str | Column, n: int = SNIPPET, collapsed: bool = True) -> Column:
     """White space collapsed, cut to ``n`` characters with an ellipsis."""
     t = collapse(text) if collapsed else col(text)
@@ -99,10 +105,15 @@ def imports(text: str | Column) -> Column:
     return F.transform(whole, lambda m: F.regexp_extract(m, r"^(?:from|import)\s+([\w]*)", 1))
 
 
-def keywords(text: str | Column) -> Column:
-    """Headings, then words of three or more characters outside the stop list; not yet unique."""
+def plain_keywords(text: str | Column) -> Column:
+    """Words of three or more characters outside the stop list, in order."""
     found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(KEYWORD), F.lit(0))
-    return F.concat(headings(text), F.filter(found, lambda w: ~F.lower(w).isin(*KEYWORD_STOP)))
+    return F.filter(found, lambda w: ~F.lower(w).isin(*KEYWORD_STOP))
+
+
+def keywords(text: str | Column) -> Column:
+    """Headings, then words; not yet unique."""
+    return F.concat(headings(text), plain_keywords(text))
 
 
 def unique(items: str | Column, limit: int) -> Column:
@@ -152,5 +163,20 @@ def stem(path: str | Column) -> Column:
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+$", "")
 
 
+# The material types.
+MATERIAL_TYPES = ("document", "project", "dataset", "code", "image", "presentation", "spreadsheet", "configuration", "unknown")
+
+
+def normalized_type(value: str | Column) -> Column:
+    """Trimmed and lower-cased, null if blank."""
+    return F.nullif(F.lower(F.trim(col(value))), F.lit(""))
+
+
+def checked_type(value: str | Column) -> Column:
+    """Like :func:`normalized_type`; a type that does not exist ends the query with an error."""
+    kind = normalized_type(value)
+    return F.when(kind.isNull() | kind.isin(*MATERIAL_TYPES), kind).otherwise(F.raise_error(F.concat(F.lit("unknown material_type: "), col(value))).cast("string"))
+
+
 def run_key(material, version) -> Column:
     return F.concat_ws(":", col(material).cast("string"), col(version).cast("string"))

@@ -95,7 +95,7 @@ def decide(path: str | Column, sniffed: str | Column) -> Column:
         suffix_format(path),
         F.when(s.isin("7z", "gzip", "zip", "tar"), pair("expand", s)),
         F.when(s.isin("elf", "pe", "macho"), pair("file", F.lit("binary"))),
-        F.when(s == "ole", pair("file", F.lit("doc"))),
+        F.when(s == "ole", pair("file", F.lit("installer"))),
         pair("file", F.lit("file")),
     )
 
@@ -284,6 +284,97 @@ def package_contents(members: DataFrame) -> DataFrame:
     return members.groupBy("archive").agg(listed(module).alias("modules"), listed(java).alias("packages"), F.count_if(name.endswith(".py")).alias("py"), F.count_if(name.endswith(".class")).alias("classes"))
 
 
+def material_name(root_path: str | Column, title: str | Column) -> Column:
+    """The package's title, else the last part of the path."""
+    path = F.rtrim(T.col(root_path), F.lit("/"))
+    return F.coalesce(F.nullif(F.trim(T.col(title)), F.lit("")), F.nullif(T.file_name(path), F.lit("")), T.col(root_path))
+
+
+MAX_NESTING = 5
+
+
+def nested_nodes(files: DataFrame, path: str, is_dir: str) -> DataFrame:
+    """Files and folders found inside archives: logical_path (folders end in ``/``), depth, origin (logical paths of the
+    enclosing archives, outermost first) and rejected (more than ``MAX_NESTING`` archives around it)."""
+    own = parts(F.rtrim(T.col(path), F.lit("/")))
+    leaf = F.when(F.col(is_dir), F.concat(F.rtrim(T.col(path), F.lit("/")), F.lit("/"))).otherwise(F.col(path))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 1, F.lit(1))), lambda i: F.array_join(F.slice(own, F.lit(1), i), "/"))
+    archives = F.when(F.size(own) > 1, F.filter(above, lambda x: suffix_format(x)["action"] == "expand")).otherwise(F.array().cast("array<string>"))
+    out = files.withColumn("logical_path", leaf).withColumn("depth", F.size(own) - 1).withColumn("origin", archives)
+    return out.withColumn("rejected", F.size("origin") > MAX_NESTING)
+
+
+ARTIFACTS, BINARIES, OFFICE = HINT_TYPES["code"], HINT_TYPES["unknown"], ("xlsx", "pptx")
+
+
+def unit_shape(material_type: str | Column, subtype: str | Column, suffix: str | Column) -> Column:
+    """Which kind of units a file gives; the first rule that holds decides."""
+    t, s, x = T.col(material_type), F.coalesce(T.col(subtype), F.lit("")), T.col(suffix)
+    by_suffix = F.when(x == ".pdf", "pages").when(x.isin(*CSV), "table").when(x.isin(".docx", ".docm"), "sections").otherwise("text")
+    return (
+        F.when(t == "project", "project").when(t == "dataset", "table").when((t == "document") & (s == "pdf"), "pages")
+        .when(s.isin("docx", "docm"), "sections").when(s == "doc", "legacy").when(s.isin(*ARTIFACTS), "artifact").when(s.isin(*OFFICE), "office").when(s.isin(*BINARIES), "binary")
+        .when(t.isin("document", "code"), "text").otherwise(by_suffix)
+    )
+
+
+def extract_units(files: DataFrame, material: str, path: str, text: str) -> DataFrame:
+    """Units of files(material, type, subtype, path, text): material, path, shape, unit_type, content, line_start, line_end.
+
+    One CASE decides each file's shape. Projects give their eligible files, datasets their column names, texts
+    themselves; packages, office and binary files one stub each. Pages and sections need a decoder's rows and
+    are not among them.
+    """
+    own = files.withColumn("_x", T.suffix(path)).withColumn("shape", unit_shape("type", "subtype", "_x"))
+    own = own.filter(~F.col("shape").isin("pages", "sections") & ((F.col("shape") != "project") | eligible(path)))
+    header = F.coalesce(F.get(T.lines(text), F.lit(0)), F.lit(""))
+    columns = F.filter(F.transform(F.when(F.col("_x") == ".tsv", F.split(header, "\t")).otherwise(F.split(header, ",")), lambda v: F.trim(v)), lambda x: x != "")
+    stub = (
+        F.when(F.col("shape") == "legacy", "Legacy Word document (doc)").when(F.col("shape") == "office", F.concat(F.lit("Office document ("), "subtype", F.lit(")")))
+        .when(F.col("shape") == "binary", F.concat(F.lit("Binary or installer ("), "subtype", F.lit(")"))).when(F.col("shape") == "artifact", F.col("subtype"))
+    )
+    whole = F.col("shape").isin("project", "text")
+    content = F.when(whole, F.col(text)).when(F.col("shape") == "table", F.array_join(columns, ", ")).otherwise(stub)
+    kind = F.when(F.col("shape") == "legacy", "office").otherwise(F.col("shape"))
+    return own.select(material, path, "shape", kind.alias("unit_type"), content.alias("content"), F.when(whole, F.lit(1)).alias("line_start"), F.when(whole, T.line_count(text)).alias("line_end"))
+
+
+def describe(material_type: str | Column, subtype: str | Column, units: str | Column, files: str | Column) -> Column:
+    """One line about a material by its type."""
+    t, u, f = T.col(material_type), T.col(units), T.col(files)
+    counted = lambda n, one, many: F.concat(n.cast("string"), F.when(n == 1, one).otherwise(many))
+    return (
+        F.when((t == "document") & (T.col(subtype) == "pdf"), counted(u, " page PDF", " pages PDF"))
+        .when(t == "project", F.concat(F.coalesce(F.nullif(T.col(subtype), F.lit("")), F.lit("software")), F.lit(" project, "), counted(f, " citable file", " citable files")))
+        .when(t == "dataset", F.concat(F.lit("CSV dataset, "), counted(f, " file", " files")))
+        .otherwise(F.concat(counted(u, " content unit", " content units")))
+    )
+
+
+def discovery_errors(materials: DataFrame, expected: DataFrame) -> DataFrame:
+    """(rule, key, detail) for materials(root_path, material_type) against expected(path, material_type): ``missing`` for
+    a path that no material matches, ``type`` for a material of another type than its path asks for, ``vendor`` and
+    ``tests`` for trees that must not become materials.
+
+    A path matches if it is equal, lies below (``/`` at the end), is one part of the other, or ends it. Every
+    rule is an equi-join on the keys that a root path offers.
+    """
+    root = F.col("root_path")
+    pairs = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("key")))
+    tails = F.transform(F.sequence(F.lit(1), F.length(root)), lambda i: F.substr(root, i))
+    offered = F.concat(pairs("below", ancestors(F.concat(F.rtrim(root, F.lit("/")), F.lit("/x")))), pairs("part", F.split(root, "/")), pairs("end", tails))
+    keys = materials.filter("root_path <> ''").select(F.explode(offered).alias("k")).select("k.*").distinct()
+    e = F.col("path")
+    asked = F.array(F.struct(F.lit("below").alias("kind"), F.when(e.endswith("/"), e).alias("key")), F.struct(F.lit("part").alias("kind"), F.rtrim(e, F.lit("/")).alias("key")), F.struct(F.lit("end").alias("kind"), e.alias("key")))
+    met = expected.select("path", F.explode(asked).alias("k")).select("path", "k.*").join(keys, ["kind", "key"]).select("path").distinct()
+    missing = expected.join(met, "path", "left_anti").select(F.lit("missing").alias("rule"), F.col("path").alias("key"), F.lit("").alias("detail"))
+    wanted = expected.filter("material_type is not null").select(F.col("path").alias("root_path"), F.col("material_type").alias("want"))
+    wrong = materials.join(wanted, "root_path").filter("not material_type <=> want").select(F.lit("type"), root, F.concat(F.coalesce("material_type", F.lit("none")), F.lit(" expected "), "want"))
+    vendor = materials.filter(F.arrays_overlap(F.split(root, "/"), F.array(*map(F.lit, ("node_modules", ".venv", "venv"))))).select(F.lit("vendor"), root, F.lit(""))
+    tests = materials.filter(F.rtrim(root, F.lit("/")).endswith("/tests") | (root == "tests/")).select(F.lit("tests"), root, F.lit(""))
+    return missing.union(wrong).union(vendor).union(tests)
+
+
 def skipped_files(files: DataFrame, units: DataFrame, material: str, path: str, limit: int = 30) -> DataFrame:
     """Files of a material without any unit, the first ``limit`` by path."""
     none = files.join(units.select(material, path), [material, path], "left_anti")

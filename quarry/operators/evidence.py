@@ -70,6 +70,33 @@ def allowed_citations(citations: DataFrame, evidence: DataFrame) -> DataFrame:
     return citations.filter(ok).join(keys, same, "left_semi")
 
 
+def valid_findings(found: DataFrame, evidence: DataFrame, finding: str) -> DataFrame:
+    """Findings with at least one eligible item among their evidence.
+
+    found(finding, supporting array, contradicting array, ...), evidence(evidence_id and the location columns).
+    """
+    ok = evidence.filter(unit_ok("citation", "path", "page", "line_start", "line_end")).select(F.col("evidence_id").alias("_e")).distinct()
+    cited = found.select(finding, F.explode(F.array_distinct(F.concat("supporting", "contradicting"))).alias("_e"))
+    return found.join(cited.join(ok, "_e").select(finding).distinct(), finding, "left_semi")
+
+
+def valid_sections(sections: DataFrame, evidence: DataFrame, citations: DataFrame, run: str, section: str) -> DataFrame:
+    """Sections with their eligible citation keys only; one that is left without keys, in a run without any eligible
+    citation, has the fixed body.
+
+    sections(run, section, keys array, body, ...), evidence(evidence_id and locations), citations(run, ...): the report's
+    citations after :func:`allowed_citations`.
+    """
+    ok = evidence.filter(unit_ok("citation", "path", "page", "line_start", "line_end")).select(F.col("evidence_id").alias("_e")).distinct()
+    keyed = sections.select(run, section, F.posexplode("keys").alias("_p", "_e")).join(ok, "_e")
+    kept = keyed.groupBy(run, section).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_e"))), lambda x: x["_e"]).alias("_keys"))
+    cited = citations.filter(unit_ok("citation", "path", "page", "line_start", "line_end")).select(run, F.lit(True).alias("_cited")).distinct()
+    j = sections.join(kept, [run, section], "left").join(cited, run, "left")
+    bare = F.col("_keys").isNull() & F.col("_cited").isNull() & ~F.col("body").contains("No evidence")
+    j = j.withColumn("body", F.when(bare, F.lit(NO_EVIDENCE)).otherwise(F.col("body")))
+    return j.withColumn("keys", F.coalesce("_keys", F.slice("keys", 1, 0))).drop("_keys", "_cited")
+
+
 def sections(questions: DataFrame, found: DataFrame, question: str) -> DataFrame:
     """Body of each question's section: its claim, or the fixed line without evidence."""
     return questions.join(found.select(question, "claim"), question, "left").withColumn("body", F.coalesce("claim", F.lit(NO_EVIDENCE))).drop("claim")

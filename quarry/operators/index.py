@@ -36,7 +36,14 @@ def unit_text(metadata: dict[str, str | Column], lists: dict[str, str | Column],
     """Non-blank metadata values, up to 24 items of each list, then the content."""
     own = [F.nullif(F.trim(T.col(v)), F.lit("")) for v in metadata.values()]
     many = [F.array_join(F.filter(F.slice(T.col(v), 1, 24), lambda x: x != ""), " ") for v in lists.values()]
-    return F.trim(F.concat_ws(" ", *own, *[F.nullif(m, F.lit("")) for m in many], T.col(content)))
+    return F.regexp_replace(F.concat_ws(" ", *own, *[F.nullif(m, F.lit("")) for m in many], T.col(content)), r"(?U)^\s+|\s+$", "")
+
+
+def merge_metadata(units: DataFrame, extra: DataFrame, path: str, metadata: str) -> DataFrame:
+    """Units with the fields of ``extra(path, fields map)`` of their file; these win over fields of the same name."""
+    j = units.join(extra.select(path, F.col("fields").alias("_f")), path, "left")
+    given = F.coalesce("_f", F.create_map().cast("map<string,string>"))
+    return j.withColumn(metadata, F.map_concat(F.map_filter(metadata, lambda k, _: ~F.map_contains_key(given, k)), given)).drop("_f")
 
 
 def card_text(root: str | Column, keywords: str | Column, topics: str | Column) -> Column:
@@ -48,3 +55,13 @@ def card_text(root: str | Column, keywords: str | Column, topics: str | Column)
 def replace_points(old: DataFrame, new: DataFrame, key: str = "material_id") -> DataFrame:
     """All points of the materials in ``new`` are replaced, the others stay."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def count_points(points: DataFrame, key: str = "material_id") -> DataFrame:
+    """Points of every material."""
+    return points.groupBy(key).agg(F.count(F.lit(1)).alias("points"))
+
+
+def wipe(points: DataFrame) -> DataFrame:
+    """The empty index with the same columns."""
+    return points.filter(F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,37 +57,60 @@ def summary(text: str | Column, n: int = 2, limit: int = 400) -> Column:
     return F.substring(F.array_join(F.slice(sentences(text), 1, n), " "), 1, limit)
 
 
-def leaf_digests(units: DataFrame, group: list[str], pos: str, text: str) -> DataFrame:
-    """One extractive digest per group of units: summary of the first two, keywords, counts, range."""
+def leaf_digests(units: DataFrame, group: list[str], pos: str, text: str, page: str | None = None, path: str | None = None) -> DataFrame:
+    """One extractive digest per group of units: summary of the first two, first 8 headings, 12 topics and 20 keywords
+    (headings of the whole group first, then its words), page range or first and last path, counts, range.
+
+    Only the first two texts, the first headings and the terms of a group are gathered, cut before they are.
+    """
     filled = F.when(F.trim(text) != "", F.col(text))
     nth = F.row_number().over(Window.partitionBy(*group).orderBy(pos))
-    placed = units.withColumn("_n", nth).withColumn("tokens", T.token_count(text))
-    head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 2, F.struct("_n", filled.alias("t"))))), lambda x: x["t"]), "\n")
-    terms = unit_keywords(placed, [*group, pos], text, 20)
-    gkey = F.struct(*group)
-    words = ordered_unique(terms.withColumn("_g", gkey), "_g", "term", [pos, "i"], 20).select(*[F.col(f"_g.{g}").alias(g) for g in group], F.col("terms").alias("keywords"))
-    out = placed.groupBy(*group).agg(summary(head).alias("summary"), F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("units"), F.sum("tokens").alias("tokens"))
-    return out.join(words, group, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    slim = units.select(*group, pos, F.col(text).alias("_x"), *([F.col(page).alias("_page")] if page else []), *([F.nullif(path, F.lit("")).alias("_path")] if path else []))
+    numbered = slim.select(*group, pos).withColumn("_n", nth).filter("_n <= 2")
+    heads = slim.join(numbered, [*group, pos]).withColumn("t", F.when(F.trim("_x") != "", F.col("_x")))
+    head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("_n", "t")))), lambda x: x["t"]), "\n")
+    summaries = heads.groupBy(*group).agg(summary(head).alias("summary"))
+    gkey = F.struct(*group).alias("_g")
+    titled = slim.select(gkey, pos, F.posexplode(F.slice(F.filter(T.headings("_x"), lambda x: x != ""), 1, 8)).alias("i", "term"))
+    first = titled.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(pos, "i"))).filter("_n <= 8")
+    ungroup = lambda df, *c: df.select(*[F.col(f"_g.{g}").alias(g) for g in group], *c)
+    headed = ungroup(first.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]).alias("headings")), "headings")
+    terms = slim.select(gkey, pos, F.explode(F.array(F.struct(F.lit(0).alias("part"), T.unique(T.headings("_x"), 20).alias("w")), F.struct(F.lit(1).alias("part"), T.unique(T.plain_keywords("_x"), 40).alias("w")))).alias("p"))
+    terms = terms.select("_g", pos, "p.part", F.posexplode("p.w").alias("i", "term"))
+    words = ungroup(ordered_unique(terms, "_g", "term", ["part", pos, "i"], 20), F.col("terms").alias("keywords"))
+    ranges = [F.min("_page").alias("page_start"), F.max("_page").alias("page_end")] if page else []
+    ranges += [F.min_by("_path", F.when(F.col("_path").isNotNull(), F.col(pos))).alias("path_start"), F.max_by("_path", F.when(F.col("_path").isNotNull(), F.col(pos))).alias("path_end")] if path else []
+    out = slim.groupBy(*group).agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("units"), F.sum(T.token_count("_x")).alias("tokens"), *ranges)
+    if page and path:
+        out = out.withColumns({c: F.when(F.col("page_start").isNull(), F.col(c)) for c in ("path_start", "path_end")})
+    out = out.join(summaries, group, "left").join(headed, group, "left").join(words, group, "left")
+    none = F.array().cast("array<string>")
+    return out.withColumn("headings", F.coalesce("headings", none)).withColumn("keywords", F.coalesce("keywords", none)).withColumn("topics", F.slice("keywords", 1, 12))
 
 
 def reduce_digests(leaves: DataFrame, key: str, group_no: str, fan_in: int = 8) -> DataFrame:
-    """Merge ``fan_in`` consecutive digests until one remains per key.
+    """Merge ``fan_in`` consecutive digests until one remains per key: joined summaries (800 characters), 12 unique points,
+    topics and titles, 40 keywords, page range.
 
     The number of rounds follows from the largest number of groups: one small aggregate, then a plan
     of that many levels.
     """
     fan_in = max(fan_in, 2)
     most = (leaves.agg(F.max(group_no)).first()[0] or 0) + 1
-    now = leaves.withColumnRenamed(group_no, "g")
+    now = leaves.withColumnRenamed(group_no, "g").withColumn("points", F.col("headings")).withColumnRenamed("headings", "titles")
+    pages = [f(c).alias(c) for c, f in (("page_start", F.min), ("page_end", F.max)) if c in leaves.columns]
+    lists = {"points": 12, "topics": 12, "titles": 12, "keywords": 40}
+    columns = ["summary", "first", "last", "units", "tokens", *[c for c in ("page_start", "page_end") if c in leaves.columns], *lists]
     for _ in range(math.ceil(round(math.log(most, fan_in), 9)) if most > 1 else 0):
         parent = F.floor(F.col("g") / fan_in)
         listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("g", c))), lambda x: x[c])
-        now = now.groupBy(key, parent.alias("p")).agg(
-            F.count(F.lit(1)).alias("n"), listed("summary").alias("ss"), listed("keywords").alias("ks"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("units").alias("units"), F.sum("tokens").alias("tokens"),
+        merged = now.groupBy(key, parent.alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), listed("summary").alias("ss"), *[F.flatten(listed(c)).alias(f"_{c}") for c in lists], *[F.first(c).alias(f"one_{c}") for c in lists],
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("units").alias("units"), F.sum("tokens").alias("tokens"), *pages,
         )
-        merged = F.substring(F.array_join(F.filter("ss", lambda s: F.trim(s) != ""), " "), 1, 800)
-        now = now.select(key, F.col("p").alias("g"), merged.alias("summary"), "first", "last", "units", "tokens", T.unique(F.flatten("ks"), 40).alias("keywords"))
-    return now.drop("g")
+        joined = F.substring(F.array_join(F.filter(F.transform("ss", lambda s: F.trim(s)), lambda s: s != ""), " "), 1, 800)
+        now = merged.withColumn("summary", joined).withColumns({c: T.unique(f"_{c}", n) for c, n in lists.items()}).select(key, F.col("p").alias("g"), *columns)
+    return now.select(key, *columns)
 
 
 def coverage(kind: Column, tokens: Column, deep: Column, scanned: Column, units: Column) -> Column:
@@ -100,16 +124,31 @@ def coverage(kind: Column, tokens: Column, deep: Column, scanned: Column, units:
     )
 
 
-def inventory(files: DataFrame, material: str, path: str, text: str) -> DataFrame:
-    """Per eligible file: language, role, subsystem, first 12 imports, 8 functions and 8 classes."""
+def inventory(files: DataFrame, material: str, path: str, text: str, *more: str) -> DataFrame:
+    """Per eligible file: language, role, subsystem, first 12 imports, 8 functions and 8 classes; ``more`` columns follow."""
     s = T.suffix(path)
     symbols = F.concat(F.slice(F.regexp_extract_all(text, F.lit(T.FUNCTION), F.lit(1)), 1, 8), F.slice(F.regexp_extract_all(text, F.lit(T.CLASS), F.lit(1)), 1, 8))
     return files.filter(C.eligible(path)).select(
         material, path, C.mapped(s, LANGUAGES, F.regexp_replace(s, r"^\.", "")).alias("language"), C.role(path, text).alias("role"), C.subsystem(path).alias("subsystem"),
-        F.slice(T.imports(text), 1, 12).alias("imports"), symbols.alias("symbols"),
+        F.slice(T.imports(text), 1, 12).alias("imports"), symbols.alias("symbols"), *more,
     )
 
 
+def inventory_rollup(records: DataFrame, material: str, path: str, pos: str) -> DataFrame:
+    """Per material of :func:`inventory` rows with their position: languages (name, files; by name), the first 24
+    subsystems, 8 entry points and 30 imports."""
+    counted = records.groupBy(material, "language").agg(F.count(F.lit(1)).alias("files"))
+    languages = counted.groupBy(material).agg(F.array_sort(F.collect_list(F.struct("language", "files"))).alias("languages"))
+    sub = ordered_unique(records.filter("subsystem is not null"), material, "subsystem", [pos], 24).withColumnRenamed("terms", "subsystems")
+    deps = ordered_unique(records.select(material, pos, F.posexplode("imports").alias("i", "term")), material, "term", [pos, "i"], 30).withColumnRenamed("terms", "dependencies")
+    entry = records.filter("role = 'entry'").withColumn("_n", F.row_number().over(Window.partitionBy(material).orderBy(pos))).filter("_n <= 8")
+    entries = entry.groupBy(material).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", path))), lambda x: x[path]).alias("entry_points"))
+    out = languages
+    for part in (sub, entries, deps):
+        out = out.join(part, material, "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("subsystems", "entry_points", "dependencies")})
+
+
 def entities(units: DataFrame, key: str, pos: str, path: str, text: str, limit: int = 24) -> DataFrame:
     """(key, place, kind, name): headings, functions, classes and exports, distinct by kind and lower-cased
     name in first-seen order."""
@@ -135,6 +174,9 @@ def grounded(requested: DataFrame, pool: DataFrame, key: str, limit: int) -> Dat
     return ordered_unique(both, key, "term", ["part", "pos"], limit)
 
 
+PACKAGE_NAME = r"(?m)^name\s*=\s*['\"]([^'\"]+)['\"]"
+
+
 def dependencies(files: DataFrame, material: str, path: str, text: str, pos: str, limit: int = 30) -> DataFrame:
     """Dependencies of package.json, requirements.txt and go.mod files, unique per material."""
     name = F.lower(T.file_name(path))
@@ -147,6 +189,78 @@ def dependencies(files: DataFrame, material: str, path: str, text: str, pos: str
     return ordered_unique(rows, material, "term", ["_p", "i"], limit)
 
 
+def identity(files: DataFrame, material: str, path: str, text: str, pos: str) -> DataFrame:
+    """Per project: language by the first marker in order of priority, first package name of its manifests (package.json,
+    pyproject.toml, Cargo.toml, go.mod), dependencies.
+
+    Names of TOML files are those of their first ``name = "..."`` line.
+    """
+    name, low = T.file_name(path), F.lower(T.file_name(path))
+    rank = C.mapped(name, {m: i for i, m in enumerate(C.MARKERS)})
+    package = (
+        F.when(low == "package.json", F.get_json_object(text, "$.name")).when(low.isin("pyproject.toml", "cargo.toml"), F.regexp_extract(text, PACKAGE_NAME, 1))
+        .when(low == "go.mod", F.regexp_extract(text, r"(?m)^module\s+(\S+)", 1))
+    )
+    own = files.select(material, rank.alias("_r"), F.col(pos).alias("_p"), F.nullif(F.trim(package), F.lit("")).alias("_n"), C.mapped(name, C.MARKERS).alias("_l"))
+    found = own.groupBy(material).agg(F.min_by("_l", "_r").alias("language"), F.min_by("_n", F.when(F.col("_n").isNotNull(), F.col("_p"))).alias("package"))
+    deps = dependencies(files, material, path, text, pos).withColumnRenamed("terms", "dependencies")
+    return found.join(deps, material, "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))
+
+
+def technologies(materials: DataFrame, known: DataFrame, rollup: DataFrame, units: DataFrame, material: str, pos: str, text: str) -> DataFrame:
+    """First 8 distinct of subtype, dependencies, languages and imports of the units, in this order."""
+    item = lambda df, part, col: df.select(material, F.lit(part).alias("part"), F.lit(0).cast("long").alias("at"), F.posexplode(col).alias("i", "term"))
+    some = item(materials, 0, F.array("subtype")).unionByName(item(known, 1, F.col("dependencies"))).unionByName(item(rollup, 2, F.transform("languages", lambda x: x["language"])))
+    imported = units.select(material, F.lit(3).alias("part"), F.col(pos).cast("long").alias("at"), F.posexplode(F.array_distinct(T.imports(text))).alias("i", "term"))
+    return ordered_unique(some.unionByName(imported).filter("term is not null"), material, "term", ["part", "at", "i"], 8).withColumnRenamed("terms", "technologies")
+
+
+def titles(materials: DataFrame, known: DataFrame, units: DataFrame, material: str, pos: str, text: str) -> DataFrame:
+    """(material, title): the package with its version, a unit's title, the first heading of the first four units, or the
+    material's name. materials(material, name, version), units(material, pos, title, text)."""
+    first = units.withColumn("_n", F.row_number().over(Window.partitionBy(material).orderBy(pos))).filter("_n <= 4")
+    heading = F.get(F.filter(T.headings(text), lambda x: x != ""), F.lit(0))
+    headed = first.select(material, pos, heading.alias("_h")).groupBy(material).agg(F.min_by("_h", F.when(F.col("_h").isNotNull(), F.col(pos))).alias("_heading"))
+    own = F.nullif(F.trim("title"), F.lit(""))
+    titled = units.groupBy(material).agg(F.min_by(own, F.when(own.isNotNull(), F.col(pos))).alias("_title"))
+    j = materials.join(known.select(material, "package"), material, "left").join(titled, material, "left").join(headed, material, "left")
+    package = F.when(F.trim(F.coalesce("version", F.lit(""))) != "", F.concat_ws(" ", F.col("package"), F.trim("version"))).otherwise(F.col("package"))
+    return j.select(material, F.coalesce(F.when(F.col("package").isNotNull(), package), "_title", "_heading", "name").alias("title"))
+
+
+def analyze(materials: DataFrame, units: DataFrame, files: DataFrame, material: str) -> DataFrame:
+    """The built-in analyzer: title, summary, purpose, topics, keywords, technologies, capabilities, relevance per material.
+
+    materials(material, name, version, material_type, subtype), units(material, pos, title, text), files(material, path,
+    pos, text). Any function of these three tables and the name of the key that returns one row per material can
+    take its place (``analyzed``).
+    """
+    leaf = leaf_digests(units, [material], "pos", "text")
+    pool = material_keywords(units, material, "pos", "text").withColumnRenamed("terms", "_pool")
+    records = inventory(files.withColumn("_pos", F.col("pos")), material, "path", "text", "_pos")
+    rollup, known = inventory_rollup(records, material, "path", "_pos"), identity(files, material, "path", "text", "pos")
+    j = materials
+    for part in (
+        leaf.select(material, "summary", F.col("topics").alias("_topics"), "units"), pool, rollup.select(material, "entry_points"),
+        technologies(materials, known, rollup, units, material, "pos", "text"), titles(materials, known, units, material, "pos", "text"),
+    ):
+        j = j.join(part, material, "left")
+    none = F.array().cast("array<string>")
+    words = F.coalesce("_pool", none)
+    fallback = F.concat(F.coalesce("units", F.lit(0)).cast("string"), F.lit(" "), F.coalesce("material_type", F.lit("unknown")), F.when(F.col("units") == 1, " unit").otherwise(" units"))
+    return j.select(
+        material, "title", F.coalesce(F.nullif(F.trim("summary"), F.lit("")), fallback).alias("summary"), C.mapped(F.col("material_type"), PURPOSE).alias("purpose"),
+        T.unique(F.concat(F.coalesce("_topics", none), F.slice(words, 1, 8)), 12).alias("topics"), F.slice(words, 1, 25).alias("keywords"), F.coalesce("technologies", none).alias("technologies"),
+        T.unique(F.coalesce("entry_points", none), 12).alias("capabilities"), C.mapped(F.col("material_type"), RELEVANCE, F.lit(0.4)).alias("relevance"),
+    )
+
+
+def analyzed(materials: DataFrame, units: DataFrame, files: DataFrame, material: str, analyzer: Callable[[DataFrame, DataFrame, DataFrame, str], DataFrame] = analyze) -> DataFrame:
+    """Analyzer hook: its rows, relevance brought into 0 to 1; materials it left out get an empty analysis."""
+    found = analyzer(materials, units, files, material)
+    return materials.select(material).join(found, material, "left").withColumn("relevance", T.clamp_relevance(F.col("relevance").cast("string"), 0.4))
+
+
 def csv_profile(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     """Data rows and the first 40 non-blank column names of CSV and TSV files."""
     own = T.lines(text)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.corpus import HINT_TYPES
 
 # What starts a symbol in each language.
 MARKS = {
@@ -151,21 +152,52 @@ def number_chunks(units: DataFrame, key: str, order: list[str]) -> DataFrame:
     return units.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
-def strategy(material_type: str | Column, subtype: str | Column, headed: str | Column) -> Column:
-    """How a material is cut."""
-    t, s = T.col(material_type), T.col(subtype)
+def strategy(material_type: str | Column, subtype: str | Column, headed: str | Column, symbols: str | Column) -> Column:
+    """How a unit is cut; ``headed``: its material has sections, ``symbols``: it has top-level symbols."""
+    t, s = T.col(material_type), F.coalesce(T.col(subtype), F.lit(""))
+    sections = F.when(T.col(headed), "document.sections").otherwise("document.window")
     return (
-        F.when(s.isin("python_wheel", "python_egg", "java_jar", "java_war", "nuget", "node_tarball"), "artifact")
-        .when(s.isin("installer", "binary", "android_apk", "ios_ipa", "appx", "xlsx", "pptx"), "stub")
+        F.when(s.isin(*HINT_TYPES["code"]), "artifact")
+        .when(s.isin(*HINT_TYPES["unknown"], "xlsx", "pptx", "doc"), "stub")
         .when((t == "document") & (s == "pdf"), "document.pages")
-        .when((t == "document") & s.isin("docx", "docm", "markdown"), F.when(T.col(headed), "document.sections").otherwise("document.window"))
+        .when((t == "document") & s.isin("docx", "docm", "markdown"), sections)
         .when(t == "document", "document.window")
         .when(t == "dataset", "table")
-        .when(t.isin("project", "code"), "code")
+        .when(t.isin("project", "code"), F.when(T.col(symbols), "code.symbol").otherwise("code.file"))
         .otherwise("passthrough")
     )
 
 
+def cut_units(units: DataFrame, key: str, material: str, order: list[str], size: int = 512, overlap: int = 64) -> DataFrame:
+    """Units cut by the strategy of their material and numbered per material: the key and material, strategy, section,
+    part, chunk_key, line_start, line_end, content, chunk_index.
+
+    units(key, material, material_type, subtype, path, page, section, line_start, content and the ``order`` columns).
+    Markdown texts are split into sections and code into symbols first; what then has at most ``size`` tokens passes
+    through, the rest is cut into windows. Lines count from the unit's first line; a page keeps its number.
+    """
+    own = units.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("line_start", F.coalesce("line_start", F.lit(1)))
+    markdown = (F.col("material_type") == "document") & (F.col("subtype") == "markdown")
+    code = F.col("material_type").isin("project", "code") & ~F.coalesce("subtype", F.lit("")).isin(*HINT_TYPES["code"], *HINT_TYPES["unknown"])
+    piece = lambda df, n, name, text: df.select(key, F.col(n).cast("long").alias("part"), F.col(name).alias("_section"), F.col(text).alias("_text"), F.col("line_start").alias("_from"), F.col("line_end").alias("_to"))
+    split = piece(markdown_sections(own.filter(markdown), key, "content"), "section_no", "heading", "content")
+    split = split.unionByName(piece(symbols(own.filter(code), key, "path", "content"), "part", "symbol", "content"))
+    j = own.join(split, key, "left")
+    headed = F.max(F.coalesce(F.when(markdown, F.col("_section")), F.when(~markdown & ~code, F.col("section"))).isNotNull())
+    j = j.join(j.groupBy(key).agg(headed.alias("_own")), key).join(j.groupBy(material).agg(headed.alias("_headed")), material)
+    # A markdown unit is headed by itself, other documents by any unit of their material.
+    j = j.withColumn("strategy", strategy("material_type", "subtype", F.when(markdown, F.col("_own")).otherwise(F.col("_headed")), code & F.col("_text").isNotNull()))
+    j = j.withColumn("section", F.coalesce(F.col("_section"), F.col("section"))).withColumn("_base", F.col("line_start") + F.coalesce("_from", F.lit(1)) - 1)
+    j = j.withColumn("content", F.coalesce("_text", "content")).withColumn("part", F.coalesce("part", F.lit(0).cast("long"))).withColumn("_id", F.struct(key, "part"))
+    fits = (T.token_count("content") <= size) | F.col("strategy").isin("artifact", "stub", "passthrough")
+    columns = [key, material, "strategy", "section", "part", "page", *[c for c in order if c not in (key, material)]]
+    whole = j.filter(fits).select(*columns, F.lit(0).alias("chunk_key"), F.col("_base").alias("line_start"), (F.col("_base") + F.coalesce(F.col("_to") - F.col("_from") + 1, T.line_count("content")) - 1).alias("line_end"), "content")
+    wide = j.filter(~fits)
+    windows = token_windows(wide.select("_id", "content"), "_id", "content", size, overlap)
+    cut = wide.drop("content", "line_start", "line_end").join(windows, "_id").select(*columns, F.col("window_no").alias("chunk_key"), (F.col("_base") + F.col("line_start") - 1).alias("line_start"), (F.col("_base") + F.col("line_end") - 1).alias("line_end"), "content")
+    return number_chunks(whole.unionByName(cut), material, [*order, "part", "chunk_key"]).select(key, material, "strategy", "section", "part", "page", "chunk_key", "line_start", "line_end", "content", "chunk_index")
+
+
 def block_sections(blocks: DataFrame, key: str, pos: str, is_heading: str, text: str) -> DataFrame:
     """Ordered blocks to sections starting at headings, with line ranges from a running line count."""
     w = Window.partitionBy(key).orderBy(pos)

@@ -67,5 +67,27 @@ def expected_missing(expected: DataFrame, found: DataFrame, key: str) -> DataFra
     return expected.join(found.select(key).distinct(), key, "left_anti")
 
 
-def ranked_listing(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def processing_errors(units: DataFrame, expected: DataFrame, material: str) -> DataFrame:
+    """(material, rule) where the units of a material break what is expected of it.
+
+    units(material, path, page, content), expected(material, deep, scanned, mode: what its profile says; want_mode, max_files,
+    min_scanned, min_pages, first_phrase, phrase, one_unit: what must hold, null where nothing is asked). All rules
+    come from one aggregate per material.
+    """
+    page, path = F.col("page"), F.coalesce("path", F.lit(""))
+    asked = expected.select(material, *[c for c in expected.columns if c != material])
+    known = units.join(asked.select(material, "first_phrase", "phrase"), material)
+    seen = known.groupBy(material).agg(
+        F.count(F.lit(1)).alias("units"), F.count_distinct(F.nullif(path, F.lit(""))).alias("files"), F.count_distinct("page").alias("pages"),
+        F.bool_or(path.startswith("tests/") | path.contains("/tests/")).alias("tests"), F.bool_or(F.coalesce("content", F.lit("")).contains(F.col("phrase"))).alias("has_phrase"),
+        F.bool_or((page == 1) & F.coalesce("content", F.lit("")).contains(F.col("first_phrase"))).alias("has_first"),
+    )
+    j = asked.join(seen, material, "left").na.fill(0, ["units", "files", "pages"])
+    rules = {
+        "deep_cap": F.col("deep") > F.col("max_files"), "scanned": F.col("min_scanned").isNotNull() & (F.coalesce("scanned", F.lit(0)) <= F.col("min_scanned")),
+        "indexed_cap": F.col("files") > F.col("max_files"), "tests_indexed": F.col("max_files").isNotNull() & F.col("tests"), "pages": F.col("pages") < F.col("min_pages"),
+        "first_phrase": F.col("first_phrase").isNotNull() & ~F.coalesce("has_first", F.lit(False)), "phrase": F.col("phrase").isNotNull() & ~F.coalesce("has_phrase", F.lit(False)),
+        "mode": F.col("want_mode").isNotNull() & ~F.col("want_mode").eqNullSafe(F.col("mode")), "one_unit": F.coalesce("one_unit", F.lit(False)) & (F.col("units") != 1),
+    }
+    hits = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]), lambda x: x.isNotNull())
+    return j.select(material, F.explode(hits).alias("rule"))

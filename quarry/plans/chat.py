@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import chat as C
 from quarry.operators import index
-from quarry.plans.common import bucket_sql, lines_sql, query, tokens_sql
+from quarry.plans.common import bucket_sql, collapse_sql, cut_sql, lines_sql, query, tokens_sql
 from quarry.session import table
 
 FLAT = f"array_to_string(list_filter(list_transform({lines_sql('text')}, lambda x: trim(regexp_replace(x, '^#+', ''))), lambda x: x <> ''), ' ')"
-PAIRS = f"""s AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lag(role) OVER w AS pr, lag(text) OVER w AS query FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+
+
+def pairs_sql(source: str = "conversations", key: str = "conv_id", ordinal: str = "turn") -> str:
+    """CTEs up to ``p``: key, turn_no, query, answer."""
+    return f"""s AS (SELECT {key}, {ordinal}, role, coalesce(text, '') AS text, lag(role) OVER w AS pr, lag(coalesce(text, '')) OVER w AS query FROM {source} WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY {key} ORDER BY {ordinal})),
 fl AS (SELECT *, {FLAT} AS flat FROM s WHERE role = 'assistant' AND pr = 'user'),
-p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no, query,
-  CASE WHEN flat = '' THEN '(no report)' WHEN length(flat) <= 400 THEN flat ELSE rtrim(substr(flat, 1, 399)) || '…' END AS answer FROM fl)"""
+p AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY {ordinal}) - 1 AS turn_no, query, CASE WHEN flat = '' THEN '(no report)' ELSE {cut_sql('flat', C.ANSWER)} END AS answer FROM fl)"""
+
+
+PAIRS = pairs_sql()
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,18 +34,50 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir)
 
 
-FOLD = f"""WITH {PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_no DESC) AS b FROM p),
-d AS (SELECT conv_id, string_agg('User asked ' || query || '. Assistant: ' || answer, '; ' ORDER BY turn_no) AS decisions FROM b WHERE b > 1 AND b <= 13 GROUP BY conv_id),
-o AS (SELECT conv_id, trim(arg_min(query, turn_no)) AS goal, trim(arg_max(query, turn_no)) AS focus FROM b WHERE b > 1 GROUP BY conv_id),
-x AS (SELECT conv_id, goal, focus, array_to_string(list_filter([goal, focus, decisions], lambda v: v <> ''), ' ') AS t FROM o JOIN d USING (conv_id)),
-k AS (SELECT conv_id, count(*) FILTER (WHERE b <= 1) AS recent, count(*) AS turns FROM b GROUP BY conv_id),
-f AS (SELECT k.*, goal, focus, CASE WHEN length(t) <= 800 THEN t ELSE rtrim(substr(t, 1, 799)) || '…' END AS summary FROM k LEFT JOIN x USING (conv_id))"""
+def fold_sql(key: str, recent: int, previous: str) -> str:
+    """CTEs from ``p`` up to ``f``: the fold with ``previous``, a query of key, pg, pf, pd, scope."""
+    return f"""b AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY turn_no DESC) AS b FROM p),
+nw AS (SELECT {key}, list('User asked ' || query || '. Assistant: ' || answer ORDER BY turn_no) AS fresh FROM b WHERE b > {recent} AND b <= {recent + 12} GROUP BY {key}),
+o AS (SELECT {key}, trim(arg_min(query, turn_no)) AS g, trim(arg_max(query, turn_no)) AS fo FROM b WHERE b > {recent} GROUP BY {key}),
+pv AS ({previous}),
+k AS (SELECT {key}, count(*) FILTER (WHERE b <= {recent}) AS recent, count(*) AS turns FROM b GROUP BY {key}),
+x0 AS (SELECT k.*, coalesce(nullif(trim(pg), ''), g) AS goal, coalesce(nullif(fo, ''), trim(pf)) AS focus, list_concat(coalesce(pd, []), coalesce(fresh, [])) AS al, coalesce(scope, []) AS scope, g IS NOT NULL OR pg IS NOT NULL AS known
+  FROM k LEFT JOIN nw USING ({key}) LEFT JOIN o USING ({key}) LEFT JOIN pv USING ({key})),
+x1 AS (SELECT *, al[greatest(len(al) - 11, 1):] AS dl FROM x0),
+x2 AS (SELECT *, array_to_string(list_filter([coalesce(goal, ''), coalesce(focus, ''), array_to_string(dl, '; '), array_to_string(scope, '; ')], lambda v: v <> ''), ' ') AS t FROM x1),
+f AS (SELECT {key}, recent, turns, CASE WHEN known THEN {cut_sql("coalesce(goal, '')", 800)} END AS goal, CASE WHEN known THEN {cut_sql("coalesce(focus, '')", 800)} END AS focus,
+  list_transform(list_filter(dl, lambda v: trim(v) <> ''), lambda v: {cut_sql('v', 800)}) AS decisions, scope, CASE WHEN known THEN {cut_sql('t', 800)} END AS summary FROM x2)"""
+
+
+# Ten conversations in a row are one long thread; a third of the threads has an earlier summary.
+def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.expr("conv_id div 10").alias("thread"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "role", "text")
+
 
+def _earlier(threads: DataFrame) -> DataFrame:
+    t = F.col("thread")
+    some = threads.select("thread").distinct().filter(t % 3 == 0)
+    scope = F.when(t % 2 == 0, F.array(F.lit("scope a"), F.lit("scope b"))).otherwise(F.array().cast("array<string>"))
+    return some.select("thread", F.when(t % 2 == 0, F.concat(F.lit(" Goal of "), t.cast("string"))).alias("goal"), F.lit("Focus").alias("focus"), F.array(F.lit("first decision"), F.lit("second decision")).alias("decisions"), scope.alias("scope"))
 
-@query(FOLD + " SELECT * FROM f")
+
+THREADS = "c AS (SELECT conv_id // 10 AS thread, conv_id * 1000 + turn AS ordinal, role, text FROM conversations)"
+EARLIER = """SELECT DISTINCT thread, CASE WHEN thread % 2 = 0 THEN 'Goal of ' || thread END AS pg, 'Focus' AS pf, ['first decision', 'second decision'] AS pd, CASE WHEN thread % 2 = 0 THEN ['scope a', 'scope b'] ELSE [] END AS scope FROM c WHERE thread % 3 = 0"""
+FOLD = f"WITH {THREADS}, {pairs_sql('c', 'thread', 'ordinal')}, {fold_sql('thread', C.RECENT, EARLIER)}"
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Threads, their turns and their fold."""
+    threads = _threads(spark, sf_dir)
+    turns = C.turn_pairs(threads, "thread", "ordinal", "role", "text")
+    return threads, turns, C.fold(turns, "thread", previous=_earlier(threads))
+
+
+@query(FOLD + " SELECT thread, recent, turns, goal, focus, array_to_string(decisions, '; ') AS decisions, array_to_string(scope, '; ') AS scope, summary FROM f")
 def conversation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN17 with one recent turn (the conversations are short)."""
-    return C.fold(_turns(spark, sf_dir), "conv_id", 1)
+    """WIN17: five recent turns, older ones merged into an earlier summary."""
+    return _folded(spark, sf_dir)[2].withColumns({c: F.array_join(c, "; ") for c in ("decisions", "scope")})
 
 
 @query(f"""WITH {PAIRS}, t AS (SELECT *, trim(lag(query) OVER (PARTITION BY conv_id ORDER BY turn_no)) AS topic FROM p)
@@ -79,7 +117,7 @@ def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MEMORY = (
-    FOLD
+    f"WITH {PAIRS}, {fold_sql('conv_id', 1, 'SELECT NULL::BIGINT AS conv_id, NULL::VARCHAR AS pg, NULL::VARCHAR AS pf, NULL::VARCHAR[] AS pd, NULL::VARCHAR[] AS scope WHERE false')}"
     + """, th AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), 'New chat') AS title FROM conversations GROUP BY conv_id),
 mem AS (SELECT conv_id, 'request' AS key, 'request' AS kind, title AS text FROM th
   UNION ALL SELECT conv_id, 'summary', 'summary', summary FROM f WHERE trim(coalesce(summary, '')) <> ''
@@ -87,10 +125,11 @@ mem AS (SELECT conv_id, 'request' AS key, 'request' AS kind, title AS text FROM
 )
 
 
-@query(MEMORY + " SELECT * FROM mem")
+@query(MEMORY + " SELECT conv_id, key, kind, CASE WHEN conv_id % 2 = 0 AND key <> 'summary' THEN text ELSE 'old ' || text END AS text FROM mem")
 def thread_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK5: memory rows keyed by thread and key."""
-    return _memories(spark, sf_dir)
+    """SNK5: memory rows keyed by thread and key; new ones of half the threads replace stored ones."""
+    new = _memories(spark, sf_dir)
+    return C.remember(new.withColumn("text", F.concat(F.lit("old "), "text")), new.filter("conv_id % 2 = 0 and key <> 'summary'"), "conv_id")
 
 
 @query(
@@ -113,28 +152,44 @@ def memory_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
 
 
-@query("SELECT conv_id, count(*) AS messages FROM conversations WHERE CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id % 3 END IS NULL GROUP BY conv_id")
+@query("""WITH m AS (SELECT source, source || '/' || lang AS material, CASE WHEN count(*) % 2 = 0 THEN 'ready' ELSE 'failed' END AS status FROM documents GROUP BY source, lang)
+SELECT 'source' AS lookup, material AS key, 1::BIGINT AS n FROM m WHERE source = 'src3' UNION ALL SELECT 'status', material, 1 FROM m WHERE status = 'failed'
+UNION ALL SELECT 'run', event_type, count(*) FROM events WHERE user_id % 50 = 7 GROUP BY event_type
+UNION ALL SELECT 'anonymous', conv_id::VARCHAR, count(*) FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id UNION ALL SELECT 'owner', conv_id::VARCHAR, count(*) FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id""")
 def keyed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ19: threads of the anonymous owner only."""
+    """PRJ19: materials of a source and by status, nodes of a run, messages of the anonymous and of one owner."""
+    m = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.when(F.count(F.lit(1)) % 2 == 0, "ready").otherwise("failed").alias("status")).withColumn("key", F.concat_ws("/", "source", "lang"))
     owned = table(spark, sf_dir, "conversations").withColumn("owner", F.when(F.col("conv_id") % 3 != 0, F.col("conv_id") % 3))
-    return C.visible_to(owned, "owner", F.lit(None).cast("long")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
+    found = lambda name, df, key: df.groupBy(F.lit(name).alias("lookup"), F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        found("source", m.filter("source = 'src3'"), "key"), found("status", m.filter("status = 'failed'"), "key"), found("run", table(spark, sf_dir, "events").filter("user_id % 50 = 7"), "event_type"),
+        found("anonymous", C.visible_to(owned, "owner", F.lit(None).cast("long")), "conv_id"), found("owner", C.visible_to(owned, "owner", F.lit(2)), "conv_id"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query(
     FOLD
-    + """, lt AS (SELECT conv_id, arg_max(text, turn) AS latest FROM conversations WHERE role = 'user' GROUP BY conv_id),
-rt AS (SELECT conv_id, string_agg('Past user: ' || query || chr(10) || 'Past assistant: ' || answer, chr(10) ORDER BY turn_no) AS turns FROM p GROUP BY conv_id)
-SELECT f.conv_id, '<thread>' || CASE WHEN goal <> '' THEN chr(10) || 'Main goal: ' || goal ELSE '' END || CASE WHEN focus <> '' THEN chr(10) || 'Current focus: ' || focus ELSE '' END
- || chr(10) || 'Recent turns:' || chr(10) || rt.turns || chr(10) || 'Latest user message: ' || latest || chr(10) || '</thread>' AS context
-FROM f JOIN rt USING (conv_id) JOIN lt USING (conv_id)"""
+    + f""", lt AS (SELECT thread, arg_max(text, ordinal) AS latest FROM c WHERE role = 'user' GROUP BY thread),
+la AS (SELECT thread, arg_max(text, ordinal) AS text FROM c WHERE role = 'assistant' AND thread % 2 = 1 GROUP BY thread),
+pr AS (SELECT thread, {collapse_sql('text')} AS flat FROM la), pc AS (SELECT thread, {cut_sql('flat', C.PRIOR)} AS research FROM pr),
+rt AS (SELECT thread, string_agg('Past user: ' || query || chr(10) || 'Past assistant: ' || answer, chr(10) ORDER BY turn_no) AS turns FROM b WHERE b <= 5 GROUP BY thread)
+SELECT lt.thread, array_to_string(list_filter(['<thread>', CASE WHEN trim(coalesce(goal, '')) <> '' THEN 'Main goal: ' || trim(goal) END, CASE WHEN trim(coalesce(focus, '')) <> '' THEN 'Current focus: ' || trim(focus) END,
+ CASE WHEN len(decisions) > 0 THEN 'Important decisions: ' || array_to_string(decisions, '; ') END, CASE WHEN len(scope) > 0 THEN 'Current scope: ' || array_to_string(scope, '; ') END,
+ CASE WHEN trim(coalesce(goal, '')) = '' AND trim(coalesce(focus, '')) = '' AND trim(coalesce(summary, '')) <> '' THEN 'Conversation summary: ' || trim(summary) END,
+ CASE WHEN rt.turns IS NOT NULL THEN 'Recent turns:' || chr(10) || rt.turns END, CASE WHEN trim(coalesce(research, '')) <> '' THEN 'Previous research: ' || trim(research) END,
+ 'Latest user message: ' || coalesce(latest, ''), '</thread>'], lambda x: x IS NOT NULL), chr(10)) AS context
+FROM lt LEFT JOIN f USING (thread) LEFT JOIN rt USING (thread) LEFT JOIN pc USING (thread)"""
 )
 def thread_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN21: labelled lines of goal, focus, turns and latest message."""
-    turns = _turns(spark, sf_dir)
-    said = F.concat(F.lit("Past user: "), "query", F.lit("\nPast assistant: "), "answer")
-    listed = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_no", said.alias("s")))), lambda x: x["s"]), "\n").alias("turns_text"))
-    latest = table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("latest"))
-    j = C.fold(turns, "conv_id", 1).join(listed, "conv_id").join(latest, "conv_id")
-    line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(label), c))
-    text = F.concat_ws("\n", F.lit("<thread>"), line("Main goal: ", "goal"), line("Current focus: ", "focus"), F.lit("Recent turns:"), "turns_text", F.concat(F.lit("Latest user message: "), "latest"), F.lit("</thread>"))
-    return j.select("conv_id", text.alias("context"))
+    """FN21: labelled lines of summary, recent turns, earlier research and latest message."""
+    threads, turns, folded = _folded(spark, sf_dir)
+    back = F.row_number().over(Window.partitionBy("thread").orderBy(F.desc("turn_no")))
+    recent = turns.withColumn("_b", back).filter(F.col("_b") <= C.RECENT)
+    latest = threads.filter("role = 'user'").groupBy("thread").agg(F.max_by("text", "ordinal").alias("message"))
+    last = threads.filter("role = 'assistant' and thread % 2 = 1").groupBy("thread").agg(F.max_by("text", "ordinal").alias("text"))
+    prior = last.select("thread", T.cut_off(T.collapse("text"), C.PRIOR).alias("research"))
+    return C.context(folded, recent, latest, prior, "thread")

@@ -43,6 +43,10 @@ def collapse_sql(text: str) -> str:
     return f"trim(regexp_replace(coalesce({text}, ''), '\\s+', ' ', 'g'))"
 
 
+def cut_sql(text: str, n: int) -> str:
+    return f"(CASE WHEN length({text}) <= {n} THEN {text} ELSE substr({text}, 1, {n - 1}) || '…' END)"
+
+
 def clip_sql(text: str, n: int = T.SNIPPET) -> str:
     t = collapse_sql(text)
     return f"(CASE WHEN length({t}) <= {n} THEN {t} ELSE rtrim(substr({t}, 1, {n - 1})) || '…' END)"

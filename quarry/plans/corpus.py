@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
-from quarry.plans.common import query, quoted
+from quarry.plans.common import lines_sql, query, quoted
 from quarry.session import table
 
 NAMES = [
@@ -50,24 +50,36 @@ fmt AS (
 HINT_CASE = " ".join(f"WHEN format IN ({quoted(h)}) THEN '{t}'" for t, h in C.HINT_TYPES.items())
 
 
-@query(f"WITH {FILES}, {FORMAT_SQL} SELECT pos, path, coalesce(action, 'file') AS action, coalesce(format, 'file') AS format, CASE {HINT_CASE} END AS type FROM fmt WHERE NOT regexp_matches('/' || path, '/\\.')")
-def format_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1 skip rule, PRJ1, PRJ3, PRJ4."""
-    f = _files(spark, sf_dir).filter(C.visible("path")).withColumn("d", C.decide("path", F.lit(None).cast("string")))
-    return f.select("pos", "path", "d.action", "d.format", C.hint_type("d.format")["type"].alias("type"))
+# First bytes of files in hex; ``ustar`` stands at offset 257.
+HEADS = {"00" * 257 + "7573746172": "tar", "377ABCAF271C0000": "7z", "1F8B0800": "gzip", "504B0304": "zip", "7F454C4602": "elf", "4D5A9000": "pe", "D0CF11E0A1B1": "ole", "CAFEBABE00": "macho", "68656C6C6F": "none"}
+
 
+def _content(number: str, text: str):
+    """Header bytes in front of a text's bytes."""
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col(number) % len(HEADS) + 1).cast("int"))
+    return F.concat(F.unhex(head), F.coalesce(text, F.lit("")).cast("binary"))
 
-HEADS = {"377ABCAF271C0000": "7z", "1F8B0800": "gzip", "504B0304": "zip", "7F454C4602": "elf", "4D5A9000": "pe", "D0CF11E0A1B1": "ole", "CAFEBABE00": "macho", "68656C6C6F": "none"}
 
+SNIFFED = f"[{quoted(HEADS.values())}][{{}} % {len(HEADS)} + 1]"
 
-@query(f"SELECT doc_id, [{quoted(HEADS.values())}][doc_id % 8 + 1] AS sniffed FROM documents")
+
+@query(f"SELECT doc_id, {SNIFFED.format('doc_id')} AS sniffed FROM documents")
 def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ2: header bytes in front of every document's bytes."""
-    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % 8 + 1).cast("int"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.unhex(head), F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+    """PRJ2."""
+    d = table(spark, sf_dir, "documents").select("doc_id", _content("doc_id", "text").alias("content"))
     return d.select("doc_id", F.coalesce(C.sniff("content"), F.lit("none")).alias("sniffed"))
 
 
+@query(f"""WITH {FILES}, {FORMAT_SQL}, s AS (SELECT *, {SNIFFED.format('pos')} AS sniffed FROM fmt WHERE NOT regexp_matches('/' || path, '/\\.')),
+d AS (SELECT pos, path, CASE WHEN action IS NOT NULL THEN action WHEN sniffed IN ('7z', 'gzip', 'zip', 'tar') THEN 'expand' ELSE 'file' END AS action,
+ CASE WHEN format IS NOT NULL THEN format WHEN sniffed IN ('7z', 'gzip', 'zip', 'tar') THEN sniffed WHEN sniffed IN ('elf', 'pe', 'macho') THEN 'binary' WHEN sniffed = 'ole' THEN 'installer' ELSE 'file' END AS format FROM s)
+SELECT *, CASE {HINT_CASE} END AS type FROM d""")
+def format_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1 skip rule, PRJ1, PRJ3, PRJ4: by suffix, else by first bytes."""
+    f = _files(spark, sf_dir).filter(C.visible("path")).withColumn("d", C.decide("path", C.sniff(_content("pos", "text"))))
+    return f.select("pos", "path", "d.action", "d.format", C.hint_type("d.format")["type"].alias("type"))
+
+
 ELIGIBLE = f"""(NOT list_has_any(string_split(path, '/'), [{quoted(C.PROJECT_SKIP)}]) AND {NAME} NOT IN ({quoted(C.LOCKFILES)})
  AND NOT starts_with({NAME}, 'test_') AND ({NAME} IN ('go.mod', 'Pipfile') OR {SUFFIX} IN ({quoted(C.PROJECT_SUFFIXES)})))"""
 STEM = f"lower(regexp_replace({NAME}, '^(.+)\\.[^.]+$', '\\1'))"
@@ -227,22 +239,44 @@ def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.label_nodes(_files(spark, sf_dir).withColumn("m", F.col("pos") % 4 == 0), "kind", "m", "pos").select("pos", "kind", "label")
 
 
-@query(f"""WITH {FILES} SELECT pos, 'm' || material_id AS name, full_path AS logical_path, len(string_split(full_path, '/')) - 1 AS depth,
- array_to_string(list_filter(string_split(full_path, '/')[:-2], lambda x: starts_with(x, 'm')), ' > ') AS origin FROM f""")
+# Every document deep inside folders and archives in turn: part i is an archive for odd i.
+CHAIN = "list_transform(range(1, doc_id % 13 + 1), lambda i: CASE WHEN i % 2 = 1 THEN 'a' || i || '.zip' ELSE 'd' || i END)"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {CHAIN} AS c, doc_id % 13 AS n FROM documents)
+SELECT doc_id, array_to_string(list_append(c, 'f' || doc_id), '/') || CASE WHEN doc_id % 5 = 0 THEN '/' ELSE '' END AS logical_path, n AS depth,
+ array_to_string(list_transform(list_filter(range(1, n + 1), lambda i: i % 2 = 1), lambda i: array_to_string(c[:i], '/')), ' > ') AS origin, (n + 1) // 2 > 5 AS rejected FROM c""")
 def logical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ14, PRJ15: name, depth and chain of containers of each file."""
-    own = C.parts("full_path")
-    folders = F.slice(own, F.lit(1), F.size(own) - 1)
-    return _files(spark, sf_dir).select("pos", folders[1].alias("name"), F.col("full_path").alias("logical_path"), (F.size(own) - 1).alias("depth"), F.array_join(F.filter(folders, lambda x: x.startswith("m")), " > ").alias("origin"))
+    """PRJ15: logical path, depth, chain of archives, rejection beyond five."""
+    n = (F.col("doc_id") % 13).cast("int")
+    chain = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i > 0), lambda i: F.when(i % 2 == 1, F.concat(F.lit("a"), i.cast("string"), F.lit(".zip"))).otherwise(F.concat(F.lit("d"), i.cast("string"))))
+    path = F.array_join(F.concat(chain, F.array(F.concat(F.lit("f"), F.col("doc_id").cast("string")))), "/")
+    nodes = C.nested_nodes(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), (F.col("doc_id") % 5 == 0).alias("is_dir")), "path", "is_dir")
+    return nodes.select("doc_id", "logical_path", "depth", F.array_join("origin", " > ").alias("origin"), "rejected")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Package ' || lang WHEN doc_id % 3 = 1 THEN lang ELSE 'd' || doc_id END AS name FROM documents""")
+def material_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ14: title of the package, else the last part of the path."""
+    d = F.col("doc_id")
+    path = F.when(d % 3 == 1, F.concat_ws("/", "source", F.concat("lang", F.lit("/")))).otherwise(F.concat(F.lit("x/d"), d.cast("string")))
+    title = F.when(d % 3 == 0, F.concat(F.lit(" Package "), "lang")).otherwise(F.when(d % 3 == 1, " "))
+    return table(spark, sf_dir, "documents").select("doc_id", C.material_name(path, title).alias("name"))
+
 
+TYPED = "(CASE lang WHEN 'en' THEN 'document' WHEN 'de' THEN 'project' WHEN 'fr' THEN 'dataset' ELSE 'code' END)"
 
-@query("SELECT source, count(*) AS files, count(DISTINCT lang) AS langs, CASE WHEN source LIKE '%0' THEN count(DISTINCT lang) || ' pages PDF' WHEN source LIKE '%1' THEN 'python project, ' || count(*) || ' citable files' WHEN source LIKE '%2' THEN 'CSV dataset, ' || count(*) || ' files' ELSE count(*) || ' content units' END AS description FROM documents GROUP BY source")
+
+@query(f"""WITH g AS (SELECT source, lang, count(*) AS units, count(DISTINCT doc_id % 7) AS files, {TYPED} AS type, CASE WHEN source LIKE '%1' THEN NULL WHEN lang = 'en' THEN 'pdf' ELSE 'python' END AS subtype FROM documents GROUP BY source, lang)
+SELECT source, lang, units, files, CASE WHEN type = 'document' AND subtype = 'pdf' THEN units || CASE WHEN units = 1 THEN ' page PDF' ELSE ' pages PDF' END
+ WHEN type = 'project' THEN coalesce(subtype, 'software') || ' project, ' || files || CASE WHEN files = 1 THEN ' citable file' ELSE ' citable files' END
+ WHEN type = 'dataset' THEN 'CSV dataset, ' || files || CASE WHEN files = 1 THEN ' file' ELSE ' files' END ELSE units || CASE WHEN units = 1 THEN ' content unit' ELSE ' content units' END END AS description FROM g""")
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG23: description by type."""
-    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("lang").alias("langs"))
-    n, s = F.col("files").cast("string"), F.col("source")
-    text = F.when(s.endswith("0"), F.concat(F.col("langs").cast("string"), F.lit(" pages PDF"))).when(s.endswith("1"), F.concat(F.lit("python project, "), n, F.lit(" citable files")))
-    return g.withColumn("description", text.when(s.endswith("2"), F.concat(F.lit("CSV dataset, "), n, F.lit(" files"))).otherwise(F.concat(n, F.lit(" content units"))))
+    kind = F.when(F.col("lang") == "en", "document").when(F.col("lang") == "de", "project").when(F.col("lang") == "fr", "dataset").otherwise("code")
+    subtype = F.when(F.col("source").endswith("1"), F.lit(None).cast("string")).when(F.col("lang") == "en", "pdf").otherwise("python")
+    g = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("units"), F.count_distinct(F.col("doc_id") % 7).alias("files"))
+    return g.withColumn("description", C.describe(kind, subtype, "units", "files"))
 
 
 @query(f"WITH {FILES} SELECT material_id, path, row_number() OVER (PARTITION BY material_id ORDER BY lower(path), path) AS place FROM f")
@@ -253,15 +287,37 @@ def ordered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).select("material_id", "path", F.row_number().over(Window.partitionBy("material_id").orderBy(F.lower("path"), "path")).alias("place"))
 
 
-@query(f"""WITH {FILES}, x AS (SELECT *, CASE WHEN kind = 0 THEN 'project' WHEN kind = 1 THEN 'table' WHEN kind = 2 THEN 'text' WHEN kind = 3 THEN 'code' ELSE 'stub' END AS shape FROM f)
-SELECT shape, count(*) AS units, sum(CASE shape WHEN 'stub' THEN 0 ELSE length(text) END)::BIGINT AS chars FROM x GROUP BY shape""")
+@query(f"""WITH {FILES}, {FORMAT_SQL}, h AS (SELECT *, CASE {HINT_CASE} END AS hint FROM fmt),
+x AS (SELECT *, CASE kind WHEN 0 THEN 'project' WHEN 1 THEN 'table' WHEN 2 THEN 'text' WHEN 3 THEN 'text' ELSE
+  CASE WHEN format IN ({quoted(C.ARTIFACTS)}) AND hint IS NOT NULL THEN 'artifact' WHEN format IN ({quoted(C.BINARIES)}) AND hint IS NOT NULL THEN 'binary' WHEN sfx IN ('.docx', '.docm') THEN 'sections' WHEN sfx IN ('.csv', '.tsv') THEN 'table' ELSE 'text' END END AS shape,
+  {lines_sql('text')} AS ls FROM h),
+y AS (SELECT *, CASE shape WHEN 'artifact' THEN format WHEN 'binary' THEN 'Binary or installer (' || format || ')' WHEN 'table' THEN array_to_string(list_filter(list_transform(string_split(coalesce(ls[1], ''), CASE WHEN sfx = '.tsv' THEN chr(9) ELSE ',' END), lambda v: trim(v)), lambda v: v <> ''), ', ') ELSE text END AS content FROM x
+  WHERE shape <> 'sections' AND (shape <> 'project' OR {ELIGIBLE}))
+SELECT pos, path, shape, shape AS unit_type, sha256(content) AS digest, CASE WHEN shape IN ('project', 'text') THEN 1 END AS line_start, CASE WHEN shape IN ('project', 'text') THEN greatest(len(ls), 1) END AS line_end FROM y""")
 def extraction_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ16: one CASE decides the shape, branches are united."""
-    kind = F.col("kind")
-    shape = F.when(kind == 0, "project").when(kind == 1, "table").when(kind == 2, "text").when(kind == 3, "code").otherwise("stub")
-    f = _files(spark, sf_dir).withColumn("shape", shape)
-    read = f.filter("shape <> 'stub'").select("shape", F.length("text").alias("chars"))
-    stub = f.filter("shape = 'stub'").select("shape", F.lit(0).alias("chars"))
-    return read.unionByName(stub).groupBy("shape").agg(F.count(F.lit(1)).alias("units"), F.sum("chars").alias("chars"))
-
-
+    """PRJ16: one CASE decides each file's shape; its units."""
+    hint = C.hint_type("fmt")
+    pick = lambda a, b: F.element_at(F.array(*[F.lit(x) for x in a]), (F.col("kind") + 1).cast("int")) if b is None else F.when(F.col("kind") == 4, b).otherwise(pick(a, None))
+    files = _files(spark, sf_dir).withColumn("fmt", C.suffix_format("path")["format"])
+    typed = files.withColumn("type", pick(["project", "dataset", "document", "code", None], hint["type"])).withColumn("subtype", pick(["python", "csv", "text", "py", None], hint["subtype"]))
+    units = C.extract_units(typed, "pos", "path", "text")
+    return units.select("pos", "path", "shape", "unit_type", F.sha2("content", 256).alias("digest"), "line_start", "line_end")
+
+
+@query("""WITH m AS (SELECT DISTINCT source || CASE lang WHEN 'es' THEN '/node_modules/x/' WHEN 'fr' THEN '/tests/' ELSE '/' || lang || '/' END AS root_path, CASE lang WHEN 'en' THEN 'document' WHEN 'de' THEN 'project' END AS type FROM documents),
+e AS (SELECT DISTINCT 'src' || (doc_id % 40) || '/en/' AS path, CASE WHEN doc_id % 40 % 2 = 0 THEN 'document' ELSE 'dataset' END AS type FROM documents
+  UNION ALL SELECT DISTINCT lang, NULL FROM documents UNION ALL SELECT DISTINCT substr(lang, 2) || '/', NULL FROM documents UNION ALL SELECT DISTINCT lang || 'x', NULL FROM documents)
+SELECT 'missing' AS rule, path AS key, '' AS detail FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE (ends_with(e.path, '/') AND starts_with(root_path, e.path)) OR list_contains(string_split(root_path, '/'), rtrim(e.path, '/')) OR ends_with(root_path, e.path))
+UNION ALL SELECT 'type', root_path, coalesce(m.type, 'none') || ' expected ' || e.type FROM m JOIN e ON root_path = path WHERE e.type IS NOT NULL AND m.type IS DISTINCT FROM e.type
+UNION ALL SELECT 'vendor', root_path, '' FROM m WHERE list_has_any(string_split(root_path, '/'), ['node_modules', '.venv', 'venv'])
+UNION ALL SELECT 'tests', root_path, '' FROM m WHERE ends_with(rtrim(root_path, '/'), '/tests')""")
+def discovery_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN11: missing roots, wrong types, vendor and test trees."""
+    d = table(spark, sf_dir, "documents")
+    folder = F.when(F.col("lang") == "es", "/node_modules/x/").when(F.col("lang") == "fr", "/tests/").otherwise(F.concat(F.lit("/"), "lang", F.lit("/")))
+    m = d.select(F.concat("source", folder).alias("root_path"), F.when(F.col("lang") == "en", "document").when(F.col("lang") == "de", "project").alias("material_type")).distinct()
+    k, none = F.col("doc_id") % 40, F.lit(None).cast("string")
+    e = d.select(F.concat(F.lit("src"), k.cast("string"), F.lit("/en/")).alias("path"), F.when(k % 2 == 0, "document").otherwise("dataset").alias("material_type")).distinct()
+    for path in (F.col("lang"), F.concat(F.expr("substr(lang, 2)"), F.lit("/")), F.concat("lang", F.lit("x"))):
+        e = e.union(d.select(path, none).distinct())
+    return C.discovery_errors(m, e)

@@ -116,3 +116,38 @@ def question_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
     q = table(spark, sf_dir, "benchmark").select((i % 5).alias("run_id"), i.alias("pos"), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("Q"), (i % 4).cast("string"))).alias("qid"))
     return E.trim_questions(q, "run_id", "qid", "pos", 4)
+
+
+def _carded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of which a third cites a material's card."""
+    card = F.col("evidence_id") % 3 == 0
+    return _evidence(spark, sf_dir).withColumn("citation", F.when(card, "material").otherwise(F.col("citation")))
+
+
+@query(HITS + " SELECT question_id, string_agg(evidence_id::VARCHAR, ',' ORDER BY pos) AS evidence FROM e GROUP BY question_id HAVING bool_or(evidence_id % 3 <> 0)")
+def finding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN10: findings with at least one eligible piece of evidence."""
+    e = _carded(spark, sf_dir)
+    ids = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "evidence_id")))), lambda x: x["evidence_id"])
+    against = F.col("stance") == "contradicts"
+    found = e.groupBy("question_id").agg(ids(~against).alias("supporting"), ids(against).alias("contradicting"), ids(F.lit(True)).alias("every"))
+    return E.valid_findings(found, e, "question_id").select("question_id", F.array_join(F.transform("every", lambda x: x.cast("string")), ",").alias("evidence"))
+
+
+@query(
+    HITS
+    + """, q AS (SELECT item_id // 4 AS run_id, item_id AS question_id, CASE WHEN item_id % 5 = 0 THEN 'No evidence retrieved.' ELSE 'Body of ' || item_id END AS body FROM benchmark),
+ks AS (SELECT question_id, list(evidence_id ORDER BY pos) FILTER (WHERE evidence_id % 3 <> 0) AS keys FROM e WHERE question_id % 3 <> 1 GROUP BY question_id),
+ct AS (SELECT DISTINCT run_id FROM e WHERE run_id % 2 = 0 AND evidence_id % 3 <> 0)
+SELECT run_id, question_id, coalesce(array_to_string(keys, ','), '') AS keys, CASE WHEN coalesce(len(keys), 0) = 0 AND NOT contains(body, 'No evidence') AND run_id NOT IN (SELECT run_id FROM ct) THEN 'No evidence retrieved.' ELSE body END AS body
+FROM q LEFT JOIN ks USING (question_id)"""
+)
+def section_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN10: sections keep eligible keys; without any, and without citations of their run, their body is the fixed one."""
+    e = _carded(spark, sf_dir)
+    i = F.col("item_id")
+    q = table(spark, sf_dir, "benchmark").select(F.expr("item_id div 4").alias("run_id"), i.alias("question_id"), F.when(i % 5 == 0, E.NO_EVIDENCE).otherwise(F.concat(F.lit("Body of "), i.cast("string"))).alias("body"))
+    keys = e.filter("question_id % 3 <> 1").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "evidence_id"))), lambda x: x["evidence_id"]).alias("keys"))
+    s = q.join(keys, "question_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
+    out = E.valid_sections(s, e, e.filter("run_id % 2 = 0"), "run_id", "question_id")
+    return out.select("run_id", "question_id", F.array_join(F.transform("keys", lambda x: x.cast("string")), ",").alias("keys"), "body")

@@ -11,19 +11,19 @@ from quarry.sources import files
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> str:
-    """Documents as text files, one folder per source, with a hidden and a cache folder among them."""
+    """Documents as text files below ``kept``, a hidden folder, a build folder and a vendor tree."""
     root = scratch_dir(spark, "tree")
-    folder = F.when(F.col("source") == "src1", ".hidden").when(F.col("source") == "src2", "build").otherwise(F.col("source"))
-    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value"), folder.alias("folder")).repartition("folder").write.partitionBy("folder").text(root)
+    d = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.col("source").alias("folder"))
+    for folder, rows in ((".hidden", "folder = 'src1'"), ("build", "folder = 'src2'"), ("kept/node_modules", "folder = 'src3'"), ("kept", "folder not in ('src1', 'src2', 'src3')")):
+        d.filter(rows).write.mode("append").partitionBy("folder").text(f"{root}/{folder}")
     return root
 
 
-@query("SELECT count(DISTINCT source) AS folders FROM documents WHERE source NOT IN ('src1', 'src2')")
+@query("SELECT DISTINCT 'kept' AS top, source AS folder FROM documents WHERE source NOT IN ('src1', 'src2', 'src3')")
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1: hidden and cache folders are skipped (``folder=.hidden`` is renamed by its own value)."""
+    """SRC1: relative paths without hidden, build and vendor folders."""
     found = files.scan(spark, _tree(spark, sf_dir), content=False)
-    folder = F.regexp_extract("path", "folder=([^/]+)/", 1)
-    return found.select(folder.alias("folder")).filter(~F.col("folder").isin("build", ".hidden")).agg(F.count_distinct("folder").alias("folders"))
+    return found.select(F.split("path", "/")[0].alias("top"), F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder")).distinct()
 
 
 @query()
@@ -40,18 +40,19 @@ def drop_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.drop_listing(files.scan(spark, root, content=False))
 
 
-@query("SELECT item_id::VARCHAR AS id, text AS query, 'lexical' AS mode, 5 AS k, 'doc' || item_id AS path FROM benchmark")
+@query("""SELECT 'suite' || (item_id // 100) AS suite, item_id::VARCHAR AS id, text AS query, CASE WHEN item_id % 3 = 0 THEN 'semantic' ELSE 'lexical' END AS mode, CASE WHEN item_id % 2 = 0 THEN 7 ELSE 5 END AS k,
+ n AS expect_no, 'doc' || item_id AS path, CASE WHEN n = 1 THEN 4 END AS page FROM benchmark, (SELECT unnest([0, 1]) AS n) WHERE n = 0 OR item_id % 2 = 0""")
 def suite_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC4: benchmark items as evaluation suites, one suite document per hundred items."""
-    root = scratch_dir(spark, "suites")
-    case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.array(F.struct(F.concat(F.lit("doc"), F.col("item_id").cast("string")).alias("path"))).alias("expect"))
-    b = table(spark, sf_dir, "benchmark").groupBy(F.expr("cast(item_id div 100 as string)").alias("id")).agg(F.collect_list(case).alias("cases"))
-    b.repartition(4, "id").write.partitionBy("id").json(root)
-    one_each = spark.read.schema("cases " + files.SUITE["cases"].dataType.simpleString() + ", id string").json(root)
-    again = scratch_dir(spark, "suite-documents")
-    one_each.write.json(again)
-    lines = spark.read.schema(files.SUITE).json(again)
-    return lines.select(F.explode("cases").alias("c")).select("c.id", "c.query", F.coalesce("c.mode", F.lit("lexical")).alias("mode"), F.coalesce("c.k", F.lit(5)).alias("k"), F.col("c.expect")[0]["path"].alias("path"))
+    """SRC4: benchmark items as evaluation suites, one JSON document per hundred items, read back as cases and
+    expected hits with the defaults."""
+    i, root = F.col("item_id"), scratch_dir(spark, "suites")
+    hit = lambda page: F.struct(F.concat(F.lit("doc"), i.cast("string")).alias("path"), page.alias("page"))
+    one = F.array(hit(F.lit(None).cast("int")))
+    case = F.struct(i.cast("string").alias("id"), F.col("text").alias("query"), F.when(i % 3 == 0, "semantic").alias("mode"), F.when(i % 2 == 0, 7).alias("k"), F.when(i % 2 == 0, F.concat(one, F.array(hit(F.lit(4))))).otherwise(one).alias("expect"))
+    suites = table(spark, sf_dir, "benchmark").groupBy(F.concat(F.lit("suite"), F.expr("cast(item_id div 100 as string)")).alias("id")).agg(F.collect_list(case).alias("cases"))
+    suites.select(F.to_json(F.struct("id", "cases")).alias("value"), F.col("id").alias("file")).write.partitionBy("file").text(root)
+    found = files.suites(spark, root)
+    return found.select("suite", "id", "query", "mode", "k", "expect_no", "expect.path", "expect.page")
 
 
 @query("SELECT trim(text) AS instruction, conv_id::VARCHAR AS input, turn::VARCHAR AS output FROM conversations WHERE trim(coalesce(text, '')) <> '' ORDER BY conv_id * 1000 + turn LIMIT 200")

@@ -67,16 +67,33 @@ def evidence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH l AS (SELECT doc_id, source || '/' || lang AS material_id, unnest({lines_sql('text')}) AS line, generate_subscripts({lines_sql('text')}, 1) AS n FROM documents)
 SELECT material_id, doc_id, n AS line_no, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index,
- CASE WHEN material_id LIKE '%/en' THEN 'document.window' WHEN material_id LIKE '%/de' THEN 'table' ELSE 'passthrough' END AS strategy FROM l
+ CASE WHEN material_id LIKE '%/en' THEN CASE doc_id % 4 WHEN 0 THEN 'document.window' WHEN 1 THEN 'stub' WHEN 2 THEN CASE WHEN doc_id % 8 = 2 THEN 'document.sections' ELSE 'document.window' END ELSE 'document.pages' END
+  WHEN material_id LIKE '%/de' THEN CASE WHEN doc_id % 4 = 1 THEN 'stub' ELSE 'table' END WHEN doc_id % 4 = 1 THEN 'stub' WHEN material_id LIKE '%/fr' THEN CASE WHEN doc_id % 8 = 2 THEN 'code.symbol' ELSE 'code.file' END ELSE 'passthrough' END AS strategy FROM l
 """)
 def chunk_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN10: strategy by type, running number per document."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("material_id"), "lang", "text")
-    kind = F.when(F.col("lang") == "en", "document").when(F.col("lang") == "de", "dataset").otherwise("unknown")
-    split = d.select("material_id", "doc_id", segment.strategy(kind, F.lit("text"), F.lit(False)).alias("strategy"), F.posexplode(T.lines("text")).alias("p", "line"))
+    kind = F.when(F.col("lang") == "en", "document").when(F.col("lang") == "de", "dataset").when(F.col("lang") == "fr", "code").otherwise("unknown")
+    subtype = F.element_at(F.array(*map(F.lit, ("text", "doc", "markdown", "pdf"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    some = F.col("doc_id") % 8 == 2
+    split = d.select("material_id", "doc_id", segment.strategy(kind, subtype, some, some).alias("strategy"), F.posexplode(T.lines("text")).alias("p", "line"))
     return segment.number_chunks(split.withColumn("line_no", F.col("p") + 1), "doc_id", ["line_no"]).select("material_id", "doc_id", "line_no", "chunk_index", "strategy")
 
 
+@query()
+def unit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN10: every document as a unit of one of five types, cut by its strategy, small pieces passed through."""
+    types = F.element_at(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"), F.lit(x).alias("x")) for t, s, x in (("document", "text", ".txt"), ("document", "markdown", ".md"), ("code", "py", ".py"), ("dataset", "csv", ".csv"), ("code", "python_wheel", ".whl"))]), (F.col("doc_id") % 5 + 1).cast("int"))
+    marked = F.array_join(F.transform(T.lines("text"), lambda line, i: F.when(i % 5 == 3, F.concat(F.lit("## "), line)).otherwise(line)), "\n")
+    coded = F.array_join(F.transform(T.lines("text"), lambda line, i: F.when(i % 4 == 2, F.concat(F.lit("def f"), i.cast("string"), F.lit("():"))).otherwise(F.concat(F.lit("  "), line))), "\n")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("material_id"), types.alias("y"), F.coalesce("text", F.lit("")).alias("text"))
+    content = F.when(F.col("y.s") == "markdown", marked).when(F.col("y.s") == "py", coded).otherwise(F.col("text"))
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.col("y.x"))
+    none = F.lit(None)
+    units = d.select("doc_id", "material_id", F.col("y.t").alias("material_type"), F.col("y.s").alias("subtype"), path.alias("path"), none.cast("int").alias("page"), none.cast("string").alias("section"), F.lit(1).alias("line_start"), content.alias("content"))
+    return segment.cut_units(units, "doc_id", "material_id", ["doc_id"], 256, 32).withColumn("content", F.sha2("content", 256))
+
+
 def _as_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: the first words of every line become a symbol, a decorator or a body line."""
     ext = F.element_at(F.array(F.lit(".py"), F.lit(".go"), F.lit(".js")), (F.col("doc_id") % 3 + 1).cast("int"))

@@ -109,6 +109,25 @@ def expected_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.expected_missing(expected, d, "source")
 
 
+@query("""WITH u AS (SELECT source, CASE WHEN doc_id % 6 = 0 THEN 'tests/t' || doc_id % 9 ELSE 'p' || doc_id % 30 END AS path, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 END AS page, coalesce(text, '') AS text FROM documents),
+x AS (SELECT DISTINCT source, TRY_CAST(substr(source, 4) AS INT) AS k FROM documents),
+a AS (SELECT source, count(*) AS units, count(DISTINCT path) AS files, count(DISTINCT page) AS pages, bool_or(starts_with(path, 'tests/')) AS tests, bool_or(page = 1 AND contains(text, 'the')) AS first_ok, bool_or(contains(text, '%%%')) AS phrase_ok FROM u GROUP BY source)
+SELECT source, unnest(list_filter([CASE WHEN k % 4 = 0 AND k > 12 THEN 'deep_cap' END, CASE WHEN k % 4 = 0 AND k * 3 <= 20 THEN 'scanned' END, CASE WHEN k % 4 = 0 AND files > 12 THEN 'indexed_cap' END, CASE WHEN k % 4 = 0 AND tests THEN 'tests_indexed' END,
+ CASE WHEN k % 4 = 1 AND pages < 5 THEN 'pages' END, CASE WHEN k % 4 = 1 AND NOT coalesce(first_ok, false) THEN 'first_phrase' END, CASE WHEN k % 4 = 2 AND NOT phrase_ok THEN 'phrase' END, CASE WHEN k % 2 = 1 AND k % 3 <> 0 THEN 'mode' END, CASE WHEN k % 4 = 3 AND units <> 1 THEN 'one_unit' END], lambda r: r IS NOT NULL)) AS rule
+FROM x JOIN a USING (source)""")
+def processing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG22: file caps, page counts, phrases, coverage mode and single units asked of materials by their number."""
+    d = F.col("doc_id")
+    path = F.when(d % 6 == 0, F.concat(F.lit("tests/t"), (d % 9).cast("string"))).otherwise(F.concat(F.lit("p"), (d % 30).cast("string")))
+    units = table(spark, sf_dir, "documents").select("source", path.alias("path"), F.when(d % 2 == 0, d % 5).alias("page"), F.col("text").alias("content"))
+    k = F.expr("try_cast(substr(source, 4) as int)")
+    expected = units.select("source").distinct().select(
+        "source", k.alias("deep"), (k * 3).alias("scanned"), F.when(k % 3 == 0, "hierarchical").otherwise("direct").alias("mode"), F.when(k % 2 == 1, "hierarchical").alias("want_mode"),
+        F.when(k % 4 == 0, 12).alias("max_files"), F.when(k % 4 == 0, 20).alias("min_scanned"), F.when(k % 4 == 1, 5).alias("min_pages"), F.when(k % 4 == 1, "the").alias("first_phrase"), F.when(k % 4 == 2, "%%%").alias("phrase"), (k % 4 == 3).alias("one_unit"),
+    )
+    return S.processing_errors(units, expected, "source")
+
+
 @query("""WITH o AS (SELECT doc_id, source AS material_id, n_chars FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, source AS material_id, n_chars FROM documents WHERE doc_id % 2 = 1 AND lang = 'de')
 SELECT * FROM o WHERE material_id NOT IN (SELECT material_id FROM n) UNION ALL SELECT * FROM n""")
 def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +138,11 @@ def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_points(d.filter("doc_id % 2 = 0").drop("lang"), d.filter("doc_id % 2 = 1 and lang = 'de'").drop("lang"))
 
 
-@query("SELECT source AS material_id, count(*) AS points FROM documents GROUP BY source")
+@query("SELECT source AS material_id, count(*) AS points, 0::BIGINT AS left_over FROM documents GROUP BY source")
 def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK4."""
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("material_id")).agg(F.count(F.lit(1)).alias("points"))
+    """SNK4: points of each material, and after the index is wiped."""
+    from quarry.operators.index import count_points, wipe
+
+    points = table(spark, sf_dir, "documents").select(F.col("source").alias("material_id"), "doc_id")
+    after = count_points(wipe(points)).withColumnRenamed("points", "left_over")
+    return count_points(points).join(after, "material_id", "left").na.fill(0, ["left_over"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import evidence, index
-from quarry.plans.common import bucket_sql, clip_sql, lines_sql, query, tokens_sql
+from quarry.plans.common import bucket_sql, clip_sql, keywords_sql, lines_sql, query, tokens_sql
 from quarry.session import table
 
 
@@ -23,9 +23,9 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY token")
 def token_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN1: occurrences and documents of every token; combined per document before it is shuffled."""
+    """FN1: occurrences and documents of every token, which is one row per document before it counts."""
     per = _docs(spark, sf_dir).select("doc_id", F.explode(T.tokens("text")).alias("token")).groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("token").agg(F.sum("n").alias("occurrences"), F.count_distinct("doc_id").alias("docs"))
+    return per.groupBy("token").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"SELECT doc_id, {bucket_sql('token', T.SPARSE_DIM)} AS idx, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY ALL UNION ALL SELECT doc_id, 0, 1 FROM documents WHERE len({tokens_sql('text')}) = 0")
@@ -100,13 +100,25 @@ def eligible_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.filter(evidence.unit_ok("citation", "path", "page", "a", "b")).select("doc_id")
 
 
-@query("SELECT doc_id, nullif(lower(trim(CASE doc_id % 3 WHEN 0 THEN ' ' ELSE ' ' || upper(lang) || ' ' END)), '') AS type, lang AS language, CASE WHEN doc_id % 2 = 0 THEN 'file' || doc_id ELSE source END AS origin FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN CASE lang WHEN 'en' THEN 'document' WHEN 'de' THEN 'project' ELSE 'dataset' END END AS type, lang AS language,
+ CASE WHEN doc_id % 50 % 2 = 0 THEN 'file' || (doc_id % 50) ELSE source END AS origin FROM documents""")
 def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ10, PRJ18: normalised type; per-file fields override unit fields of the same name."""
+    """PRJ10, PRJ18: normalised and checked type; fields of the file at the unit's path override its own."""
     d = F.col("doc_id")
-    own = F.create_map(F.lit("language"), F.col("lang"), F.lit("origin"), F.col("source"))
-    extra = F.when(d % 2 == 0, F.create_map(F.lit("origin"), F.concat(F.lit("file"), d.cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
-    merged = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(extra, k)), extra)
-    kind = F.nullif(F.lower(F.trim(F.when(d % 3 == 0, " ").otherwise(F.concat(F.lit(" "), F.upper("lang"), F.lit(" "))))), F.lit(""))
-    m = _docs(spark, sf_dir).select("doc_id", kind.alias("type"), merged.alias("m"))
+    path = F.concat(F.lit("p"), (d % 50).cast("string"))
+    raw = F.when(d % 3 == 0, " ").otherwise(F.when(F.col("lang") == "en", " Document").when(F.col("lang") == "de", "PROJECT ").otherwise("dataset"))
+    units = _docs(spark, sf_dir).select("doc_id", T.checked_type(raw).alias("type"), path.alias("path"), F.create_map(F.lit("language"), F.col("lang"), F.lit("origin"), F.col("source")).alias("m"))
+    files = _docs(spark, sf_dir).filter(d % 50 % 2 == 0).select(path.alias("path"), F.create_map(F.lit("origin"), F.concat(F.lit("file"), (d % 50).cast("string"))).alias("fields"))
+    m = index.merge_metadata(units, files.dropDuplicates(["path"]), "path", "m")
     return m.select("doc_id", "type", F.col("m")["language"].alias("language"), F.col("m")["origin"].alias("origin"))
+
+
+UNIT_TEXT = f"regexp_replace(array_to_string(list_filter([CASE WHEN doc_id % 3 = 1 THEN 'Title ' || doc_id END, lang, nullif(array_to_string(({keywords_sql('text')})[:24], ' '), ''), text], lambda x: x IS NOT NULL), ' '), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({UNIT_TEXT}) AS digest, length({UNIT_TEXT}) AS chars FROM documents")
+def unit_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ12: metadata values, the first 24 keywords and the content of every unit."""
+    title = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" Title "), F.col("doc_id").cast("string")))
+    text = index.unit_text({"title": title, "language": "lang", "author": F.lit(" ")}, {"keywords": T.plain_keywords("text")}, "text")
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(text, 256).alias("digest"), F.length(text).alias("chars"))
