@@ -195,19 +195,22 @@ def _prefix_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, n_wor
     Sets with that similarity share a shingle among the first n - ceil(n * percent) + 1 of each, in any
     order common to all; rarest first makes these lists short. What is left after the shared shingle
     must suffice for the intersection asked for. On each shingle only members outside its largest
-    component are joined with the rest, so a large linked group is not compared with itself.
+    component are joined with the rest, so a large linked group is not compared with itself. The members of a
+    frequent shingle are dealt over several tasks.
     """
     owners = classes.select("id", "doc_id", "row_key").join(members.select("id"), "id", "left_semi")
     sets = shingle_sets(docs, owners, n_words).join(members, "id")
     posts = cut(sets.select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("g")), "postings")
     common = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("df > 1")
-    known = posts.join(common, "g")
+    limit = hot_limit(posts.count())
+    known = spread_join(posts, common, ["g"], common.filter(F.col("df") > limit).select("g", F.ceil(F.col("df") / limit).cast("int").alias("_copies")))
     order = Window.partitionBy("id").orderBy("df", "g")
     placed = known.withColumn("at", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")) + F.row_number().over(order) - 1)
     front = cut(placed.filter(f"lo <> hi and at <= n - ceil(n * {percent} / 100.0D - 1e-9D)").select("g", "id", "comp", "n", "at"), "prefixes")
     most = front.groupBy("g", "comp").count().groupBy("g").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-    minor = front.join(most, "g").filter("comp <> main").select("g", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("n").alias("ni"), F.col("at").alias("pi"))
-    wide = minor.join(front, "g").filter("ci <> comp and least(n, ni) * 100 >= greatest(n, ni) * " + str(percent))
+    hot = cut(hot_keys(front, ["g"], limit), "hot-shingles")
+    minor = spread_join(front, most, ["g"], hot).filter("comp <> main").select("g", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("n").alias("ni"), F.col("at").alias("pi"))
+    wide = spread_join(front, minor, ["g"], hot).filter("ci <> comp and least(n, ni) * 100 >= greatest(n, ni) * " + str(percent))
     wide = wide.filter(f"{100 + percent} * (1 + least(n - at - 1, ni - pi - 1)) >= {percent} * (n + ni)")
     return wide.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
 

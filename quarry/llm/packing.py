@@ -10,7 +10,7 @@ planned under both rules, and the plan of least total cost is used. It is never
 with a single size, which is one of them.
 
 Spark counts lengths, numbers the pieces of each length (hot lengths are salted: numbers are given inside
-(length, salt) groups of about ``SALT_ROWS`` pieces and shifted by the counts before) and looks every piece's bin
+(length, salt) groups of bounded size and shifted by the counts before) and looks every piece's bin
 up by length and number.
 
 ``pack`` counts tokens with the automaton of :mod:`quarry.llm.wordpiece` plus one end token; ``pack_files`` takes the
@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import tokenfiles, wordpiece
-from quarry.llm.shared import cut
+from quarry.llm.shared import cut, hot_limit
 
 CAPACITIES = (512, 1024, 2048, 4096)
-SALT_ROWS = 1_000_000
 
 
 def default_cost(capacity: int) -> float:
@@ -142,11 +141,12 @@ def pack_lengths(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, cost:
     histogram = {r["n_tokens"]: r["n"] for r in cut_up.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max(capacities) rows
     places, bins, _ = plan(histogram, capacities, cost)
     # The table follows from the histogram: its size is bounded by the capacities, not by the documents.
-    known = [(k, max(1, histogram[k] // SALT_ROWS), v) for k, v in _lookup(places, bins).items()]
+    limit = hot_limit(sum(histogram.values()))
+    known = [(k, -(-histogram[k] // limit), v) for k, v in _lookup(places, bins).items()]
     schema = "n_tokens long, salts int, places array<struct<first:long,last:long,bin:long,per_bin:long,used:long,bins:array<struct<last_bin:long,used:long,capacity:long>>>>"
     table = rows.sparkSession.createDataFrame(known, schema)
     salted = cut_up.join(F.broadcast(table.select("n_tokens", "salts")), "n_tokens").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("salts")).cast("int"))
-    counts = salted.groupBy("n_tokens", "_salt").agg(F.count(F.lit(1)).alias("n"))  # at most max(capacities) rows and one per SALT_ROWS pieces
+    counts = salted.groupBy("n_tokens", "_salt").agg(F.count(F.lit(1)).alias("n"))  # at most max(capacities) + MOST_HOT rows
     before = Window.partitionBy("n_tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("n_tokens", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     inside = Window.partitionBy("n_tokens", "_salt").orderBy("_row")

@@ -89,12 +89,9 @@ def vectors(stats: DataFrame) -> DataFrame:
     )
 
 
-def _meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """Rows joined with one row per group: by broadcast while the groups are few, else spread over tasks."""
-    table = cut(table, "groups")
-    if table.count() <= GROUPS * len(STARTS):
-        return rows.join(F.broadcast(table), keys)
-    return spread_join(rows, table, keys, hot_keys(rows, keys, hot_limit(rows.count())))
+    return rows.join(F.broadcast(table), keys) if few else spread_join(rows, table, keys, hot_keys(rows, keys, hot_limit(rows.count())))
 
 
 def _moments(rows: DataFrame, keys: list[str], names: tuple[str, ...] = VECTOR) -> DataFrame:
@@ -133,7 +130,7 @@ def _distance() -> Column:
     return _form([F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)])
 
 
-def _nearest(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _nearest(rows: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """The rows with the least ``d`` that make up SHARE of each group, by counts per step of d.
 
     Steps are 1/256 of an octave wide; rows of the step in which the share is reached all belong.
@@ -142,40 +139,48 @@ def _nearest(rows: DataFrame, keys: list[str]) -> DataFrame:
     counts = stepped.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("k"))  # at most a few thousand steps a group
     listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "k"))).alias("steps"), F.sum("k").alias("size"))
     limit = f"aggregate(steps, named_struct('seen', 0L, 'at', cast(null as int)), (a, x) -> named_struct('seen', a.seen + x.k, 'at', if(a.seen < ceil({SHARE} * size), x.step, a.at)), a -> a.at)"
-    return _meet(stepped, listed.select(*keys, F.expr(limit).alias("limit")), keys).filter("step <= limit").drop("step", "limit", "d")
+    return _meet(stepped, listed.select(*keys, F.expr(limit).alias("limit")), keys, few).filter("step <= limit").drop("step", "limit", "d")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """Rows with ``start`` and the distance ``d`` of each start."""
     middle = rows.groupBy("g").agg(*[F.percentile_approx(v, 0.5, 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)])
-    off = _meet(rows, middle, ["g"])
+    off = _meet(rows, cut(middle, "middle"), ["g"], few)
     spread = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"q{i}")), 0.5, 1000).alias(f"s{i}") for i, v in enumerate(VECTOR)])
     z = [(F.col(v) - F.col(f"q{i}")) / (F.col(f"s{i}") + 0.02) for i, v in enumerate(VECTOR)]
-    scaled = _meet(off, spread, ["g"]).select("g", *VECTOR, *[x.alias(f"z{i}") for i, x in enumerate(z)])
+    scaled = _meet(off, cut(spread, "spread"), ["g"], few).select("g", *VECTOR, *[x.alias(f"z{i}") for i, x in enumerate(z)])
     plain = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIM)), F.lit(0.0))
     turned = scaled.withColumn("start", F.explode(F.array(*map(F.lit, STARTS)))).withColumn("_r", F.sqrt(plain) + 1e-9)
     shaped = lambda x: F.when(F.col("start") == "tanh", F.tanh(x)).when(F.col("start") == "sign", x / F.col("_r")).otherwise(x)
     moments = _moments(turned.select("g", "start", *[shaped(F.col(f"z{i}")).alias(v) for i, v in enumerate(VECTOR)]), ["g", "start"])
     shapes = _precision(moments, ["g", "start"], ridge=(0.01,) * DIM)
     d = F.when(F.col("start") == "plain", plain).otherwise(_form([F.col(f"z{i}") for i in range(DIM)]))
-    return _meet(turned, shapes, ["g", "start"]).select("g", "start", *VECTOR, d.alias("d"))
+    return _meet(turned, cut(shapes, "shapes"), ["g", "start"], few).select("g", "start", *VECTOR, d.alias("d"))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """MCD mean (m) and covariance (c) per group ``g`` of ``rows(g, VECTOR)``; size is the group's rows."""
+    """MCD mean (m) and covariance (c) per group ``g`` of ``rows(g, VECTOR)``; size is the group's rows.
+
+    The few numbers of every group are written after each step, so a step's plan does not hold the earlier ones.
+    """
     rows = cut(rows.select("g", *VECTOR), "vectors")
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cut(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    few = sizes.count() <= GROUPS
     keys = ["g", "start"]
-    near = _nearest(_starts(rows), keys)
+
+    def step(at: DataFrame, by: list[str]) -> DataFrame:
+        near = _meet(rows, at.drop("det"), ["g"], few).withColumn("d", _distance()).select(*by, *VECTOR, "d")
+        return cut(_moments(_nearest(near, by, few), by), "moments")
+
+    found = cut(_moments(_nearest(_starts(rows, few), keys, few), keys), "moments")
     for _ in range(FIRST_STEPS):
-        near = _nearest(_meet(rows, _precision(_moments(near, keys), keys), ["g"]).withColumn("d", _distance()).select(*keys, *VECTOR, "d"), keys)
-    found = _precision(_moments(near, keys), keys)
-    best = found.groupBy("g").agg(F.min(F.struct("det", "start", *[c for c in found.columns if c not in ("g", "det", "start")])).alias("b")).select("g", "b.*").drop("det", "start")
-    for step in range(STEPS):
-        if step:
-            best = _precision(_moments(near, ["g"]), ["g"])
-        near = _nearest(_meet(rows, best, ["g"]).withColumn("d", _distance()).select("g", *VECTOR, "d"), ["g"])
-    return _moments(near, ["g"]).drop("n").join(sizes, "g")
+        found = step(_precision(found, keys), keys)
+    found = _precision(found, keys)
+    best = found.groupBy("g").agg(F.min(F.struct("det", "start", *[c for c in found.columns if c not in ("g", "det", "start")])).alias("b")).select("g", "b.*").drop("start")
+    for _ in range(STEPS):
+        found = step(best, ["g"])
+        best = _precision(found, ["g"])
+    return found.drop("n").join(sizes, "g")
 
 
 def _pooled(own: DataFrame, key: str, above: DataFrame, link: str) -> DataFrame:
@@ -205,10 +210,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     keys = F.array(name(F.col("lang"), F.col("source")), name(F.col("lang")), F.lit(""))
     good = stats.filter("not base_failed")
     # A row takes part in its group, its language and the whole.
-    found = cut(estimates(good.select(F.explode(keys).alias("g"), *VECTOR)), "estimates")
+    found = estimates(good.select(F.explode(keys).alias("g"), *VECTOR))
     groups = cut(good.select(keys[0].alias("k"), keys[1].alias("language"), keys[2].alias("all")).distinct(), "groups")
     chosen = pooled_estimates(found, groups)
-    judged = _meet(good.withColumn("k", keys[0]), chosen, ["k"])
+    judged = _meet(good.withColumn("k", keys[0]), cut(chosen, "chosen"), ["k"], groups.count() <= GROUPS)
     failed = stats.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
     judged = judged.withColumn("distance", _distance()).select(*failed.columns).unionByName(failed)
     return judged.select(

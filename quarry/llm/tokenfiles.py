@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import fresh_dir, worker_state
+from quarry.llm.shared import fresh_dir, partitions_for, worker_state
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -38,7 +38,7 @@ ENTRY, FOOTER = "<III", "<IBI"
 ENTRY_SIZE, FOOTER_SIZE = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
 
 DOC = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4"), ("null_id", "u1")])
-CACHE_WORDS, TEXTS = 450_000, 32
+CACHE_WORDS, TEXTS, FILE_MB = 450_000, 32, 256
 #: Latin letters: letters to the tokenizer, each already in composed form and lowered to one letter.
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 
@@ -102,7 +102,6 @@ class Encoder:
         get = self.cache.__getitem__
         return [b"".join(map(get, found)) for found in split]
 
-
     def plain_ids(self, word: bytes) -> bytes | None:
         """Ids of a word of letters with at most one full stop or comma behind it; None for any other."""
         if not self.plain:
@@ -209,8 +208,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
     Documents go in ascending doc_id (then text) order, range partitioned, one file per non-empty
     partition; nulls in doc_id come first. A null or empty text is the end id alone. Repeated rows are
-    kept. A file is written under a name of its own attempt and then moved, so that a repeated task
-    replaces it with the same bytes. Manifest: file, first_id, n_docs, n_ids, bytes, base (ids in all
+    kept. A file holds about ``FILE_MB`` MB of text, or less where more shuffle partitions are set. It is written
+    under a name of its own attempt and then moved, so that a repeated task replaces it with the same bytes; an
+    attempt that fails removes what it wrote, and that of a lost executor is removed at the end. Manifest: file, first_id, n_docs, n_ids, bytes, base (ids in all
     files before).
     """
     tokenizer = tokenizer or default_tokenizer()
@@ -223,32 +223,50 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         store, root = _store(path)
         name = f"part-{context.partitionId():06d}"
         attempt = f"{root}/_attempt-{name}-{context.taskAttemptId()}"
-        for b in batches:
-            for at in range(0, len(b), TEXTS):
-                part = b.iloc[at : at + TEXTS]
-                for doc_id, null, ids in zip(part["doc_id"], part["null_id"], encoder(list(part["text"])), strict=True):
-                    if writer is None:
-                        store.create_dir(root, recursive=True)
-                        out, first = store.open_output_stream(attempt), None if null else int(doc_id)
-                        writer = Writer(out, frame_ids, level)
-                    writer.add(None if null else int(doc_id), ids + end)
+        try:
+            for b in batches:
+                for at in range(0, len(b), TEXTS):
+                    part = b.iloc[at : at + TEXTS]
+                    for doc_id, null, ids in zip(part["doc_id"], part["null_id"], encoder(list(part["text"])), strict=True):
+                        if writer is None:
+                            store.create_dir(root, recursive=True)
+                            out, first = store.open_output_stream(attempt), None if null else int(doc_id)
+                            writer = Writer(out, frame_ids, level)
+                        writer.add(None if null else int(doc_id), ids + end)
+            if writer is not None:
+                size = writer.close()
+                out.close()
+                store.move(attempt, f"{root}/{name}.zst")
+        except BaseException:
+            if writer is not None:
+                out.close()
+                store.delete_file(attempt)
+            raise
         if writer is not None:
-            size = writer.close()
-            out.close()
-            store.move(attempt, f"{root}/{name}.zst")
             yield pd.DataFrame({"file": [f"{path}/{name}.zst"], "part": [context.partitionId()], "first_id": pd.array([first], "Int64"), "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids], "bytes": [size]})
 
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.col("text").cast("string").alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs, "text", FILE_MB)
     dealt = slim.repartitionByRange(n, F.desc("null_id"), "doc_id").sortWithinPartitions(F.desc("null_id"), "doc_id", "text")
     listed = dealt.mapInPandas(encode, "file string, part int, first_id long, n_docs long, n_ids long, bytes long")
     manifest = fresh_dir(docs.sparkSession, "token-manifest")
     listed.write.parquet(manifest)
+    _clear_attempts(path)
     # One row per file: the running sum is over the list of files, never over documents.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return docs.sparkSession.read.parquet(manifest).withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
 
+def _clear_attempts(path: str) -> None:
+    """Remove the unfinished files that lost executors left."""
+    from pyarrow import fs
+
+    store, root = _store(path)
+    for found in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.startswith("_attempt-"):
+            store.delete_file(found.path)
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32, ids binary."""
 
@@ -268,7 +286,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _frame(rows)
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
     return manifest.select("file", "base").repartition(n).mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import worker_state
+
 MARK = "▁"
 CACHE_WORDS = 1_000_000
 
@@ -126,9 +128,11 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown (words that are one unknown token)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = vocabulary(path)
-        automaton, whole = Automaton(pieces), set(pieces)
-        known: dict[bytes, tuple[int, int]] = {}
+        kept = worker_state().setdefault("automata", {})  # one per Python worker, shared by its tasks
+        if path not in kept:
+            pieces = vocabulary(path)
+            kept[path] = Automaton(pieces), set(pieces), {}
+        automaton, whole, known = kept[path]
 
         def look(w: bytes) -> tuple[int, int]:
             if len(known) > CACHE_WORDS:
