@@ -30,7 +30,9 @@ QUERY_VALUES = 20_000_000
 CACHE_TOKENS = 1_000_000
 ROWS = 256
 LISTS = ("dense", "sparse")
+PATTERN, STOP = re.compile(T.TOKEN), frozenset(T.TOKEN_STOP)
 
+# What tasks use travels to the workers by value: executors need no copy of this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -39,16 +41,15 @@ class HashedEmbedder:
 
     def __init__(self, dense: int = T.DENSE_DIM, sparse: int = T.SPARSE_DIM):
         self.dense, self.sparse = dense, sparse
-        self.pattern, self.stop = T.TOKEN, frozenset(T.TOKEN_STOP)
         self.cache: dict[str, int] = {}
 
     def numbers(self, text: str) -> np.ndarray:
         """First four bytes of the SHA-256 of every token."""
-        cache, found = self.cache, re.findall(self.pattern, text.lower())
+        cache, found = self.cache, PATTERN.findall(text.lower())
         if len(cache) > CACHE_TOKENS:
             cache.clear()
         for token in set(found).difference(cache):
-            cache[token] = -1 if token in self.stop else int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big")
+            cache[token] = -1 if token in STOP else int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big")
         out = np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
         return out[out >= 0]
 
@@ -162,10 +163,10 @@ def top_points(points: DataFrame, point: str, text: str, queries: DataFrame, que
         rows = [(number[r[0]], r[1]) for r in hop1.select(query, group).collect() if r[0] in number]  # a few groups per query
         allowed = {g: np.array(sorted({i for i, own in rows if own == g})) for g in {g for _, g in rows}}
         free = np.setdiff1d(np.arange(len(ids)), [i for i, _ in rows])
-    known = points.sparkSession.sparkContext.broadcast(Queries(ids, dense, sparse, allowed, free))
+    known = points.sparkSession.sparkContext.broadcast((ids, dense, sparse, allowed, free))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = known.value
+        asked = Queries(*known.value)
         best = {name: Best(len(asked.ids), n) for name in lists}
         for b in batches:
             for at in range(0, len(b), ROWS):

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.corpus import HINT_TYPES
+from quarry.session import scratch_dir
+
+# What tasks use travels to the workers by value: executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # What starts a symbol in each language.
 MARKS = {
@@ -18,33 +30,33 @@ DECORATED = (".py", ".js")
 WRAP = 16
 
 
-def with_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no from 1, line)."""
-    return docs.select(key, F.posexplode(T.lines(text)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
-
-
-def sections(docs: DataFrame, key: str, text: str, marker: Column, heading: Column) -> DataFrame:
+def sections(docs: DataFrame, key: str, text: str, marker: Callable[[Column], Column], heading: Callable[[Column], Column]) -> DataFrame:
     """Sections starting at lines where ``marker`` holds: section_no, heading, content, line_start, line_end.
 
-    ``marker`` and ``heading`` are expressions over ``line``. Lines before the first marker are section 0; a
-    text without markers is one section 0; an empty text is one empty section on line 1.
+    Lines before the first marker are section 0; a text without markers is one section 0; an empty text is one
+    empty section on line 1. All of it happens inside the text's row.
     """
-    numbered = with_lines(docs, key, text).withColumn("mark", marker)
-    running = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = numbered.withColumn("section_no", F.sum(F.col("mark").cast("int")).over(running))
-    cut = placed.groupBy(key, "section_no").agg(
-        F.max(F.when(F.col("mark"), heading)).alias("heading"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"),
-        F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"),
-    )
-    empty = docs.filter(F.size(T.lines(text)) == 0).select(key, F.lit(0).cast("long").alias("section_no"), F.lit(None).cast("string").alias("heading"), F.lit("").alias("content"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
-    return cut.unionByName(empty)
+    lines = docs.select(key, T.lines(text).alias("l")).withColumn("n", F.size("l"))
+    at = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    marked = lines.withColumn("s", F.filter(at, lambda i: marker(F.get("l", i))))
+    led = marked.withColumn("lead", (F.get("s", F.lit(0)).isNull() | (F.get("s", F.lit(0)) > 0)).cast("int"))
+    led = led.withColumn("a", F.when(F.col("lead") == 1, F.concat(F.array(F.lit(0)), "s")).otherwise(F.col("s")))
+
+    def one(start: Column, j: Column) -> Column:
+        end = F.coalesce(F.get("a", j + 1), F.col("n"))
+        head = F.when((F.col("lead") == 0) | (j > 0), heading(F.get("l", start)))
+        return F.struct(
+            (j + 1 - F.col("lead")).cast("long").alias("section_no"), head.alias("heading"), F.array_join(F.slice("l", start + 1, end - start), "\n").alias("content"),
+            (start + 1).alias("line_start"), F.greatest(end, F.lit(1)).alias("line_end"),
+        )
+
+    return led.select(key, F.inline(F.transform("a", one)))
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Sections at lines ``# ...`` or ``## ...``."""
     pattern = r"^(#{1,2})[ \t]+(.+?)\s*$"
-    return sections(docs, key, text, F.col("line").rlike(pattern), F.trim(F.regexp_extract("line", pattern, 2)))
+    return sections(docs, key, text, lambda line: line.rlike(pattern), lambda line: F.trim(F.regexp_extract(line, pattern, 2)))
 
 
 def symbols(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
@@ -77,69 +89,158 @@ def symbols(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     return units.filter("part > 0 or trim(content) <> ''")
 
 
-def pieces(text: str | Column, size: int) -> Column:
-    """Lines of a text; lines of more than ``size`` tokens are split between words into pieces of at most
-    ``min(16, size)`` tokens. An empty text is one empty piece."""
-    wrap = min(WRAP, size)
-    word_list = lambda line: F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("now"), F.lit(0).alias("used"), F.lit(0).alias("n"))
-
-    def step(a: Column, w: Column) -> Column:
-        more = T.token_count(w)
-        full = (a["n"] > 0) & (a["used"] + more > wrap)
-        return F.struct(
-            F.when(full, F.concat(a["parts"], F.array(a["now"]))).otherwise(a["parts"]).alias("parts"),
-            F.when(full | (a["n"] == 0), w).otherwise(F.concat(a["now"], F.lit(" "), w)).alias("now"),
-            F.when(full, more).otherwise(a["used"] + more).alias("used"),
-            F.when(full, F.lit(1)).otherwise(a["n"] + 1).alias("n"),
-        )
-
-    split = lambda line: F.aggregate(word_list(line), start, step, lambda a: F.concat(a["parts"], F.array(a["now"])))
-    own = T.lines(text)
-    cut = F.flatten(F.transform(own, lambda line: F.when(T.token_count(line) <= size, F.array(line)).otherwise(split(line))))
-    return F.when(F.size(own) == 0, F.array(F.lit(""))).otherwise(cut)
-
-
-def token_windows(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:
+LINE_END, TOKEN, STOP = re.compile(T.LINE_END), re.compile(T.TOKEN), frozenset(T.TOKEN_STOP)
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def n_tokens(text: str) -> int:
+    return sum(t not in STOP for t in TOKEN.findall(text.lower()))
+
+
+def pieces(text: str, size: int) -> list[tuple[str, int]]:
+    """Lines of a text with their tokens; lines of more than ``size`` tokens are split between words into pieces of at
+    most ``min(16, size)`` tokens. An empty text is one empty piece."""
+    lines = LINE_END.split(text)
+    if len(lines) > 1 and not lines[-1]:
+        lines.pop()
+    out = []
+    for line in lines:
+        n = n_tokens(line)
+        if n <= size:
+            out.append((line, n))
+            continue
+        held, used = [], 0
+        for word in filter(None, SPACE.split(line)):
+            more = n_tokens(word)
+            if held and used + more > min(WRAP, size):
+                out.append((" ".join(held), used))
+                held, used = [], 0
+            held.append(word)
+            used += more
+        out.append((" ".join(held), used))
+    return out
+
+
+def windows_of(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
+    """(first line, last line, tokens, content) of every window: two binary searches in the running sum of tokens."""
+    own = pieces(text, size)
+    sums = np.concatenate([[0], np.cumsum([n for _, n in own])]).tolist()
+    at, n = 0, len(own)
+    while at < n:
+        end = max(bisect_right(sums, sums[at] + size) - 1, at + 1)
+        yield at + 1, end, sums[end] - sums[at], "\n".join(line for line, _ in own[at:end])
+        if end >= n:
+            return
+        at = max(at + 1, min(end, bisect_left(sums, sums[at] + max(sums[end] - sums[at] - overlap, 1))))
+
+
+def token_windows(docs: DataFrame, key: str | list[str], text: str, size: int = 512, overlap: int = 64) -> DataFrame:
     """Windows of whole pieces with at most ``size`` tokens (or one piece): window_no, line_start, line_end,
     tokens, content. The next window starts after at least ``used - overlap`` tokens (one at least).
 
-    Prefix sums turn both searches into counts over a sorted array; the fold runs inside the row.
+    A sequential rule inside each text, linear in it: one Arrow pass without a shuffle.
     """
+    keys = [key] if isinstance(key, str) else key
     overlap = min(max(overlap, 0), size - 1)
-    cut = docs.select(key, pieces(text, size).alias("pieces"))
-    sums = cut.withColumn(
-        "p", F.aggregate("pieces", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + T.token_count(x))))
-    ).withColumn("n", F.size("pieces"))
-    fold = f"""
-      aggregate(sequence(1, n), named_struct('i', 0, 'w', cast(array() as array<struct<a:int,b:int>>)),
-        (s, _) -> if(s.i >= n, s, aggregate(array(greatest(size(filter(p, x -> x - p[s.i] <= {size})) - 1, s.i + 1)), s,
-          (t, e) -> named_struct(
-            'i', if(e >= n, n, greatest(t.i + 1, least(e, size(filter(p, x -> x - p[t.i] < greatest(p[e] - p[t.i] - {overlap}, 1)))))),
-            'w', concat(t.w, array(named_struct('a', t.i, 'b', e)))))),
-        s -> s.w)"""
-    found = sums.select(key, "pieces", "p", F.posexplode(F.expr(fold)).alias("window_no", "w"))
-    return found.select(
-        key, "window_no", (F.col("w.a") + 1).alias("line_start"), F.col("w.b").alias("line_end"), F.expr("p[w.b] - p[w.a]").alias("tokens"),
-        F.array_join(F.expr("slice(pieces, w.a + 1, w.b - w.a)"), "\n").alias("content"),
-    )
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, k, *w) for i, t in enumerate(b["_text"]) for k, w in enumerate(windows_of(t, size, overlap))]
+            out = pd.DataFrame(rows, columns=["i", "window_no", "line_start", "line_end", "tokens", "content"])
+            yield pd.concat([b[keys].iloc[out["i"]].reset_index(drop=True), out.drop(columns="i")], axis=1)
+
+    slim = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    kinds = dict(slim.dtypes)
+    return slim.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", window_no int, line_start int, line_end int, tokens int, content string")
+
+
+class Greedy:
+    """The packing rule: a unit opens a new group if it does not fit, or starts a section when the group is early full."""
+
+    def __init__(self, target: int, early: float):
+        self.target, self.flush = target, max(int(target * early), 1)
+
+    def through(self, sizes: np.ndarray, flags: np.ndarray) -> list[tuple[int, int, int]]:
+        """What a run of units makes of every state of the group before it (tokens used, ``target`` + 1 for any more):
+        (first state, tokens used after, groups opened) for ranges of states."""
+        used, opened = np.arange(self.target + 2), np.zeros(self.target + 2, np.int64)
+        for size, flag in zip(sizes.tolist(), flags.tolist(), strict=True):
+            new = used + size > self.target
+            if flag:
+                new |= used >= self.flush
+            used = np.minimum(np.where(new, size, used + size), self.target + 1)
+            opened += new
+        change = np.flatnonzero(np.append(True, (np.diff(used) != 0) | (np.diff(opened) != 0)))
+        return [(int(i), int(used[i]), int(opened[i])) for i in change]
+
+    def groups(self, sizes: np.ndarray, flags: np.ndarray, start: tuple[int, int] | None) -> tuple[list[int], int, int]:
+        """Group of every unit of one key after ``start`` (used, group), and the state at the end."""
+        used, group = start or (0, 0)
+        out, any_before = [], start is not None
+        for size, flag in zip(sizes.tolist(), flags.tolist(), strict=True):
+            if any_before and (used + size > self.target or (flag and used >= self.flush)):
+                used, group = 0, group + 1
+            used, any_before = used + size, True
+            out.append(group)
+        return out, min(used, self.target + 1), group
+
+
+def _runs(part: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
+    """Consecutive rows of one key, in order."""
+    ordered = part.sort_values(["k", "pos"], kind="stable")
+    first = np.flatnonzero(np.append(True, ordered["k"].to_numpy()[1:] != ordered["k"].to_numpy()[:-1]))
+    for a, b in zip(first, np.append(first[1:], len(ordered)), strict=True):
+        yield ordered["k"].iloc[a], ordered.iloc[a:b]
 
 
 def greedy_groups(units: DataFrame, key: str, pos: str, size: str, target: int, boundary: str | None = None, early: float = 0.6) -> DataFrame:
     """(key, pos, group_no): consecutive units packed to at most ``target``; with ``boundary`` a group
     also ends before a unit that starts a section once it is ``early`` full.
 
-    The units of one key are folded as an array of (pos, size, flag), without their content.
+    Units are range partitioned by (key, pos), so a key with most of the units lies in many parts. A first pass
+    tells what each part's first key makes of every state that it may find open; these tables (a few rows a part)
+    are joined one after the other into the state at each part's start, and a second pass numbers the groups.
     """
+    spark = units.sparkSession
     flag = F.coalesce(F.col(boundary), F.lit(False)) if boundary else F.lit(False)
-    listed = units.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(size).cast("long").alias("size"), flag.alias("flag")))).alias("u"))
-    flush = max(int(target * early), 1)
-    fold = f"""
-      aggregate(u, named_struct('used', 0L, 'g', 0, 'n', 0, 'out', cast(array() as array<int>)),
-        (a, x) -> aggregate(array(a.n > 0 and (a.used + x.size > {target} or (x.flag and a.used >= {flush}))), a,
-          (b, f) -> named_struct('used', if(f, 0L, b.used) + x.size, 'g', b.g + if(f, 1, 0), 'n', if(f, 0, b.n) + 1, 'out', concat(b.out, array(b.g + if(f, 1, 0))))),
-        a -> a.out)"""
-    return listed.select(key, F.explode(F.arrays_zip(F.col("u").getField("pos").alias("pos"), F.expr(fold).alias("group_no"))).alias("z")).select(key, F.col("z.pos").alias(pos), F.col("z.group_no").alias("group_no"))
+    dealt = units.select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.col(size).cast("long").alias("size"), flag.alias("flag")).repartitionByRange("k", "pos")
+    path = scratch_dir(spark, "units")
+    dealt.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    kinds, rule = dict(rows.dtypes), Greedy(target, early)
+
+    def ends(part: pd.DataFrame) -> pd.DataFrame:
+        runs = list(_runs(part))
+        (first, head), (last, tail) = runs[0], runs[-1]
+        table = rule.through(head["size"].to_numpy(), head["flag"].to_numpy())
+        _, used, group = rule.groups(tail["size"].to_numpy(), tail["flag"].to_numpy(), None)
+        return pd.DataFrame({"part": [part["part"].iloc[0]], "first": [first], "last": [last], "one": [len(runs) == 1], "used": [used], "grp": [group], "states": [[list(x) for x in table]]})
+
+    found = rows.groupBy("part").applyInPandas(ends, f"part int, first {kinds['k']}, last {kinds['k']}, one boolean, used long, grp long, states array<array<bigint>>")
+    starts: dict[int, tuple[int, int]] = {}
+    last, state = None, None
+    for r in sorted(found.collect(), key=lambda r: r.part):  # one row a part
+        follows = state is not None and r.first == last
+        if follows:
+            starts[r.part] = state
+        if follows and r.one:
+            _, used, opened = r.states[bisect_right([x[0] for x in r.states], state[0]) - 1]
+            state = used, state[1] + opened
+        else:
+            state = r.used, r.grp
+        last = r.last
+    known = spark.sparkContext.broadcast(starts)
+
+    def number(part: pd.DataFrame) -> pd.DataFrame:
+        start, out = known.value.get(int(part["part"].iloc[0])), []
+        for _, own in _runs(part):
+            groups, _, _ = rule.groups(own["size"].to_numpy(), own["flag"].to_numpy(), start)
+            out.append(own[["k", "pos"]].assign(group_no=groups))
+            start = None
+        return pd.concat(out)
+
+    numbered = rows.groupBy("part").applyInPandas(number, f"k {kinds['k']}, pos {kinds['pos']}, group_no int")
+    return numbered.select(F.col("k").alias(key), F.col("pos").alias(pos), "group_no")
 
 
 def section_start(text: str | Column) -> Column:
@@ -188,13 +289,13 @@ def cut_units(units: DataFrame, key: str, material: str, order: list[str], size:
     # A markdown unit is headed by itself, other documents by any unit of their material.
     j = j.withColumn("strategy", strategy("material_type", "subtype", F.when(markdown, F.col("_own")).otherwise(F.col("_headed")), code & F.col("_text").isNotNull()))
     j = j.withColumn("section", F.coalesce(F.col("_section"), F.col("section"))).withColumn("_base", F.col("line_start") + F.coalesce("_from", F.lit(1)) - 1)
-    j = j.withColumn("content", F.coalesce("_text", "content")).withColumn("part", F.coalesce("part", F.lit(0).cast("long"))).withColumn("_id", F.struct(key, "part"))
+    j = j.withColumn("content", F.coalesce("_text", "content")).withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
     fits = (T.token_count("content") <= size) | F.col("strategy").isin("artifact", "stub", "passthrough")
     columns = [key, material, "strategy", "section", "part", "page", *[c for c in order if c not in (key, material)]]
     whole = j.filter(fits).select(*columns, F.lit(0).alias("chunk_key"), F.col("_base").alias("line_start"), (F.col("_base") + F.coalesce(F.col("_to") - F.col("_from") + 1, T.line_count("content")) - 1).alias("line_end"), "content")
     wide = j.filter(~fits)
-    windows = token_windows(wide.select("_id", "content"), "_id", "content", size, overlap)
-    cut = wide.drop("content", "line_start", "line_end").join(windows, "_id").select(*columns, F.col("window_no").alias("chunk_key"), (F.col("_base") + F.col("line_start") - 1).alias("line_start"), (F.col("_base") + F.col("line_end") - 1).alias("line_end"), "content")
+    windows = token_windows(wide, [*columns, "_base"], "content", size, overlap)
+    cut = windows.select(*columns, F.col("window_no").alias("chunk_key"), (F.col("_base") + F.col("line_start") - 1).alias("line_start"), (F.col("_base") + F.col("line_end") - 1).alias("line_end"), "content")
     return number_chunks(whole.unionByName(cut), material, [*order, "part", "chunk_key"]).select(key, material, "strategy", "section", "part", "page", "chunk_key", "line_start", "line_end", "content", "chunk_index")
 
 

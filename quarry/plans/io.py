@@ -29,7 +29,7 @@ def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC2: the first 1000 bytes of every file as valid text."""
-    return files.bounded_text(files.scan(spark, _tree(spark, sf_dir)), 1000).select(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder"), F.octet_length("text").alias("bytes"))
+    return files.bounded_text(files.scan(spark, _tree(spark, sf_dir), content=False), 1000).select(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder"), F.octet_length("text").alias("bytes"))
 
 
 @query()

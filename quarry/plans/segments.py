@@ -24,8 +24,7 @@ UNION ALL SELECT doc_id, 0, NULL, sha256(''), 1, 1 FROM documents WHERE coalesce
 """)
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN7: sections at one-word lines of every document."""
-    mark = F.col("line").rlike(f"^{SHORT}$")
-    cut = segment.sections(table(spark, sf_dir, "documents"), "doc_id", "text", mark, F.col("line"))
+    cut = segment.sections(table(spark, sf_dir, "documents"), "doc_id", "text", lambda line: line.rlike(f"^{SHORT}$"), lambda line: line)
     return cut.select("doc_id", "section_no", "heading", F.sha2("content", 256).alias("digest"), "line_start", "line_end")
 
 

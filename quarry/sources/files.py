@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -18,7 +21,7 @@ SUITE = S.StructType([S.StructField("id", S.StringType()), S.StructField("cases"
 
 
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """Files below ``root`` by relative path, without hidden, cache and vendor parts.
+    """Files below ``root`` by relative path and whole ``uri``, without hidden, cache and vendor parts.
 
     Without ``content`` the column is pruned and files are only listed.
     """
@@ -26,12 +29,25 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     base = root.split("://")[-1].replace("file:", "").rstrip("/") + "/"
     path = F.substring_index("path", base, -1)
     columns = ["length", "modificationTime"] + (["content"] if content else [])
-    return found.select(path.alias("path"), *columns).filter(C.visible("path"))
+    return found.select(path.alias("path"), F.col("path").alias("uri"), *columns).filter(C.visible("path"))
 
 
 def bounded_text(files: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` bytes of each file as text; invalid UTF-8 is replaced."""
-    return files.withColumn("text", F.make_valid_utf8(F.substring("content", 1, limit).cast("string"))).drop("content")
+    """The first ``limit`` bytes of each file of ``files(uri, ...)`` as text; invalid UTF-8 is replaced. No more of a file is read."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in batches:
+            texts = []
+            for uri in b["uri"]:
+                store, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://"))
+                with store.open_input_file(path) as source:
+                    texts.append(source.read(limit).decode("utf-8", "replace"))
+            yield b.assign(text=texts)
+
+    slim = files.drop("content")
+    return slim.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in slim.dtypes) + ", text string")
 
 
 def drop_listing(files: DataFrame) -> DataFrame:

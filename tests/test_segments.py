@@ -1,5 +1,6 @@
 """Sequential rules against plain statements of them, on whole tables and on small cases."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -59,6 +60,27 @@ def test_token_windows(spark, sf_dir):
             assert [x[1:] for x in sorted(got[d.doc_id])] == plain_windows(d.text or "", size, overlap)
 
 
+def test_greedy_groups_do_not_depend_on_parts(spark):
+    """Hot and small keys, units larger than the target, section starts: parts from one to many."""
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else f"k{i % 7}", i, rng.choice([0, 1, 5, 17, 40, 90]), rng.random() < 0.2) for i in range(600)]
+    df = spark.createDataFrame(rows, "key string, pos long, size int, start boolean")
+    want, state = {}, {}
+    for key, pos, size, start in sorted(rows, key=lambda r: (r[0], r[1])):
+        used, group = state.get(key, (None, 0))
+        if used is not None and (used + size > 60 or (start and used >= 36)):
+            used, group = 0, group + 1
+        state[key] = (used or 0) + size, group
+        want[key, pos] = group
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "6", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {(r.key, r.pos): r.group_no for r in segment.greedy_groups(df, "key", "pos", "size", 60, "start").collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert segment.greedy_groups(df.limit(0), "key", "pos", "size", 60).count() == 0
+
+
 def test_long_text_keeps_head_and_tail(spark):
     text = "HEAD_MARK\n" + "\n".join(" ".join(f"word{i * 16 + j}" for j in range(16)) for i in range(750)) + "\nTAIL_MARK"
     rows = segment.token_windows(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").orderBy("window_no").collect()
