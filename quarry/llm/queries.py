@@ -56,16 +56,33 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics of op4 by themselves, for their SQL."""
+    return quality_rules.base_stats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_token_files, op2_near_duplicates, op3_html_text, op4_quality_rules, op5_token_counts, op6_line_dedup,
-            op7_virtual_slots, op8_benchmark_hits, op9_quality_scores, op10_best_fit,
+            op7_virtual_slots, op8_benchmark_hits, op9_quality_scores, op10_best_fit, base_statistics,
         )
     }
 
 
+BASE_SQL = r"""
+WITH d AS (SELECT *, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda p: w[p] || chr(1) || w[p + 1] || chr(1) || w[p + 2])) AS g FROM d),
+r AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g),
+c AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS place FROM r WHERE k > 1) GROUP BY doc_id),
+s AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -127,4 +144,4 @@ FROM h JOIN n USING (item_id) WHERE 100 * shared_shingles >= 80 * item_shingles
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_benchmark_hits": OP8_SQL}
+    return {"base_statistics": BASE_SQL, "op2_near_duplicates": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_benchmark_hits": OP8_SQL}
