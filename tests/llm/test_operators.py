@@ -485,7 +485,7 @@ def test_token_counts_match_library(docs):
     model = Tokenizer(models.WordPiece({p: i for i, p in enumerate(sorted(pieces[0] | pieces[1] | {"[UNK]"}))}, unk_token="[UNK]", max_input_chars_per_word=10**6))
     model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
     got = {r.doc_id: r.n_tokens for r in wordpiece.token_counts(docs).collect()}
-    for d in docs.limit(60).collect():
+    for d in docs.collect():
         text = " ".join(w for w in re.split("[\x20\x09-\x0d]+", d.text or "") if w)
         assert got[d.doc_id] == len(model.encode(text).ids) if text else got[d.doc_id] == 0
 
@@ -791,18 +791,39 @@ def test_sequences_hold_the_ids_of_their_documents(spark, awkward, tmp_path):
 
 
 def test_awkward_rows(spark, awkward):
-    items = spark.createDataFrame([(1, "one line only here please")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "one line only here second"), (2, "not in any of them")], "item_id long, text string")
     labels = spark.createDataFrame([(3, 1, 0), (7, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    n = awkward.count()
+    rows = awkward.collect()
     near = neardup.near_duplicates(awkward, 2).collect()
-    assert len(near) == n and sum(r.doc_id is None for r in near) == 2
+    assert len(near) == len(rows) and sum(r.doc_id is None for r in near) == 2
     assert {r.doc_id: r.component_id for r in near if r.doc_id} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
-    assert quality_rules.quality_rules(awkward).count() == n
-    assert wordpiece.token_counts(awkward).count() == n
-    assert decontaminate.find_items(awkward, items).count() >= 0
+    verdicts = quality_rules.quality_rules(awkward).collect()
+    assert collections.Counter(r.doc_id for r in verdicts) == collections.Counter(r.doc_id for r in rows)
+    assert {r.doc_id for r in verdicts if r.n_words == 0} == {1, 2, 4, None} and all(r.base_failed and not r.kept for r in verdicts if r.n_words < 50)
+    counted = collections.Counter((r.doc_id, r.n_words) for r in wordpiece.token_counts(awkward).collect())
+    assert counted == collections.Counter((r.doc_id, len(plain_words(r.text))) for r in rows)
+    assert [(r.doc_id, r.item_id, r.containment) for r in decontaminate.find_items(awkward, items).collect()] == [(7, 1, 1.0)]
     model = quality_classifier.fit(awkward, labels)
-    assert quality_classifier.score(awkward, model).count() == n
-    assert neardup.keep_one(awkward).count() == n - 1
+    scores = quality_classifier.score(awkward, model).collect()
+    assert collections.Counter(r.doc_id for r in scores) == collections.Counter(r.doc_id for r in rows) and all(0 <= r.score <= 1 for r in scores)
+    assert len({r.score for r in scores if r.doc_id in (1, 2)}) == 1 and not any(r.held_out for r in scores if r.doc_id is None)
+    left = collections.Counter((r.doc_id, r.text) for r in neardup.keep_one(awkward).collect())
+    assert left == collections.Counter((r.doc_id, r.text) for r in rows if r.doc_id != 6)
+
+
+def test_awkward_token_files(spark, awkward, tmp_path):
+    """Nulls in front, then by doc_id and text; each row by itself, the very long one in a frame of its own."""
+    from tokenizers import Tokenizer
+
+    manifest = tokenfiles.write(awkward, f"file://{tmp_path}/t", frame_ids=64)
+    model, at, want = Tokenizer.from_file(tokenfiles.default_tokenizer()), 0, []
+    for r in sorted(awkward.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")):
+        ids = np.array(model.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4")
+        want.append((r.doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = sorted((tuple(r)[:4] for r in tokenfiles.read(manifest).collect()), key=lambda r: r[1])
+    assert got == want
+    assert not [f for f in (tmp_path / "t").iterdir() if f.name.startswith("_attempt")]
 
 
 def test_empty_tables(spark, empty, tmp_path):
