@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 4
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
 SMALL = 8
-CACHE_WORDS = 1_000_000
+CACHE_WORDS, TEXTS = 250_000, 1000
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 MULTIPLIERS = _RANDOM.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _RANDOM.integers(0, 2**63, BUCKETS, dtype=np.uint64)
@@ -99,6 +99,13 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return ((zeros.astype(np.uint64) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
 
 
+def small(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in parts of ``TEXTS`` rows, so that what a part is turned into stays small."""
+    for b in batches:
+        for at in range(0, len(b), TEXTS):
+            yield b.iloc[at : at + TEXTS]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (tells rows of one doc_id apart by their text), text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
@@ -109,7 +116,7 @@ def sketches(docs: DataFrame, n_words: int) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n_words)
-        for b in batches:
+        for b in small(batches):
             sets = [shingler(t) for t in b["text"]]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "row_key": b["row_key"], "n_shingles": [len(s) for s in sets],
@@ -125,7 +132,7 @@ def shingle_sets(docs: DataFrame, owners: DataFrame, n_words: int) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n_words)
-        for b in batches:
+        for b in small(batches):
             yield pd.DataFrame({"id": b["id"], "shingles": [shingler(t).view(np.int64) for t in b["text"]]})
 
     keys = ["doc_id", "row_key"]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import worker_state
 
 MARK = "▁"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -131,8 +131,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         kept = worker_state().setdefault("automata", {})  # one per Python worker, shared by its tasks
         if path not in kept:
             pieces = vocabulary(path)
-            kept[path] = Automaton(pieces), set(pieces), {}
-        automaton, whole, known = kept[path]
+            kept[path] = Automaton(pieces), set(pieces)
+        automaton, whole = kept[path]
+        known: dict[bytes, tuple[int, int]] = {}
 
         def look(w: bytes) -> tuple[int, int]:
             if len(known) > CACHE_WORDS:
