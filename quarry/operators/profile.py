@@ -36,7 +36,12 @@ def material_keywords(units: DataFrame, key: str, pos: str, text: str, limit: in
 
 def unit_keywords(units: DataFrame, keys: list[str], text: str, limit: int) -> DataFrame:
     """(keys, i, term): unique keywords of each unit, inside its row; each list is computed once."""
-    own = units.select(*keys, F.filter(F.transform(T.keywords(text), lambda v: F.trim(v)), lambda x: x != "").alias("_w"))
+    return unique_terms(units.select(*keys, T.keywords(text).alias("_w")), keys, limit)
+
+
+def unique_terms(lists: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(keys, i, term): unique items of each list ``_w``, inside its row; each list is computed once, not once an item."""
+    own = lists.withColumn("_w", F.filter(F.transform("_w", lambda v: F.trim(v)), lambda x: x != ""))
     low = own.withColumn("_l", F.transform("_w", F.lower)).withColumn("_d", F.slice(F.array_distinct("_l"), 1, limit))
     picked = F.transform("_d", lambda k: F.element_at("_w", F.array_position("_l", k).cast("int")))
     return low.select(*keys, F.posexplode(picked).alias("i", "term"))
@@ -75,8 +80,8 @@ def leaf_digests(units: DataFrame, group: list[str], pos: str, text: str, page:
     first = titled.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(pos, "i"))).filter("_n <= 8")
     ungroup = lambda df, *c: df.select(*[F.col(f"_g.{g}").alias(g) for g in group], *c)
     headed = ungroup(first.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]).alias("headings")), "headings")
-    terms = slim.select(gkey, pos, F.explode(F.array(F.struct(F.lit(0).alias("part"), T.unique(T.headings("_x"), 20).alias("w")), F.struct(F.lit(1).alias("part"), T.unique(T.plain_keywords("_x"), 40).alias("w")))).alias("p"))
-    terms = terms.select("_g", pos, "p.part", F.posexplode("p.w").alias("i", "term"))
+    both = F.array(F.struct(F.lit(0).alias("part"), T.headings("_x").alias("_w")), F.struct(F.lit(1).alias("part"), T.plain_keywords("_x").alias("_w")))
+    terms = unique_terms(slim.select(gkey, pos, F.inline(both)), ["_g", pos, "part"], 40)
     words = ungroup(ordered_unique(terms, "_g", "term", ["part", pos, "i"], 20), F.col("terms").alias("keywords"))
     ranges = [F.min("_page").alias("page_start"), F.max("_page").alias("page_end")] if page else []
     ranges += [F.min_by("_path", F.when(F.col("_path").isNotNull(), F.col(pos))).alias("path_start"), F.max_by("_path", F.when(F.col("_path").isNotNull(), F.col(pos))).alias("path_end")] if path else []

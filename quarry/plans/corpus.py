@@ -184,7 +184,7 @@ def material_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.assign(_files(spark, sf_dir), "full_path").select("pos", "full_path", "root", "hint")
 
 
-@query()
+@query(f"WITH {FILES}, {FORMAT_SQL} SELECT pos, CASE WHEN contains(full_path, '/docs/') THEN 'docs_tree' ELSE coalesce(CASE {HINT_CASE} END, 'plain') END AS decision FROM fmt")
 def custom_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF4: an ordered list of column expressions as boundary rules; the first that decides wins."""
     rules = [F.when(F.col("full_path").contains("/docs/"), "docs_tree"), C.hint_type(C.suffix_format("full_path")["format"])["type"], F.lit("plain")]

@@ -223,7 +223,14 @@ def rerank_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.rerank(hits, given, "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query()
+WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower(substr(coalesce({}, ''), 1, 2048)), '\\s+'), lambda x: x <> ''))"
+
+
+@query(
+    TWO_HOP_SQL
+    + f""", sc AS (SELECT u.*, len(list_intersect({WORDS_SQL.format('b.text')}, {WORDS_SQL.format('d.text')}))::DOUBLE AS s, count(*) OVER (PARTITION BY item_id) AS n FROM units u JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))
+SELECT item_id, doc_id, CASE WHEN n >= 2 THEN s ELSE score END AS score, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN n >= 2 THEN s END DESC NULLS LAST, rank) AS rank FROM sc"""
+)
 def scored_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF2: reranking by a Python scorer in Arrow batches (shared words of query and unit)."""
 
