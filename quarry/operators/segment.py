@@ -36,21 +36,21 @@ def sections(docs: DataFrame, key: str, text: str, marker: Callable[[Column], Co
     Lines before the first marker are section 0; a text without markers is one section 0; an empty text is one
     empty section on line 1. All of it happens inside the text's row.
     """
-    lines = docs.select(key, T.lines(text).alias("l")).withColumn("n", F.size("l"))
-    at = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    marked = lines.withColumn("s", F.filter(at, lambda i: marker(F.get("l", i))))
-    led = marked.withColumn("lead", (F.get("s", F.lit(0)).isNull() | (F.get("s", F.lit(0)) > 0)).cast("int"))
-    led = led.withColumn("a", F.when(F.col("lead") == 1, F.concat(F.array(F.lit(0)), "s")).otherwise(F.col("s")))
+    lines = docs.select(key, T.lines(text).alias("_l")).withColumn("_n", F.size("_l"))
+    at = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+    marked = lines.withColumn("_s", F.filter(at, lambda i: marker(F.get("_l", i))))
+    led = marked.withColumn("_lead", (F.get("_s", F.lit(0)).isNull() | (F.get("_s", F.lit(0)) > 0)).cast("int"))
+    led = led.withColumn("_a", F.when(F.col("_lead") == 1, F.concat(F.array(F.lit(0)), "_s")).otherwise(F.col("_s")))
 
     def one(start: Column, j: Column) -> Column:
-        end = F.coalesce(F.get("a", j + 1), F.col("n"))
-        head = F.when((F.col("lead") == 0) | (j > 0), heading(F.get("l", start)))
+        end = F.coalesce(F.get("_a", j + 1), F.col("_n"))
+        head = F.when((F.col("_lead") == 0) | (j > 0), heading(F.get("_l", start)))
         return F.struct(
-            (j + 1 - F.col("lead")).cast("long").alias("section_no"), head.alias("heading"), F.array_join(F.slice("l", start + 1, end - start), "\n").alias("content"),
+            (j + 1 - F.col("_lead")).cast("long").alias("section_no"), head.alias("heading"), F.array_join(F.slice("_l", start + 1, end - start), "\n").alias("content"),
             (start + 1).alias("line_start"), F.greatest(end, F.lit(1)).alias("line_end"),
         )
 
-    return led.select(key, F.inline(F.transform("a", one)))
+    return led.select(key, F.inline(F.transform("_a", one)))
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:

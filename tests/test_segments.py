@@ -100,6 +100,12 @@ def test_markdown_sections(spark):
     assert sorted((r.id, r.section_no, r.heading or "", r.line_start, r.line_end) for r in rows) == [(1, 0, "", 1, 1), (1, 1, "One", 2, 4), (1, 2, "Two", 5, 6), (2, 0, "", 1, 1), (3, 0, "", 1, 2)]
 
 
+def test_sections_with_a_key_of_any_name(spark):
+    for key in ("n", "l", "s", "a", "lead", "i"):
+        rows = segment.markdown_sections(spark.createDataFrame([(7, "x\n# One\ny"), (9, "")], f"{key} int, t string"), key, "t").collect()
+        assert sorted((r[key], r.section_no, r.line_start, r.line_end) for r in rows) == [(7, 0, 1, 1), (7, 1, 2, 3), (9, 0, 1, 1)]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  A b\tc \n", ["B ", "b", " ", "a", "A", "c"], "x y", 3, None, None)], "t string, l array<string>, p string, page int, a int, b int")
     r = df.select(T.clip("t").alias("c"), T.unique("l", 2).alias("u"), T.format_location("p", "page", "a", "b").alias("loc"), T.clip(F.lit("abc def ghi"), 5).alias("cut"), T.lines(F.lit("a\r\nb c\n")).alias("lines")).first()
