@@ -311,7 +311,7 @@ class LineIndex:
         A key held by two or more indexed documents loses its lines everywhere but in its owner. Only
         line numbers travel to the documents; documents that lose nothing are not shuffled.
         """
-        counts = self.counts().filter("n_docs > 1")
+        counts = cut(self.counts().filter("n_docs > 1"), "repeated")
         refs = self.refs()
         limit = hot_limit(docs.count())
         hot = counts.filter(F.col("n_docs") > limit).select(*KEY, F.ceil(F.col("n_docs") / limit).cast("int").alias("_copies"))

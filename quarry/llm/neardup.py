@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 4
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
 SMALL = 8
-CACHE_WORDS, TEXTS = 250_000, 1000
+CACHE_WORDS, TEXTS = 100_000, 1000
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 MULTIPLIERS = _RANDOM.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _RANDOM.integers(0, 2**63, BUCKETS, dtype=np.uint64)
@@ -135,7 +135,7 @@ def shingle_sets(docs: DataFrame, owners: DataFrame, n_words: int) -> DataFrame:
         for b in small(batches):
             yield pd.DataFrame({"id": b["id"], "shingles": [shingler(t).view(np.int64) for t in b["text"]]})
 
-    keys = ["doc_id", "row_key"]
+    keys, owners = ["doc_id", "row_key"], cut(owners, "owners")
     texts = among(_keyed(docs), owners.select(*keys), keys).groupBy(*keys).agg(F.first("text").alias("text"))
     return texts.join(owners, keys).select("id", "text").mapInPandas(run, "id long, shingles array<bigint>")
 

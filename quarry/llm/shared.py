@@ -56,15 +56,16 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_quarry_worker", types.ModuleType("_quarry_worker")).__dict__
 
 
-FILTER_BITS = 1 << 27
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 20, 1 << 27, 32
 
 
 def marked(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``_hit``: false where the keys (whole numbers) are certainly not in ``ids``.
+    """``rows`` with ``_hit``: false where the keys (whole numbers) are certainly not in ``ids``, a written table.
 
-    A bitmap of hashed keys, at most ``FILTER_BITS`` bits (16 MB) whatever the number of keys, is broadcast.
+    A bitmap of hashed keys is broadcast: ``BITS_A_KEY`` bits a key, at most ``MOST_BITS`` (16 MB) whatever their number.
     """
-    place = F.pmod(F.xxhash64(*[F.col(k).cast("long") for k in keys]), F.lit(FILTER_BITS))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*[F.col(k).cast("long") for k in keys]), F.lit(bits))
     maps = ids.dropna(subset=keys).select(place.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
     placed = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_pos", F.bitmap_bit_position(place))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_pos div 8 as int) + 1, 1)")), 16, 10).cast("int")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import worker_state
 
 MARK = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 
 def vocabulary(path: str | None = None) -> list[str]:
