@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.neardup import Shingler
-from quarry.llm.shared import cut, without, words
+from quarry.llm.shared import cut, text_batches, without, words
 
 SCHEMA = "item int, item_id long, size int, partition int, width int, shingles array<bigint>, sketch array<bigint>"
 BROADCAST_LIMIT = 4_000_000
@@ -84,6 +84,7 @@ class Scanner:
 
 def find_items(docs: DataFrame, items: DataFrame, n_words: int = 5, percent: int = 80, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """doc_id, item_id, item_shingles, shared_shingles, containment of every pair that reaches the limit."""
+    text_batches(docs.sparkSession)
     sketched = cut(item_sketches(items, n_words, percent), "items")
     total = sketched.agg(F.sum("size")).first()[0] or 0
     if total > broadcast_limit:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import among, cut, hot_keys, hot_limit, spread_join, without, words
+from quarry.llm.shared import among, cut, hot_keys, hot_limit, spread_join, text_batches, without, words
 
 BANDS, ROWS = 32, 4
 BUCKETS = BANDS * ROWS
@@ -225,6 +225,7 @@ def _prefix_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, n_wor
 def labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Per row with a doc_id: doc_id, row_key, n_shingles, component_id, class_id (smallest doc_id of the class) and
     ``stays``: the row's class is the component's first that holds its smallest doc_id, and the row is of that doc_id."""
+    text_batches(docs.sparkSession)
     sk = cut(sketches(docs, n_words), "sketches")
     least = F.min(F.struct("doc_id", "row_key")).alias("o")
     grouped = sk.filter("n_shingles > 0").groupBy("set_key").agg(least, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))

@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import text_batches
+
 MAX_ROWS = 40_000
 BINS = 20
 STEPS = 1200
@@ -195,6 +197,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
     The positive doc_ids (ids only) are chosen first; one pass over the texts, without a shuffle, follows.
     """
+    text_batches(docs.sparkSession)
     own = labels.filter("doc_id is not null and quality = 1").filter(~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_positive"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").filter(~held_out("doc_id"))

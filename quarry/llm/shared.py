@@ -37,6 +37,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of ``rows`` where the session has Spark's default of 10,000, which is meant for
+    numbers: a batch is held several times over, by the executor and by its worker."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
 def partitions_for(df: DataFrame, column: str, mb: int) -> int:
     """Shuffle partitions of about ``mb`` MB of a text column, at least ``spark.sql.shuffle.partitions``."""
     size = df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0

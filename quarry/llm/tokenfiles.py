@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import fresh_dir, partitions_for, worker_state
+from quarry.llm.shared import fresh_dir, partitions_for, text_batches, worker_state
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -213,6 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     attempt that fails removes what it wrote, and that of a lost executor is removed at the end. Manifest: file, first_id, n_docs, n_ids, bytes, base (ids in all
     files before).
     """
+    text_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     end = struct.pack("<I", end_id)
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import worker_state
+from quarry.llm.shared import text_batches, worker_state
 
 MARK = "▁"
 CACHE_WORDS = 100_000
@@ -154,5 +154,6 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").mask(b["null_id"]).array)
             yield out
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInPandas(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
