@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, html_text, linededup, neardup, packing, quality_classifier, quality_rules, sharding, tokenfiles, wordpiece
+from quarry.llm import clustering, decontaminate, html_text, linededup, neardup, packing, quality_classifier, quality_rules, sharding, simhash, tokenfiles, whitening, wordpiece
 from quarry.llm.shared import fresh_dir
 from quarry.session import table
 
@@ -56,6 +56,18 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base statistics of op4 by themselves, for their SQL."""
     return quality_rules.base_stats(table(spark, sf_dir, "documents"))
@@ -66,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_token_files, op2_near_duplicates, op3_html_text, op4_quality_rules, op5_token_counts, op6_line_dedup,
-            op7_virtual_slots, op8_benchmark_hits, op9_quality_scores, op10_best_fit, base_statistics,
+            op7_virtual_slots, op8_benchmark_hits, op9_quality_scores, op10_best_fit, op11_centroids, op12_simhash, op13_whitening, base_statistics,
         )
     }
 
@@ -142,6 +154,27 @@ SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles / item_s
 FROM h JOIN n USING (item_id) WHERE 100 * shared_shingles >= 80 * item_shingles
 """
 
+# Whole-number k-means, a round at a time: a = nearest centroid of each vector, c = floors of the means.
+_OP11_NEAREST = """a{t} AS MATERIALIZED (
+  SELECT rid, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT rid, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{t}) GROUP BY rid)"""
+_OP11_MEANS = """c{n} AS MATERIALIZED (
+  SELECT c{t}.k, coalesce(m.c, c{t}.c) AS c FROM c{t} LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY dim)::BIGINT[] AS c
+    FROM (SELECT k, dim, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT k, unnest(x) AS x, generate_subscripts(x, 1) AS dim FROM a{t} JOIN v USING (rid)) GROUP BY k, dim)
+    GROUP BY k) m ON m.k = c{t}.k)"""
+_OP11_ROUNDS = ",\n".join(part for t in range(clustering.ROUNDS) for part in (_OP11_NEAREST.format(t=t), _OP11_MEANS.format(t=t, n=t + 1)))
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS k, x AS c FROM v QUALIFY k < 40),
+{_OP11_ROUNDS},
+{_OP11_NEAREST.format(t=clustering.ROUNDS)}
+SELECT vec_id, k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{clustering.ROUNDS} JOIN v USING (rid) JOIN c{clustering.ROUNDS} USING (k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"base_statistics": BASE_SQL, "op2_near_duplicates": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_benchmark_hits": OP8_SQL}
+    return {"base_statistics": BASE_SQL, "op2_near_duplicates": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_benchmark_hits": OP8_SQL, "op11_centroids": OP11_SQL}
