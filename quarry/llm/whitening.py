@@ -365,8 +365,9 @@ def null_space(m: list[list[int]], root: Decimal, times: int, digits: int = DIGI
             return b
 
         out: list[list[Decimal]] = []
-        for t in range(times):
-            v = [Decimal(1 + (i * (2 * t + 3) + t) % 7) for i in range(n)]
+        starts = np.random.Generator(np.random.PCG64(1)).integers(1, 1_000_000, (times, n)).tolist()
+        for start in starts:
+            v = list(map(Decimal, start))
             for _ in range(3):
                 v = solved(v)
                 for _ in range(2):
