@@ -2,10 +2,9 @@
 
 Points and queries are embedded by the same function: ``embed(texts)`` returns a matrix of dense vectors (one
 row a text) and a list of sparse vectors (indices, values). :class:`HashedEmbedder` is the built-in one.
-While the queries' vectors stay below ``QUERY_VALUES`` values they are broadcast, the points are read where they
-are, and a task keeps ``n`` points per query and list; nothing is shuffled but these. Larger query sets are
-joined with the points on their hashed dimensions (:mod:`quarry.operators.retrieve`), which only the built-in
-embedding allows.
+Queries are broadcast, the points are read where they are, and a task keeps ``n`` points per query and list; nothing is
+shuffled but these. A query set of more than ``QUERY_VALUES`` values goes in blocks of that size: its vectors are
+computed in tasks and written, so are those of the points, once, and each block is one scan of them.
 """
 
 from __future__ import annotations
@@ -22,11 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import index, retrieve
+from quarry.operators import retrieve
+from quarry.session import scratch_dir
 
 Sparse = tuple[np.ndarray, np.ndarray]
 Embed = Callable[[list[str]], tuple[np.ndarray, list[Sparse]]]
-QUERY_VALUES = 20_000_000
+QUERY_VALUES = 5_000_000
 CACHE_TOKENS = 1_000_000
 ROWS = 256
 LISTS = ("dense", "sparse")
@@ -135,7 +135,7 @@ class Best:
 
 
 def embedded(queries: DataFrame, query: str, text: str, embed: Embed) -> tuple[list, np.ndarray, list[Sparse]] | None:
-    """Ids and vectors of the queries in order of their ids, or None if they are too many to broadcast."""
+    """Ids and vectors of the queries in order of their ids, or None if they are more than one block."""
     n = queries.count()
     size = queries.agg(F.sum(F.length(text))).first()[0] or 0
     if n * T.DENSE_DIM + size > QUERY_VALUES:
@@ -144,6 +144,36 @@ def embedded(queries: DataFrame, query: str, text: str, embed: Embed) -> tuple[l
     return [r[0] for r in rows], *embed([r.t for r in rows])
 
 
+#: Vectors as lists of what is not zero.
+VECTORS = "width int, di array<int>, dv array<double>, si array<bigint>, sv array<double>"
+
+
+def vectors(rows: DataFrame, text: str, embed: Embed) -> DataFrame:
+    """The other columns of ``rows`` and the vectors of ``text``, written once."""
+    keys = [c for c in rows.columns if c != text]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), ROWS):
+                part = b.iloc[at : at + ROWS]
+                dense, sparse = embed(list(part[text]))
+                places = [np.flatnonzero(d) for d in dense]
+                yield part[keys].assign(width=dense.shape[1], di=[p.astype(np.int32) for p in places], dv=[d[p].astype(np.float64) for d, p in zip(dense, places, strict=True)], si=[i.astype(np.int64) for i, _ in sparse], sv=[v.astype(np.float64) for _, v in sparse])
+
+    kinds = dict(rows.dtypes)
+    out = rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), VECTORS]))
+    path = scratch_dir(rows.sparkSession, "vectors")
+    out.write.parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def unpacked(part: pd.DataFrame) -> tuple[np.ndarray, list[Sparse]]:
+    dense = np.zeros((len(part), int(part["width"].max()) if len(part) else 0))
+    for i, (at, v) in enumerate(zip(part["di"], part["dv"], strict=True)):
+        dense[i, at] = v
+    return dense, list(zip(part["si"], part["sv"], strict=True))
+
+
 def top_points(points: DataFrame, point: str, text: str, queries: DataFrame, query: str, asked: str, n: int, embed: Embed | None = None, group: str | None = None, hop1: DataFrame | None = None, lists: tuple[str, ...] = LISTS) -> DataFrame:
     """The best ``n`` points of every query by cosine of the dense vectors (list ``dense``) and by dot product of the
     sparse ones (``sparse``): query, point, list, score, rank. Scores of 0 give no row.
@@ -151,19 +181,45 @@ def top_points(points: DataFrame, point: str, text: str, queries: DataFrame, que
     With ``hop1(query, group)`` a query meets only points of its groups; a query without any meets all.
     """
     embed = embed or HashedEmbedder()
+    slim = points.select(F.col(point).alias("point"), F.coalesce(text, F.lit("")).alias("text"), (F.col(group) if group else F.lit(None).cast("string")).alias("grp")).filter("point is not null")
+    kinds = dict(points.dtypes) | dict(queries.dtypes)
+    schema = f"{query} {kinds[query]}, {point} {kinds[point]}, list string, score double"
     found = embedded(queries, query, asked, embed)
-    if found is None:
-        if not isinstance(embed, HashedEmbedder):
-            raise ValueError("too many queries for an embedder of one's own: search them in batches")
-        return _by_join(points, point, text, queries, query, asked, n, group, hop1).filter(F.col("list").isin(*lists))
-    ids, dense, sparse = found
-    allowed = free = None
-    if hop1 is not None:
-        number = {x: i for i, x in enumerate(ids)}
-        rows = [(number[r[0]], r[1]) for r in hop1.select(query, group).collect() if r[0] in number]  # a few groups per query
-        allowed = {g: np.array(sorted({i for i, own in rows if own == g})) for g in {g for _, g in rows}}
-        free = np.setdiff1d(np.arange(len(ids)), [i for i, _ in rows])
-    known = points.sparkSession.sparkContext.broadcast((ids, dense, sparse, allowed, free))
+    if found is not None:
+        rows = _scan(slim, found, _allowed(found[0], hop1, query, group), n, lists, query, point, schema, lambda part: embed(list(part["text"])))
+        return _ranked(rows, query, point, n)
+    spark = points.sparkSession
+    own = vectors(queries.select(query, F.coalesce(asked, F.lit("")).alias("_text")), "_text", embed)
+    total = own.agg(F.sum(F.col("width") + F.size("si"))).first()[0]
+    blocks = -(-total // QUERY_VALUES)
+    held, path = vectors(slim, "text", embed), scratch_dir(spark, "best")
+    numbered = own.withColumn("_block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int"))
+    for k in range(blocks):
+        block = numbered.filter(F.col("_block") == k)
+        part = block.orderBy(query).toPandas()  # about QUERY_VALUES values
+        if len(part):
+            ids = part[query].tolist()
+            near = hop1.join(block.select(query), query, "left_semi") if hop1 is not None else None
+            rows = _scan(held, (ids, *unpacked(part)), _allowed(ids, near, query, group), n, lists, query, point, schema, unpacked)
+            _ranked(rows, query, point, n).write.mode("append").parquet(path)
+    return spark.read.schema(schema + ", rank int").parquet(path)
+
+
+def _allowed(ids: list, hop1: DataFrame | None, query: str, group: str | None) -> tuple[dict | None, np.ndarray | None]:
+    """Places of the queries that may meet each group, and of those that may meet all."""
+    if hop1 is None:
+        return None, None
+    number = {x: i for i, x in enumerate(ids)}
+    rows = [(number[r[0]], r[1]) for r in hop1.select(query, group).collect() if r[0] in number]  # a few groups per query
+    by_group: dict[object, set[int]] = {}
+    for i, g in rows:
+        by_group.setdefault(g, set()).add(i)
+    return {g: np.array(sorted(own)) for g, own in by_group.items()}, np.setdiff1d(np.arange(len(ids)), [i for i, _ in rows])
+
+
+def _scan(rows: DataFrame, found: tuple, met: tuple, n: int, lists: tuple[str, ...], query: str, point: str, schema: str, embed: Callable[[pd.DataFrame], tuple[np.ndarray, list[Sparse]]]) -> DataFrame:
+    """One pass over rows(point, grp, ...): each task's best points of the broadcast queries."""
+    known = rows.sparkSession.sparkContext.broadcast((*found, *met))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked = Queries(*known.value)
@@ -171,7 +227,7 @@ def top_points(points: DataFrame, point: str, text: str, queries: DataFrame, que
         for b in batches:
             for at in range(0, len(b), ROWS):
                 part = b.iloc[at : at + ROWS]
-                own_dense, own_sparse = embed(list(part["text"]))
+                own_dense, own_sparse = embed(part)
                 mask = asked.mask(list(part["grp"])) if asked.allowed is not None else 1
                 own = part["point"].to_numpy()
                 for name, held in best.items():
@@ -181,10 +237,7 @@ def top_points(points: DataFrame, point: str, text: str, queries: DataFrame, que
                 number, score, own = held.cut()
                 yield pd.DataFrame({query: [asked.ids[i] for i in number], point: own, "list": name, "score": score})
 
-    kinds = dict(points.dtypes) | dict(queries.dtypes)
-    slim = points.select(F.col(point).alias("point"), F.coalesce(text, F.lit("")).alias("text"), (F.col(group) if group else F.lit(None).cast("string")).alias("grp"))
-    rows = slim.filter("point is not null").mapInPandas(run, f"{query} {kinds[query]}, {point} {kinds[point]}, list string, score double")
-    return _ranked(rows, query, point, n)
+    return rows.mapInPandas(run, schema)
 
 
 def _ranked(rows: DataFrame, query: str, point: str, n: int) -> DataFrame:
@@ -192,21 +245,6 @@ def _ranked(rows: DataFrame, query: str, point: str, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def _by_join(points: DataFrame, point: str, text: str, queries: DataFrame, query: str, asked: str, n: int, group: str | None, hop1: DataFrame | None) -> DataFrame:
-    """The same rows by equi-joins on the hashed dimensions."""
-    lists = []
-    for name, dim in (("dense", T.DENSE_DIM), ("sparse", T.SPARSE_DIM)):
-        p, q = index.postings(points, point, text, dim), index.postings(queries, query, asked, dim)
-        if name == "dense":
-            scores = retrieve.cosine_scores(index.normed(p, point), index.normed(q, query), query, point)
-        else:
-            scores = retrieve.sparse_scores(p, q, query, point).withColumn("score", F.col("score").cast("double"))
-        if hop1 is not None:
-            scores = retrieve.restrict(scores.join(points.select(point, group), point), hop1, query, group).drop(group)
-        lists.append(scores.withColumn("list", F.lit(name)))
-    return _ranked(lists[0].unionByName(lists[1]), query, point, n)
-
-
 def hybrid(points: DataFrame, point: str, text: str, queries: DataFrame, query: str, asked: str, limit: int, offset: int = 0, embed: Embed | None = None, group: str | None = None, hop1: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank fusion of the dense and the sparse list: query, point, score, rank."""
     lists = top_points(points, point, text, queries, query, asked, retrieve.prefetch(limit, offset), embed, group, hop1)

@@ -20,15 +20,39 @@ def small(spark):
 
 
 @pytest.mark.parametrize("restricted", [False, True])
-def test_scan_and_join_agree(spark, small, monkeypatch, restricted):
+def test_blocks_of_queries_give_the_rows_of_one_scan(spark, small, monkeypatch, restricted):
     points, queries = small
     hop1 = spark.createDataFrame([(1, "m0"), (1, "m2"), (2, "m0")], "query long, grp string") if restricted else None
-    ask = lambda: sorted(map(tuple, search.top_points(points, "point", "text", queries, "query", "asked", 3, group="grp", hop1=hop1).select("list", "query", "rank", "point", F.round("score", 9)).collect()))
+    ask = lambda: sorted(map(tuple, search.top_points(points, "point", "text", queries, "query", "asked", 3, group="grp", hop1=hop1).select("list", "query", "rank", "point", "score").collect()))
     scanned = ask()
-    monkeypatch.setattr(search, "QUERY_VALUES", 0)
+    monkeypatch.setattr(search, "QUERY_VALUES", 2000)
     assert ask() == scanned and len(scanned) >= 4
-    with pytest.raises(ValueError, match="batches"):
-        search.top_points(points, "point", "text", queries, "query", "asked", 3, embed=lambda texts: None)
+
+
+def test_an_embedder_of_ones_own_takes_any_number_of_queries(spark, monkeypatch):
+    def embed(texts):
+        dense = np.array([[len(t), t.count("a"), t.count("b") + 1] for t in texts], float).reshape(-1, 3)
+        return dense, [(np.array([len(t) % 7]), np.array([1.0])) for t in texts]
+
+    points = spark.createDataFrame([(i, "ab" * (i % 5) + "b" * (i % 3)) for i in range(60)], "point long, text string")
+    queries = spark.createDataFrame([(i, "a" * (i % 4) + "b") for i in range(40)], "query long, asked string")
+    ask = lambda: sorted(map(tuple, search.top_points(points, "point", "text", queries, "query", "asked", 4, embed).collect()))
+    scanned = ask()
+    monkeypatch.setattr(search, "QUERY_VALUES", 30)  # about ten queries a block
+    assert ask() == scanned
+    dense = {(r.query, r.point): r for r in search.top_points(points, "point", "text", queries, "query", "asked", 4, embed, lists=("dense",)).collect()}
+    texts = [r.text for r in points.orderBy("point").collect()]
+    for q in queries.collect():
+        x, y = embed([q.asked])[0], embed(texts)[0]
+        cosine = (y @ x[0]) / np.sqrt((y * y).sum(axis=1) * (x * x).sum())
+        best = sorted(range(60), key=lambda i: (-cosine[i], i))[:4]
+        assert [p for _, p in sorted((r.rank, p) for (k, p), r in dense.items() if k == q.query)] == best
+
+
+def test_only_the_best_of_a_task_is_shuffled(spark, small):
+    points, queries = small
+    plan = search.top_points(points.repartition(4), "point", "text", queries, "query", "asked", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and plan.count("MapInPandas") == 1
 
 
 def test_best_keeps_ties_by_point():
