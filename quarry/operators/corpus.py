@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.numbering import numbered
 
 # Suffix to (action, format), compound suffixes first.
 COMPOUND = {".tar.gz": "tar.gz", ".tar.bz2": "tar.bz2", ".tar.xz": "tar.xz"}
@@ -384,5 +385,11 @@ def skipped_files(files: DataFrame, units: DataFrame, material: str, path: str,
 
 def label_nodes(nodes: DataFrame, source: str, is_material: str, pos: str) -> DataFrame:
     """M1.. for materials and C1.. for other nodes, in order."""
-    n = F.row_number().over(Window.partitionBy(source, is_material).orderBy(pos))
-    return nodes.withColumn("label", F.concat(F.when(F.col(is_material), "M").otherwise("C"), n.cast("string")))
+    placed = numbered(nodes, [source, is_material], [pos], "_n")
+    return placed.withColumn("label", F.concat(F.when(F.col(is_material), "M").otherwise("C"), (F.col("_n") + 1).cast("string"))).drop("_n")
+
+
+def ordered_listing(files: DataFrame, folder: str, path: str) -> DataFrame:
+    """Place (from 1) of every path in its folder, without regard to case first."""
+    placed = numbered(files.withColumn("_low", F.lower(path)), [folder], ["_low", path], "place")
+    return placed.drop("_low").withColumn("place", (F.col("place") + 1).cast("int"))

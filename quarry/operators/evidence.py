@@ -54,7 +54,11 @@ def question_coverage(questions: DataFrame, evidence: DataFrame, run: str, quest
     return q.withColumn("status", status)
 
 
-def unit_ok(citation: str, path: str, page: str, line_start: str, line_end: str, card: str = "material") -> Column:
+#: Fixed value: the id under which a material's card is stored beside its units.
+CARD = "__material__"
+
+
+def unit_ok(citation: str, path: str, page: str, line_start: str, line_end: str, card: str = CARD) -> Column:
     """Not a material card, and has a page, both line bounds or a path."""
     c, p = F.coalesce(F.col(citation), F.lit("")), F.coalesce(F.col(path), F.lit(""))
     return ~((F.trim(c) == card) | (p == card)) & (F.col(page).isNotNull() | (F.col(line_start).isNotNull() & F.col(line_end).isNotNull()) | (p != ""))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.corpus import HINT_TYPES
+from quarry.operators.numbering import numbered
 from quarry.session import scratch_dir
 
 # What tasks use travels to the workers by value: executors need no copy of this package on their path.
@@ -28,6 +29,8 @@ MARKS = {
 }
 DECORATED = (".py", ".js")
 WRAP = 16
+#: Units that one task packs.
+PART_ROWS = 200_000
 
 
 def sections(docs: DataFrame, key: str, text: str, marker: Callable[[Column], Column], heading: Callable[[Column], Column]) -> DataFrame:
@@ -187,8 +190,9 @@ class Greedy:
 
 def _runs(part: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
     """Consecutive rows of one key, in order."""
-    ordered = part.sort_values(["k", "pos"], kind="stable")
-    first = np.flatnonzero(np.append(True, ordered["k"].to_numpy()[1:] != ordered["k"].to_numpy()[:-1]))
+    ordered = part.sort_values(["k", "pos"], kind="stable", na_position="first")
+    code = pd.factorize(ordered["k"])[0]  # null is one key, with code -1
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     for a, b in zip(first, np.append(first[1:], len(ordered)), strict=True):
         yield ordered["k"].iloc[a], ordered.iloc[a:b]
 
@@ -203,7 +207,9 @@ def greedy_groups(units: DataFrame, key: str, pos: str, size: str, target: int,
     """
     spark = units.sparkSession
     flag = F.coalesce(F.col(boundary), F.lit(False)) if boundary else F.lit(False)
-    dealt = units.select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.col(size).cast("long").alias("size"), flag.alias("flag")).repartitionByRange("k", "pos")
+    # Keys go as strings, so that one with nulls keeps its type in pandas.
+    slim = units.select(F.col(key).cast("string").alias("k"), F.col(pos).alias("pos"), F.col(size).cast("long").alias("size"), flag.alias("flag"))
+    dealt = slim.repartitionByRange(max(1, -(-slim.count() // PART_ROWS)), "k", "pos")
     path = scratch_dir(spark, "units")
     dealt.withColumn("part", F.spark_partition_id()).write.parquet(path)
     rows = spark.read.parquet(path)
@@ -239,8 +245,8 @@ def greedy_groups(units: DataFrame, key: str, pos: str, size: str, target: int,
             start = None
         return pd.concat(out)
 
-    numbered = rows.groupBy("part").applyInPandas(number, f"k {kinds['k']}, pos {kinds['pos']}, group_no int")
-    return numbered.select(F.col("k").alias(key), F.col("pos").alias(pos), "group_no")
+    grouped = rows.groupBy("part").applyInPandas(number, f"k {kinds['k']}, pos {kinds['pos']}, group_no int")
+    return grouped.select(F.col("k").cast(dict(units.dtypes)[key]).alias(key), F.col("pos").alias(pos), "group_no")
 
 
 def section_start(text: str | Column) -> Column:
@@ -249,8 +255,8 @@ def section_start(text: str | Column) -> Column:
 
 
 def number_chunks(units: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """chunk_index from 0 per material."""
-    return units.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    """chunk_index from 0 per material, whatever a material's share of the units."""
+    return numbered(units, [key], order, "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
 def strategy(material_type: str | Column, subtype: str | Column, headed: str | Column, symbols: str | Column) -> Column:

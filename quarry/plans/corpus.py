@@ -282,9 +282,7 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FILES} SELECT material_id, path, row_number() OVER (PARTITION BY material_id ORDER BY lower(path), path) AS place FROM f")
 def ordered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP3: case-insensitive order of names inside each folder."""
-    from pyspark.sql import Window
-
-    return _files(spark, sf_dir).select("material_id", "path", F.row_number().over(Window.partitionBy("material_id").orderBy(F.lower("path"), "path")).alias("place"))
+    return C.ordered_listing(_files(spark, sf_dir).select("material_id", "path"), "material_id", "path")
 
 
 @query(f"""WITH {FILES}, {FORMAT_SQL}, h AS (SELECT *, CASE {HINT_CASE} END AS hint FROM fmt),

