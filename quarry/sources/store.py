@@ -62,6 +62,12 @@ class BucketStore:
         """All rows of the newest or a given version."""
         return self._files(self.manifest(version))
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """Stored rows of the keys (not null), from their buckets alone."""
+        touched = {r.bucket for r in keys.select(self._bucket()).distinct().collect()}  # at most ``buckets`` rows
+        held = {b: f for b, f in self.manifest().items() if b in touched}
+        return self._files(held).join(keys.select(self.key).distinct(), self.key, "left_semi")
+
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
 

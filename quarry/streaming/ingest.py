@@ -2,43 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def new_items(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
-    """A stream of the rows of files that arrive under ``path``, each key once (the state holds keys only).
-
-    The file source remembers the files it has read, the checkpoint makes both survive a restart.
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+# What tasks use travels to the workers by value: executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: How long a path or key is remembered after it was last seen.
+TTL_MS = 30 * 24 * 3600 * 1000
+#: State with a time to live needs RocksDB; a drained stream must end, and not wait for the clock in empty batches.
+CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+class Changed(StatefulProcessor):
+    """Lets a row through if its key has no mark yet or another one; the mark is forgotten ``ttl_ms`` after it was last seen.
+    Without a mark column all rows of a key are alike."""
+
+    def __init__(self, mark: str | None, order: str | None, ttl_ms: int):
+        self.mark, self.order, self.ttl_ms = mark, order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("mark", "mark string", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = self.known.get()[0] if self.known.exists() else None
+        fresh = held is None
+        for part in rows:
+            if not len(part):
+                continue
+            if self.order:
+                part = part.sort_values(self.order, kind="stable")
+            marks = part[self.mark].map(lambda m: "null" if m is None or m != m else f"={m}") if self.mark else pd.Series("", part.index)
+            before = marks.shift(1)
+            before.iloc[0] = None if fresh else held
+            yield part[marks != before]
+            held, fresh = marks.iloc[-1], False
+        if not fresh:
+            self.known.update((held,))
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """``CONF`` while a stream starts and runs; the session's own choice is put back."""
+    own = {k: spark.conf.get(k, None) for k in CONF}
+    for k, v in CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def changed_items(rows: DataFrame, key: str, mark: str | None, order: str | None = None, ttl_ms: int = TTL_MS) -> DataFrame:
+    """A stream of the rows whose ``mark`` (a fingerprint) differs from the last one of their ``key``.
+
+    State is one mark per key and ends ``ttl_ms`` after the key was last seen, so it is bounded by the keys of that time; a key that
+    comes back later counts as new. Start the stream under :func:`state_store` (``drain`` does). Rows of one key in one
+    batch are taken by ``order``; a null mark is a mark of its own.
     """
-    return spark.readStream.schema(schema).parquet(path).dropDuplicates(keys)
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Changed(mark, order, ttl_ms), outputStructType=rows.schema, outputMode="Append", timeMode="ProcessingTime")
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Run a stream over what is there now, exactly once, into a Parquet sink."""
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def first_items(rows: DataFrame, key: str, ttl_ms: int = TTL_MS) -> DataFrame:
+    """A stream of the first row of every ``key``: a repeated request is ignored until ``ttl_ms`` after the last one."""
+    return changed_items(rows, key, None, None, ttl_ms)
 
 
-def each_batch(stream: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Run ``process`` on every micro-batch; a batch overwrites its own partition, so a repeat changes nothing."""
+def arriving(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files that arrive under ``path``. The checkpoint remembers which were read."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        done = process(batch).withColumn("batch_id", F.lit(batch_id))
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out)
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def newest(batches: DataFrame, key: str) -> DataFrame:
-    """Rows of the latest batch of each key, from the output of :func:`each_batch`."""
-    top = batches.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
-    return batches.join(top, [key, "batch_id"], "left_semi")
+def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a stream over what is there now, exactly once, into a Parquet sink."""
+    with state_store(stream.sparkSession):
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def with_errors(rows: DataFrame, checks: dict[str, object]) -> DataFrame:
-    """An ``errors`` array per row and its status: failures are marked, they do not stop a batch."""
-    found = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks.items()]), lambda x: x.isNotNull())
-    marked = rows.withColumn("errors", found)
-    return marked.withColumn("status", F.when(F.size("errors") > 0, "failed").otherwise("ready"))
+def each_batch(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run ``process(batch, batch id)`` on every micro-batch of what is there now. A batch may be given twice after a failure."""
+    stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
