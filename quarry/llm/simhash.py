@@ -114,9 +114,14 @@ def block_count(n: int, bits: int = BITS) -> int:
     return b
 
 
+def distances(fp: str) -> Column:
+    """A row of the pivot table: the distances to the references."""
+    return F.array(*[F.bit_count(F.col(fp).bitwiseXOR(F.lit(r))).cast("tinyint") for r in REFERENCES])
+
+
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """``fps(fp, ...)`` with ``near``: the distances to the references."""
-    return fps.withColumn("near", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("tinyint") for r in REFERENCES]))
+    """``fps(fp, ...)`` with ``near``, the row of distances of each fingerprint."""
+    return fps.withColumn("near", distances("fp"))
 
 
 def keyed(rows: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
@@ -146,8 +151,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     limit = hot_limit(len(masks) * n)
     copies = F.ceil(F.col("m") / limit).cast("int").alias("_copies")
     rows = keyed(nodes, masks)
-    sized = rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("rows", "fp", "near")).alias("hub"))
-    buckets = cut(sized.filter("m > 1").select(*BUCKET, "m", F.col("hub.fp").alias("hub"), F.col("hub.near").alias("hub_near")), "buckets")
+    sized = rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("m"), F.max_by("fp", "rows").alias("hub"))
+    buckets = cut(sized.filter("m > 1").withColumn("hub_near", distances("hub")), "buckets")
     hot = buckets.filter(F.col("m") > limit).select(*BUCKET, copies)
     met = cut(spread_join(among(rows.drop("rows"), buckets.select(*BUCKET), BUCKET), buckets, BUCKET, hot), "members")
     star = met.filter("fp <> hub").filter(linked("fp", "near", "hub", "hub_near", bits)).select(*edge("fp", "hub"))
