@@ -5,7 +5,11 @@ map ``(version, vslot, bytes, shard)``, stored as Parquet with one folder per ve
 version and changes no earlier one, ``read_map`` returns the newest or a given one. Everything that is
 gathered is the slot table, whose size is the fixed number of slots.
 
-Nulls: a null key hashes like any other value (one slot), a null text counts 0 bytes plus 1. Repeated
+A record's slot comes from its doc_id. Where a slot holds more than ``SLACK`` of a shard's fair share and four times the mean, as that
+of null or often repeated doc_ids may, its records are dealt by a second hash (text and place) over so many slots of a second range as bring each below
+that; these slots are mapped like all others, so the law holds for hot keys too.
+
+Nulls: a null key hashes like any other value, a null text counts 0 bytes plus 1. Repeated
 rows are kept, each with its own position. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -19,6 +23,8 @@ from quarry.llm.shared import cut, fresh_dir
 MAP = "vslot int, bytes long, shard int, version int"
 #: Rows of one virtual slot that are numbered by one task; a slot with more is dealt over several.
 SLOT_ROWS = 1_000_000
+#: Part of a shard's fair share that a slot may hold, and slots of the second range for each shard.
+SLACK, EXTRA = 0.01, 512
 
 
 def vslot(key: str | Column, slots: int) -> Column:
@@ -30,6 +36,22 @@ def slot_bytes(records: DataFrame) -> DataFrame:
     return records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
+def split_hot(records: DataFrame, sizes: DataFrame, shards: int, slots: int) -> DataFrame:
+    """``records(vslot, size, text_crc32, row)`` with the records of slots above their share dealt over slots from ``slots`` on.
+
+    At most ``shards / SLACK`` slots are that large, so their table is bounded; each takes as many slots of the ``EXTRA * shards`` as its
+    bytes need, beginning at a hash of its number.
+    """
+    total = sizes.agg(F.sum("bytes").alias("total"))
+    share = F.col("total") * SLACK / shards
+    hot = sizes.crossJoin(F.broadcast(total)).filter((F.col("bytes") > share) & (F.col("bytes") > 4 * F.col("total") / slots))  # one row of totals
+    hot = hot.select("vslot", F.least(F.lit(EXTRA * shards), F.ceil(F.col("bytes") / share)).cast("int").alias("_many"), F.pmod(F.xxhash64("vslot", F.lit("second")), F.lit(EXTRA * shards)).alias("_first"))
+    dealt = records.join(F.broadcast(hot), "vslot", "left")
+    place = F.pmod(F.xxhash64("text_crc32", "row"), F.col("_many"))
+    second = slots + F.pmod(F.col("_first") + place, F.lit(EXTRA * shards))
+    return dealt.withColumn("vslot", F.coalesce(second.cast("int"), F.col("vslot"))).drop("_many", "_first")
+
+
 def first_map(sizes: DataFrame, shards: int, version: int = 1) -> DataFrame:
     """Slot-to-shard map with near-equal bytes: slots in falling size, each to the shard with least.
 
@@ -100,7 +122,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 4096, path:
     """
     spark, first = docs.sparkSession, path is None
     path = path or fresh_dir(spark, "slot-maps")
-    records = cut(
+    named = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -108,6 +130,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 4096, path:
             vslot("doc_id", slots).alias("vslot"), F.monotonically_increasing_id().alias("row"),
         ), "records",
     )
+    records = cut(split_hot(named, cut(slot_bytes(named), "slots"), shards, slots), "slotted")
     sizes = cut(slot_bytes(records), "slots")
     if sizes.isEmpty():
         mapped = spark.createDataFrame([], MAP)
