@@ -140,6 +140,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, path: str, version: int = 0, shards: int = SHARDS, filters_from: int = 1, n_keys: int = 0, deletes: tuple[int, ...] = ()):
         self.spark, self.path, self.version, self.shards = spark, path, version, shards
         self.filters_from, self.n_keys, self.deletes = filters_from, n_keys, tuple(deletes)
+        self.rebuilt: DataFrame | None = None  # filters of another shard count than the stored ones
 
     @classmethod
     def create(cls, spark: SparkSession, path: str | None = None, shards: int = SHARDS) -> LineIndex:
@@ -189,6 +190,8 @@ class LineIndex:
         return rows.groupBy(*KEY).agg(F.max_by(F.struct("n_docs", "owner"), "v").alias("c")).select(*KEY, "c.*").filter("n_docs > 0")
 
     def filters(self) -> DataFrame:
+        if self.rebuilt is not None:
+            return self.rebuilt
         rows = self._read("filters", self.filters_from)
         newest = rows.groupBy("shard").agg(F.max("v").alias("v"))
         return rows.join(F.broadcast(newest), ["shard", "v"]).drop("v")  # one row a shard
@@ -196,6 +199,18 @@ class LineIndex:
     def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.pmod("k2", F.lit(self.shards)).cast("int"))
 
+    def _wide(self, n_keys: int) -> LineIndex:
+        """This version with filters of as many shards as ``n_keys`` keys need: a batch that is large beside the index is probed in
+        shards of its own size, never in the old ones."""
+        shards = self.shards
+        while n_keys > shards * SHARD_KEYS:
+            shards *= 2
+        if shards == self.shards:
+            return self
+        wide = LineIndex(self.spark, self.path, self.version, shards, self.filters_from, self.n_keys, self.deletes)
+        wide.rebuilt = cut(wide._built(self.counts()), "filters")
+        return wide
+
     def probe(self, keys: DataFrame) -> DataFrame:
         """``keys(k1, k2)`` with ``maybe``: false only where the key is certainly not stored."""
 
@@ -274,7 +289,8 @@ class LineIndex:
         if known is not None:  # a further row of a stored document is no further document
             holders = holders.join(known.select(*KEY, "doc_id"), [*KEY, "doc_id"], "left_anti")
         gained = cut(holders.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("least")), "gained")
-        probed = gained.join(self.probe(gained), KEY) if self.version else gained.withColumn("maybe", F.lit(False))
+        wide = self._wide(self.n_keys + gained.count())
+        probed = gained.join(wide.probe(gained), KEY) if self.version else gained.withColumn("maybe", F.lit(False))
         probed = cut(probed, "probed")
         new = probed.filter("not maybe").select(*KEY, F.col("n").alias("n_docs"), F.col("least").alias("owner"), F.lit(True).alias("is_new"))
         met = probed.filter("maybe")
@@ -286,10 +302,7 @@ class LineIndex:
         touched = cut(new.unionByName(met), "touched")
         self._write("counts", touched.drop("is_new"))
         fresh = touched.filter("is_new").select(*KEY, F.lit(1).alias("gain"))
-        n_keys, shards = self.n_keys + fresh.count(), self.shards
-        while n_keys > shards * SHARD_KEYS:
-            shards *= 2
-        return self._store_filters(self._next(n_keys=n_keys, shards=shards), fresh)
+        return self._store_filters(self._next(n_keys=self.n_keys + fresh.count(), shards=wide.shards), fresh)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take back every reference of the documents in ``doc_ids(doc_id)``."""
@@ -317,15 +330,18 @@ class LineIndex:
         hot = counts.filter(F.col("n_docs") > limit).select(*KEY, F.ceil(F.col("n_docs") / limit).cast("int").alias("_copies"))
         lost = spread_join(among(refs, counts.select(*KEY), KEY), counts.select(*KEY, "owner"), KEY, hot).filter("owner <> doc_id")
         lost = cut(lost.groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_part")).agg(F.flatten(F.collect_list("at")).alias("_lost")), "lost")
-        rows = marked(docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_part", F.xxhash64("text")), lost.select("_id", "_part"), ["_id", "_part"])
+        # The caller's columns travel in one struct, so no name of theirs can clash with one used here.
+        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_part"), F.col("text").cast("string").alias("text"))
+        rows = marked(own, lost.select("_id", "_part"), ["_id", "_part"])
         text = F.coalesce("text", F.lit(""))
         n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
-        names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+        names = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
         whole = rows.filter("not _hit").select(*names, text.alias("text"), n_lines, F.lit(0).cast("long").alias("n_dropped"))
         lines = F.split(text, "\n", -1)
         kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_lost", F.array().cast("array<int>")))
         some = rows.filter("_hit").join(lost, ["_id", "_part"], "left").withColumn("_lines", lines)
-        some = some.select(*names, F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n").alias("text"), n_lines, F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"))
+        some = some.select("_row", F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n").alias("_new"), n_lines.alias("_n"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("_gone"))
+        some = some.select(*names, F.col("_new").alias("text"), F.col("_n").alias("n_lines"), F.col("_gone").alias("n_dropped"))
         return whole.unionByName(some)
 
 
