@@ -291,5 +291,6 @@ def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """
     keys = ["doc_id", "row_key"]
     dropped = labelled(docs, n_words, percent).filter("not stays").select(*keys).distinct()
-    marked = docs.withColumn("row_key", F.xxhash64(F.col("text").cast("string")))
-    return without(marked, cut(dropped, "dropped"), keys).drop("row_key")
+    # The caller's columns travel in one struct, so no name of theirs can clash with one used here.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"))
+    return without(own, cut(dropped, "dropped"), keys).select("_row.*")

@@ -565,6 +565,29 @@ def test_line_results_go_through_the_filters(spark, monkeypatch):
     assert sorted(((r.doc_id, r.text) for r in blind.clean(df).collect()), key=str) != want
 
 
+def test_a_batch_larger_than_the_index_is_probed_in_shards_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 20)
+    rows = lambda a, b: spark.createDataFrame([(i, f"line number {i // 2} of all\nanother line {i}") for i in range(a, b)], "doc_id long, text string")
+    sizes = []
+    probe = linededup.LineIndex.probe
+    monkeypatch.setattr(linededup.LineIndex, "probe", lambda self, keys: sizes.append(max(r["count"] for r in self._sharded(keys).groupBy("shard").count().collect())) or probe(self, keys))
+    one = linededup.LineIndex.create(spark, shards=1).insert(rows(0, 6))
+    two = one.insert(rows(5, 600))
+    assert len(sizes) == 1 and sizes[0] < 60 and two.shards >= 32
+    want = spark.createDataFrame([(r.doc_id, r.text) for r in rows(0, 6).union(rows(6, 600)).collect()], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in two.clean(want).collect()}
+    assert got == {i: i % 2 for i in range(600)}
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["doc_id", "text", "row_key", "_id", "_part", "_lines", "_hit", "_lost", "_row", "a.b"]
+    df = spark.createDataFrame([(i, f"some text of a line {i // 2}\nanother line that is long {i // 2}", *[f"{c}{i}" for c in names[2:]]) for i in range(8)], names)
+    for out, kept in ((neardup.keep_one(df), 4), (linededup.dedup_lines(df).drop("n_lines", "n_dropped"), 8), (decontaminate.drop_contaminated(df, df.limit(0).withColumnRenamed("doc_id", "item_id")), 8)):
+        rows = out.collect()
+        assert sorted(out.columns) == sorted(names) and len(rows) == kept
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names[2:])
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     k1, k2 = (rng.integers(-(2**62), 2**62, 20_000) for _ in range(2))
@@ -607,6 +630,19 @@ def test_slot_maps_are_stored_and_edited(spark, docs, tmp_path, monkeypatch):
     assert collections.Counter((r.shard, r.slot) for r in rows) == collections.Counter((k, i) for k in range(4) for i in range(sum(r.shard == k for r in rows)))
 
 
+def test_hot_keys_keep_the_law(spark, docs):
+    """A third of the rows without a doc_id, and a doc_id that a fifth of the rows repeat: shards within 2 % of each other."""
+    i = F.col("doc_id")
+    big = docs.crossJoin(spark.range(30).select(F.col("id").alias("copy"))).withColumn("doc_id", i * 30 + F.col("copy"))
+    hot = big.withColumn("doc_id", F.when(i % 3 == 0, F.lit(None)).when(i % 5 == 1, F.lit(77)).otherwise(i)).withColumn("text", F.substring("text", 1, 400))
+    rows = sharding.shard_documents(hot).collect()
+    load = collections.Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    assert len(rows) == big.count() and len(load) == 16 and max(load.values()) < 1.02 * min(load.values())
+    assert collections.Counter((r.shard, r.slot) for r in rows) == collections.Counter((k, n) for k in range(16) for n in range(sum(r.shard == k for r in rows)))
+
+
 def test_sharding_brute_force(docs, awkward):
     for df in (docs, awkward):
         rows = collections.Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in sharding.shard_documents(df).collect())
