@@ -35,10 +35,10 @@ STARTS = ("plain", "tanh", "sign")
 FIRST_STEPS, STEPS = 2, 3
 PRIOR_TEXTS = 40
 GROUPS = 50_000
-#: Upper 1 - 5e-7 point of chi-square with 5 degrees of freedom, and the factor that makes a covariance
+#: Upper 3.8e-7 point of chi-square with 5 degrees of freedom, and the factor that makes a covariance
 #: of the nearest 75 % consistent at the normal: 0.75 / P(chi2_7 <= q), q the 75 % point of chi2_5.
 LIMIT = 38.0
-CONSISTENCY = 1.616
+CONSISTENCY = 1.41207
 #: Variance added to each statistic: what a clean text may differ by where its group is nearly constant.
 RIDGE = (0.03**2, 0.6**2, 0.4**2, 0.8**2, 0.1**2)
 VECTOR = ("v_chars", "v_symbols", "v_lines", "v_repeat", "v_words")

@@ -919,6 +919,22 @@ def test_pipeline_stage_by_stage(spark, sf_dir, docs):
     assert {r.doc_id for r in out[4].collect()} == {i for i, _ in kept[3]}
 
 
+def test_constants_of_the_outlier_rule():
+    """By adding up the chi-square density: the quantile, the factor of a truncated covariance, the share beyond the limit."""
+    import math
+
+    def below(x, k, n=200_000):
+        at = (np.arange(n) + 0.5) * x / n
+        return float((at ** (k / 2 - 1) * np.exp(-at / 2)).sum() * x / n / (2 ** (k / 2) * math.gamma(k / 2)))
+
+    low, high = 0.0, 60.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle, quality_rules.DIM) < quality_rules.SHARE else (low, middle)
+    assert abs(quality_rules.SHARE / below(low, quality_rules.DIM + 2) - quality_rules.CONSISTENCY) < 1e-5
+    assert abs((1 - below(quality_rules.LIMIT, quality_rules.DIM)) / 3.8e-7 - 1) < 0.02
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(name, spark, sf_dir):
     from compare import connect, difference
