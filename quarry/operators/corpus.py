@@ -5,12 +5,21 @@ Listings are tables with a ``path`` column; ancestry is by exploded path prefixe
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.numbering import numbered
 
+# What tasks use travels to the workers by value: executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Suffix to (action, format), compound suffixes first.
 COMPOUND = {".tar.gz": "tar.gz", ".tar.bz2": "tar.bz2", ".tar.xz": "tar.xz"}
 EXPAND = {".zip": "zip", ".tar": "tar", ".tgz": "tar.gz", ".7z": "7z", ".gz": "gzip"}
@@ -251,10 +260,32 @@ def assign(files: DataFrame, path: str) -> DataFrame:
 
 
 def tree_digest(files: DataFrame, material: str, path: str, content_sha: str) -> DataFrame:
-    """SHA-256 over the sorted ``path NUL sha LF`` entries of each material."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(content_sha).alias("s"))))
-    joined = F.array_join(F.transform(entries, lambda e: F.concat(e["p"], F.lit("\x00"), e["s"], F.lit("\n"))), "")
-    return files.groupBy(material).agg(F.sha2(joined, 256).alias("digest"), F.count(F.lit(1)).alias("files"))
+    """SHA-256 over the sorted ``path NUL sha LF`` entries of each material, and how many there are.
+
+    Entries are dealt by material and sorted on disk where they do not fit; one running hash a task reads them in order, so a
+    material of any size takes the memory of one batch.
+    """
+    kind = dict(files.dtypes)[material]
+    slim = files.select(F.col(material).cast("string").alias("k"), F.col(path).alias("p"), F.col(content_sha).alias("s"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, n = None, None, 0
+        for b in batches:
+            done = []
+            for k, p, s in zip(b["k"], b["p"], b["s"], strict=True):
+                if state is None or k != key:
+                    if state is not None:
+                        done.append((key, state.hexdigest(), n))
+                    key, state, n = k, hashlib.sha256(), 0
+                if p is not None and s is not None:  # an entry without name or content says nothing
+                    state.update(f"{p}\x00{s}\n".encode())
+                n += 1
+            yield pd.DataFrame(done, columns=["k", "digest", "files"])
+        if state is not None:
+            yield pd.DataFrame([(key, state.hexdigest(), n)], columns=["k", "digest", "files"])
+
+    found = slim.repartition("k").sortWithinPartitions("k", "p", "s").mapInPandas(run, "k string, digest string, files long")
+    return found.select(F.col("k").cast(kind).alias(material), "digest", "files")
 
 
 def audit_members(members: DataFrame, max_member: int = 512 * 1024**2, max_ratio: float = 200.0, max_files: int = 10_000, max_total: int = 2 * 1024**3) -> DataFrame:
@@ -275,14 +306,21 @@ def audit_members(members: DataFrame, max_member: int = 512 * 1024**2, max_ratio
     return members.select("archive", "name", codes.alias("codes"), junk.alias("junk"), (F.count(F.lit(1)).over(w) > max_files).alias("too_many"), (total > max_total).alias("too_large"))
 
 
-def package_contents(members: DataFrame) -> DataFrame:
-    """Per archive: top-level modules and Java packages (20 each), counts of .py and .class members."""
+def package_contents(members: DataFrame, pos: str = "pos", limit: int = 20) -> DataFrame:
+    """Per archive of members(archive, name, pos): the first ``limit`` top-level names (none of ``.dist-info`` or ``.data``) and
+    packages of ``.class`` members in the order of the listing, counts of .py and .class members."""
     name = F.col("name")
     top = F.split(name, "/")[0]
-    module = F.when(name.endswith(".py") & name.contains("/") & ~top.rlike(r"\.(dist-info|data)$"), top).when(name.endswith(".py") & ~name.contains("/"), F.regexp_replace(name, r"\.py$", ""))
-    java = F.when(name.endswith(".class") & name.contains("/") & ~name.startswith("META-INF/"), F.regexp_replace(F.regexp_replace(name, "/[^/]*$", ""), "/", "."))
-    listed = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, 20), ",")
-    return members.groupBy("archive").agg(listed(module).alias("modules"), listed(java).alias("packages"), F.count_if(name.endswith(".py")).alias("py"), F.count_if(name.endswith(".class")).alias("classes"))
+    module = F.when((top != "") & ~top.endswith(".dist-info") & ~top.endswith(".data"), top)
+    parent = F.regexp_replace(name, "/[^/]*$", "")
+    package = F.when(name.endswith(".class") & ~name.startswith("META-INF/") & (parent != ""), F.replace(parent, F.lit("/"), F.lit(".")))
+    terms = members.select("archive", pos, F.inline(F.array(F.struct(F.lit("modules").alias("kind"), module.alias("term")), F.struct(F.lit("packages").alias("kind"), package.alias("term")))))
+    first = terms.filter("term is not null").groupBy("archive", "kind", "term").agg(F.min(pos).alias("_p"))
+    ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("archive", "kind").orderBy("_p", "term"))).filter(F.col("_n") <= limit)
+    listed = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_n", "term")))), lambda x: x["term"]), ",").alias(kind)
+    counts = members.groupBy("archive").agg(F.count_if(name.endswith(".py")).alias("py"), F.count_if(name.endswith(".class")).alias("classes"))
+    out = counts.join(ranked.groupBy("archive").agg(listed("modules"), listed("packages")), "archive", "left").na.fill("", ["modules", "packages"])
+    return out.select("archive", "modules", "packages", "py", "classes")
 
 
 def material_name(root_path: str | Column, title: str | Column) -> Column:
@@ -291,6 +329,15 @@ def material_name(root_path: str | Column, title: str | Column) -> Column:
     return F.coalesce(F.nullif(F.trim(T.col(title)), F.lit("")), F.nullif(T.file_name(path), F.lit("")), T.col(root_path))
 
 
+def material_metadata(hint: str | Column, origin: str | Column, **fields: str | Column) -> Column:
+    """What goes with a material's name: ``material_hint`` and ``origin_chain`` (logical paths, outermost first), and of format,
+    package, version and artifact_title those that are not empty, as a map."""
+    own = [F.struct(F.lit("material_hint").alias("k"), T.col(hint).cast("string").alias("v")), F.struct(F.lit("origin_chain").alias("k"), F.array_join(T.col(origin), " > ").alias("v"))]
+    own += [F.struct(F.lit(k).alias("k"), F.nullif(T.col(v).cast("string"), F.lit("")).alias("v")) for k, v in fields.items()]
+    entries = F.filter(F.array(*own), lambda x: x["v"].isNotNull() | x["k"].isin("material_hint", "origin_chain"))
+    return F.map_from_entries(entries)
+
+
 MAX_NESTING = 5
 
 
@@ -352,9 +399,9 @@ def describe(material_type: str | Column, subtype: str | Column, units: str | Co
     )
 
 
-def discovery_errors(materials: DataFrame, expected: DataFrame) -> DataFrame:
+def discovery_errors(materials: DataFrame, expected: DataFrame, packages: str = "packages/") -> DataFrame:
     """(rule, key, detail) for materials(root_path, material_type) against expected(path, material_type): ``missing`` for
-    a path that no material matches, ``type`` for a material of another type than its path asks for, ``vendor`` and
+    a path that no material matches (wheels apart, whose names carry versions), ``wheel`` if none is under ``packages``, ``type`` for a material of another type than its path asks for, ``vendor`` and
     ``tests`` for trees that must not become materials.
 
     A path matches if it is equal, lies below (``/`` at the end), is one part of the other, or ends it. Every
@@ -368,12 +415,13 @@ def discovery_errors(materials: DataFrame, expected: DataFrame) -> DataFrame:
     e = F.col("path")
     asked = F.array(F.struct(F.lit("below").alias("kind"), F.when(e.endswith("/"), e).alias("key")), F.struct(F.lit("part").alias("kind"), F.rtrim(e, F.lit("/")).alias("key")), F.struct(F.lit("end").alias("kind"), e.alias("key")))
     met = expected.select("path", F.explode(asked).alias("k")).select("path", "k.*").join(keys, ["kind", "key"]).select("path").distinct()
-    missing = expected.join(met, "path", "left_anti").select(F.lit("missing").alias("rule"), F.col("path").alias("key"), F.lit("").alias("detail"))
+    missing = expected.filter(~e.endswith(".whl")).join(met, "path", "left_anti").select(F.lit("missing").alias("rule"), F.col("path").alias("key"), F.lit("").alias("detail"))
     wanted = expected.filter("material_type is not null").select(F.col("path").alias("root_path"), F.col("material_type").alias("want"))
     wrong = materials.join(wanted, "root_path").filter("not material_type <=> want").select(F.lit("type"), root, F.concat(F.coalesce("material_type", F.lit("none")), F.lit(" expected "), "want"))
     vendor = materials.filter(F.arrays_overlap(F.split(root, "/"), F.array(*map(F.lit, ("node_modules", ".venv", "venv"))))).select(F.lit("vendor"), root, F.lit(""))
     tests = materials.filter(F.rtrim(root, F.lit("/")).endswith("/tests") | (root == "tests/")).select(F.lit("tests"), root, F.lit(""))
-    return missing.union(wrong).union(vendor).union(tests)
+    wheels = materials.agg(F.count_if(root.startswith(packages) & root.endswith(".whl")).alias("n")).filter("n = 0").select(F.lit("wheel"), F.lit(packages), F.lit(""))
+    return missing.union(wheels).union(wrong).union(vendor).union(tests)
 
 
 def skipped_files(files: DataFrame, units: DataFrame, material: str, path: str, limit: int = 30) -> DataFrame:

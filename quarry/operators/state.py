@@ -70,7 +70,7 @@ def expected_missing(expected: DataFrame, found: DataFrame, key: str) -> DataFra
 def processing_errors(units: DataFrame, expected: DataFrame, material: str) -> DataFrame:
     """(material, rule) where the units of a material break what is expected of it.
 
-    units(material, path, page, content), expected(material, deep, scanned, mode: what its profile says; want_mode, max_files,
+    units(material, pos, path, page, content), expected(material, deep, scanned, mode: what its profile says; want_mode, max_files,
     min_scanned, min_pages, first_phrase, phrase, one_unit: what must hold, null where nothing is asked). All rules
     come from one aggregate per material.
     """
@@ -80,7 +80,7 @@ def processing_errors(units: DataFrame, expected: DataFrame, material: str) -> D
     seen = known.groupBy(material).agg(
         F.count(F.lit(1)).alias("units"), F.count_distinct(F.nullif(path, F.lit(""))).alias("files"), F.count_distinct("page").alias("pages"),
         F.bool_or(path.startswith("tests/") | path.contains("/tests/")).alias("tests"), F.bool_or(F.coalesce("content", F.lit("")).contains(F.col("phrase"))).alias("has_phrase"),
-        F.bool_or((page == 1) & F.coalesce("content", F.lit("")).contains(F.col("first_phrase"))).alias("has_first"),
+        F.min_by(F.coalesce("content", F.lit("")).contains(F.col("first_phrase")), F.when(page == 1, F.col("pos"))).alias("has_first"),  # of the first unit on page 1
     )
     j = asked.join(seen, material, "left").na.fill(0, ["units", "files", "pages"])
     rules = {
@@ -91,3 +91,8 @@ def processing_errors(units: DataFrame, expected: DataFrame, material: str) -> D
     }
     hits = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]), lambda x: x.isNotNull())
     return j.select(material, F.explode(hits).alias("rule"))
+
+
+def citation_errors(citations: DataFrame, card: str) -> DataFrame:
+    """Citations(citation, path, ...) that name a material's ``card`` instead of a unit of it."""
+    return citations.filter((F.coalesce("citation", F.lit("")) == card) | (F.coalesce("path", F.lit("")) == card))

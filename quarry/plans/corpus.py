@@ -216,13 +216,18 @@ def member_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("archive", "name", F.array_join("codes", ",").alias("codes"), "too_many", "too_large")
 
 
-@query(f"""WITH {FILES}
-SELECT material_id AS archive,
- coalesce(string_agg(DISTINCT CASE WHEN path LIKE '%.py' AND contains(path, '/') THEN string_split(path, '/')[1] WHEN path LIKE '%.py' THEN regexp_replace(path, '\\.py$', '') END, ',' ORDER BY CASE WHEN path LIKE '%.py' AND contains(path, '/') THEN string_split(path, '/')[1] WHEN path LIKE '%.py' THEN regexp_replace(path, '\\.py$', '') END), '') AS modules,
- '' AS packages, count(*) FILTER (WHERE path LIKE '%.py') AS py, count(*) FILTER (WHERE path LIKE '%.class') AS classes FROM f GROUP BY 1""")
+@query(f"""WITH {FILES}, m AS (SELECT material_id AS archive, pos, CASE pos % 6 WHEN 1 THEN path || '.class' WHEN 4 THEN 'META-INF/' || path || '.class' WHEN 5 THEN 'pkg-1.' || (pos % 2) || CASE WHEN pos % 4 = 1 THEN '.data/' ELSE '.dist-info/' END || path ELSE path END AS name FROM f),
+t AS (SELECT archive, pos, 'm' AS kind, CASE WHEN NOT regexp_matches(string_split(name, '/')[1], '[.](dist-info|data)$') THEN nullif(string_split(name, '/')[1], '') END AS term FROM m
+  UNION ALL SELECT archive, pos, 'p', replace(regexp_replace(name, '/[^/]*$', ''), '/', '.') FROM m WHERE name LIKE '%.class' AND NOT starts_with(name, 'META-INF/')),
+r AS (SELECT archive, kind, term, row_number() OVER (PARTITION BY archive, kind ORDER BY min(pos), term) AS n FROM t WHERE term IS NOT NULL GROUP BY archive, kind, term),
+l AS (SELECT archive, string_agg(term, ',' ORDER BY n) FILTER (WHERE kind = 'm') AS modules, string_agg(term, ',' ORDER BY n) FILTER (WHERE kind = 'p') AS packages FROM r WHERE n <= 20 GROUP BY archive)
+SELECT archive, coalesce(modules, '') AS modules, coalesce(packages, '') AS packages, count(*) FILTER (WHERE name LIKE '%.py') AS py, count(*) FILTER (WHERE name LIKE '%.class') AS classes FROM m LEFT JOIN l USING (archive) GROUP BY ALL""")
 def package_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG24."""
-    return C.package_contents(_files(spark, sf_dir).select(F.col("material_id").alias("archive"), F.col("path").alias("name")))
+    """AGG24: archives with modules, classes and package records, of the files of each material."""
+    pos, path = F.col("pos"), F.col("path")
+    record = F.concat(F.lit("pkg-1."), (pos % 2).cast("string"), F.when(pos % 4 == 1, ".data/").otherwise(".dist-info/"), path)
+    name = F.when(pos % 6 == 1, F.concat(path, F.lit(".class"))).when(pos % 6 == 4, F.concat(F.lit("META-INF/"), path, F.lit(".class"))).when(pos % 6 == 5, record).otherwise(path)
+    return C.package_contents(_files(spark, sf_dir).select(F.col("material_id").alias("archive"), name.alias("name"), "pos"))
 
 
 @query(f"""WITH {FILES}, n AS (SELECT * FROM f WHERE pos % 3 <> 0 OR text = '')
@@ -255,13 +260,21 @@ def logical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("doc_id", "logical_path", "depth", F.array_join("origin", " > ").alias("origin"), "rejected")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Package ' || lang WHEN doc_id % 3 = 1 THEN lang ELSE 'd' || doc_id END AS name FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Package ' || lang WHEN doc_id % 3 = 1 THEN lang ELSE 'd' || doc_id END AS name,
+ array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'artifact_title= Package ' || lang END, CASE WHEN doc_id % 2 = 0 THEN 'format=' || source END, 'material_hint=' || CASE WHEN doc_id % 5 = 0 THEN 'none' ELSE lang || '_project' END,
+  'origin_chain=' || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a.zip' ELSE 'a.zip > a.zip/b.tar' END, CASE WHEN doc_id % 3 = 0 THEN 'package=' || lang END, CASE WHEN doc_id % 9 = 0 THEN 'version=1.' || (doc_id % 7) END], lambda x: x IS NOT NULL), ';') AS metadata FROM documents""")
 def material_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ14: title of the package, else the last part of the path."""
-    d = F.col("doc_id")
+    """PRJ14: title of the package, else the last part of the path, with the metadata that is carried along."""
+    d, nothing = F.col("doc_id"), F.lit(None).cast("string")
     path = F.when(d % 3 == 1, F.concat_ws("/", "source", F.concat("lang", F.lit("/")))).otherwise(F.concat(F.lit("x/d"), d.cast("string")))
     title = F.when(d % 3 == 0, F.concat(F.lit(" Package "), "lang")).otherwise(F.when(d % 3 == 1, " "))
-    return table(spark, sf_dir, "documents").select("doc_id", C.material_name(path, title).alias("name"))
+    chain = F.slice(F.array(F.lit("a.zip"), F.lit("a.zip/b.tar")), F.lit(1), (d % 3).cast("int"))
+    known = C.material_metadata(
+        F.when(d % 5 != 0, F.concat("lang", F.lit("_project"))), chain, format=F.when(d % 2 == 0, F.col("source")).otherwise(""), package=F.when(d % 3 == 0, F.col("lang")),
+        version=F.when(d % 9 == 0, F.concat(F.lit("1."), (d % 7).cast("string"))).otherwise(nothing), artifact_title=F.when(d % 3 == 0, title),
+    )
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(known)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("none")))), ";")
+    return table(spark, sf_dir, "documents").select("doc_id", C.material_name(path, title).alias("name"), shown.alias("metadata"))
 
 
 TYPED = "(CASE lang WHEN 'en' THEN 'document' WHEN 'de' THEN 'project' WHEN 'fr' THEN 'dataset' ELSE 'code' END)"
@@ -304,18 +317,19 @@ def extraction_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT DISTINCT source || CASE lang WHEN 'es' THEN '/node_modules/x/' WHEN 'fr' THEN '/tests/' ELSE '/' || lang || '/' END AS root_path, CASE lang WHEN 'en' THEN 'document' WHEN 'de' THEN 'project' END AS type FROM documents),
 e AS (SELECT DISTINCT 'src' || (doc_id % 40) || '/en/' AS path, CASE WHEN doc_id % 40 % 2 = 0 THEN 'document' ELSE 'dataset' END AS type FROM documents
-  UNION ALL SELECT DISTINCT lang, NULL FROM documents UNION ALL SELECT DISTINCT substr(lang, 2) || '/', NULL FROM documents UNION ALL SELECT DISTINCT lang || 'x', NULL FROM documents)
-SELECT 'missing' AS rule, path AS key, '' AS detail FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE (ends_with(e.path, '/') AND starts_with(root_path, e.path)) OR list_contains(string_split(root_path, '/'), rtrim(e.path, '/')) OR ends_with(root_path, e.path))
+  UNION ALL SELECT DISTINCT lang, NULL FROM documents UNION ALL SELECT DISTINCT substr(lang, 2) || '/', NULL FROM documents UNION ALL SELECT DISTINCT lang || 'x', NULL FROM documents UNION ALL SELECT DISTINCT 'packages/' || lang || '.whl', NULL FROM documents)
+SELECT 'wheel' AS rule, 'packages/' AS key, '' AS detail WHERE NOT EXISTS (SELECT 1 FROM m WHERE root_path LIKE 'packages/%.whl')
+UNION ALL SELECT 'missing', path, '' FROM e WHERE path NOT LIKE '%.whl' AND NOT EXISTS (SELECT 1 FROM m WHERE (ends_with(e.path, '/') AND starts_with(root_path, e.path)) OR list_contains(string_split(root_path, '/'), rtrim(e.path, '/')) OR ends_with(root_path, e.path))
 UNION ALL SELECT 'type', root_path, coalesce(m.type, 'none') || ' expected ' || e.type FROM m JOIN e ON root_path = path WHERE e.type IS NOT NULL AND m.type IS DISTINCT FROM e.type
 UNION ALL SELECT 'vendor', root_path, '' FROM m WHERE list_has_any(string_split(root_path, '/'), ['node_modules', '.venv', 'venv'])
 UNION ALL SELECT 'tests', root_path, '' FROM m WHERE ends_with(rtrim(root_path, '/'), '/tests')""")
 def discovery_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN11: missing roots, wrong types, vendor and test trees."""
+    """JN11: missing roots and wheels, wrong types, vendor and test trees."""
     d = table(spark, sf_dir, "documents")
     folder = F.when(F.col("lang") == "es", "/node_modules/x/").when(F.col("lang") == "fr", "/tests/").otherwise(F.concat(F.lit("/"), "lang", F.lit("/")))
     m = d.select(F.concat("source", folder).alias("root_path"), F.when(F.col("lang") == "en", "document").when(F.col("lang") == "de", "project").alias("material_type")).distinct()
     k, none = F.col("doc_id") % 40, F.lit(None).cast("string")
     e = d.select(F.concat(F.lit("src"), k.cast("string"), F.lit("/en/")).alias("path"), F.when(k % 2 == 0, "document").otherwise("dataset").alias("material_type")).distinct()
-    for path in (F.col("lang"), F.concat(F.expr("substr(lang, 2)"), F.lit("/")), F.concat("lang", F.lit("x"))):
+    for path in (F.col("lang"), F.concat(F.expr("substr(lang, 2)"), F.lit("/")), F.concat("lang", F.lit("x")), F.concat(F.lit("packages/"), "lang", F.lit(".whl"))):
         e = e.union(d.select(path, none).distinct())
     return C.discovery_errors(m, e)

@@ -80,5 +80,4 @@ def content_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK2."""
     t = F.coalesce("text", F.lit(""))
     f = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("material_id"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.sha2(t, 256).alias("sha"), F.octet_length(t).cast("long").alias("size"))
-    m = files.manifest(f, "material_id")
-    return m.select("material_id", F.size("files").cast("long").alias("files"), F.aggregate("files", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("bytes"), "digest")
+    return files.manifest(f, "material_id").select("material_id", "files", "bytes", "digest")

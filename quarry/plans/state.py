@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import state as S
+from quarry.operators.evidence import CARD
 from quarry.plans.common import query
 from quarry.session import table
 
@@ -109,9 +110,9 @@ def expected_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.expected_missing(expected, d, "source")
 
 
-@query("""WITH u AS (SELECT source, CASE WHEN doc_id % 6 = 0 THEN 'tests/t' || doc_id % 9 ELSE 'p' || doc_id % 30 END AS path, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 END AS page, coalesce(text, '') AS text FROM documents),
+@query("""WITH u AS (SELECT source, doc_id, CASE WHEN doc_id % 6 = 0 THEN 'tests/t' || doc_id % 9 ELSE 'p' || doc_id % 30 END AS path, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 END AS page, coalesce(text, '') AS text FROM documents),
 x AS (SELECT DISTINCT source, TRY_CAST(substr(source, 4) AS INT) AS k FROM documents),
-a AS (SELECT source, count(*) AS units, count(DISTINCT path) AS files, count(DISTINCT page) AS pages, bool_or(starts_with(path, 'tests/')) AS tests, bool_or(page = 1 AND contains(text, 'the')) AS first_ok, bool_or(contains(text, '%%%')) AS phrase_ok FROM u GROUP BY source)
+a AS (SELECT source, count(*) AS units, count(DISTINCT path) AS files, count(DISTINCT page) AS pages, bool_or(starts_with(path, 'tests/')) AS tests, arg_min(contains(text, 'the'), doc_id) FILTER (WHERE page = 1) AS first_ok, bool_or(contains(text, '%%%')) AS phrase_ok FROM u GROUP BY source)
 SELECT source, unnest(list_filter([CASE WHEN k % 4 = 0 AND k > 12 THEN 'deep_cap' END, CASE WHEN k % 4 = 0 AND k * 3 <= 20 THEN 'scanned' END, CASE WHEN k % 4 = 0 AND files > 12 THEN 'indexed_cap' END, CASE WHEN k % 4 = 0 AND tests THEN 'tests_indexed' END,
  CASE WHEN k % 4 = 1 AND pages < 5 THEN 'pages' END, CASE WHEN k % 4 = 1 AND NOT coalesce(first_ok, false) THEN 'first_phrase' END, CASE WHEN k % 4 = 2 AND NOT phrase_ok THEN 'phrase' END, CASE WHEN k % 2 = 1 AND k % 3 <> 0 THEN 'mode' END, CASE WHEN k % 4 = 3 AND units <> 1 THEN 'one_unit' END], lambda r: r IS NOT NULL)) AS rule
 FROM x JOIN a USING (source)""")
@@ -119,7 +120,7 @@ def processing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG22: file caps, page counts, phrases, coverage mode and single units asked of materials by their number."""
     d = F.col("doc_id")
     path = F.when(d % 6 == 0, F.concat(F.lit("tests/t"), (d % 9).cast("string"))).otherwise(F.concat(F.lit("p"), (d % 30).cast("string")))
-    units = table(spark, sf_dir, "documents").select("source", path.alias("path"), F.when(d % 2 == 0, d % 5).alias("page"), F.col("text").alias("content"))
+    units = table(spark, sf_dir, "documents").select("source", d.alias("pos"), path.alias("path"), F.when(d % 2 == 0, d % 5).alias("page"), F.col("text").alias("content"))
     k = F.expr("try_cast(substr(source, 4) as int)")
     expected = units.select("source").distinct().select(
         "source", k.alias("deep"), (k * 3).alias("scanned"), F.when(k % 3 == 0, "hierarchical").otherwise("direct").alias("mode"), F.when(k % 2 == 1, "hierarchical").alias("want_mode"),
@@ -128,6 +129,14 @@ def processing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.processing_errors(units, expected, "source")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'citation' ELSE 'path' END AS place FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")
+def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG22: citations of a material's card, by its citation or its path."""
+    d, source = F.col("doc_id"), F.col("source")
+    cited = table(spark, sf_dir, "documents").select("doc_id", F.when(d % 7 == 0, CARD).when(d % 3 == 0, "material").otherwise(source).alias("citation"), F.when(d % 11 == 0, CARD).when(d % 2 == 0, source).alias("path"))
+    return S.citation_errors(cited, CARD).select("doc_id", F.when(F.col("citation") == CARD, "citation").otherwise("path").alias("place"))
+
+
 @query("""WITH o AS (SELECT doc_id, source AS material_id, n_chars FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, source AS material_id, n_chars FROM documents WHERE doc_id % 2 = 1 AND lang = 'de')
 SELECT * FROM o WHERE material_id NOT IN (SELECT material_id FROM n) UNION ALL SELECT * FROM n""")
 def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:

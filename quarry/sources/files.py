@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from quarry.operators.corpus import tree_digest
 from quarry.operators import corpus as C
 
 EXPAND_SUFFIXES = (".zip", ".tar", ".tgz", ".7z", ".gz")
@@ -74,8 +75,13 @@ def write_stage(results: DataFrame, path: str) -> None:
 
 
 def manifest(files: DataFrame, material: str) -> DataFrame:
-    """(path, sha256, size) of every file of a material in path order, with the tree digest."""
-    listed = F.array_sort(F.collect_list(F.struct("path", "sha", "size")))
-    entries = F.transform(listed, lambda e: F.concat(e["path"], F.lit("\x00"), e["sha"], F.lit("\n")))
-    return files.groupBy(material).agg(listed.alias("files"), F.sha2(F.array_join(entries, ""), 256).alias("digest"))
+    """Files, bytes and tree digest of each material of files(material, path, sha, size); the entries stay rows
+    (:func:`manifest_entries`)."""
+    sizes = files.groupBy(material).agg(F.sum("size").alias("bytes"))
+    return tree_digest(files, material, "path", "sha").join(sizes, material)
 
+
+def manifest_entries(files: DataFrame, material: str, path: str) -> None:
+    """Entries (path, sha, size) as JSON lines, one folder a material, in path order inside each file."""
+    kept = files.select(material, "path", "sha", "size").repartition(material).sortWithinPartitions(material, "path")
+    kept.write.mode("overwrite").partitionBy(material).json(path)
