@@ -2,51 +2,73 @@
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
-BLOCK_CHARS = 20_000_000
+# What tasks use travels to the workers by value: executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Characters of cases in one automaton.
+BLOCK_CHARS = 2_000_000
 
 
 def containing(cases: DataFrame, docs: DataFrame, case: str, doc: str, text: str = "text") -> DataFrame:
-    """(case, doc) pairs where the document contains the case's text.
+    """(case, doc) pairs where the document contains the case's text; nulls on either side give no pair.
 
-    A case's first and last token may be cut by the document around it, so its inner tokens must occur in the
-    document as tokens: candidates come from an equi-join on the longest of them, ``contains`` decides. Cases
-    without an inner token (two tokens at most, or another script) are looked for in every document, in one pass
-    for each block of ``BLOCK_CHARS`` characters of them.
+    The texts of all cases are one Aho-Corasick automaton, and every document is read once against it, whatever their script or
+    length; an empty text is in every document. Cases of more than ``BLOCK_CHARS`` characters take a pass for each block of
+    that size. Nothing is shuffled.
     """
-    inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
-    asked = cases.filter(F.col(text).isNotNull()).select(case, F.col(text).alias("_t"), F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)).alias("w")).withColumn("w", inner)
-    longest = F.expr("array_max(transform(w, x -> struct(length(x) as n, x as x))).x")
-    keyed = asked.select(case, "_t", longest.alias("token"))
-    found = docs.select(F.col(doc), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("token"))
-    ids = found.join(keyed.filter("token is not null").select(case, "token"), "token").select(doc, case).distinct()
-    tested = ids.join(docs.select(doc, F.col(text).alias("_d")), doc).join(keyed.select(case, "_t"), case)
-    out = tested.filter(F.col("_d").contains(F.col("_t"))).select(case, doc)
-    short = keyed.filter("token is null").select(case, "_t")
-    size = short.agg(F.sum(F.length("_t") + 1)).first()[0] or 0
-    blocks = -(-size // BLOCK_CHARS)
+    asked = cases.filter(F.col(text).isNotNull() & F.col(case).isNotNull()).select(case, F.col(text).alias("_t")).distinct()
+    slim = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).filter("t is not null and d is not null")
+    size = asked.agg(F.sum(F.length("_t") + 1)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    out = None
     for k in range(blocks):
-        own = short.filter(F.pmod(F.xxhash64(case, "_t"), F.lit(blocks)) == k)
-        out = out.unionByName(_scanned(own, docs.select(F.col(doc).alias("d"), F.col(text).alias("t")), case, doc, dict(docs.dtypes)[doc]))
+        part = _scanned(asked.filter(F.pmod(F.xxhash64("_t"), F.lit(blocks)) == k), slim, case, doc, dict(docs.dtypes)[doc])
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def automaton(texts: dict[str, list]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for own, ids in texts.items():
+        if own:
+            found.add_word(own, ids)
+    if len(found):
+        found.make_automaton()
+    return found
+
+
 def _scanned(cases: DataFrame, docs: DataFrame, case: str, doc: str, doc_type: str) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in cases.collect()])  # about BLOCK_CHARS characters
+    texts: dict[str, list] = {}
+    for r in cases.collect():  # about BLOCK_CHARS characters
+        texts.setdefault(r["_t"], []).append(r[case])
+    known, name = docs.sparkSession.sparkContext.broadcast(texts), uuid.uuid4().hex
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = sys.modules.setdefault("_quarry_automata", types.ModuleType("_quarry_automata")).__dict__
+        if kept.get("name") != name:  # one automaton a worker, shared by its tasks
+            kept.update(name=name, found=automaton(known.value))
+        found, everywhere = kept["found"], known.value.get("", [])
         for b in batches:
-            rows = [(c, d) for d, t in zip(b["d"], b["t"], strict=True) for c, own in known.value if own in t]
+            rows = []
+            for d, t in zip(b["d"], b["t"], strict=True):
+                met = {id(ids): ids for _, ids in found.iter(t)} if len(found) else {}
+                rows += [(c, d) for ids in (*met.values(), everywhere) for c in ids]
             yield pd.DataFrame(rows, columns=[case, doc])
 
-    return docs.filter("t is not null and d is not null").mapInPandas(run, f"{case} {dict(cases.dtypes)[case]}, {doc} {doc_type}")
+    return docs.mapInPandas(run, f"{case} {dict(cases.dtypes)[case]}, {doc} {doc_type}")
 
 
 def score_citations(cases: DataFrame, expect: DataFrame, hits: DataFrame) -> DataFrame:

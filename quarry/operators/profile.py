@@ -57,13 +57,16 @@ def sentences(text: str | Column) -> Column:
     return F.filter(F.transform(F.split(T.col(text), r"(?<=[.!?])\s+"), lambda v: F.trim(v)), lambda s: s != "")
 
 
-def summary(text: str | Column, n: int = 2, limit: int = 400) -> Column:
+SUMMARY = 400
+
+
+def summary(text: str | Column, n: int = 2, limit: int = SUMMARY) -> Column:
     """First ``n`` sentences, cut to ``limit`` characters."""
     return F.substring(F.array_join(F.slice(sentences(text), 1, n), " "), 1, limit)
 
 
 def leaf_digests(units: DataFrame, group: list[str], pos: str, text: str, page: str | None = None, path: str | None = None) -> DataFrame:
-    """One extractive digest per group of units: summary of the first two, first 8 headings, 12 topics and 20 keywords
+    """One extractive digest per group of units: summary of the first two (of all if both are blank), first 8 headings, 12 topics and 20 keywords
     (headings of the whole group first, then its words), page range or first and last path, counts, range.
 
     Only the first two texts, the first headings and the terms of a group are gathered, cut before they are.
@@ -74,7 +77,13 @@ def leaf_digests(units: DataFrame, group: list[str], pos: str, text: str, page:
     numbered = slim.select(*group, pos).withColumn("_n", nth).filter("_n <= 2")
     heads = slim.join(numbered, [*group, pos]).withColumn("t", F.when(F.trim("_x") != "", F.col("_x")))
     head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("_n", "t")))), lambda x: x["t"]), "\n")
-    summaries = heads.groupBy(*group).agg(summary(head).alias("summary"))
+    firsts = heads.groupBy(*group).agg(F.coalesce(head, F.lit("")).alias("_h"))
+    # Where the first two are blank the whole group's text is summed up; a unit that is not blank has a character at least, so more than
+    # ``SUMMARY`` of them cannot be seen.
+    rest = slim.join(firsts.filter("_h = ''").select(*group), group, "left_semi").filter("trim(_x) <> ''")
+    placed = rest.select(*group, pos).withColumn("_n", nth).filter(F.col("_n") <= SUMMARY + 1)
+    whole = rest.join(placed, [*group, pos]).withColumn("t", F.col("_x")).groupBy(*group).agg(head.alias("_w"))
+    summaries = firsts.join(whole, group, "left").select(*group, summary(F.coalesce(F.nullif("_h", F.lit("")), "_w", F.lit(""))).alias("summary"))
     gkey = F.struct(*group).alias("_g")
     titled = slim.select(gkey, pos, F.posexplode(F.slice(F.filter(T.headings("_x"), lambda x: x != ""), 1, 8)).alias("i", "term"))
     first = titled.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(pos, "i"))).filter("_n <= 8")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.evidence import CARD
+from quarry.operators.numbering import numbered
 
 RRF_K = 60
 BOOST = 0.05
@@ -86,13 +88,45 @@ def rerank(hits: DataFrame, scores: DataFrame, query: str, point: str) -> DataFr
     return found.withColumn("new_rank", F.row_number().over(order)).drop("new", "usable", "rank").withColumnRenamed("new_rank", "rank")
 
 
-def rerank_with(hits: DataFrame, query_text: DataFrame, point_text: DataFrame, query: str, point: str, scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
-    """Rerank hook: ``scorer(query texts, unit texts)`` runs in Arrow batches; texts are clipped to 2048."""
-    score = F.pandas_udf(scorer, "double")
+Scorer = Callable[[pd.Series, pd.Series], pd.Series]
+
+
+def rerank_with(hits: DataFrame, query_text: DataFrame, point_text: DataFrame, query: str, point: str, scorer: Scorer | None = None, build: Callable[[], Scorer] | None = None) -> DataFrame:
+    """Rerank hook: ``scorer(query texts, unit texts)`` runs in Arrow batches; texts are clipped to 2048.
+
+    A scorer that is dear to make, such as a model, is given as ``build``, which makes it: once in every worker and task, for all
+    batches of it.
+    """
+    make = build or (lambda: scorer)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = make()
+        for asked, found in batches:
+            yield own(asked, found)
+
+    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
     pairs = hits.select(query, point).join(query_text, query).join(point_text, point)
     return rerank(hits, pairs.select(query, point, score(F.substring("query_text", 1, 2048), F.substring("point_text", 1, 2048)).alias("score")), query, point)
 
 
+def material_detail(materials: DataFrame, analyses: DataFrame, units: DataFrame, material: str) -> DataFrame:
+    """A row per unit of every material, numbered in order (one row with null unit for a material without any): title, type, path
+    and status of the material, what its analysis says, unit_no, unit_type and citation of the unit. Its card is no unit.
+
+    materials(material, name, material_type, subtype, root_path, status), analyses(material, title, summary, purpose, keywords, topics,
+    technologies, relevance), units(material, pos, unit, unit_type, path, page, line_start, line_end). Units stay rows, so a
+    material may have any number of them.
+    """
+    own = units.filter(F.col("unit") != CARD).select(material, "pos", "unit_type", T.format_location("path", "page", "line_start", "line_end").alias("citation"))
+    placed = numbered(own, [material], ["pos"], "unit_no").drop("pos")
+    none = F.array().cast("array<string>")
+    j = materials.join(analyses, material, "left").join(placed, material, "left")
+    return j.select(
+        material, F.coalesce(F.nullif("title", F.lit("")), "name").alias("title"), "material_type", "subtype", "root_path", "status", F.coalesce("summary", F.lit("")).alias("summary"), "purpose",
+        *[F.coalesce(c, none).alias(c) for c in ("keywords", "topics", "technologies")], "relevance", "unit_no", "unit_type", "citation",
+    )
+
+
 def enrich(hits: DataFrame, materials: DataFrame, analyses: DataFrame, material: str) -> DataFrame:
     """Hits with their material's type and root path (empty for an unknown one), the snippet of its analysis' summary or
     else of the hit's content, and the first eight keywords of the analysis.

@@ -49,7 +49,7 @@ WORD_SQL = "(CASE WHEN regexp_extract(x, '[A-Za-z]+') = '' THEN 'x' ELSE regexp_
 CODE = f"array_to_string(list_transform({lines_sql('text')}, lambda x, i: CASE i % 4 WHEN 1 THEN '# ' || {WORD_SQL} || ' x' WHEN 2 THEN 'def ' || {WORD_SQL} WHEN 3 THEN 'import ' || {WORD_SQL} ELSE 'class ' || {WORD_SQL} END), chr(10))"
 SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 DIGEST = f"""n AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY doc_id) AS n FROM u),
-h AS (SELECT material_id, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM n GROUP BY material_id)"""
+h AS (SELECT material_id, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), string_agg(CASE WHEN trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM n GROUP BY material_id)"""
 SUMMARY = f"substr(array_to_string(({SENT})[:2], ' '), 1, 400)"
 HEADINGS = "list_filter(list_transform(regexp_extract_all(text, '(?m)^#{1,6}\\s+(.+)$', 1), lambda x: trim(x)), lambda x: x <> '')"
 
@@ -57,7 +57,7 @@ HEADINGS = "list_filter(list_transform(regexp_extract_all(text, '(?m)^#{1,6}\\s+
 def leaf_sql(units: str, key: str) -> str:
     """CTEs up to ``leaf``: digests of the groups ``key`` of ``units(key, doc_id, text)``."""
     return f"""ln AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY doc_id) AS n FROM {units}),
-lh AS (SELECT {key}, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM ln GROUP BY {key}),
+lh AS (SELECT {key}, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), string_agg(CASE WHEN trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM ln GROUP BY {key}),
 le AS (SELECT {key}, doc_id, 0 AS part, unnest({HEADINGS}) AS term, generate_subscripts({HEADINGS}, 1) AS i FROM {units}
   UNION ALL SELECT {key}, doc_id, 1, unnest({keywords_sql('text')}), generate_subscripts({keywords_sql('text')}, 1) FROM {units}),
 l8 AS (SELECT {key}, list(term ORDER BY k) AS headings FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY doc_id, i) AS k FROM le WHERE part = 0) WHERE k <= 8 GROUP BY {key}),
@@ -67,13 +67,13 @@ leaf AS (SELECT {key}, {SUMMARY} AS summary, first, last, units, tokens, coalesc
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a line of their own as heading in front of two thirds of them, a page or a path."""
+    """Documents with a line of their own as heading in front of two thirds of them, some blank, a page or a path."""
     d = F.col("doc_id")
-    text = F.when(d % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("# Part "), (d % 5).cast("string"), F.lit("\n"), "text"))
+    text = F.when(d % 7 < 3, F.lit("  ")).when(d % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("# Part "), (d % 5).cast("string"), F.lit("\n"), "text"))
     return _units(spark, sf_dir).withColumn("text", text).withColumn("page", F.when(d % 4 == 0, d % 9)).withColumn("path", F.when(d % 2 == 0, F.concat(F.lit("p"), d.cast("string"))))
 
 
-CODED = """c AS (SELECT source || '/' || lang AS material_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') ELSE '# Part ' || (doc_id % 5) || chr(10) || coalesce(text, '') END AS text,
+CODED = """c AS (SELECT source || '/' || lang AS material_id, doc_id, CASE WHEN doc_id % 7 < 3 THEN '  ' WHEN doc_id % 3 = 0 THEN coalesce(text, '') ELSE '# Part ' || (doc_id % 5) || chr(10) || coalesce(text, '') END AS text,
   CASE WHEN doc_id % 4 = 0 THEN doc_id % 9 END AS page, CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id END AS path FROM documents)"""
 
 
@@ -302,3 +302,7 @@ def csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("doc_id") % 2 == 0, "a.csv").otherwise("a.tsv")
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), path.alias("path"))
     return P.csv_profile(d, "doc_id", "path", "text").select("doc_id", "rows", F.array_join("columns", "|").alias("columns"))
+
+
+PURPOSE_SQL = "CASE m.material_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.PURPOSE.items()) + " END"
+RELEVANCE_SQL = "CASE m.material_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in P.RELEVANCE.items()) + " ELSE 0.4::DOUBLE END"

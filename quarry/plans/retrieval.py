@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import index, profile, retrieve, search
+from quarry.operators.corpus import mapped
+from quarry.operators.evidence import CARD
 from quarry.plans import profile as profile_plans
 from quarry.plans.common import bucket_sql, clip_sql, query, tokens_sql
 from quarry.session import table
@@ -239,36 +241,42 @@ def scored_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     texts = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("point_text"))
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("query_text"))
-    return retrieve.rerank_with(_two_hop(spark, sf_dir), asked, texts, "item_id", "doc_id", shared_words).select("item_id", "doc_id", "score", "rank")
+    return retrieve.rerank_with(_two_hop(spark, sf_dir), asked, texts, "item_id", "doc_id", build=lambda: shared_words).select("item_id", "doc_id", "score", "rank")
 
 
-@query(
-    f"""WITH {MATERIALS_SQL}, o AS (SELECT *, CASE material_type WHEN 'document' THEN 0 WHEN 'project' THEN 1 WHEN 'dataset' THEN 2 WHEN 'code' THEN 3 ELSE 9 END AS type_rank FROM materials),
-s AS (SELECT a.material_id, list(b.root_path ORDER BY b.type_rank, b.root_path) FILTER (WHERE b.root_path IS NOT NULL) AS names
-      FROM o a LEFT JOIN o b ON a.source = b.source AND a.material_id <> b.material_id AND b.status = 'ready' GROUP BY a.material_id)
-SELECT material_id, array_to_string(CASE WHEN len(names) > 4 THEN list_append(names[:4], '+' || (len(names) - 4) || ' more') ELSE coalesce(names, []) END, '|') AS siblings FROM s"""
-)
+SIBLINGS_SQL = f"""{MATERIALS_SQL}, so AS (SELECT *, CASE material_type WHEN 'document' THEN 0 WHEN 'project' THEN 1 WHEN 'dataset' THEN 2 WHEN 'code' THEN 3 ELSE 9 END AS type_rank FROM materials),
+sn AS (SELECT a.material_id, list(b.root_path ORDER BY b.type_rank, b.root_path) FILTER (WHERE b.root_path IS NOT NULL) AS names
+      FROM so a LEFT JOIN so b ON a.source = b.source AND a.material_id <> b.material_id AND b.status = 'ready' GROUP BY a.material_id),
+siblings AS (SELECT material_id, array_to_string(CASE WHEN len(names) > 4 THEN list_append(names[:4], '+' || (len(names) - 4) || ' more') ELSE coalesce(names, []) END, '|') AS siblings FROM sn)"""
+
+
+@query(f"WITH {SIBLINGS_SQL} SELECT * FROM siblings")
 def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN5: other READY materials of the same source."""
     return retrieve.siblings(_materials(spark, sf_dir), "material_id", "source").withColumn("siblings", F.array_join("siblings", "|"))
 
 
 @query(
-    f"""WITH d AS (SELECT *, source || '/' || lang AS material_id FROM documents)
-SELECT material_id, count(*) AS units, arg_min({clip_sql('text')}, doc_id) AS snippet,
-       array_to_string((list('doc' || doc_id || ' lines 1-' || (n_chars % 7 + 1) ORDER BY doc_id))[:8], '|') AS citations FROM d GROUP BY material_id"""
+    f"""WITH {MATERIALS_SQL}, {ANALYSES_SQL}, u AS (SELECT source || '/' || lang AS material_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS unit_no, CASE WHEN doc_id % 2 = 0 THEN 'page' ELSE 'text' END AS unit_type,
+  'doc' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' page ' || (doc_id % 5) ELSE ' lines 1-' || (n_chars % 7 + 1) END AS citation FROM documents WHERE doc_id % 9 <> 0 AND lang <> 'fr')
+SELECT m.material_id, CASE WHEN m.material_type = 'project' AND a.material_id IS NOT NULL THEN 'Project ' || m.material_id ELSE regexp_extract(m.material_id, '[^/]+$') END AS title, m.material_type, root_path, status,
+  coalesce({clip_sql('summary')}, '') AS summary, CASE WHEN a.material_id IS NOT NULL THEN {profile_plans.PURPOSE_SQL} END AS purpose, array_to_string(coalesce(keywords, []), '|') AS keywords, array_to_string(coalesce(keywords[:12], []), '|') AS topics,
+  CASE WHEN a.material_id IS NOT NULL THEN {profile_plans.RELEVANCE_SQL} END AS relevance, unit_no, unit_type, citation FROM materials m LEFT JOIN analyses a USING (material_id) LEFT JOIN u USING (material_id)"""
 )
 def material_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN13: material with its first snippet and its units' citations (the first eight, in order).
-
-    Only the first eight of each material leave a task (ranked before they are gathered).
-    """
-    d = _docs(spark, sf_dir).select("doc_id", _material().alias("material_id"), "text", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), (F.col("n_chars") % 7 + 1).alias("last"))
-    cited = d.select("material_id", "doc_id", T.format_location("path", F.lit(None).cast("int"), F.lit(1), "last").alias("c"))
-    first = cited.withColumn("n", F.row_number().over(Window.partitionBy("material_id").orderBy("doc_id"))).filter("n <= 8")
-    listed = first.groupBy("material_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]), "|").alias("citations"))
-    counted = d.groupBy("material_id").agg(F.count(F.lit(1)).alias("units"), F.min_by(T.clip("text"), "doc_id").alias("snippet"))
-    return counted.join(listed, "material_id")
+    """JN13: every material with its analysis and the citations of all its units, a row each; every ninth unit is a card."""
+    d, none = F.col("doc_id"), F.lit(None)
+    m = _materials(spark, sf_dir).select("material_id", F.element_at(F.split("root_path", "/"), -1).alias("name"), "material_type", none.cast("string").alias("subtype"), "root_path", "status")
+    kinds = m.select("material_id", "material_type")
+    a = _analyses(spark, sf_dir).join(kinds, "material_id").select(
+        "material_id", F.when(F.col("material_type") == "project", F.concat(F.lit("Project "), "material_id")).otherwise("").alias("title"), T.clip("summary").alias("summary"), mapped(F.col("material_type"), profile.PURPOSE).alias("purpose"),
+        "keywords", F.slice("keywords", 1, 12).alias("topics"), none.cast("array<string>").alias("technologies"), mapped(F.col("material_type"), profile.RELEVANCE, F.lit(0.4)).alias("relevance"),
+    )
+    u = _docs(spark, sf_dir).filter("lang <> 'fr'").select(
+        _material().alias("material_id"), d.alias("pos"), F.when(d % 9 == 0, CARD).otherwise("u").alias("unit"), F.when(d % 2 == 0, "page").otherwise("text").alias("unit_type"), F.concat(F.lit("doc"), d.cast("string")).alias("path"),
+        F.when(d % 2 == 0, d % 5).alias("page"), F.when(d % 2 == 1, F.lit(1)).alias("line_start"), F.when(d % 2 == 1, F.col("n_chars") % 7 + 1).alias("line_end"),
+    )
+    return retrieve.material_detail(m, a, u, "material_id").drop("subtype", "technologies").withColumns({c: F.array_join(c, "|") for c in ("keywords", "topics")})
 
 
 @query(
@@ -285,16 +293,17 @@ def citation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     TWO_HOP_SQL
-    + f""" SELECT item_id, u.doc_id, 'doc' || u.doc_id AS path, 'doc' || u.doc_id || CASE WHEN u.doc_id % 2 = 0 THEN ' page ' || (u.doc_id % 5) ELSE ' lines 1-' || (n_chars % 7 + 1) END AS citation,
- {clip_sql('text')} AS snippet, round(score, 9) AS score, rank FROM units u JOIN documents USING (doc_id)"""
+    + f""", {SIBLINGS_SQL} SELECT item_id, u.doc_id, 'doc' || u.doc_id AS path, 'doc' || u.doc_id || CASE WHEN u.doc_id % 2 = 0 THEN ' page ' || (u.doc_id % 5) ELSE ' lines 1-' || (n_chars % 7 + 1) END AS citation,
+ {clip_sql('text')} AS snippet, round(score, 9) AS score, rank, siblings FROM units u JOIN documents USING (doc_id) LEFT JOIN siblings USING (material_id)"""
 )
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ17, FN6: hits as citation rows."""
+    """PRJ17, FN6: hits as citation rows, with the siblings of their material."""
     hits = _two_hop(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "text", "n_chars"), "doc_id")
     even = F.col("doc_id") % 2 == 0
     path = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     cited = T.format_location(path, F.when(even, F.col("doc_id") % 5), F.when(~even, F.lit(1)), F.when(~even, F.col("n_chars") % 7 + 1))
-    return hits.select("item_id", "doc_id", path.alias("path"), cited.alias("citation"), T.clip("text").alias("snippet"), F.round("score", 9).alias("score"), "rank")
+    others = retrieve.siblings(_materials(spark, sf_dir), "material_id", "source").withColumn("siblings", F.array_join("siblings", "|"))
+    return hits.join(others, "material_id", "left").select("item_id", "doc_id", path.alias("path"), cited.alias("citation"), T.clip("text").alias("snippet"), F.round("score", 9).alias("score"), "rank", "siblings")
 
 
 # Evaluation: a benchmark item is a case; the documents that contain its text are what it expects.
