@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import corpus as C
 
+# What tasks use travels to the workers by value: executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Terms of all materials that a task holds before it hands them on.
+HELD_TERMS = 1_000_000
 # Language of a source suffix, relevance and purpose of a material type.
 LANGUAGES = {".py": "python", ".go": "go", ".rs": "rust", ".js": "javascript", ".ts": "typescript", ".java": "java"}
 RELEVANCE = {"document": 0.8, "project": 0.7, "code": 0.6, "dataset": 0.5}
@@ -30,8 +38,40 @@ def ordered_unique(items: DataFrame, key: str, term: str, order: list[str], limi
 
 
 def material_keywords(units: DataFrame, key: str, pos: str, text: str, limit: int = 80, per_unit: int = 40) -> DataFrame:
-    """Keywords of each material from the first ``per_unit`` unique keywords of every unit in order."""
-    return ordered_unique(unit_keywords(units, [key, pos], text, per_unit), key, "term", [pos, "i"], limit)
+    """Keywords of each material from the first ``per_unit`` unique keywords of every unit in order.
+
+    A task keeps the first ``limit`` distinct terms of each material that it meets, and only these are shuffled: a term among the
+    first of all is among the first of the task that holds its first place.
+    """
+    kinds = dict(units.dtypes)
+    lists = distinct_terms(units.select(F.col(key).cast("string").alias("_k"), F.col(pos).alias("_p"), T.keywords(text).alias("_w")), per_unit)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str | None, dict[str, tuple]] = {}
+        n = 0
+
+        def cut() -> pd.DataFrame:
+            rows = [(k, low, *first) for k, own in held.items() for low, first in sorted(own.items(), key=lambda x: x[1])[:limit]]
+            return pd.DataFrame(rows, columns=["_k", "low", "_p", "i", "term"])
+
+        for b in batches:
+            for k, at, terms, lows in zip(b["_k"], b["_p"].tolist(), b["_terms"], b["_lows"], strict=True):
+                own = held.setdefault(k, {})
+                n -= len(own)
+                for i, (term, low) in enumerate(zip(terms, lows, strict=True)):
+                    if low not in own or own[low] > (at, i, term):
+                        own[low] = (at, i, term)
+                if len(own) > 4 * limit:
+                    own = held[k] = dict(sorted(own.items(), key=lambda x: x[1])[:limit])
+                n += len(own)
+            if n > HELD_TERMS:
+                yield cut()
+                held, n = {}, 0
+        yield cut()
+
+    slim = lists.select("_k", "_p", F.col("_picked").alias("_terms"), F.transform("_picked", F.lower).alias("_lows"))
+    found = slim.mapInPandas(run, f"_k string, low string, _p {kinds[pos]}, i int, term string")
+    return ordered_unique(found.select(F.col("_k").cast(kinds[key]).alias(key), "_p", "i", "term"), key, "term", ["_p", "i"], limit)
 
 
 def unit_keywords(units: DataFrame, keys: list[str], text: str, limit: int) -> DataFrame:
@@ -41,10 +81,14 @@ def unit_keywords(units: DataFrame, keys: list[str], text: str, limit: int) -> D
 
 def unique_terms(lists: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """(keys, i, term): unique items of each list ``_w``, inside its row; each list is computed once, not once an item."""
+    return distinct_terms(lists, limit).select(*keys, F.posexplode("_picked").alias("i", "term"))
+
+
+def distinct_terms(lists: DataFrame, limit: int) -> DataFrame:
+    """``lists`` with ``_picked``: the first ``limit`` items of ``_w`` that differ without regard to case, trimmed."""
     own = lists.withColumn("_w", F.filter(F.transform("_w", lambda v: F.trim(v)), lambda x: x != ""))
     low = own.withColumn("_l", F.transform("_w", F.lower)).withColumn("_d", F.slice(F.array_distinct("_l"), 1, limit))
-    picked = F.transform("_d", lambda k: F.element_at("_w", F.array_position("_l", k).cast("int")))
-    return low.select(*keys, F.posexplode(picked).alias("i", "term"))
+    return low.withColumn("_picked", F.transform("_d", lambda k: F.element_at("_w", F.array_position("_l", k).cast("int"))))
 
 
 def lift(units: DataFrame, key: str, pos: str, names: list[str]) -> DataFrame:
@@ -54,10 +98,11 @@ def lift(units: DataFrame, key: str, pos: str, names: list[str]) -> DataFrame:
 
 
 def sentences(text: str | Column) -> Column:
-    return F.filter(F.transform(F.split(T.col(text), r"(?<=[.!?])\s+"), lambda v: F.trim(v)), lambda s: s != "")
+    return F.filter(F.transform(F.split(T.col(text), r"(?<=[.!?])\s+"), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 SUMMARY = 400
+VISIBLE = r"(?U)\S"
 
 
 def summary(text: str | Column, n: int = 2, limit: int = SUMMARY) -> Column:
@@ -71,16 +116,15 @@ def leaf_digests(units: DataFrame, group: list[str], pos: str, text: str, page:
 
     Only the first two texts, the first headings and the terms of a group are gathered, cut before they are.
     """
-    filled = F.when(F.trim(text) != "", F.col(text))
     nth = F.row_number().over(Window.partitionBy(*group).orderBy(pos))
     slim = units.select(*group, pos, F.col(text).alias("_x"), *([F.col(page).alias("_page")] if page else []), *([F.nullif(path, F.lit("")).alias("_path")] if path else []))
     numbered = slim.select(*group, pos).withColumn("_n", nth).filter("_n <= 2")
-    heads = slim.join(numbered, [*group, pos]).withColumn("t", F.when(F.trim("_x") != "", F.col("_x")))
+    heads = slim.join(numbered, [*group, pos]).withColumn("t", F.when(F.col("_x").rlike(VISIBLE), F.col("_x")))
     head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("_n", "t")))), lambda x: x["t"]), "\n")
     firsts = heads.groupBy(*group).agg(F.coalesce(head, F.lit("")).alias("_h"))
     # Where the first two are blank the whole group's text is summed up; a unit that is not blank has a character at least, so more than
     # ``SUMMARY`` of them cannot be seen.
-    rest = slim.join(firsts.filter("_h = ''").select(*group), group, "left_semi").filter("trim(_x) <> ''")
+    rest = slim.join(firsts.filter("_h = ''").select(*group), group, "left_semi").filter(F.col("_x").rlike(VISIBLE))
     placed = rest.select(*group, pos).withColumn("_n", nth).filter(F.col("_n") <= SUMMARY + 1)
     whole = rest.join(placed, [*group, pos]).withColumn("t", F.col("_x")).groupBy(*group).agg(head.alias("_w"))
     summaries = firsts.join(whole, group, "left").select(*group, summary(F.coalesce(F.nullif("_h", F.lit("")), "_w", F.lit(""))).alias("summary"))

@@ -28,6 +28,7 @@ MARKS = {
     ".js": r"^(?:export[ \t]+(?:default[ \t]+)?)?(?:(?:async[ \t]+)?function|class)[ \t]+([A-Za-z_$][\w$]*)",
 }
 DECORATED = (".py", ".js")
+DECORATOR = re.compile(r"[ \t]*@")
 WRAP = 16
 #: Units that one task packs.
 PART_ROWS = 200_000
@@ -62,34 +63,51 @@ def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     return sections(docs, key, text, lambda line: line.rlike(pattern), lambda line: F.trim(F.regexp_extract(line, pattern, 2)))
 
 
+def symbol_units(lines: list[str], mark: re.Pattern, decorated: bool) -> Iterator[tuple[int, str | None, int, int]]:
+    """(part, symbol, first line, last line), counted from 1: a symbol begins behind the last line in front of it that is no
+    decorator; what stands in front of the first one is part 0. Nothing for a text without symbols."""
+    starts, plain = [], 0  # plain: lines up to and with the last one that is no decorator
+    for n, line in enumerate(lines):
+        if m := mark.search(line):
+            starts.append((plain, m[1]))
+        if not (decorated and DECORATOR.match(line)):
+            plain = n + 1
+    for part, (start, name) in enumerate(starts):
+        if part == 0 and start > 0:
+            yield 0, None, 1, start
+        end = starts[part + 1][0] if part + 1 < len(starts) else len(lines)
+        yield part + 1, name, start + 1, end
+
+
 def symbols(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """Top-level symbols of Python, Go and JavaScript files with the lines of their decorators.
+    """Top-level symbols of Python, Go and JavaScript files with the lines of their decorators: key, part, symbol, content,
+    line_start, line_end.
 
     The first line of a symbol is the line after the last line before it that is no decorator.
-    A non-blank part before the first symbol is a unit of its own; files without symbols give no rows.
+    A non-blank part before the first symbol is a unit of its own; files without symbols give no rows. One fold over the
+    lines that a row holds: nothing is exploded or shuffled.
     """
     p = F.lower(F.col(path))
     kind = F.when(p.endswith(".py"), ".py").when(p.endswith(".go"), ".go").when(p.rlike(r"\.(js|mjs|cjs|jsx)$"), ".js")
-    numbered = files.withColumn("kind", kind).filter("kind is not null")
-    numbered = numbered.select(key, "kind", F.posexplode(T.lines(text)).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
-    name = F.coalesce(*[F.when(F.col("kind") == k, F.nullif(F.regexp_extract("line", v, 1), F.lit(""))) for k, v in MARKS.items()])
-    decorator = F.col("kind").isin(*DECORATED) & F.col("line").rlike(r"^[ \t]*@")
-    w = Window.partitionBy(key).orderBy("line_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    marked = numbered.withColumn("name", name).withColumn("plain", F.when(~decorator, F.col("line_no")))
-    starts = marked.withColumn("start", F.coalesce(F.max("plain").over(before), F.lit(0)) + 1).filter("name is not null").select(key, "start", "name")
-    starts = starts.withColumn("next", F.lead("start").over(Window.partitionBy(key).orderBy("start")))
-    # Each line belongs to the last start at or before it.
-    joined = numbered.join(starts.select(key, F.col("start").alias("line_no"), "name"), [key, "line_no"], "left")
-    part = F.sum(F.when(F.col("name").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    parts = joined.withColumn("part", part).join(starts.select(key).distinct(), key, "left_semi")
-    units = parts.groupBy(key, "part").agg(
-        F.max("name").alias("symbol"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"),
-        F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"),
-    )
-    units = units.withColumn("content", F.when(F.col("part") == 0, F.rtrim(F.regexp_replace("content", r"\s+$", ""))).otherwise(F.col("content")))
-    return units.filter("part > 0 or trim(content) <> ''")
+    slim = files.select(F.col(key).alias("_key"), kind.alias("_kind"), T.lines(text).alias("_lines")).filter("_kind is not null")
+    marks = {k: re.compile(v, re.A) for k, v in MARKS.items()}
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for at, (own, lines) in enumerate(zip(b["_kind"], b["_lines"], strict=True)):
+                lines = list(lines)
+                for part, name, first, last in symbol_units(lines, marks[own], own in DECORATED):
+                    content = "\n".join(lines[first - 1 : last])
+                    if part == 0:
+                        content = content.rstrip(" \t\n\x0b\f\r")
+                    if part or content.strip(" "):
+                        rows.append((at, part, name, content, first, last))
+            out = pd.DataFrame(rows, columns=["at", "part", "symbol", "content", "line_start", "line_end"])
+            yield pd.concat([b["_key"].iloc[out["at"]].reset_index(drop=True), out.drop(columns="at")], axis=1)
+
+    found = slim.mapInPandas(run, f"_key {dict(files.dtypes)[key]}, part long, symbol string, content string, line_start int, line_end int")
+    return found.withColumnRenamed("_key", key)
 
 
 LINE_END, TOKEN, STOP = re.compile(T.LINE_END), re.compile(T.TOKEN), frozenset(T.TOKEN_STOP)
@@ -306,13 +324,43 @@ def cut_units(units: DataFrame, key: str, material: str, order: list[str], size:
 
 
 def block_sections(blocks: DataFrame, key: str, pos: str, is_heading: str, text: str) -> DataFrame:
-    """Ordered blocks to sections starting at headings, with line ranges from a running line count."""
-    w = Window.partitionBy(key).orderBy(pos)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    placed = blocks.withColumn("section_no", F.sum(F.col(is_heading).cast("int")).over(upto)).withColumn("lines", T.line_count(text))
-    placed = placed.withColumn("end", F.sum("lines").over(upto))
-    return placed.groupBy(key, "section_no").agg(
-        F.max(F.when(F.col(is_heading), F.trim(text))).alias("heading"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda x: x[text]), "\n").alias("content"),
-        (F.min(F.col("end") - F.col("lines")) + 1).alias("line_start"), F.max("end").alias("line_end"),
-    )
+    """Ordered blocks to sections starting at headings, with line ranges from a running line count: key, section_no, heading,
+    content, line_start, line_end.
+
+    Blocks are dealt by key and sorted, on disk where they do not fit; a fold reads them in order and hands each section on
+    as it closes, so a task holds one section.
+    """
+    kinds = dict(blocks.dtypes)
+    slim = blocks.select(F.col(key).cast("string").alias("k"), F.col(pos).alias("p"), F.col(is_heading).alias("h"), F.col(text).alias("t"), T.line_count(text).cast("long").alias("n"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, began, number, line, heading, parts, first = None, False, 0, 0, None, [], 1
+
+        def closed() -> tuple:
+            return key, number, heading, "\n".join(parts), first, line
+
+        for b in batches:
+            done = []
+            for k, h, t, n in zip(b["k"], b["h"], b["t"], b["n"], strict=True):
+                if not began or k != key:
+                    if began:
+                        done.append(closed())
+                    key, began, number, line, heading, parts, first = k, True, 0, 0, None, [], 1
+                    started = False
+                if h:
+                    if started:
+                        done.append(closed())
+                    number, heading, parts, first = number + 1, None if t is None else t.strip(" "), [], line + 1
+                started = True
+                if t is not None:
+                    parts.append(t)
+                line += n
+            yield pd.DataFrame(done, columns=SECTION)
+        if began:
+            yield pd.DataFrame([closed()], columns=SECTION)
+
+    found = slim.repartition("k").sortWithinPartitions("k", "p").mapInPandas(run, "k string, section_no long, heading string, content string, line_start long, line_end long")
+    return found.select(F.col("k").cast(kinds[key]).alias(key), *SECTION[1:])
+
+
+SECTION = ["k", "section_no", "heading", "content", "line_start", "line_end"]

@@ -49,7 +49,7 @@ WORD_SQL = "(CASE WHEN regexp_extract(x, '[A-Za-z]+') = '' THEN 'x' ELSE regexp_
 CODE = f"array_to_string(list_transform({lines_sql('text')}, lambda x, i: CASE i % 4 WHEN 1 THEN '# ' || {WORD_SQL} || ' x' WHEN 2 THEN 'def ' || {WORD_SQL} WHEN 3 THEN 'import ' || {WORD_SQL} ELSE 'class ' || {WORD_SQL} END), chr(10))"
 SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 DIGEST = f"""n AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY doc_id) AS n FROM u),
-h AS (SELECT material_id, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), string_agg(CASE WHEN trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM n GROUP BY material_id)"""
+h AS (SELECT material_id, coalesce(string_agg(CASE WHEN n <= 2 AND regexp_matches(text, '\\S') THEN text END, chr(10) ORDER BY n), string_agg(CASE WHEN regexp_matches(text, '\\S') THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM n GROUP BY material_id)"""
 SUMMARY = f"substr(array_to_string(({SENT})[:2], ' '), 1, 400)"
 HEADINGS = "list_filter(list_transform(regexp_extract_all(text, '(?m)^#{1,6}\\s+(.+)$', 1), lambda x: trim(x)), lambda x: x <> '')"
 
@@ -57,7 +57,7 @@ HEADINGS = "list_filter(list_transform(regexp_extract_all(text, '(?m)^#{1,6}\\s+
 def leaf_sql(units: str, key: str) -> str:
     """CTEs up to ``leaf``: digests of the groups ``key`` of ``units(key, doc_id, text)``."""
     return f"""ln AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY doc_id) AS n FROM {units}),
-lh AS (SELECT {key}, coalesce(string_agg(CASE WHEN n <= 2 AND trim(text) <> '' THEN text END, chr(10) ORDER BY n), string_agg(CASE WHEN trim(text) <> '' THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM ln GROUP BY {key}),
+lh AS (SELECT {key}, coalesce(string_agg(CASE WHEN n <= 2 AND regexp_matches(text, '\\S') THEN text END, chr(10) ORDER BY n), string_agg(CASE WHEN regexp_matches(text, '\\S') THEN text END, chr(10) ORDER BY n), '') AS s, min(doc_id) AS first, max(doc_id) AS last, count(*) AS units, sum(len({tokens_sql('text')}))::BIGINT AS tokens FROM ln GROUP BY {key}),
 le AS (SELECT {key}, doc_id, 0 AS part, unnest({HEADINGS}) AS term, generate_subscripts({HEADINGS}, 1) AS i FROM {units}
   UNION ALL SELECT {key}, doc_id, 1, unnest({keywords_sql('text')}), generate_subscripts({keywords_sql('text')}, 1) FROM {units}),
 l8 AS (SELECT {key}, list(term ORDER BY k) AS headings FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY doc_id, i) AS k FROM le WHERE part = 0) WHERE k <= 8 GROUP BY {key}),

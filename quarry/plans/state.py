@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quarry.operators import state as S
 from quarry.operators.evidence import CARD
 from quarry.plans.common import query
-from quarry.session import table
+from quarry.session import scratch_dir, table
+from quarry.sources.store import BucketStore
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +28,14 @@ b AS (SELECT user_id, event_type, sum(value) AS value, min(event_id) AS created
 
 @query(f"WITH {HALVES} SELECT user_id, event_type, round(CASE WHEN b.created IS NOT NULL THEN b.value ELSE a.value END, 4) AS value, coalesce(a.created, b.created) AS created FROM a FULL JOIN b USING (user_id, event_type)")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET1: the odd half of the log upserted into the even half; the first creation is kept."""
+    """SET1: the odd half of the log upserted into a store of the even half; the first creation is kept."""
     e = _events(spark, sf_dir)
     part = lambda rows: rows.groupBy("user_id", "event_type").agg(F.sum("value").alias("value"), F.min("event_id").alias("created"))
-    merged = S.upsert(part(e.filter("event_id % 2 = 0")), part(e.filter("event_id % 2 = 1 and user_id % 3 <> 0")), ["user_id", "event_type"], ["value"], ["created"])
-    return merged.withColumn("value", F.round("value", 4))
+    old = part(e.filter("event_id % 2 = 0"))
+    store = BucketStore(spark, scratch_dir(spark, "state"), old.schema, "user_id", 16)
+    store.replace(old)
+    store.upsert(part(e.filter("event_id % 2 = 1 and user_id % 3 <> 0")), ["value"], ["created"], ["user_id", "event_type"])
+    return store.read().withColumn("value", F.round("value", 4))
 
 
 STATUS = ("discovered", "processing", "failed", "ready", "classified")
@@ -140,11 +144,13 @@ def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH o AS (SELECT doc_id, source AS material_id, n_chars FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, source AS material_id, n_chars FROM documents WHERE doc_id % 2 = 1 AND lang = 'de')
 SELECT * FROM o WHERE material_id NOT IN (SELECT material_id FROM n) UNION ALL SELECT * FROM n""")
 def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK3: all points of the materials in the new batch are replaced."""
-    from quarry.operators.index import replace_points
-
+    """SNK3: all points of the materials in the new batch are replaced, in a stored index whose other buckets stay as they are."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("material_id"), "n_chars", "lang")
-    return replace_points(d.filter("doc_id % 2 = 0").drop("lang"), d.filter("doc_id % 2 = 1 and lang = 'de'").drop("lang"))
+    old, new = d.filter("doc_id % 2 = 0").drop("lang"), d.filter("doc_id % 2 = 1 and lang = 'de'").drop("lang")
+    store = BucketStore(spark, scratch_dir(spark, "points"), old.schema, "material_id", 16)
+    store.replace(old)
+    store.replace(new)
+    return store.read()
 
 
 @query("SELECT source AS material_id, count(*) AS points, 0::BIGINT AS left_over FROM documents GROUP BY source")

@@ -1,7 +1,11 @@
 """File and project rules on the fixtures' trees."""
 
+import hashlib
+import random
+
 from quarry.operators import corpus as C
 from quarry.operators import profile as P
+from quarry.sources import files
 
 
 def listing(spark, paths, material="m"):
@@ -47,3 +51,65 @@ def test_dependencies_and_csv(spark):
     assert P.dependencies(df, "m", "path", "text", "pos").first().terms == ["react", "vue", "pandas", "numpy", "example.com/a"]
     csv = spark.createDataFrame([(1, "a.tsv", "a\t b \t\n1\t2\t3\n"), (2, "b.csv", "")], "id int, path string, text string")
     assert {r.id: (r.rows, r.columns) for r in P.csv_profile(csv, "id", "path", "text").collect()} == {1: (1, ["a", "b"]), 2: (0, [])}
+
+
+def test_tree_digest_is_one_running_hash(spark):
+    """A material with most of the files, null and repeated entries, keys with null: the digest of the sorted list."""
+    rows = [("big", f"p{i:05d}", f"s{i % 7}") for i in range(5000)] + [("small", "b", "2"), ("small", "a", "1"), (None, "x", "9"), ("small", "a", "1"), ("holes", None, "3"), ("holes", "c", "4")]
+    got = {r.m: (r.digest, r.files) for r in C.tree_digest(spark.createDataFrame(rows, "m string, path string, sha string").repartition(7), "m", "path", "sha").collect()}
+    for key in ("big", "small", None, "holes"):
+        own = sorted((p, s) for m, p, s in rows if m == key and p is not None)
+        assert got[key] == (hashlib.sha256("".join(f"{p}\x00{s}\n" for p, s in own).encode()).hexdigest(), sum(m == key for m, _, _ in rows))
+    plan = C.tree_digest(spark.createDataFrame(rows, "m string, path string, sha string"), "m", "path", "sha")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # no array of the entries
+
+
+def test_manifest_entries_are_rows(spark, tmp_path):
+    rows = [("m", "b", "2", 5), ("m", "a", "1", 3), ("n", "c", "3", 4)]
+    df = spark.createDataFrame(rows, "material string, path string, sha string, size long")
+    files.manifest_entries(df, "material", f"file://{tmp_path}/manifest")
+    assert sorted(map(tuple, spark.read.json(f"file://{tmp_path}/manifest").select("material", "path", "sha", "size").collect())) == sorted(rows)
+    assert {r.material: (r.files, r.bytes) for r in files.manifest(df, "material").collect()} == {"m": (2, 8), "n": (1, 4)}
+
+
+def test_package_contents_as_listed(spark):
+    names = ["requests/__init__.py", "requests-2.0.dist-info/METADATA", "zlib.py", "requests/api.py", "x.data/scripts/run", "org/app/Main.class", "META-INF/x/Y.class", "Top.class", "org/app/Other.class", "/odd", *[f"m{i:02d}/a" for i in range(25)]]
+    got = C.package_contents(spark.createDataFrame([("a", n, i) for i, n in enumerate(names)] + [("b", "n.txt", 0)], "archive string, name string, pos int"))
+    by = {r.archive: r for r in got.collect()}
+    tops = ["requests", "zlib.py", "org", "META-INF", "Top.class"]
+    assert by["a"].modules.split(",") == [*tops, *[f"m{i:02d}" for i in range(15)]] and by["a"].packages.split(",") == ["org.app", "Top.class"]
+    assert (by["a"].py, by["a"].classes, by["b"].modules, by["b"].packages) == (3, 4, "n.txt", "")
+
+
+def test_discovery_asks_for_any_wheel(spark):
+    expected = spark.createDataFrame([("packages/x-1.whl", "code"), ("docs/", None)], "path string, material_type string")
+    found = lambda *roots: sorted(tuple(r) for r in C.discovery_errors(spark.createDataFrame([(r, "code") for r in roots], "root_path string, material_type string"), expected).collect())
+    assert found("docs/") == [("wheel", "packages/", "")]
+    assert found("docs/", "packages/x-2.whl") == []
+    assert found("packages/x-1.whl") == [("missing", "docs/", "")]
+
+
+def test_first_terms_of_a_task_are_those_of_all(spark, monkeypatch):
+    """Keywords of materials over many tasks, with little held at a time, against one list after the other."""
+    rng = random.Random(4)
+    words = [f"{c}word{i}" for i in range(60) for c in ("x", "X", "y")]
+    rows = [(m, i, " ".join(rng.choices(words, k=30))) for m in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "m string, pos long, text string").repartition(6)
+    for held in (10, 1_000_000):
+        monkeypatch.setattr(P, "HELD_TERMS", held)
+        got = {r.m: r.terms for r in P.material_keywords(df, "m", "pos", "text", 25, 8).collect()}
+        for key in ("a", "b", None):
+            seen: dict[str, str] = {}
+            for _, _, text in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+                own: dict[str, str] = {}
+                for w in text.split():
+                    own.setdefault(w.lower(), w)
+                for low, w in list(own.items())[:8]:
+                    seen.setdefault(low, w)
+            assert got[key] == list(seen.values())[:25]
+
+
+def test_summary_of_units_after_blank_ones(spark):
+    rows = [("a", 1, " "), ("a", 2, ""), ("a", 3, "First one. Second"), ("a", 4, " \n"), ("a", 5, "goes on. Third."), ("b", 1, "\t"), ("b", 2, "Only this. And that. Not this."), ("c", 1, ""), ("d", 1, ""), ("d", 2, ""), *[("d", 3 + i, "x") for i in range(600)]]
+    got = {r.m: r.summary for r in P.leaf_digests(spark.createDataFrame(rows, "m string, pos int, text string"), ["m"], "pos", "text").collect()}
+    assert got == {"a": "First one. Second\ngoes on.", "b": "Only this. And that.", "c": "", "d": "\n".join("x" * 600)[:400]}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import evaluate, index, profile, search, segment
+from quarry.operators import evaluate, index, profile, retrieve, search, segment
 from quarry.session import table
 
 
@@ -78,6 +78,41 @@ def test_containing_finds_short_and_foreign_cases(spark):
     assert got == want
 
 
+def test_containing_against_every_pair(spark, monkeypatch):
+    """Overlapping, repeated, empty and foreign cases, as one automaton and in blocks; nothing is joined."""
+    texts = ["ab", "abc", "bc", "b", "", "ab", "\u0430\u0431", "line\nbreak", "x" * 50]
+    cases = spark.createDataFrame([*enumerate(texts), (99, None)], "case_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abcab", "bcb", "", "\u0430\u0431\u0432", "a line\nbreak", "x" * 60, None])], "doc_id long, text string")
+    want = sorted((c, d.doc_id) for c, t in enumerate(texts) for d in docs.collect() if d.text is not None and t in d.text)
+    for size in (2_000_000, 4):
+        monkeypatch.setattr(evaluate, "BLOCK_CHARS", size)
+        found = evaluate.containing(cases, docs, "case_id", "doc_id")
+        assert sorted(map(tuple, found.collect())) == want
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert evaluate.containing(cases.limit(0), docs, "case_id", "doc_id").count() == 0
+
+
+def test_a_scorer_is_built_once_a_task(spark, tmp_path):
+    """UDF2: construction is counted in files; batches are many."""
+    hits = spark.createDataFrame([(q, p, float(p), p + 1) for q in range(2) for p in range(40)], "query long, point long, score double, rank int")
+    asked = spark.createDataFrame([(q, f"query {q}") for q in range(2)], "query long, query_text string")
+    found = spark.createDataFrame([(p, f"text {p % 7}") for p in range(40)], "point long, point_text string")
+
+    def build(folder=str(tmp_path)):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return lambda a, b: b.str[-1].astype(float) + a.str[-1].astype(float)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = retrieve.rerank_with(hits.coalesce(1), asked, found, "query", "point", build=build).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.point % 7 for r in sorted(got, key=lambda r: (r.query, r.rank)) if r.query == 0][:6] == [6, 6, 6, 6, 6, 5]
+    assert len(list(tmp_path.iterdir())) <= 8 < 80 / 5  # tasks, not batches
+
+
 # Evaluation suites, restated as rows: (path, page, content) of each corpus and the lexical cases.
 
 PROJECT = [("backend/pyproject.toml", None, "[project]\nname = 'backend'\n"), ("backend/src/main.py", None, "print('ok')\n"), ("backend/src/api.py", None, "def handle_request(path):\n    return 'ok'\n")]
