@@ -41,9 +41,9 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python in batches of ``rows`` where the session has Spark's default of 10,000, which is meant for
-    numbers: a batch is held several times over, by the executor and by its worker."""
-    if spark.conf.get(BATCH) == "10000":
+    """Texts go to Python in batches of ``rows`` in a session that has not chosen a number itself: Spark's default of 10,000 is meant
+    for numbers, and a batch is held several times over, by the executor and by its worker. A number that the caller set stays."""
+    if BATCH not in spark.conf.getAll:
         spark.conf.set(BATCH, str(rows))
 
 

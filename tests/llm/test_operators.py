@@ -579,6 +579,17 @@ def test_a_batch_larger_than_the_index_is_probed_in_shards_of_its_own(spark, mon
     assert got == {i: i % 2 for i in range(600)}
 
 
+def test_a_batch_size_of_the_caller_stays(spark):
+    from quarry.llm.shared import BATCH, text_batches
+
+    spark.conf.set(BATCH, "10000")  # Spark's default, chosen on purpose
+    text_batches(spark)
+    assert spark.conf.get(BATCH) == "10000"
+    spark.conf.unset(BATCH)
+    text_batches(spark)
+    assert spark.conf.get(BATCH) == "1000"
+
+
 def test_columns_of_any_name_are_kept(spark):
     names = ["doc_id", "text", "row_key", "_id", "_part", "_lines", "_hit", "_lost", "_row", "a.b"]
     df = spark.createDataFrame([(i, f"some text of a line {i // 2}\nanother line that is long {i // 2}", *[f"{c}{i}" for c in names[2:]]) for i in range(8)], names)
