@@ -104,7 +104,7 @@ def rerank_with(hits: DataFrame, query_text: DataFrame, point_text: DataFrame, q
         for asked, found in batches:
             yield own(asked, found)
 
-    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    score = F.pandas_udf(run, "double")
     pairs = hits.select(query, point).join(query_text, query).join(point_text, point)
     return rerank(hits, pairs.select(query, point, score(F.substring("query_text", 1, 2048), F.substring("point_text", 1, 2048)).alias("score")), query, point)
 
