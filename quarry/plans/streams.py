@@ -36,12 +36,13 @@ a AS (SELECT path, fingerprint FROM n WHERE page_id % 3 <> 0),
 b AS (SELECT path, CASE WHEN page_id % 2 = 0 THEN fingerprint || 'x' ELSE fingerprint END AS fingerprint FROM n WHERE page_id % 5 <> 0)
 SELECT path, fingerprint FROM a UNION ALL SELECT b.path, b.fingerprint FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.path = b.path AND a.fingerprint = b.fingerprint)""")
 def stream_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1: pages arrive, and later again: known ones with the same length are passed over, changed and new ones come through."""
+    """STR1: pages arrive, and later again: known ones with the same length are passed over, changed and new ones come through. A url may be
+    that of several pages."""
     n = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.length("html").cast("string").alias("fingerprint"), "page_id")
     later = F.when(F.col("page_id") % 2 == 0, F.concat("fingerprint", F.lit("x"))).otherwise(F.col("fingerprint")).alias("fingerprint")
     out, checkpoint = scratch_dir(spark, "new-items"), scratch_dir(spark, "checkpoint")
     waves = [n.filter("page_id % 3 <> 0").select("path", "fingerprint"), n.filter("page_id % 5 <> 0").select("path", later)]
-    _waves(spark, waves, lambda rows: ingest.drain(ingest.changed_items(rows, "path", "fingerprint"), out, checkpoint))
+    _waves(spark, waves, lambda rows: ingest.drain(ingest.unlike_items(rows, "path", "fingerprint"), out, checkpoint))
     return spark.read.schema("path string, fingerprint string").parquet(out)
 
 

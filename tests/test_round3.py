@@ -24,3 +24,9 @@ def agrees(spark, tmp_path, name, **tables):
 def test_a_split_material_may_have_the_number_of_a_whole_one(spark, tmp_path):
     rows = [(i, "text") for i in (*range(40, 50), *range(4000, 4020))]
     assert agrees(spark, tmp_path, "material_classes", documents=(rows, "doc_id long, text string")) == ""
+
+
+def test_a_url_of_several_pages_comes_through_page_by_page(spark, tmp_path):
+    urls = ["a", "a", "b", "b", None, "c", "a", "b", None, "c", "c", "d"]
+    rows = [(i, url, None if i == 5 else "x" * (i % 3 + 1)) for i, url in enumerate(urls * 5)]
+    assert agrees(spark, tmp_path, "stream_new_items", pages=(rows, "page_id long, url string, html string")) == ""
