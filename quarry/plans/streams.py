@@ -24,10 +24,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _waves(spark: SparkSession, waves: list[DataFrame], run: Callable[[DataFrame], None]) -> None:
-    """Each wave is written as one file, which a micro-batch takes whole, and then processed."""
+    """Each wave is written as files, which one micro-batch takes together, and then processed."""
     path = scratch_dir(spark, "arrivals")
     for rows in waves:
-        rows.coalesce(1).write.mode("append").parquet(path)
+        rows.write.mode("append").parquet(path)
         run(ingest.arriving(spark, path, rows.schema))
 
 
