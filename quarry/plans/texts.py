@@ -44,9 +44,11 @@ def sparse_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN len({lines_sql('text')}) <= 4 THEN array_to_string(list_transform({lines_sql('text')}, lambda x: length(x)::VARCHAR), ', ') ELSE length({lines_sql('text')}[1]) || ' … ' || length({lines_sql('text')}[-1]) END AS line_lengths FROM documents""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN10, FN20."""
-    first = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^.]+[.]"), F.lit(0)), 1, 1), "")
-    lengths = F.transform(T.lines("text"), lambda x: F.length(x).cast("string"))
-    return _docs(spark, sf_dir).select("doc_id", T.clip("text").alias("snippet"), T.clip("text", 80).alias("short"), first.alias("first_sentence"), T.compact_list(lengths).alias("line_lengths"))
+    # The first run without a full stop is the first sentence or there is none; a search from every place would be quadratic.
+    first = F.regexp_extract(F.coalesce("text", F.lit("")), r"\A\.*+([^.]++\.)", 1)
+    lengths = F.transform("_lines", lambda x: F.length(x).cast("string"))
+    d = _docs(spark, sf_dir).withColumn("_lines", T.lines("text")).withColumn("_lengths", lengths)
+    return d.select("doc_id", T.clip("text").alias("snippet"), T.clip("text", 80).alias("short"), first.alias("first_sentence"), T.compact_list("_lengths").alias("line_lengths"))
 
 
 @query("""WITH u AS (SELECT doc_id, source || '/' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END AS page, CASE WHEN doc_id % 3 = 1 THEN 1 END AS a, CASE WHEN doc_id % 3 = 1 THEN doc_id % 9 + 1 END AS b FROM documents),

@@ -30,3 +30,13 @@ def test_a_url_of_several_pages_comes_through_page_by_page(spark, tmp_path):
     urls = ["a", "a", "b", "b", None, "c", "a", "b", None, "c", "c", "d"]
     rows = [(i, url, None if i == 5 else "x" * (i % 3 + 1)) for i, url in enumerate(urls * 5)]
     assert agrees(spark, tmp_path, "stream_new_items", pages=(rows, "page_id long, url string, html string")) == ""
+
+
+def test_snippets_and_lines_of_long_texts_take_time_in_proportion(spark, tmp_path):
+    import time
+
+    odd = ["", None, "\n", "\r\n", "a\r\n", "\r", "a\n\n", "...", "..a. b.", "a" * 180, "a" * 181, "  a \t b  " * 60, " " * 500, " \n" * 300 + "x", "no stop", "." * 5 + "x"]
+    rows = [*enumerate(odd), (100, "a b " * 100_000), (101, "one. " + "word " * 100_000)]
+    began = time.monotonic()
+    assert agrees(spark, tmp_path, "text_functions", documents=(rows, "doc_id long, text string")) == ""
+    assert time.monotonic() - began < 30
