@@ -40,3 +40,17 @@ def test_snippets_and_lines_of_long_texts_take_time_in_proportion(spark, tmp_pat
     began = time.monotonic()
     assert agrees(spark, tmp_path, "text_functions", documents=(rows, "doc_id long, text string")) == ""
     assert time.monotonic() - began < 30
+
+
+def test_digests_carry_the_heads_of_texts_alone(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import profile as P
+
+    odd = ["", None, " \n\t", "One. Two! Three?", "a" * 900, "  x.  \n y? z", "w " * 5000 + ". end", "  a.   b.", "long " * 70 + "stop. Then. More.", ". . a. b", "# T\n" + "word. " * 3000]
+    units = spark.createDataFrame([*enumerate(odd)], "k long, text string").withColumn("pos", F.lit(1))
+    parts = P.unit_parts(units, ["k"], "pos", "text")
+    assert max(len(r._t or "") for r in parts.collect()) < 1000 and "text" not in parts.columns
+    got = {r.k: r.summary for r in P.summaries(parts, ["k"], "pos").collect()}
+    whole = units.select("k", P.summary(F.when(F.col("text").rlike(P.VISIBLE), F.col("text")).otherwise("")).alias("s"))
+    assert got == {r.k: r.s or "" for r in whole.collect()}
