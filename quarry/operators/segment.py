@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators.corpus import HINT_TYPES
 from quarry.operators.numbering import numbered
-from quarry.session import scratch_dir
+from quarry.session import scratch_dir, text_batches
 
 # What tasks use travels to the workers by value: executors need no copy of this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -89,14 +89,15 @@ def symbols(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     """
     p = F.lower(F.col(path))
     kind = F.when(p.endswith(".py"), ".py").when(p.endswith(".go"), ".go").when(p.rlike(r"\.(js|mjs|cjs|jsx)$"), ".js")
-    slim = files.select(F.col(key).alias("_key"), kind.alias("_kind"), T.lines(text).alias("_lines")).filter("_kind is not null")
+    slim = files.select(F.col(key).alias("_key"), kind.alias("_kind"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).filter("_kind is not null")
+    text_batches(files.sparkSession)
     marks = {k: re.compile(v, re.A) for k, v in MARKS.items()}
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
-            for at, (own, lines) in enumerate(zip(b["_kind"], b["_lines"], strict=True)):
-                lines = list(lines)
+            for at, (own, text) in enumerate(zip(b["_kind"], b["_text"], strict=True)):
+                lines = lines_of(text)
                 for part, name, first, last in symbol_units(lines, marks[own], own in DECORATED):
                     content = "\n".join(lines[first - 1 : last])
                     if part == 0:
@@ -114,6 +115,24 @@ LINE_END, TOKEN, STOP = re.compile(T.LINE_END), re.compile(T.TOKEN), frozenset(T
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: Texts whose pieces a worker holds at once.
+TEXTS = 64
+
+
+def sliced(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), TEXTS):
+            yield b.iloc[at : at + TEXTS].reset_index(drop=True)
+
+
+def lines_of(text: str) -> list[str]:
+    """``T.lines`` of a text."""
+    lines = LINE_END.split(text)
+    if not lines[-1]:
+        lines.pop()
+    return lines
+
+
 def n_tokens(text: str) -> int:
     return sum(t not in STOP for t in TOKEN.findall(text.lower()))
 
@@ -165,13 +184,14 @@ def token_windows(docs: DataFrame, key: str | list[str], text: str, size: int =
     overlap = min(max(overlap, 0), size - 1)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [(i, k, *w) for i, t in enumerate(b["_text"]) for k, w in enumerate(windows_of(t, size, overlap))]
             out = pd.DataFrame(rows, columns=["i", "window_no", "line_start", "line_end", "tokens", "content"])
             yield pd.concat([b[keys].iloc[out["i"]].reset_index(drop=True), out.drop(columns="i")], axis=1)
 
     slim = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     kinds = dict(slim.dtypes)
+    text_batches(docs.sparkSession)
     return slim.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", window_no int, line_start int, line_end int, tokens int, content string")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import evaluate, search, segment
 from quarry.plans.common import lines_sql, query, tokens_sql
-from quarry.session import table
+from quarry.session import table, written
 
 SHORT = "[A-Za-z]+[.]?"
 
@@ -147,6 +147,7 @@ def block_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str, size: int, cases: DataFrame, expect: DataFrame, asked: DataFrame) -> DataFrame:
     """Hits at 1, mean reciprocal rank and units of one chunk size, by mode."""
     windows = segment.token_windows(table(spark, sf_dir, "documents"), "doc_id", "text", size).select((F.col("doc_id") * 1_000_000 + F.col("window_no")).alias("unit"), "content")
+    windows = written(spark, windows, "windows")
     top = search.top_points(windows, "unit", "content", asked, "item_id", "asked", 5, lists=("dense",))
     hits = top.groupBy(F.col("item_id").alias("case_id"), F.expr("unit div 1000000").alias("doc_id")).agg(F.min("rank").alias("rank"))
     scored = evaluate.by_mode(evaluate.score_cases(cases, expect, hits), ["mode"])
@@ -158,7 +159,7 @@ def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG19: for each chunk size, units rebuilt, retrieval scored again, one row per size and mode."""
     b = table(spark, sf_dir, "benchmark")
     cases = b.select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("semantic").alias("mode"), "text")
-    expect = evaluate.containing(cases, table(spark, sf_dir, "documents"), "case_id", "doc_id")
+    expect = written(spark, evaluate.containing(cases, table(spark, sf_dir, "documents"), "case_id", "doc_id"), "expected")
     asked = b.select("item_id", F.col("text").alias("asked"))
     parts = [_scored(spark, sf_dir, size, cases.select("case_id", "mode"), expect, asked) for size in (256, 1024)]
     return parts[0].unionByName(parts[1])

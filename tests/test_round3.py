@@ -54,3 +54,13 @@ def test_digests_carry_the_heads_of_texts_alone(spark):
     got = {r.k: r.summary for r in P.summaries(parts, ["k"], "pos").collect()}
     whole = units.select("k", P.summary(F.when(F.col("text").rlike(P.VISIBLE), F.col("text")).otherwise("")).alias("s"))
     assert got == {r.k: r.s or "" for r in whole.collect()}
+
+
+def test_workers_take_texts_in_slices(spark):
+    import pandas as pd
+
+    from quarry.operators import segment
+
+    parts = list(segment.sliced(iter([pd.DataFrame({"x": range(segment.TEXTS + 3)})])))
+    assert [len(p) for p in parts] == [segment.TEXTS, 3] and parts[1].index[0] == 0
+    assert [segment.lines_of(t) for t in ("", "\n", "a\r\nb\n")] == [[], [""], ["a", "b"]]
