@@ -12,9 +12,10 @@ bit. Which pairs meet at all:
    blocks, so rows are keyed by each choice of that many (10 for B = 5; B grows with the number of fingerprints);
 2. in a bucket everything is compared with the hub, the fingerprint with most documents, and in buckets of at most ``SMALL``
    everything with everything; the links are joined into components;
-3. what is left in larger buckets that still span components is keyed once more, by the same rule inside the
-   other bits of its bucket, and members outside a bucket's largest component are compared with those of
-   other components. Pairs inside one component need no comparison, so no link between components is missed.
+3. fingerprints of larger buckets that still span components are keyed once more, each once and not once a bucket, by the
+   same rule with ``FINER`` more blocks (56 keys of 40 bits for B = 5), and members outside a bucket's largest component
+   are compared with those of other components. Pairs inside one component need no comparison, and a link between two
+   components can only be in a larger bucket, so none is missed.
 
 Documents of one fingerprint are one vertex from the start, so copies are never compared. Hot buckets, fingerprints and
 components are dealt over several tasks (``spread_join``).
@@ -40,7 +41,7 @@ from quarry.llm.neardup import components
 from quarry.llm.shared import among, cut, hot_keys, hot_limit, spread_join
 
 N_WORDS, SEED, BITS = 3, 42, 3
-PIVOTS, SMALL = 16, 8
+PIVOTS, SMALL, FINER = 16, 8, 3
 BLOCK_BYTES = 1 << 20
 SPACE = re.compile(rb"[\x09-\x0d\x20]")
 #: Reference fingerprints: pseudo-random, the same everywhere.
@@ -162,18 +163,17 @@ def links(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     edges = cut(star.union(close).distinct(), "links")
     label = components(edges)
 
-    # Larger buckets that still span components, keyed once more inside the bits that their mask leaves open.
-    named = met.filter(F.col("m") > SMALL).select(*BUCKET, "fp", "near", "m").join(label.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    large = cut(named, "large")
-    spans = lambda df, by: df.groupBy(*by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(*by)
-    open_rows = cut(spread_join(large, spans(large, BUCKET), BUCKET, hot).select("mask_no", "fp", "near", "comp").distinct(), "unsettled")
-    if open_rows.isEmpty():
+    # Fingerprints of larger buckets that still span components, each keyed once more by more bits.
+    large = cut(met.filter(F.col("m") > SMALL).select(*BUCKET, "fp").join(label.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "large")
+    spans = lambda df: df.groupBy(*BUCKET).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(*BUCKET)
+    unsettled = cut(pivot_table(spread_join(large, spans(large), BUCKET, hot).select("fp", "comp").distinct()), "unsettled")
+    left = unsettled.count()
+    if not left:
         return edges, label
-    finer = [[(no, m | extra) for extra in choices([i for i in everywhere if not m >> i & 1], 2 * bits, bits)] for no, m in masks]
-    numbered = [(no, k * len(finer[0]) + j, m) for k, own in enumerate(finer) for j, (no, m) in enumerate(own)]
-    own_masks = F.array(*[F.array(*[F.struct(F.lit(i).alias("mask_no"), F.lit(signed(m)).alias("mask")) for no, i, m in numbered if no == k]) for k in range(len(masks))])
-    fine = open_rows.withColumn("_m", F.explode(F.get(own_masks, F.col("mask_no")))).select("_m.mask_no", F.col("fp").bitwiseAND(F.col("_m.mask")).alias("key"), "fp", "near", "comp")
-    fine = cut(spread_join(fine, spans(fine, BUCKET), BUCKET, hot_keys(fine, BUCKET, limit)), "finer")
+    masks = list(enumerate(choices(everywhere, block_count(n, bits) + FINER, bits)))
+    limit = hot_limit(len(masks) * left)
+    fine = cut(keyed(unsettled, masks), "finer-keys")  # read three times, made once
+    fine = cut(spread_join(fine, spans(fine), BUCKET, hot_keys(fine, BUCKET, limit)), "finer")
     hot = cut(hot_keys(fine, BUCKET, limit), "hot-buckets")
     main = fine.groupBy(*BUCKET, "comp").count().groupBy(*BUCKET).agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
     minor = spread_join(fine, main, BUCKET, hot).filter("comp <> main").select(*BUCKET, F.col("fp").alias("fp2"), F.col("near").alias("near2"), F.col("comp").alias("comp2"))

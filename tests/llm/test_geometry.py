@@ -183,6 +183,40 @@ def test_pivot_table_loses_no_link(spark, monkeypatch, limit):
     assert len(set(zip(own, groups, strict=True))) == len(set(own)) == len(set(groups))
 
 
+def rows_of(spark, node, since=-1):
+    """(rows that nodes of this name made in the executions after a number, the last execution's number)."""
+    store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        if run <= since:
+            continue
+        last, made, nodes = max(last, run), store.executionMetrics(run), store.planGraph(run).allNodes()
+        for k in range(nodes.size()):
+            own = nodes.apply(k)
+            for m in range(own.metrics().size()) if own.name() == node else ():
+                metric = own.metrics().apply(m)
+                value = made.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    total += int(value.get().replace(",", ""))
+    return total, last
+
+
+def test_open_fingerprints_are_keyed_once(spark):
+    """A ball whose members are in many large buckets: its rows are dealt out by fingerprint, not by fingerprint and bucket."""
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << b for b in rng.sample(range(26), rng.randint(3, 9))) for _ in range(300)})
+    nodes = simhash.pivot_table(spark.createDataFrame([(simhash.signed(p), i + 1) for i, p in enumerate(prints)], "fp long, rows long")).localCheckpoint()
+    _, before = rows_of(spark, "Generate")
+    _, label = simhash.links(nodes.select("fp", "rows", "near"))
+    comp = {r.id: r.comp for r in label.collect()}
+    own, groups = [comp.get(simhash.signed(p), simhash.signed(p)) for p in prints], plain_groups(prints)
+    assert len(set(groups)) > 1 and len(set(zip(own, groups, strict=True))) == len(set(own)) == len(set(groups))
+    made, _ = rows_of(spark, "Generate", before)
+    assert 0 < made < 120 * len(prints)
+
+
 def test_blocks_grow_with_the_fingerprints():
     assert [simhash.block_count(n) for n in (10, 10**6, 10**9, 10**11)] == [5, 5, 6, 7]
     masks = simhash.choices(list(range(64)), 5, 3)
