@@ -64,3 +64,26 @@ def test_workers_take_texts_in_slices(spark):
     parts = list(segment.sliced(iter([pd.DataFrame({"x": range(segment.TEXTS + 3)})])))
     assert [len(p) for p in parts] == [segment.TEXTS, 3] and parts[1].index[0] == 0
     assert [segment.lines_of(t) for t in ("", "\n", "a\r\nb\n")] == [[], [""], ["a", "b"]]
+
+
+def test_only_the_first_names_of_a_manifest_leave_its_row(spark, monkeypatch):
+    from quarry.operators import profile as P
+
+    names = [f"{'Pkg' if i % 3 else 'pKG'}{i % 250}" for i in range(2000)]
+    lists = [(1, 5, names), (1, 5, ["other", "PKG7", *names[100:]]), (1, 2, ["Pkg249", "late", "LATE"]), (2, 1, [])]  # two files at one place
+    lists += [(3, k, [f"n{j}" for j in range(40 * k, 40 * k + 60)]) for k in range(4)]
+    rows = [(m, p, "requirements.txt", "\n".join(f"{x} >= 1" for x in own)) for m, p, own in lists] + [(4, 1, "Cargo.toml", "x"), (5, 1, "requirements.txt", None)]
+    rows += [(6, 1, "requirements.txt", "a\n>= 1\n# c\nA\nb\n[extra]\nB ; x"), (6, 1, "requirements.txt", "c\nd\ne\nb")]  # lines without a name keep their number
+    lists += [(6, 1, ["a", "", "A", "b", "", "B"]), (6, 1, ["c", "d", "e", "b"])]
+    sent, whole = [], P.ordered_unique
+    monkeypatch.setattr(P, "ordered_unique", lambda items, *a: sent.append(items) or whole(items, *a))
+    files = spark.createDataFrame(rows, "m long, pos long, path string, text string")
+    got = {r.m: r.terms for r in P.dependencies(files, "m", "path", "text", "pos").collect()}
+    first = {}
+    for m, p, own in lists:
+        for i, x in enumerate(own):
+            if x:
+                first[m, x.lower()] = min(first.get((m, x.lower()), (p, i, x)), (p, i, x))
+    want = {m: [f[2] for f in sorted(f for (k, _), f in first.items() if k == m)][:30] for m in (1, 3, 6)}
+    assert got == want
+    assert sent[0].count() <= 30 * len(rows)
