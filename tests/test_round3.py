@@ -87,3 +87,23 @@ def test_only_the_first_names_of_a_manifest_leave_its_row(spark, monkeypatch):
     want = {m: [f[2] for f in sorted(f for (k, _), f in first.items() if k == m)][:30] for m in (1, 3, 6)}
     assert got == want
     assert sent[0].count() <= 30 * len(rows)
+
+
+def test_a_scorer_gets_small_batches(spark):
+    import pandas as pd
+
+    from quarry.operators import retrieve
+    from quarry.session import BATCH
+
+    chosen = spark.conf.get(BATCH) if BATCH in spark.conf.getAll else None
+    spark.conf.unset(BATCH)
+    try:
+        hits = spark.range(1200).selectExpr("1L as q", "id as p", "0D as score", "cast(id as int) as rank").coalesce(1)
+        texts = spark.range(1200).selectExpr("id as p", "'t' as point_text").coalesce(1)
+        asked = spark.createDataFrame([(1, "a")], "q long, query_text string")
+        got = retrieve.rerank_with(hits, asked, texts, "q", "p", lambda a, b: pd.Series([float(len(a))] * len(a))).collect()
+        assert len(got) == 1200 and 0 < max(r.score for r in got) <= 500
+    finally:
+        spark.conf.unset(BATCH)
+        if chosen:
+            spark.conf.set(BATCH, chosen)
