@@ -107,3 +107,71 @@ def test_a_scorer_gets_small_batches(spark):
         spark.conf.unset(BATCH)
         if chosen:
             spark.conf.set(BATCH, chosen)
+
+
+def test_a_search_behind_a_rerank_runs_once(spark):
+    import pandas as pd
+
+    from quarry.operators import retrieve
+
+    met = spark.sparkContext.accumulator(0)
+
+    def search(batches):
+        for b in batches:
+            met.add(len(b))
+            yield b
+
+    ranks = spark.range(50).selectExpr("id % 2 as q", "id as p", "0D as score", "cast(id div 2 + 1 as int) as rank")
+    hits = ranks.mapInPandas(search, ranks.schema)
+    texts = spark.range(50).selectExpr("id as p", "repeat('t', cast(id as int)) as point_text")
+    asked = spark.createDataFrame([(0, "a"), (1, "b")], "q long, query_text string")
+    got = retrieve.rerank_with(hits, asked, texts, "q", "p", lambda a, b: b.str.len().astype(float)).collect()
+    assert sorted((r.q, r.rank, r.p, r.score) for r in got) == sorted((p % 2, 25 - p // 2, p, float(p)) for p in range(50))
+    assert met.value == 50
+
+
+def test_long_texts_come_in_small_batches(spark):
+    import numpy as np
+
+    from quarry.operators import search
+    from quarry.session import BATCH, BATCH_BYTES
+
+    def embed(texts):
+        if sum(map(len, texts)) > 16_000_000:
+            raise ValueError("too much text at once")
+        return np.array([[float(len(t))] for t in texts]), [(np.array([0]), np.array([float(t[-1] == "c")])) for t in texts]
+
+    chosen = {k: v for k, v in spark.conf.getAll.items() if k in (BATCH, BATCH_BYTES)}
+    for k in (BATCH, BATCH_BYTES):
+        spark.conf.unset(k)
+    try:
+        points = spark.range(64).selectExpr("id as p", "repeat('ab c', 250000) as t").coalesce(1)
+        asked = spark.createDataFrame([(1, "c")], "q long, asked string")
+        got = search.top_points(points, "p", "t", asked, "q", "asked", 64, embed=embed).collect()
+        assert sorted((r.list, r.p) for r in got) == [(name, p) for name in ("dense", "sparse") for p in range(64)]
+    finally:
+        for k in (BATCH, BATCH_BYTES):
+            spark.conf.unset(k)
+        for k, v in chosen.items():
+            spark.conf.set(k, v)
+
+
+def test_nothing_stays_of_very_many_or_very_long_tokens():
+    from quarry.operators.search import CACHE_CHARS, CACHE_TOKENS, HashedEmbedder
+
+    embedder = HashedEmbedder()
+    for text in (" ".join(f"t{i}" for i in range(CACHE_TOKENS + 10)), " ".join(str(i) * 100_000 for i in range(10, 60)), "a b2 b2 the c3"):
+        assert (embedder.numbers(text) == HashedEmbedder().numbers(text)).all()
+        assert len(embedder.cache) <= CACHE_TOKENS and sum(map(len, embedder.cache)) <= CACHE_CHARS
+    assert sorted(embedder.cache) == ["b2", "c3", "the"]
+
+
+def test_a_task_hands_on_terms_of_many_materials(spark, monkeypatch):
+    from quarry.operators import profile as P
+
+    sent, whole = [], P.ordered_unique
+    monkeypatch.setattr(P, "ordered_unique", lambda items, *a: sent.append(items) or whole(items, *a))
+    units = spark.range(6000).selectExpr("cast(id % 3000 as string) as m", "id as pos", "array_join(transform(sequence(0, 39), x -> concat('term', x, 'of', id % 3000)), ' ') as text").coalesce(1)
+    got = {r.m: r.terms for r in P.material_keywords(units, "m", "pos", "text").collect()}
+    assert got == {str(m): [f"term{x}of{m}" for x in range(40)] for m in range(3000)}
+    assert sent[0].count() > 3000 * 40  # 120,000 terms are more than a task holds, so some were handed on before they came again
